@@ -1,9 +1,11 @@
-"""Box-overlap join on grid cells, as equi-joins Catalyst can shuffle and AQE can split.
+"""Spatial joins on grid cells, as equi-joins Catalyst can shuffle and AQE can split.
 
-Every row is listed in the cells its box touches. A pair that meets in several cells is kept
-only in the cell that owns the lower corner of the overlap, so no distinct is needed.
+Every row is listed in the cells it touches: a box in all cells it covers, a segment only in
+the cells along its line, so a long diagonal costs its length and not its area. A pair that
+meets in several cells is kept only in the cell that owns one agreed point of the pair (the
+lower corner of the overlap, or the crossing point), so no distinct is needed.
 
-* Long rows: a row wider than ``SPAN`` cells is listed on a coarser grid, ``FAN`` times wider
+* Long boxes: a box wider than ``SPAN`` cells is listed on a coarser grid, ``FAN`` times wider
   per level. Pairs of unequal level meet on the coarser grid; two rows that both belong to
   finer grids never meet there.
 * Hot cells: cells are counted first (a pre-aggregated count). A crowded cell is cut into
@@ -14,6 +16,7 @@ only in the cell that owns the lower corner of the overlap, so no distinct is ne
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,70 +25,131 @@ SPAN = 4
 FAN = 16
 MAX_CUT = 6
 HOT_ROWS = 20000
+PAD = 1e-6  # of a cell: keeps a computed point inside a cell both rows are listed in
 
-Box = tuple[str, str, str, str]
 
+@dataclass(frozen=True)
+class Box:
+    """Rows listed in all cells their box covers. A point is a box of no size."""
 
-def _floor(value: Column, size: Column | float) -> Column:
-    return F.floor(value / size)
+    min_x: str
+    min_y: str
+    max_x: str
+    max_y: str
 
+    def bounds(self) -> tuple[Column, Column, Column, Column]:
+        return F.col(self.min_x), F.col(self.min_y), F.col(self.max_x), F.col(self.max_y)
 
-def _profile(a: DataFrame, b: DataFrame, a_box: Box, b_box: Box) -> tuple[float, float, int, int]:
-    """Mean and largest box side, and row counts, in one pass over the box columns."""
+    def rows(self, low: Column, high: Column) -> tuple[Column, Column]:
+        """y range of the shape between two x values."""
+        return F.col(self.min_y), F.col(self.max_y)
 
-    def side(df: DataFrame, box: Box, tag: int) -> DataFrame:
-        x0, y0, x1, y1 = (F.col(c) for c in box)
-        return df.select(F.greatest(x1 - x0, y1 - y0).alias("s"), F.lit(tag).alias("t"))
 
-    row = (
-        side(a, a_box, 0)
-        .unionByName(side(b, b_box, 1))
-        .agg(
-            F.avg(F.when(F.col("t") == 0, F.col("s"))).alias("ma"),
-            F.avg(F.when(F.col("t") == 1, F.col("s"))).alias("mb"),
-            F.max("s").alias("top"),
-            F.count(F.when(F.col("t") == 0, 1)).alias("na"),
-            F.count(F.when(F.col("t") == 1, 1)).alias("nb"),
+@dataclass(frozen=True)
+class Line:
+    """Rows listed only in the cells along a segment."""
+
+    x1: str
+    y1: str
+    x2: str
+    y2: str
+
+    def bounds(self) -> tuple[Column, Column, Column, Column]:
+        x1, y1, x2, y2 = F.col(self.x1), F.col(self.y1), F.col(self.x2), F.col(self.y2)
+        return F.least(x1, x2), F.least(y1, y2), F.greatest(x1, x2), F.greatest(y1, y2)
+
+    def rows(self, low: Column, high: Column) -> tuple[Column, Column]:
+        x1, y1, x2, y2 = F.col(self.x1), F.col(self.y1), F.col(self.x2), F.col(self.y2)
+        bottom, top = F.least(y1, y2), F.greatest(y1, y2)
+        left, right = F.greatest(low, F.least(x1, x2)), F.least(high, F.greatest(x1, x2))
+        slope = (y2 - y1) / (x2 - x1)
+        ya, yb = y1 + (left - x1) * slope, y1 + (right - x1) * slope
+        steep = x1 == x2
+        return (
+            F.when(steep, bottom).otherwise(F.greatest(bottom, F.least(ya, yb))),
+            F.when(steep, top).otherwise(F.least(top, F.greatest(ya, yb))),
         )
-        .first()
+
+
+Shape = Box | Line
+
+
+def point_box(x: str, y: str) -> Box:
+    return Box(x, y, x, y)
+
+
+def _side(shape: Shape) -> Column:
+    x0, y0, x1, y1 = shape.bounds()
+    return F.greatest(x1 - x0, y1 - y0)
+
+
+def _profile(a: DataFrame, b: DataFrame, a_shape: Shape, b_shape: Shape):
+    """Mean and largest sides and row counts of both inputs, in one pass over their boxes."""
+
+    def sides(df: DataFrame, shape: Shape, tag: int) -> DataFrame:
+        return df.select(_side(shape).alias("s"), F.lit(tag).alias("t"))
+
+    grouped = (
+        sides(a, a_shape, 0)
+        .unionByName(sides(b, b_shape, 1))
+        .groupBy("t")
+        .agg(F.avg("s").alias("mean"), F.max("s").alias("top"), F.count(F.lit(1)).alias("n"))
     )
-    mean = max(row["ma"] or 0.0, row["mb"] or 0.0)
-    return mean, row["top"] or 0.0, row["na"], row["nb"]
+    found = {r["t"]: r for r in grouped.collect()}  # two rows
+    return [(found[t]["mean"] or 0.0, found[t]["top"] or 0.0, found[t]["n"]) if t in found else (0.0, 0.0, 0) for t in (0, 1)]
+
+
+def _cell_size(stats, a_shape: Shape, b_shape: Shape) -> float:
+    (ma, _, na), (mb, _, nb) = stats
+    if isinstance(a_shape, Line) and isinstance(b_shape, Line):
+        size = (ma * na + mb * nb) / max(na + nb, 1)
+    elif isinstance(a_shape, Line):
+        size = mb or ma
+    elif isinstance(b_shape, Line):
+        size = ma or mb
+    else:
+        size = max(ma, mb)
+    return size if size > 0 else 1.0
 
 
-def _level(box: Box, cell: float, levels: int) -> Column:
-    x0, y0, x1, y1 = (F.col(c) for c in box)
-    side = F.greatest(x1 - x0, y1 - y0)
+def _level(shape: Shape, cell: float, levels: int) -> Column:
+    if isinstance(shape, Line):
+        return F.lit(0)
+    side = _side(shape)
     level = F.lit(levels)
     for k in reversed(range(levels)):
         level = F.when(side <= SPAN * cell * FAN**k, F.lit(k)).otherwise(level)
     return level
 
 
-def _listed(df: DataFrame, box: Box, size: float) -> DataFrame:
-    x0, y0, x1, y1 = (F.col(c) for c in box)
-    return df.withColumn("__cx", F.explode(F.sequence(_floor(x0, size), _floor(x1, size)))).withColumn(
-        "__cy", F.explode(F.sequence(_floor(y0, size), _floor(y1, size)))
-    )
+def _listed(df: DataFrame, shape: Shape, size: float) -> DataFrame:
+    """One row per touched cell of a regular grid."""
+    x0, _, x1, _ = shape.bounds()
+    pad = size * PAD
+    columns = F.sequence(F.floor((x0 - pad) / size), F.floor((x1 + pad) / size))
+    out = df.withColumn("__cx", F.explode(columns))
+    low, high = shape.rows(F.col("__cx") * size - pad, (F.col("__cx") + 1) * size + pad)
+    return out.withColumn("__cy", F.explode(F.sequence(F.floor((low - pad) / size), F.floor((high + pad) / size))))
 
 
-def _cut(df: DataFrame, box: Box, size: float, crowded: DataFrame) -> DataFrame:
-    """List rows of crowded cells again in the 2^k x 2^k parts of the cell."""
-    x0, y0, x1, y1 = (F.col(c) for c in box)
+def _cut(df: DataFrame, shape: Shape, size: float, crowded: DataFrame) -> DataFrame:
+    """List the rows of crowded cells again in the 2^k x 2^k parts of the cell they touch."""
     out = df.join(crowded, ["__cx", "__cy"], "left").withColumn("__k", F.coalesce("__k", F.lit(0)))
     parts = F.pow(F.lit(2.0), F.col("__k"))
-    fine = F.lit(size) / parts
-    whole = parts.cast("bigint")
+    fine, whole = F.lit(size) / parts, parts.cast("bigint")
+    pad = F.lit(size * PAD)
+    x0, _, x1, _ = shape.bounds()
 
-    def span(c: str, lo: Column, hi: Column) -> Column:
-        first = F.col(c) * whole
-        return F.sequence(
-            F.greatest(first, _floor(lo, fine)), F.least(first + whole - 1, _floor(hi, fine))
-        )
+    def span(cell: str, lo: Column, hi: Column) -> Column:
+        first = F.col(cell) * whole
+        start = F.greatest(first, F.floor((lo - pad) / fine))
+        stop = F.least(first + whole - 1, F.floor((hi + pad) / fine))
+        return F.explode(F.when(start <= stop, F.sequence(start, stop)))
 
+    out = out.withColumn("__sx", span("__cx", x0, x1))
+    low, high = shape.rows(F.col("__sx") * fine - pad, (F.col("__sx") + 1) * fine + pad)
     return (
-        out.withColumn("__sx", F.explode(span("__cx", x0, x1)))
-        .withColumn("__sy", F.explode(span("__cy", y0, y1)))
+        out.withColumn("__sy", span("__cy", low, high))
         .drop("__cx", "__cy")
         .withColumnsRenamed({"__sx": "__cx", "__sy": "__cy"})
     )
@@ -107,24 +171,44 @@ def _salted(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> Da
     return df.withColumn(own, mine).withColumn(other, theirs).drop(own_n, other_n)
 
 
-def _meet(
-    a: DataFrame, b: DataFrame, a_box: Box, b_box: Box, size: float, hot: int, balance: bool, extra: Column | None
-) -> DataFrame:
-    left, right = _listed(a, a_box, size), _listed(b, b_box, size)
-    keys = ["__cx", "__cy"]
-    fine: Column = F.lit(size)
-    if balance:
+@dataclass(frozen=True)
+class _Join:
+    a_shape: Shape
+    b_shape: Shape
+    hot: int
+    balance: bool
+    derive: dict[str, Column]
+    keep: Column | None
+    owner: tuple[Column, Column]
+
+    def meet(self, a: DataFrame, b: DataFrame, size: float) -> DataFrame:
+        left, right = _listed(a, self.a_shape, size), _listed(b, self.b_shape, size)
+        keys = ["__cx", "__cy"]
+        fine: Column = F.lit(size)
+        if self.balance:
+            left, right, keys = self._spread(left, right, keys, size)
+            fine = F.lit(size) / F.pow(F.lit(2.0), F.col("__k"))
+        ax0, ay0, ax1, ay1 = self.a_shape.bounds()
+        bx0, by0, bx1, by1 = self.b_shape.bounds()
+        pairs = left.join(right, keys).filter((ax0 <= bx1) & (bx0 <= ax1) & (ay0 <= by1) & (by0 <= ay1))
+        if self.derive:
+            pairs = pairs.withColumns(self.derive)
+        if self.keep is not None:
+            pairs = pairs.filter(self.keep)
+        ox, oy = self.owner
+        pairs = pairs.filter((F.floor(ox / fine) == F.col("__cx")) & (F.floor(oy / fine) == F.col("__cy")))
+        return pairs.drop("__cx", "__cy", "__k", "__sa", "__sb")
+
+    def _spread(self, left: DataFrame, right: DataFrame, keys: list[str], size: float):
+        hot = self.hot
         load = F.sqrt(F.col("__na").cast("double") * F.col("__nb"))
-        crowded = (
-            _counts(left, right, keys)
-            .filter(load > hot)
-            .select(*keys, F.least(F.lit(MAX_CUT), F.ceil(F.log(load / hot) / math.log(4.0)).cast("int")).alias("__k"))
-        )
-        left, right = _cut(left, a_box, size, crowded), _cut(right, b_box, size, crowded)
+        cuts = F.least(F.lit(MAX_CUT), F.ceil(F.log(load / hot) / math.log(4.0)).cast("int"))
+        crowded = _counts(left, right, keys).filter(load > hot).select(*keys, cuts.alias("__k"))
+        left, right = _cut(left, self.a_shape, size, crowded), _cut(right, self.b_shape, size, crowded)
         keys = ["__k", *keys]
         salts = (
             _counts(left, right, keys)
-            .filter(F.col("__na").cast("double") * F.col("__nb") > 4.0 * hot * hot)
+            .filter(load > 2.0 * hot)
             .select(
                 *keys,
                 F.ceil(F.col("__na") / F.lit(hot)).alias("__ma"),
@@ -133,54 +217,52 @@ def _meet(
         )
         left = _salted(left.join(salts, keys, "left"), "__sa", "__ma", "__sb", "__mb")
         right = _salted(right.join(salts, keys, "left"), "__sb", "__mb", "__sa", "__ma")
-        keys = [*keys, "__sa", "__sb"]
-        fine = F.lit(size) / F.pow(F.lit(2.0), F.col("__k"))
-    ax0, ay0, ax1, ay1 = (F.col(c) for c in a_box)
-    bx0, by0, bx1, by1 = (F.col(c) for c in b_box)
-    keep = (
-        (ax0 <= bx1) & (bx0 <= ax1) & (ay0 <= by1) & (by0 <= ay1)
-        & (_floor(F.greatest(ax0, bx0), fine) == F.col("__cx"))
-        & (_floor(F.greatest(ay0, by0), fine) == F.col("__cy"))
-    )
-    if extra is not None:
-        keep = keep & extra
-    return left.join(right, keys).filter(keep).drop("__cx", "__cy", "__k", "__sa", "__sb")
+        return left, right, [*keys, "__sa", "__sb"]
 
 
 def cell_join(
     a: DataFrame,
     b: DataFrame,
-    a_box: Box,
-    b_box: Box,
+    a_shape: Shape,
+    b_shape: Shape,
     *,
     cell: float | None = None,
     hot: int = HOT_ROWS,
-    extra: Column | None = None,
+    derive: dict[str, Column] | None = None,
+    keep: Column | None = None,
+    owner: tuple[Column, Column] | None = None,
 ) -> DataFrame:
-    """All pairs of rows of ``a`` and ``b`` whose closed boxes overlap, each once.
+    """Pairs of rows whose shapes meet, each once. Column names of the two sides must differ.
 
-    Column names of the two sides must differ. ``extra`` is applied with the overlap test.
+    Two boxes meet when they overlap (closed bounds). With segments, ``owner`` must name a
+    point lying on both shapes, built from ``derive`` columns, and ``keep`` the exact test.
     """
-    mean, top, na, nb = _profile(a, b, a_box, b_box)
-    size = float(cell or max(mean, 1e-9))
+    stats = _profile(a, b, a_shape, b_shape)
+    size = float(cell or _cell_size(stats, a_shape, b_shape))
+    tops = [top for (_, top, _), shape in zip(stats, (a_shape, b_shape)) if isinstance(shape, Box)]
     levels = 0
-    while SPAN * size * FAN**levels < top:
+    while tops and SPAN * size * FAN**levels < max(tops):
         levels += 1
-    # A cell can only be crowded when the rows of both sides together could crowd it.
-    balance = math.sqrt(float(na) * nb) > hot
+    if owner is None:
+        ax0, ay0, _, _ = a_shape.bounds()
+        bx0, by0, _, _ = b_shape.bounds()
+        owner = (F.greatest(ax0, bx0), F.greatest(ay0, by0))
+    # Only when both sides together hold enough rows can any cell be crowded.
+    balance = math.sqrt(float(stats[0][2]) * stats[1][2]) > hot
+    join = _Join(a_shape, b_shape, hot, balance, derive or {}, keep, owner)
     if levels == 0:
-        return _meet(a, b, a_box, b_box, size, hot, balance, extra)
-    a = a.withColumn("__la", _level(a_box, size, levels))
-    b = b.withColumn("__lb", _level(b_box, size, levels))
-    parts = []
+        return join.meet(a, b, size)
+    a = a.withColumn("__la", _level(a_shape, size, levels))
+    b = b.withColumn("__lb", _level(b_shape, size, levels))
+    out = None
     for k in range(levels + 1):
         grid = size * FAN**k
-        parts.append(_meet(a.filter(F.col("__la") == k), b.filter(F.col("__lb") <= k), a_box, b_box, grid, hot, balance, extra))
+        pairs = [(F.col("__la") == k, F.col("__lb") <= k)]
         if k:
-            parts.append(
-                _meet(a.filter(F.col("__la") < k), b.filter(F.col("__lb") == k), a_box, b_box, grid, hot, balance, extra)
-            )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+            pairs.append((F.col("__la") < k, F.col("__lb") == k))
+        for a_rows, b_rows in pairs:
+            if (isinstance(a_shape, Line) and k and (a_rows is pairs[0][0])):
+                continue  # segments are never listed as owners of a coarser grid
+            part = join.meet(a.filter(a_rows), b.filter(b_rows), grid)
+            out = part if out is None else out.unionByName(part)
     return out.drop("__la", "__lb")
