@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.plans.scan import ordered_scan
+from geoloom.plans.scratch import materialize
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -207,9 +208,14 @@ class Fixtures:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._events = None
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """One table. A file too small to give every core a task is spread over the cores, since
+        the views multiply its rows; a table of many files is read as it is."""
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if name not in ("region", "nation") and df.rdd.getNumPartitions() * 4 <= cores else df
 
     def _sql(self, name: str, *tables: str) -> DataFrame:
         for t in tables:
@@ -219,10 +225,13 @@ class Fixtures:
     def _sequenced_events(self) -> DataFrame:
         """Events numbered per user in time order, without a whole user in one task."""
         hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000))
-        events = self.table("events").select("user_id", "event_id", "event_type", "ts")
-        return ordered_scan(
-            events, ["user_id"], ["ts", "event_id"], hour, index="seq", lead={"next_event": F.col("event_id")}
-        )
+        if self._events is None:
+            events = self.table("events").select("user_id", "event_id", "event_type", "ts")
+            numbered = ordered_scan(
+                events, ["user_id"], ["ts", "event_id"], hour, index="seq", lead={"next_event": F.col("event_id")}
+            )
+            self._events = materialize(numbered.drop("ts"), "events")
+        return self._events
 
     def __getattr__(self, name: str) -> DataFrame:
         source = {

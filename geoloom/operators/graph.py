@@ -132,40 +132,26 @@ def slice_facets(facets: DataFrame, thickness: float, base: float | Column = 0.0
     the two mesh edges they lie on (fwd, bwd), written the same way from both facets that
     share an edge.
     """
-    rows = facet_planes(facets, thickness, base)
-    v = [F.struct(F.col(f"z{i}").alias("z"), F.lit(i).alias("i"), F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in range(3)]
-    rows = rows.withColumn("v", F.array_sort(F.array(*v)))
-    lo, mid, hi = (F.col("v")[i] for i in range(3))
-    # (lo, hi, mid) is an even permutation of the facet's corners when hi follows lo
-    even = F.pmod(hi["i"] - lo["i"], F.lit(3)) == 1
-    upper = F.col("z") >= mid["z"]
-    short = (F.when(upper, mid).otherwise(lo), F.when(upper, hi).otherwise(mid))
-    long = (lo, hi)
-
-    def point(a: Column, b: Column, axis: str) -> Column:
-        return a[axis] + (F.col("z") - a["z"]) / (b["z"] - a["z"]) * (b[axis] - a[axis])
-
-    def edge(a: Column, b: Column) -> Column:
-        def corner(c: Column) -> Column:
-            return F.struct(c["x"].alias("x"), c["y"].alias("y"), c["z"].alias("z"))
-
-        p, q = corner(a), corner(b)
-        return F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q"))
-
-    def either(first: Column, second: Column) -> Column:
-        return F.when(even, first).otherwise(second)
-
-    return rows.select(
-        "mesh_id",
-        "slice",
-        "facet_id",
-        either(point(*short, "x"), point(*long, "x")).alias("x1"),
-        either(point(*short, "y"), point(*long, "y")).alias("y1"),
-        either(point(*long, "x"), point(*short, "x")).alias("x2"),
-        either(point(*long, "y"), point(*short, "y")).alias("y2"),
-        either(edge(*short), edge(*long)).alias("fwd"),
-        either(edge(*long), edge(*short)).alias("bwd"),
-    )
+    corner = [F.struct(F.col(f"z{i}").alias("z"), F.lit(i).alias("i"), F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in range(3)]
+    sorted_ = facets.withColumn("v", F.array_sort(F.array(*corner)))
+    # corners from low to high: l, m, h; the facet is turned when h follows l in its own order
+    flat = [f"v[{k}].{axis} AS {n}{axis}" for k, n in enumerate("lmh") for axis in "xyz"]
+    rows = sorted_.selectExpr("mesh_id", "facet_id", "z0", "z1", "z2", "pmod(v[2].i - v[0].i, 3) = 1 AS turned", *flat)
+    rows = facet_planes(rows, thickness, base)
+    # the plane meets the long edge l-h and one short edge: l-m below the middle corner, else m-h
+    rows = rows.withColumn("upper", F.expr("z >= mz"))
+    ends = [f"if(upper, {hi}{axis}, {lo}{axis}) AS {n}{axis}" for n, lo, hi in (("a", "l", "m"), ("b", "m", "h")) for axis in "xyz"]
+    rows = rows.selectExpr("mesh_id", "slice", "facet_id", "turned", "z", "lx", "ly", "lz", "hx", "hy", "hz", *ends)
+    points = [f"a{c} + (z - az) / (bz - az) * (b{c} - a{c}) AS s{c}" for c in "xy"]
+    points += [f"l{c} + (z - lz) / (hz - lz) * (h{c} - l{c}) AS g{c}" for c in "xy"]
+    # both facets of an edge name it from its lower to its higher end, which differ in z
+    edges = [
+        f"struct({p}x AS x, {p}y AS y, {p}z AS z, {q}x AS x2, {q}y AS y2, {q}z AS z2) AS {n}"
+        for n, p, q in (("short", "a", "b"), ("long", "l", "h"))
+    ]
+    rows = rows.selectExpr("mesh_id", "slice", "facet_id", "turned", *points, *edges)
+    pick = [("x1", "sx", "gx"), ("y1", "sy", "gy"), ("x2", "gx", "sx"), ("y2", "gy", "sy"), ("fwd", "short", "long"), ("bwd", "long", "short")]
+    return rows.selectExpr("mesh_id", "slice", "facet_id", *[f"if(turned, {a}, {b}) AS {n}" for n, a, b in pick])
 
 
 def chain_contours(cuts: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from geoloom.functions import geometry as g
 from geoloom.operators.generate import path_to_segments
 from geoloom.operators.transform import is_region
 from geoloom.plans.scan import CHUNK_ROWS, ordered_scan
+from geoloom.plans.scratch import materialize
 
 
 def measure_segments(segments: DataFrame) -> DataFrame:
@@ -116,7 +117,8 @@ def measure_shapes(
 def measured_path_segments(vertices: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Path segments with the length before (``len_from``) and after (``len_to``) each."""
     segs = path_to_segments(vertices, keep_chunk=True, chunk_rows=chunk_rows)
-    segs = segs.withColumn("len", g.length("x1", "y1", "x2", "y2"))
+    # both the scan and its chunk totals read the segments: write them once
+    segs = materialize(segs.withColumn("len", g.length("x1", "y1", "x2", "y2")), "segments")
     out = ordered_scan(segs, ["path_id"], ["seq"], "chunk", running={"len_to": F.col("len")})
     return out.withColumn("len_from", F.col("len_to") - F.col("len")).drop("chunk")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import affine
 from geoloom.functions import geometry as g
 from geoloom.plans.scan import CHUNK_ROWS, chunk_of, chunked_fold, ordered_scan
+from geoloom.plans.scratch import materialize
 
 SEG = ("x1", "y1", "x2", "y2")
 
@@ -123,14 +124,15 @@ def paths_from_sequence(
     joins_last = F.coalesce(g.length("last.x2", "last.y2", "x1", "y1") <= tol, F.lit(False))
     joins_next = F.coalesce(g.length("x2", "y2", "next.x1", "next.y1") <= tol, F.lit(False))
     rows = rows.withColumns({"used": joins_last | joins_next, "head": F.when(~joins_last, F.col(order))}).drop("last", "next")
+    rows = materialize(rows, "sequence")
     rows = ordered_scan(
         rows, groups, [order], "chunk",
         fill={"path_no": F.col("head")}, running={"__nth": F.lit(1).cast("bigint")},
     )
-    first = rows.filter("head IS NOT NULL").select(*groups, "path_no", F.col("__nth").alias("__first"))
-    return rows.join(first, [*groups, "path_no"]).withColumn("pos", F.col("__nth") - F.col("__first")).drop(
-        "__nth", "__first", "head", "chunk"
-    )
+    rows = materialize(rows, "sequence")
+    # the place of a path's first segment rides along with its number, so nothing is joined back
+    rows = ordered_scan(rows, groups, [order], "chunk", fill={"__first": F.when(F.col("head").isNotNull(), F.col("__nth"))})
+    return rows.withColumn("pos", F.col("__nth") - F.col("__first")).drop("__nth", "__first", "head", "chunk")
 
 
 def merge_collinear(segments: DataFrame, groups: list[str], order: str, tol: float = 1e-3, rows: int = 512) -> DataFrame:
@@ -154,7 +156,7 @@ def merge_collinear(segments: DataFrame, groups: list[str], order: str, tol: flo
 
     folded = chunked_fold(segments.select(*groups, order, *SEG), groups, order, item, start, step, rows=rows)
     heads = folded.select(*groups, F.explode("out").alias(order)).withColumn("run", F.col(order))
-    marked = segments.select(*groups, order, *SEG).join(heads, [*groups, order], "left")
+    marked = materialize(segments.select(*groups, order, *SEG).join(heads, [*groups, order], "left"), "runs")
     filled = ordered_scan(marked.withColumnRenamed("run", "head"), groups, [order], chunk_of(order), fill={"run": F.col("head")})
     return (
         filled.groupBy(*groups, "run")

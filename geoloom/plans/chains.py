@@ -2,82 +2,74 @@
 
 Each node knows at most one predecessor. One round squares the reach of every pointer, so a
 chain of n nodes needs about log2(n) equi-joins on the node id; no group is ever collected.
+Every round is a written table, so a lost executor costs at most one round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from geoloom.plans.scratch import discard, materialize
 
 
-def _double(nodes: DataFrame) -> DataFrame:
-    """Follow predecessors until each node sees its chain head, or is known to sit in a ring.
+def rank_chains(nodes: DataFrame) -> DataFrame:
+    """Order the nodes of every chain and ring.
 
-    In: id, prev. Out: id, head, hops, low (least id seen), done (False for ring members).
+    In: ``id`` (any orderable type) and ``prev`` (null at a chain head); no two nodes share a
+    ``prev``. Out: id, chain (id of the head; the least id for a ring), pos (0-based),
+    is_ring. Chain members keep their direction; a ring starts at its least id.
+
+    State per node: the farthest predecessor reached (head) and how many hops away, the least id
+    among the nodes passed (low) and how many hops away it is first met, and whether the head
+    is the true head of a chain (done).
     """
-    state = materialize(
-        nodes.select(
-            "id",
-            F.coalesce("prev", "id").alias("head"),
-            F.when(F.col("prev").isNull(), 0).otherwise(1).cast("bigint").alias("hops"),
-            F.least(F.col("id"), F.coalesce("prev", "id")).alias("low"),
-            F.col("prev").isNull().alias("done"),
-            F.lit(True).alias("moved"),
-        ),
-        "chain",
+    back = F.col("prev").isNotNull() & (F.col("prev") < F.col("id"))
+    first = nodes.select(
+        "id",
+        F.coalesce("prev", "id").alias("head"),
+        F.col("prev").isNotNull().cast("bigint").alias("hops"),
+        F.when(back, F.col("prev")).otherwise(F.col("id")).alias("low"),
+        back.cast("bigint").alias("low_hops"),
+        F.col("prev").isNull().alias("done"),
     )
-    open_before = state.filter("NOT done").count()
-    while open_before:
-        far = state.select(
-            F.col("id").alias("head"),
-            F.col("head").alias("far_head"),
-            F.col("hops").alias("far_hops"),
-            F.col("low").alias("far_low"),
-            F.col("done").alias("far_done"),
-        )
-        active = state.filter("NOT done").drop("moved")
-        stepped = active.join(far, "head").select(
+    state, seen = _written(first.withColumn("moved", F.lit(True)))
+    while seen["open"]:
+        far = state.select(F.col("id").alias("head"), *[F.col(c).alias("far_" + c) for c in ("head", "hops", "low", "low_hops", "done")])
+        lower = F.col("far_low") < F.col("low")
+        stepped = state.filter("NOT done").join(far, "head").select(
             "id",
             F.col("far_head").alias("head"),
             (F.col("hops") + F.col("far_hops")).alias("hops"),
-            F.least("low", "far_low").alias("low"),
+            F.when(lower, F.col("far_low")).otherwise(F.col("low")).alias("low"),
+            F.when(lower, F.col("hops") + F.col("far_low_hops")).otherwise(F.col("low_hops")).alias("low_hops"),
             F.col("far_done").alias("done"),
-            (F.col("far_low") < F.col("low")).alias("moved"),
+            lower.alias("moved"),
         )
         settled = state.filter("done").withColumn("moved", F.lit(False))
-        renewed = materialize(settled.unionByName(stepped), "chain")
+        renewed, now = _written(settled.unionByName(stepped))
         discard(state)
-        state = renewed
-        counts = state.filter("NOT done").agg(
-            F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("moved"), 1)).alias("m")
-        ).first()
-        # Open chains close at least one node per round, so an idle round leaves only rings.
-        if counts["n"] == open_before and counts["m"] == 0:
+        # Open chains close at least one node per round, so an idle round leaves only rings; their
+        # least id is known once a whole round has not lowered it anywhere.
+        idle = now["open"] == seen["open"] and now["moved"] == 0
+        state, seen = renewed, now
+        if idle:
             break
-        open_before = counts["n"]
-    return state
-
+    return state.select(
+        "id",
+        F.when(F.col("done"), F.col("head")).otherwise(F.col("low")).alias("chain"),
+        F.when(F.col("done"), F.col("hops")).otherwise(F.col("low_hops")).alias("pos"),
+        (~F.col("done")).alias("is_ring"),
+    )
 
-def rank_chains(nodes: DataFrame) -> DataFrame:
-    """Order the nodes of every chain and ring.
 
-    In: ``id`` (any orderable type) and ``prev`` (null at a chain head); no two nodes share a
-    ``prev``. Out: id, chain (id of the head; the least id for a ring), pos (0-based),
-    is_ring. Chain members keep their direction; a ring starts at its least id.
-    """
-    nodes = materialize(nodes.select("id", "prev"), "links")
-    state = _double(nodes)
-    chains = state.filter("done").select("id", F.col("head").alias("chain"), F.col("hops").alias("pos"))
-    rings = state.filter("NOT done").select("id", "low")
-    if rings.isEmpty():
-        return chains.withColumn("is_ring", F.lit(False))
-    # Cut each ring in front of its least member and rank it as an open chain.
-    cut = nodes.join(rings, "id").select(
-        "id", F.when(F.col("id") != F.col("low"), F.col("prev")).alias("prev")
-    )
-    ranked = _double(cut).select(
-        "id", F.col("head").alias("chain"), F.col("hops").alias("pos"), F.lit(True).alias("is_ring")
+def _written(state: DataFrame) -> tuple[DataFrame, dict]:
+    """Write one round and take its open and moved counts from the same pass."""
+    seen = Observation()
+    counted = state.observe(
+        seen,
+        F.count(F.when(~F.col("done"), 1)).alias("open"),
+        F.count(F.when(~F.col("done") & F.col("moved"), 1)).alias("moved"),
     )
-    return chains.withColumn("is_ring", F.lit(False)).unionByName(ranked)
+    table = materialize(counted, "chain")
+    return table, seen.get

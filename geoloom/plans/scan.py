@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHUNK_ROWS = 65536
 
@@ -48,34 +49,36 @@ def ordered_scan(
     feed = {name: f"__in_{name}" for name in fed}
     inputs = {feed[n]: c for n, c in fed.items()}
     base = df.withColumns(inputs if kept_chunk else {ck: chunk, **inputs})
-    pos = F.struct(*order)
+    pos = F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
     inside = Window.partitionBy(*keys, ck).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = {"__first": F.row_number().over(inside) == 1, "__end": F.lead(F.lit(1)).over(inside).isNull()}
-    totals, carry = [], {}
+    totals, carry = _Totals(base.schema), {}
     before = Window.partitionBy(*keys).orderBy(ck)
     ahead = before.rowsBetween(Window.unboundedPreceding, -1)
     for name in running:
         local[f"__loc_{name}"] = F.sum(feed[name]).over(upto)
-        totals.append(F.sum(feed[name]).alias(f"__tot_{name}"))
+        totals.add(name, feed[name], F.sum)
         carry[name] = F.sum(f"__tot_{name}").over(ahead)
     for name in fill:
         local[f"__loc_{name}"] = F.last(feed[name], ignorenulls=True).over(upto)
-        totals.append(F.max_by(feed[name], F.when(F.col(feed[name]).isNotNull(), pos)).alias(f"__tot_{name}"))
+        known = F.when(F.col(feed[name]).isNotNull(), pos)
+        totals.add(name, feed[name], lambda c, known=known: F.max_by(c, known))
         carry[name] = F.last(f"__tot_{name}", ignorenulls=True).over(ahead)
     for name in lag:
         local[f"__loc_{name}"] = F.lag(feed[name]).over(inside)
-        totals.append(F.max_by(feed[name], pos).alias(f"__tot_{name}"))
+        totals.add(name, feed[name], lambda c: F.max_by(c, pos))
         carry[name] = F.lag(f"__tot_{name}").over(before)
     for name in lead:
         local[f"__loc_{name}"] = F.lead(feed[name]).over(inside)
-        totals.append(F.min_by(feed[name], pos).alias(f"__tot_{name}"))
+        totals.add(name, feed[name], lambda c: F.min_by(c, pos))
         carry[name] = F.lead(f"__tot_{name}").over(before)
 
     carried = (
         base.groupBy(*keys, ck)
-        .agg(*totals)
+        .agg(*totals.aggregates)
+        .select(*keys, ck, *totals.columns)
         .select(*keys, ck, *[c.alias(f"__car_{n}") for n, c in carry.items()])
     )
     joined = base.withColumns(local).join(carried, [*keys, ck])
@@ -92,6 +95,28 @@ def ordered_scan(
     return joined.select(*kept, *[c.alias(n) for n, c in result.items()])
 
 
+class _Totals:
+    """The per-chunk aggregates. A struct is taken apart into its fields and put together after,
+    so that the aggregation buffers stay of fixed width and the hash aggregate can be used."""
+
+    def __init__(self, schema: StructType):
+        self.schema, self.aggregates, self.columns = schema, [], []
+
+    def add(self, name: str, source: str, fold) -> None:
+        out = f"__tot_{name}"
+        kind = self.schema[source].dataType
+        if not isinstance(kind, StructType):
+            self.aggregates.append(fold(F.col(source)).alias(out))
+            self.columns.append(F.col(out))
+            return
+        self.aggregates.append(fold(F.col(source).isNotNull()).alias(f"{out}__is"))
+        fields = []
+        for field in kind.names:
+            self.aggregates.append(fold(F.col(source)[field]).alias(f"{out}__{field}"))
+            fields.append(F.col(f"{out}__{field}").alias(field))
+        self.columns.append(F.when(F.col(f"{out}__is"), F.struct(*fields)).alias(out))
+
+
 def chunked_fold(
     df: DataFrame,
     keys: list[str],

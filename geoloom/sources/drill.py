@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.plans.scan import chunk_of, ordered_scan
+from geoloom.plans.scratch import materialize
 from geoloom.sources.lines import number
 
 # Commands and number forms fixed by the file format.
@@ -63,7 +64,7 @@ def drill_header(lines: DataFrame) -> DataFrame:
     hit = F.col("text").rlike(HIT)
     stop = F.col("text").rlike(END_OF_FILE)
     first = lines.filter(hit | stop).groupBy("file").agg(F.min_by(F.when(hit, F.col("text")), "line_no").alias("hit"))
-    digits = F.length(F.ltrim(F.regexp_extract("hit", "[XY]" + NUMBER, 1), F.lit("-")))
+    digits = F.length(F.regexp_replace(F.regexp_extract("hit", "[XY]" + NUMBER, 1), "-", ""))
     scale = (
         F.when(F.col("hit").isNull(), 1.0)
         .when(F.col("units") == "INCH", 1.0 / 10000)
@@ -120,7 +121,9 @@ def drill_hits(lines: DataFrame, tools: DataFrame | None = None, scales: DataFra
     Hits of a step-and-repeat pattern come again at each cumulative offset (copy 1, 2, ..). With
     ``scales`` (file, scale) coordinates are in the file's unit.
     """
+    # the state of hits and repeats is read several times below: write it once
     state = drill_commands(lines, tools)
+    state = materialize(state.filter(F.col("text").rlike(HIT) | F.col("text").rlike(REPEAT)), "drill")
     hits = state.filter(F.col("text").rlike(HIT) & ~F.col("routing"))
     out = hits.withColumn("copy", F.lit(0).cast("bigint"))
     if repeats:
