@@ -25,7 +25,7 @@ from geoloom.operators.generate import box_edges, path_to_segments
 )
 def _(fx):
     edges = box_edges(fx.box).withColumn("sheet", F.col("id") % 10)
-    return rounded(od.hatch_fill(edges, ["sheet"], 25.0, 0.0, "serpentine", edge_id=F.col("id") * 4 + F.col("seq")))
+    return rounded(od.hatch_fill(edges, ["sheet"], 25.0, 0.0, "serpentine"))
 
 
 @query(

@@ -79,6 +79,16 @@ def snap(value, tol) -> Column:
     return F.floor(col(value) / F.lit(float(tol)) + 0.5)
 
 
+def at_first(order: str, prefix: str, *names: str) -> list[Column]:
+    """Values of the row with the least ``order``, one fixed-width aggregate each."""
+    return [F.min_by(n, order).alias(prefix + n) for n in names]
+
+
+def at_last(order: str, prefix: str, *names: str) -> list[Column]:
+    """Values of the row with the greatest ``order``."""
+    return [F.max_by(n, order).alias(prefix + n) for n in names]
+
+
 def segment_box(x1="x1", y1="y1", x2="x2", y2="y2", prefix="") -> dict[str, Column]:
     """Bounding-box columns of a segment, for the cell join."""
     return {

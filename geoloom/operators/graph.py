@@ -51,7 +51,7 @@ def next_connected(segments: DataFrame, tol: float = 1e-3) -> DataFrame:
 
     A vertex only has to know its two lowest ids, so any number of ends may meet there.
     """
-    ends = segment_ends(segments, tol)
+    ends = materialize(segment_ends(segments, tol), "ends")
     lowest = ends.groupBy("kx", "ky").agg(F.min("id").alias("one"))
     second = (
         ends.join(lowest, ["kx", "ky"])
@@ -61,7 +61,7 @@ def next_connected(segments: DataFrame, tol: float = 1e-3) -> DataFrame:
     )
     both = lowest.join(second, ["kx", "ky"])
     mate = F.when(F.col("id") == F.col("one"), F.col("two")).otherwise(F.col("one"))
-    cand = ends.join(both, ["kx", "ky"]).select("id", "tip", "kx", "ky", mate.alias("mate"))
+    cand = materialize(ends.join(both, ["kx", "ky"]).select("id", "tip", "kx", "ky", mate.alias("mate")), "mates")
     first = cand.groupBy("id").agg(F.min("mate").alias("mate"))
     at = cand.join(first, ["id", "mate"])
     other = ends.select(F.col("id").alias("mate"), F.col("tip").alias("mate_tip"), "kx", "ky")
@@ -95,13 +95,13 @@ def stitch_paths(segments: DataFrame, tol: float = 1e-3) -> DataFrame:
     best = walk.groupBy("id").agg(F.min("chain").alias("chain"))
     kept = walk.join(best, ["id", "chain"])
     # a walk that passes the same segment both ways cannot be split by chain alone
-    kept = kept.groupBy("id", "chain").agg(F.min_by(F.struct("pos", "tip", "is_ring"), "pos").alias("w"))
+    kept = kept.groupBy("id", "chain").agg(F.min("pos").alias("pos"), F.min_by("tip", "pos").alias("tip"), F.max("is_ring").alias("is_ring"))
     return kept.select(
         "id",
         F.floor(F.col("chain") / 2).alias("path_id"),
-        F.col("w.pos").alias("pos"),
-        (F.col("w.tip") == 1).alias("reversed"),
-        F.col("w.is_ring").alias("is_ring"),
+        "pos",
+        (F.col("tip") == 1).alias("reversed"),
+        "is_ring",
     )
 
 

@@ -44,15 +44,15 @@ def measure_paths(vertices: DataFrame) -> DataFrame:
     sums = segs.groupBy("path_id").agg(
         F.sum(g.length("x1", "y1", "x2", "y2")).alias("length"),
         F.sum(cross).alias("twice_area"),
-        F.min_by(F.struct("x1", "y1"), "seq").alias("head"),
-        F.max_by(F.struct("x2", "y2"), "seq").alias("tail"),
+        *g.at_first("seq", "head_", "x1", "y1"),
+        *g.at_last("seq", "tail_", "x2", "y2"),
         F.least(F.min("x1"), F.min("x2")).alias("min_x"),
         F.least(F.min("y1"), F.min("y2")).alias("min_y"),
         F.greatest(F.max("x1"), F.max("x2")).alias("max_x"),
         F.greatest(F.max("y1"), F.max("y2")).alias("max_y"),
         (F.count(F.lit(1)) + 1).alias("points"),
     )
-    closing = F.col("tail.x2") * F.col("head.y1") - F.col("head.x1") * F.col("tail.y2")
+    closing = F.col("tail_x2") * F.col("head_y1") - F.col("head_x1") * F.col("tail_y2")
     return sums.select(
         F.col("path_id").alias("id"),
         F.lit("path").alias("kind"),
@@ -141,15 +141,9 @@ def point_at(vertices: DataFrame, t: float) -> DataFrame:
         .filter(holds)
         .groupBy("path_id")  # rounding can leave two holders at a joint; the earlier one counts
         .agg(
-            F.min_by(
-                F.struct(
-                    g.mix("x1", "x2", F.coalesce(part, F.lit(0.0))).alias("x"),
-                    g.mix("y1", "y2", F.coalesce(part, F.lit(0.0))).alias("y"),
-                ),
-                "seq",
-            ).alias("p")
+            F.min_by(g.mix("x1", "x2", F.coalesce(part, F.lit(0.0))), "seq").alias("x"),
+            F.min_by(g.mix("y1", "y2", F.coalesce(part, F.lit(0.0))), "seq").alias("y"),
         )
-        .select("path_id", "p.x", "p.y")
     )
 
 
@@ -232,31 +226,31 @@ def extend_paths(vertices: DataFrame, distance: float, start: bool = True, end:
     """Add a point before the first and after the last vertex of every open path."""
     segs = path_to_segments(vertices)
     ends = segs.groupBy("path_id").agg(
-        F.min_by(F.struct("seq", "x1", "y1", "x2", "y2"), "seq").alias("h"),
-        F.max_by(F.struct("seq", "x1", "y1", "x2", "y2"), "seq").alias("t"),
+        *g.at_first("seq", "h_", "seq", "x1", "y1", "x2", "y2"),
+        *g.at_last("seq", "t_", "seq", "x1", "y1", "x2", "y2"),
         F.count(F.lit(1)).alias("n"),
     )
-    closed = (F.col("n") >= 3) & (F.col("h.x1") == F.col("t.x2")) & (F.col("h.y1") == F.col("t.y2"))
+    closed = (F.col("n") >= 3) & (F.col("h_x1") == F.col("t_x2")) & (F.col("h_y1") == F.col("t_y2"))
     ends = ends.filter(~closed)
 
     def outside(s: str, at: Column) -> list[Column]:
         return [
-            g.mix(f"{s}.x1", f"{s}.x2", at).alias("x"),
-            g.mix(f"{s}.y1", f"{s}.y2", at).alias("y"),
+            g.mix(f"{s}_x1", f"{s}_x2", at).alias("x"),
+            g.mix(f"{s}_y1", f"{s}_y2", at).alias("y"),
         ]
 
     def reach(s: str) -> Column:
-        span = g.length(f"{s}.x1", f"{s}.y1", f"{s}.x2", f"{s}.y2")
+        span = g.length(f"{s}_x1", f"{s}_y1", f"{s}_x2", f"{s}_y2")
         return F.coalesce(g.ratio(F.lit(float(distance)), span), F.lit(0.0))
 
     out = vertices.select("path_id", "seq", "x", "y")
     if start:
         out = out.unionByName(
-            ends.select("path_id", (F.col("h.seq") - 1).alias("seq"), *outside("h", -reach("h")))
+            ends.select("path_id", (F.col("h_seq") - 1).alias("seq"), *outside("h", -reach("h")))
         )
     if end:
         out = out.unionByName(
-            ends.select("path_id", (F.col("t.seq") + 2).alias("seq"), *outside("t", 1.0 + reach("t")))
+            ends.select("path_id", (F.col("t_seq") + 2).alias("seq"), *outside("t", 1.0 + reach("t")))
         )
     return out
 
@@ -278,12 +272,12 @@ def path_flags(vertices: DataFrame, tol: float = 0.0) -> DataFrame:
     """Point count, whether the ends meet, and whether the path bounds a region."""
     ends = vertices.groupBy("path_id").agg(
         F.count(F.lit(1)).alias("points"),
-        F.min_by(F.struct("x", "y"), "seq").alias("h"),
-        F.max_by(F.struct("x", "y"), "seq").alias("t"),
+        *g.at_first("seq", "h_", "x", "y"),
+        *g.at_last("seq", "t_", "x", "y"),
     )
     return ends.select(
         "path_id",
         "points",
-        ((F.col("points") >= 4) & (g.length("h.x", "h.y", "t.x", "t.y") <= tol)).alias("is_closed"),
+        ((F.col("points") >= 4) & (g.length("h_x", "h_y", "t_x", "t_y") <= tol)).alias("is_closed"),
         is_region(F.lit("path")).alias("is_region"),
     )

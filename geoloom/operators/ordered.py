@@ -47,7 +47,8 @@ def paired_crossings(hits: DataFrame, keys: list[str], chunk: Column, invert: bo
     Crossings are numbered by a scan in chunks along the line, so a line with very many
     crossings is not gathered in one task.
     """
-    ranked = ordered_scan(hits, keys, ["u", "edge"], chunk, index="rn", lead={"u_end": F.col("u")})
+    # crossings at the same place may go in any order: the pairs come out the same
+    ranked = ordered_scan(hits, keys, ["u"], chunk, index="rn", lead={"u_end": F.col("u")})
     odd = F.col("rn") % 2 == (0 if invert else 1)
     return ranked.filter(odd & F.col("u_end").isNotNull()).withColumn("n", F.floor((F.col("rn") + 1) / 2)).drop("rn")
 
@@ -59,7 +60,6 @@ def hatch_fill(
     angle_deg: float = 0.0,
     style: str = "raster",
     invert: bool = False,
-    edge_id: Column | None = None,
 ) -> DataFrame:
     """Inside parts of hatch lines over the closed contours of each group.
 
@@ -76,20 +76,19 @@ def hatch_fill(
         size.alias("size"),
         F.ceil(size / pitch).alias("lines"),
     )
-    tag = edge_id if edge_id is not None else F.xxhash64(*SEG)
-    based = edges.select(*groups, *SEG, tag.alias("edge")).join(ext, groups)
+    based = edges.select(*groups, *SEG).join(ext, groups)
 
     def one(degrees: float, second: bool) -> DataFrame:
         turn = affine.translate(-F.col("cx"), -F.col("cy")).then(affine.rotate(math.radians(-degrees)))
         u1, v1 = turn.apply("x1", "y1")
         u2, v2 = turn.apply("x2", "y2")
         rows = based.select(
-            *groups, "edge", "cx", "cy", "size", "lines",
+            *groups, "cx", "cy", "size", "lines",
             u1.alias("u1"), v1.alias("v1"), u2.alias("u2"), v2.alias("v2"),
         )
         v0 = -F.col("size") / 2
         hits = scan_crossings(rows, groups, v0, pitch, F.col("lines"))
-        hits = hits.select(*groups, "k", "u", "edge", "cx", "cy", "size", "lines")
+        hits = hits.select(*groups, "k", "u", "cx", "cy", "size", "lines")
         pairs = paired_crossings(hits, [*groups, "k"], F.floor(F.col("u") / F.col("size") * 64), invert)
         back = affine.rotate(math.radians(degrees)).then(affine.translate(F.col("cx"), F.col("cy")))
         v = v0 + F.col("k") * pitch
@@ -161,11 +160,11 @@ def merge_collinear(segments: DataFrame, groups: list[str], order: str, tol: flo
     return (
         filled.groupBy(*groups, "run")
         .agg(
-            F.min_by(F.struct("x1", "y1"), order).alias("p"),
-            F.max_by(F.struct("x2", "y2"), order).alias("q"),
+            *g.at_first(order, "", "x1", "y1"),
+            *g.at_last(order, "", "x2", "y2"),
             F.count(F.lit(1)).alias("merged"),
         )
-        .select(*groups, F.col("run").alias(order), "p.x1", "p.y1", "q.x2", "q.y2", "merged")
+        .withColumnRenamed("run", order)
     )
 
 
@@ -206,12 +205,11 @@ def simplify_contour(points: DataFrame, groups: list[str], order: str, tol_deg:
     folded = chunked_fold(pts, groups, order, item, start, step, rows=rows)
     kept = folded.select(*groups, F.explode("out").alias(order))
     ends = pts.groupBy(*groups).agg(
-        F.min(order).alias("lo"), F.max(order).alias("hi"), F.first("closed").alias("closed"),
-        F.min_by(F.struct("x", "y"), order).alias("head"),
+        F.min(order).alias("lo"), F.max(order).alias("hi"), F.max("closed").alias("closed"), *g.at_first(order, "", "x", "y"),
     )
     kept = kept.unionByName(ends.select(*groups, F.col("hi").alias(order))).distinct()
     out = kept.join(pts.drop("closed"), [*groups, order])
-    ring = ends.filter("closed AND hi > lo").select(*groups, (F.col("hi") + 1).alias(order), "head.x", "head.y")
+    ring = ends.filter("closed AND hi > lo").select(*groups, (F.col("hi") + 1).alias(order), "x", "y")
     return out.unionByName(ring)
 
 

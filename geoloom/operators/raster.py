@@ -56,10 +56,10 @@ def fill_runs(edges: DataFrame, shape: list[str]) -> DataFrame:
     between a pair of crossings.
     """
     rows = edges.select(
-        *shape, F.xxhash64(*SEG).alias("edge"),
+        *shape,
         F.col("x1").alias("u1"), F.col("y1").alias("v1"), F.col("x2").alias("u2"), F.col("y2").alias("v2"),
     )
-    hits = scan_crossings(rows, shape, F.lit(0.5), 1.0, F.lit(2**62).cast("bigint")).select(*shape, "k", "u", "edge")
+    hits = scan_crossings(rows, shape, F.lit(0.5), 1.0, F.lit(2**62).cast("bigint")).select(*shape, "k", "u")
     pairs = paired_crossings(hits, [*shape, "k"], F.floor(F.col("u") / 4096))
     first, last = F.ceil(F.col("u") - 0.5), F.ceil(F.col("u_end") - 0.5) - 1
     return pairs.select(*shape, F.col("k").alias("row"), first.alias("first"), last.alias("last")).filter("first <= last")

@@ -104,6 +104,7 @@ def line_query(lines: DataFrame, segments: DataFrame, cell: float | None = None)
         _prefixed(lines.select("line_id", *SEG), "a_"), _prefixed(segments.select("id", *SEG), "b_"), cell=cell
     )
     hits = found.select(F.col("a_line_id").alias("line_id"), F.col("b_id").alias("id"), "t", "x", "y")
+    hits = materialize(hits, "hits")  # the join runs once; ranking reads its result twice
     return ordered_scan(hits, ["line_id"], ["t", "id"], F.floor(F.col("t") * 1024), index="hit")
 
 
@@ -312,13 +313,17 @@ def containment_tree(boxes: DataFrame) -> DataFrame:
         boxes.select("id", *BOX, area.alias("area")), list(BOX), ["id"], chunk_of("id"),
         index="copy", lag={"twin": F.col("id")},
     )
-    unique = ranked.groupBy(*BOX).agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+    ranked = materialize(ranked, "boxes")
+    unique = materialize(
+        ranked.groupBy(*BOX).agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")), "boxes"
+    )
     weight = unique.select(F.col("id").alias("outer"), "last", "n", area.alias("outer_area"))
     found = box_contains(unique).join(weight, "outer")
     # innermost copy of the smallest container; of equal areas the later id is nested deeper
-    nearest = found.groupBy(F.col("inner").alias("lead")).agg(
-        F.max_by("last", F.struct(-F.col("outer_area"), F.col("outer"))).alias("around"),
-        F.sum("n").alias("above"),
+    found = materialize(found.select(F.col("inner").alias("lead"), "outer", "last", "n", "outer_area"), "inside")
+    least = found.groupBy("lead").agg(F.min("outer_area").alias("outer_area"), F.sum("n").alias("above"))
+    nearest = found.join(least, ["lead", "outer_area"]).groupBy("lead").agg(
+        F.max_by("last", "outer").alias("around"), F.max("above").alias("above")
     )
     rows = ranked.join(unique.select(*BOX, F.col("id").alias("lead")), list(BOX)).join(nearest, "lead", "left")
     depth = F.coalesce("above", F.lit(0).cast("bigint")) + F.col("copy") - 1
@@ -427,6 +432,7 @@ def _pieces(base: DataFrame, cuts: DataFrame, keys: list[str], tol: float) -> Da
     marks = cuts.filter((F.col("t") > tol) & (F.col("t") < 1 - tol)).select(*keys, "t")
     marks = marks.unionByName(base.select(*keys, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t")))
     marks = marks.groupBy(*keys, F.floor(F.col("t") / 1e-9 + 0.5).alias("mark")).agg(F.min("t").alias("t"))
+    marks = materialize(marks, "marks")
     runs = ordered_scan(marks, keys, ["mark"], F.floor(F.col("mark") / 1e7), lead={"t1": F.col("t")})
     ends = {
         "x1": g.mix("x1", "x2", "t"), "y1": g.mix("y1", "y2", "t"),

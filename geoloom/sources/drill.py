@@ -96,7 +96,8 @@ def drill_commands(lines: DataFrame, tools: DataFrame | None = None) -> DataFram
         fill={
             "x": F.when(moves, number(t, X_VALUE)),
             "y": F.when(moves, number(t, Y_VALUE)),
-            "tool": F.when(F.col("known"), F.col("pick")),
+            # a fixed-width code keeps the chunk totals in the hash aggregate; the 1 keeps leading zeros
+            "tool": F.when(F.col("known"), F.concat(F.lit("1"), F.substring("pick", 2, 17)).cast("bigint")),
             "routing": F.when(route, True).when(t.rlike(DRILL_ON), False),
             "block": F.when(begin, F.col("line_no")).when(t.rlike(REPEATS_DONE), F.lit(None)),
             "done": F.when(t.rlike(REPEATS_DONE), F.col("line_no")),
@@ -108,7 +109,7 @@ def drill_commands(lines: DataFrame, tools: DataFrame | None = None) -> DataFram
         "file", "line_no", "text",
         F.coalesce("x", F.lit(0.0)).alias("x"),
         F.coalesce("y", F.lit(0.0)).alias("y"),
-        F.coalesce("tool", F.lit("0")).alias("tool"),
+        F.coalesce(F.concat(F.lit("T"), F.substring(F.col("tool").cast("string"), 2, 17)), F.lit("0")).alias("tool"),
         F.coalesce("routing", F.lit(False)).alias("routing"),
         open_block.alias("block"),
         F.coalesce("tracking", F.lit(False)).alias("tracking"),
@@ -121,7 +122,10 @@ def drill_hits(lines: DataFrame, tools: DataFrame | None = None, scales: DataFra
     Hits of a step-and-repeat pattern come again at each cumulative offset (copy 1, 2, ..). With
     ``scales`` (file, scale) coordinates are in the file's unit.
     """
-    # the state of hits and repeats is read several times below: write it once
+    # Written tables: the optimizer knows their size, so it broadcasts tools and scales only while
+    # they are small; and the state of hits and repeats, read several times below, is made once.
+    tools = materialize(tools, "tools") if tools is not None else None
+    scales = materialize(scales.select("file", "scale"), "scales") if scales is not None else None
     state = drill_commands(lines, tools)
     state = materialize(state.filter(F.col("text").rlike(HIT) | F.col("text").rlike(REPEAT)), "drill")
     hits = state.filter(F.col("text").rlike(HIT) & ~F.col("routing"))
@@ -144,7 +148,7 @@ def drill_hits(lines: DataFrame, tools: DataFrame | None = None, scales: DataFra
     else:
         out = out.withColumn("diameter", F.lit(None).cast("double"))
     if scales is not None:
-        out = out.join(scales.select("file", "scale"), "file", "left")
+        out = out.join(scales, "file", "left")
         s = F.coalesce(F.col("scale"), F.lit(1.0))
         out = out.withColumns({"x": F.col("x") * s, "y": F.col("y") * s})
     return out.select(

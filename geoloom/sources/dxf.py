@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.plans.scan import chunk_of, ordered_scan
+from geoloom.plans.scratch import materialize
+from geoloom.sources.lines import match_line_sequence
 
 # Values fixed by the file format.
 SUPPORTED_VERSIONS = ["AC1015", "AC1018", "AC1021", "AC1024"]
@@ -158,15 +160,11 @@ def dxf_layers(lines: DataFrame) -> DataFrame:
 
 def dxf_version(lines: DataFrame) -> DataFrame:
     """Header version per drawing and whether it is supported."""
-    marks = lines.select("file", "line_no", F.trim("text").alias("text"))
-    rows = ordered_scan(
-        marks, ["file"], ["line_no"], chunk_of("line_no"),
-        lead={"after": F.col("text")}, lag={"before": F.col("text")},
-    )
-    # the version stands two lines below its marker, under one more group code
-    head = rows.filter((F.col("text") == "$ACADVER") & (F.col("before") == "9"))
-    at = head.groupBy("file").agg((F.min("line_no") + 2).alias("line_no"))
-    found = marks.join(at, ["file", "line_no"], "left_semi").select("file", F.col("text").alias("version"))
+    # The version stands three lines below its group code, two below its marker. The few marked
+    # places are written, so the optimizer knows the table is small and no line is shuffled.
+    at = match_line_sequence(lines, r"^\s*9\s*$", r"^\s*\$ACADVER\s*$").groupBy("file")
+    at = materialize(at.agg((F.min("line_no") + 3).alias("line_no")), "versions")
+    found = lines.join(at, ["file", "line_no"], "left_semi").select("file", F.trim("text").alias("version"))
     return found.withColumn("supported", F.col("version").isin(SUPPORTED_VERSIONS))
 
 

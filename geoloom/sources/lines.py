@@ -33,9 +33,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def match_line_sequence(lines: DataFrame, first: str, second: str) -> DataFrame:
     """Places where a line matching ``first`` is directly followed by one matching ``second``."""
-    rows = ordered_scan(lines, ["file"], ["line_no"], chunk_of("line_no"), lead={"next_text": F.col("text")})
-    return rows.filter(F.col("text").rlike(first) & F.col("next_text").rlike(second)).select(
-        "file", "line_no", "text", "next_text"
+    # only lines that match either pattern are shuffled; neighbours differ by one line number
+    marks = lines.filter(F.col("text").rlike(first) | F.col("text").rlike(second))
+    rows = ordered_scan(
+        marks, ["file"], ["line_no"], chunk_of("line_no"), lead={"next": F.struct("line_no", F.col("text").alias("next_text"))}
+    )
+    follows = F.col("next.line_no") == F.col("line_no") + 1
+    return rows.filter(F.col("text").rlike(first) & follows & F.col("next.next_text").rlike(second)).select(
+        "file", "line_no", "text", "next.next_text"
     )
 
 
