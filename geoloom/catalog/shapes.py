@@ -239,6 +239,36 @@ def _(fx):
     return rounded(out)
 
 
+@query(
+    "tessellate_spline", "vertex",
+    sql="""WITH RECURSIVE c AS (SELECT path_id * 100000 + seq // 12 AS id, row_number() OVER w - 1 AS j, x, y, count(*) OVER (PARTITION BY path_id, seq // 12) AS n
+             FROM fx_vertex WINDOW w AS (PARTITION BY path_id, seq // 12 ORDER BY seq)),
+    h AS (SELECT id, n, least(3, n - 1) AS p FROM c WHERE j = 0 AND n > 1),
+    s AS (SELECT id, n, p, i, (n - p) * i / (3.0 * n - 1) AS u FROM h JOIN range(40) AS r(i) ON i < 3 * n - 1),
+    b AS (SELECT id, i, u, n, p, 0 AS d, j, CASE WHEN greatest(0, least(j - p, n - p)) <= u AND u < greatest(0, least(j + 1 - p, n - p)) THEN 1.0::DOUBLE ELSE 0.0 END AS v
+          FROM s JOIN range(20) AS r(j) ON j < n + p
+          UNION ALL
+          SELECT id, i, u, n, p, d + 1, j, coalesce((u - t0) / nullif(t1 - t0, 0) * v, 0) + coalesce((t3 - u) / nullif(t3 - t2, 0) * nv, 0)
+          FROM (SELECT *, lead(v) OVER (PARTITION BY id, i ORDER BY j) AS nv, greatest(0, least(j - p, n - p)) AS t0, greatest(0, least(j + d + 1 - p, n - p)) AS t1,
+                       greatest(0, least(j + 1 - p, n - p)) AS t2, greatest(0, least(j + d + 2 - p, n - p)) AS t3 FROM b WHERE d < p) q WHERE nv IS NOT NULL),
+    pt AS (SELECT b.id, b.i, sum(v * x) / sum(v) AS x, sum(v * y) / sum(v) AS y FROM b JOIN c ON c.id = b.id AND c.j = b.j WHERE d = p GROUP BY 1, 2
+           UNION ALL SELECT c.id, 3 * c.n - 1, x, y FROM c WHERE j = c.n - 1 AND c.n > 1)
+    SELECT id, i, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM pt""",
+)
+def _(fx):
+    # one spline per twelve successive vertices of a path, so its arrays stay short; clamped uniform knots
+    pts = fx.vertex.groupBy((F.col("path_id") * 100000 + F.floor(F.col("seq") / 12)).alias("id")).agg(
+        F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("ctrl")
+    )
+    n = F.size("ctrl")
+    pts = pts.filter(n > 1).withColumn("degree", F.least(F.lit(3), n - 1))
+    span = n - F.col("degree")
+    knots = F.transform(
+        F.sequence(F.lit(0), n + F.col("degree")), lambda j: F.greatest(F.lit(0), F.least(j - F.col("degree"), span)).cast("double")
+    )
+    return rounded(gen.tessellate_spline(pts.withColumn("knots", knots)))
+
+
 @query(
     "arcs_normalise", "segment", "curve",
     sql="""

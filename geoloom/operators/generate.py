@@ -67,29 +67,32 @@ def tessellate_bezier(curves: DataFrame, degree: int = 3, points: int = 8) -> Da
     )
 
 
-def _basis(knots: Column, controls: Column, degree: Column, max_degree: int, u: Column) -> Column:
-    """B-spline basis values at ``u``, one per control point, raised one degree at a time."""
+def _with_basis(rows: DataFrame, max_degree: int) -> DataFrame:
+    """Add ``n``: B-spline basis values at ``u``, one per control point.
+
+    Each degree is a column of its own built from the one before, so no level is worked out twice.
+    """
+    knots, u = F.col("knots"), F.col("u")
 
     def term(top: Column, bottom: Column, value: Column) -> Column:
         return F.when(bottom != 0.0, top / bottom * value).otherwise(F.lit(0.0))
 
-    spans = F.sequence(F.lit(0), F.size(knots) - 2)
-    level = F.transform(
-        spans, lambda i: F.when((F.get(knots, i) <= u) & (u < F.get(knots, i + 1)), 1.0).otherwise(0.0)
-    )
-    for p in range(1, max_degree + 1):
-        prior = level
+    def inside(i: Column) -> Column:
+        return F.when((F.get(knots, i) <= u) & (u < F.get(knots, i + 1)), 1.0).otherwise(0.0)
 
-        def raised(i: Column, p: int = p, prior: Column = prior) -> Column:
-            left = term(u - F.get(knots, i), F.get(knots, i + p) - F.get(knots, i), F.get(prior, i))
-            right = term(
-                F.get(knots, i + p + 1) - u, F.get(knots, i + p + 1) - F.get(knots, i + 1), F.get(prior, i + 1)
-            )
+    def raised(p: int):
+        def value(i: Column) -> Column:
+            left = term(u - F.get(knots, i), F.get(knots, i + p) - F.get(knots, i), F.get("n", i))
+            right = term(F.get(knots, i + p + 1) - u, F.get(knots, i + p + 1) - F.get(knots, i + 1), F.get("n", i + 1))
             return left + right
 
-        up = F.transform(F.sequence(F.lit(0), F.size(knots) - 2 - p), raised)
-        level = F.when(degree >= p, up).otherwise(prior)
-    return F.slice(level, 1, F.size(controls))
+        return value
+
+    rows = rows.withColumn("n", F.transform(F.sequence(F.lit(0), F.size(knots) - 2), inside))
+    for p in range(1, max_degree + 1):
+        up = F.transform(F.sequence(F.lit(0), F.size(knots) - 2 - p), raised(p))
+        rows = rows.withColumn("n", F.when(F.col("degree") >= p, up).otherwise(F.col("n")))
+    return rows.withColumn("n", F.slice("n", 1, F.size("ctrl")))
 
 
 def tessellate_spline(
@@ -106,7 +109,7 @@ def tessellate_spline(
     if closed and periodic:
         lo, hi = F.get(knots, F.col("degree")), F.get(knots, F.size(knots) - F.col("degree") - 1)
     rows = splines.withColumn("i", steps(inner - 1)).withColumn("u", lo + (hi - lo) / inner * F.col("i"))
-    rows = rows.withColumn("n", _basis(knots, F.col("ctrl"), F.col("degree"), max_degree, F.col("u")))
+    rows = _with_basis(rows, max_degree)
 
     def weighted(axis: str) -> Column:
         pairs = F.zip_with("n", F.transform("ctrl", lambda p: p[axis]), lambda w, v: w * v)
