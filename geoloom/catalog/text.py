@@ -117,7 +117,8 @@ _HITS = """
 
 def _program_hits(fx):
     program = fx.drill_program
-    return drill.drill_hits(program, drill.drill_tools(program), drill.drill_header(program))
+    header, tools = drill.drill_facts(program)
+    return drill.drill_hits(program, tools, header)
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import geometry as g
 from geoloom.operators.generate import box_edges, grid_shape, tile_grid
 from geoloom.plans.cells import Box, Line, cell_join, point_box
-from geoloom.plans.scan import chunk_of, ordered_scan
+from geoloom.plans.scan import chunk_of, ordered_scan, written_scan
 from geoloom.plans.scratch import materialize
 
 SEG = ("x1", "y1", "x2", "y2")
@@ -97,15 +97,14 @@ def segment_intersections(a: DataFrame, b: DataFrame | None = None, *, cell: flo
 def line_query(lines: DataFrame, segments: DataFrame, cell: float | None = None) -> DataFrame:
     """Crossings of query lines with a large segment set, numbered along each line.
 
-    The number is the count of hits nearer the line's start, found per hit order key; lines
-    with very many hits are ranked in chunks of their length.
+    Lines with very many hits are ranked in stretches of their length.
     """
     found = crossings(
         _prefixed(lines.select("line_id", *SEG), "a_"), _prefixed(segments.select("id", *SEG), "b_"), cell=cell
     )
     hits = found.select(F.col("a_line_id").alias("line_id"), F.col("b_id").alias("id"), "t", "x", "y")
     hits = materialize(hits, "hits")  # the join runs once; ranking reads its result twice
-    return ordered_scan(hits, ["line_id"], ["t", "id"], F.floor(F.col("t") * 1024), index="hit")
+    return written_scan(hits, ["line_id"], ["t", "id"], F.col("t"), index="hit")
 
 
 # ---- points -----------------------------------------------------------------------------
@@ -426,14 +425,14 @@ def boundary_cuts(edges: DataFrame, cutters: DataFrame | None = None) -> DataFra
 def _pieces(base: DataFrame, cuts: DataFrame, keys: list[str], tol: float) -> DataFrame:
     """Stretches between successive cut marks of every row of ``base`` (keys, ends).
 
-    The marks are put in order by a scan in chunks of the edge, so an edge with very many cuts
-    is not gathered in one task. Equal marks combine before the shuffle.
+    Marks are put in order per edge; an edge with very many cuts is cut into stretches, so it is
+    not gathered in one task. Equal marks combine before the shuffle.
     """
     marks = cuts.filter((F.col("t") > tol) & (F.col("t") < 1 - tol)).select(*keys, "t")
     marks = marks.unionByName(base.select(*keys, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t")))
     marks = marks.groupBy(*keys, F.floor(F.col("t") / 1e-9 + 0.5).alias("mark")).agg(F.min("t").alias("t"))
     marks = materialize(marks, "marks")
-    runs = ordered_scan(marks, keys, ["mark"], F.floor(F.col("mark") / 1e7), lead={"t1": F.col("t")})
+    runs = written_scan(marks, keys, ["mark"], F.col("mark") / 1e9, lead={"t1": F.col("t")})
     ends = {
         "x1": g.mix("x1", "x2", "t"), "y1": g.mix("y1", "y2", "t"),
         "x2": g.mix("x1", "x2", "t1"), "y2": g.mix("y1", "y2", "t1"),

@@ -95,6 +95,25 @@ def ordered_scan(
     return joined.select(*kept, *[c.alias(n) for n, c in result.items()])
 
 
+def written_scan(
+    df: DataFrame, keys: list[str], order: list[str], place: Column, *, lead: dict[str, Column] | None = None, index: str | None = None
+) -> DataFrame:
+    """An ordered scan over a written table whose groups are usually small.
+
+    The largest group is counted first. While it fits one chunk, a plain window is a bounded one;
+    otherwise each group is cut along ``place``, a position from 0 to 1 that grows with ``order``.
+    """
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= CHUNK_ROWS:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        added = {name: F.lead(c).over(w) for name, c in (lead or {}).items()}
+        if index:
+            added[index] = F.row_number().over(w).cast("bigint")
+        return df.withColumns(added)
+    parts = -(-largest // CHUNK_ROWS) * 4
+    return ordered_scan(df, keys, order, F.floor(place * parts), lead=lead, index=index)
+
+
 class _Totals:
     """The per-chunk aggregates. A struct is taken apart into its fields and put together after,
     so that the aggregation buffers stay of fixed width and the hash aggregate can be used."""

@@ -33,37 +33,58 @@ def _text(pattern: str, group: int = 1):
     return F.when(found != "", found)
 
 
-def _header_lines(lines: DataFrame) -> DataFrame:
-    """Lines before the first hit or the end-of-header mark; only header-like lines are joined."""
-    ends = lines.filter(F.col("text").rlike(HIT) | F.col("text").rlike(END_OF_HEADER))
-    ends = ends.groupBy("file").agg(F.min("line_no").alias("end"))
+def _marks(lines: DataFrame) -> DataFrame:
+    """First hit, end-of-file and end-of-header line of each file; line numbers only, written once."""
+    t, no = F.col("text"), F.col("line_no")
+    hit, stop = t.rlike(HIT), t.rlike(END_OF_FILE)
+    found = lines.filter(hit | stop | t.rlike(END_OF_HEADER)).groupBy("file").agg(
+        F.min(F.when(hit, no)).alias("hit"), F.min(F.when(stop, no)).alias("stop"), F.min(F.when(~stop, no)).alias("end")
+    )
+    return materialize(found, "marks")
+
+
+def _header_lines(lines: DataFrame, marks: DataFrame) -> DataFrame:
+    """Header-like lines before the first hit or the end-of-header mark, written once."""
     head = lines.filter(F.col("text").rlike(r"^\s*(INCH|METRIC|VER,|FMAT,|T\d+C)"))
-    return head.join(ends, "file", "left").filter("end IS NULL OR line_no < end").drop("end")
+    head = head.join(marks.select("file", "end"), "file", "left").filter("end IS NULL OR line_no < end")
+    return materialize(head.drop("end"), "header")
+
+
+def _tools(head: DataFrame) -> DataFrame:
+    return (
+        head.filter(F.col("text").rlike(TOOL_DEFINITION))
+        .groupBy("file", _text(TOOL_DEFINITION).alias("tool"))
+        .agg(F.max_by(number(F.col("text"), TOOL_DEFINITION, 2), "line_no").alias("diameter"))
+    )
 
 
 def drill_tools(lines: DataFrame) -> DataFrame:
     """(file, tool, diameter) from the header; the last definition of a tool counts."""
-    rows = _header_lines(lines).filter(F.col("text").rlike(TOOL_DEFINITION))
-    return rows.groupBy("file", _text(TOOL_DEFINITION).alias("tool")).agg(
-        F.max_by(number(F.col("text"), TOOL_DEFINITION, 2), "line_no").alias("diameter")
-    )
+    return _tools(_header_lines(lines, _marks(lines)))
 
 
 def drill_header(lines: DataFrame) -> DataFrame:
     """Units, zero suppression, version, format, tool map and unit scale of every file."""
-    head = _header_lines(lines)
+    return drill_facts(lines)[0]
+
+
+def drill_facts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Header rows and tool rows of every file, from two passes over the lines."""
+    marks = _marks(lines)
+    head = _header_lines(lines, marks)
     facts = head.groupBy("file").agg(
         F.max_by(_text(UNITS), F.when(F.col("text").rlike(UNITS), F.col("line_no"))).alias("units"),
         F.max(F.when(F.col("text").rlike(UNITS), _text(r"(TZ|LZ)\s*$"))).alias("zeros"),
         F.max(number(F.col("text"), r"^\s*VER,\s*(\d+)")).cast("int").alias("version"),
         F.max(number(F.col("text"), r"^\s*FMAT,\s*(\d+)")).cast("int").alias("format"),
     )
-    tools = drill_tools(lines).groupBy("file").agg(
+    tools = _tools(head)
+    maps = tools.groupBy("file").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "diameter")))).alias("tools")
     )
-    hit = F.col("text").rlike(HIT)
-    stop = F.col("text").rlike(END_OF_FILE)
-    first = lines.filter(hit | stop).groupBy("file").agg(F.min_by(F.when(hit, F.col("text")), "line_no").alias("hit"))
+    # the text of each file's first hit: one known place per file, met while scanning
+    at = marks.filter("stop IS NULL OR hit < stop").select("file", F.col("hit").alias("line_no"))
+    first = lines.join(at, ["file", "line_no"]).select("file", F.col("text").alias("hit"))
     digits = F.length(F.regexp_replace(F.regexp_extract("hit", "[XY]" + NUMBER, 1), "-", ""))
     scale = (
         F.when(F.col("hit").isNull(), 1.0)
@@ -71,7 +92,8 @@ def drill_header(lines: DataFrame) -> DataFrame:
         .when(digits <= 5, 1.0 / 100)
         .otherwise(1.0 / 1000)
     )
-    return facts.join(tools, "file", "left").join(first, "file", "left").withColumn("scale", scale).drop("hit")
+    header = facts.join(maps, "file", "left").join(first, "file", "left").withColumn("scale", scale).drop("hit")
+    return materialize(header, "headers"), tools
 
 
 def drill_commands(lines: DataFrame, tools: DataFrame | None = None) -> DataFrame:

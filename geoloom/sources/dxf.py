@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.plans.scan import chunk_of, ordered_scan
@@ -18,14 +18,17 @@ PAIR_CHUNK = 32768
 
 
 def dxf_pairs(lines: DataFrame) -> DataFrame:
-    """(file, pair, code, value): an even line holds the code, the odd line after it the value."""
-    odd = F.pmod(F.col("line_no"), F.lit(2)) == 1
-    text = F.trim("text")
-    return (
-        lines.groupBy("file", F.floor(F.col("line_no") / 2).alias("pair"))
-        .agg(F.max(F.when(~odd, text)).alias("code"), F.max(F.when(odd, text)).alias("value"))
-        .filter("code IS NOT NULL AND value IS NOT NULL")
-    )
+    """(file, chunk, pair, code, value): an even line holds the code, the odd line after it the value.
+
+    A pair never crosses a chunk border, so the value is looked up inside the chunk; the chunk
+    stays with the rows, and later scans find them partitioned by it.
+    """
+    pair = F.floor(F.col("line_no") / 2)
+    rows = lines.select("file", "line_no", F.trim("text").alias("code")).withColumn("chunk", chunk_of(pair, PAIR_CHUNK))
+    after = Window.partitionBy("file", "chunk").orderBy("line_no")
+    rows = rows.withColumns({"pair": pair, "value": F.lead("code").over(after), "__next": F.lead("line_no").over(after)})
+    whole = (F.pmod(F.col("line_no"), F.lit(2)) == 0) & (F.col("__next") == F.col("line_no") + 1)
+    return rows.filter(whole).select("file", "chunk", "pair", "code", "value")
 
 
 def dxf_items(lines: DataFrame) -> DataFrame:
@@ -35,7 +38,7 @@ def dxf_items(lines: DataFrame) -> DataFrame:
     chunks of the file, so one huge drawing is not gathered in one task.
     """
     opens = F.when(F.col("code") == "0", F.struct(F.col("pair").alias("entity"), F.col("value").alias("kind")))
-    rows = ordered_scan(dxf_pairs(lines), ["file"], ["pair"], chunk_of("pair", PAIR_CHUNK), fill={"open": opens})
+    rows = ordered_scan(dxf_pairs(lines), ["file"], ["pair"], "chunk", fill={"open": opens})
     return rows.filter(F.col("open.kind").isin(KINDS)).select(
         "file", "open.entity", "open.kind", "pair", "code", "value"
     )
@@ -46,23 +49,27 @@ def _only(code: str) -> Column:
 
 
 def _real(code: str) -> Column:
-    return F.max(_only(code)).cast("double")
+    return F.max(_only(code).cast("double"))
 
 
 def dxf_entities(lines: DataFrame, layers: list[str] | None = None) -> DataFrame:
     """POINT, LINE, CIRCLE and ARC rows: (file, entity, kind, layer, coordinates, radius, angles).
 
     x1, y1, z1 is the point, start or centre; angles come in degrees and leave in radians. Values
-    of an entity combine before the shuffle.
+    of an entity combine before the shuffle. Only the number of the opening pair is carried along;
+    the kind is one more value of the entity.
     """
-    rows = dxf_items(lines).filter(F.col("kind").isin(SINGLE_KINDS)).groupBy("file", "entity", "kind").agg(
+    opens = F.when(F.col("code") == "0", F.col("pair"))
+    rows = ordered_scan(dxf_pairs(lines), ["file"], ["pair"], "chunk", fill={"entity": opens})
+    rows = rows.filter("entity IS NOT NULL").groupBy("file", "entity").agg(
+        F.max(_only("0")).alias("kind"),
         F.max(_only("8")).alias("layer"),
         *[_real(c).alias(n) for c, n in (("10", "x1"), ("20", "y1"), ("30", "z1"), ("11", "x2"), ("21", "y2"), ("31", "z2"))],
         _real("40").alias("r"),
         F.radians(_real("50")).alias("a0"),
         F.radians(_real("51")).alias("a1"),
     )
-    rows = rows.withColumn("layer", F.coalesce("layer", F.lit("0")))
+    rows = rows.filter(F.col("kind").isin(SINGLE_KINDS)).withColumn("layer", F.coalesce("layer", F.lit("0")))
     return rows.filter(F.col("layer").isin(layers)) if layers else rows
 
 
@@ -151,7 +158,7 @@ def dxf_polylines(vertices: DataFrame, groups: list[str]) -> DataFrame:
 
 def dxf_layers(lines: DataFrame) -> DataFrame:
     """Distinct layer names per drawing: the code-8 value that follows an entity marker."""
-    pairs = dxf_pairs(lines).filter(
+    pairs = dxf_pairs(lines).drop("chunk").filter(
         (F.col("code") == "8") | ((F.col("code") == "100") & (F.col("value") == "AcDbEntity"))
     )
     rows = ordered_scan(pairs, ["file"], ["pair"], chunk_of("pair", PAIR_CHUNK), lag={"last_code": F.col("code")})
