@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folder: dict[str, str] = {}
+_own_folder: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -21,8 +21,8 @@ def scratch_root(spark: SparkSession) -> str:
     if shared:
         return f"{shared.rstrip('/')}/geoloom-{app}"
     if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="geoloom-")
-    return _own_folder[app]
+        _own_folder[app] = tempfile.TemporaryDirectory(prefix="geoloom-", ignore_cleanup_errors=True)
+    return _own_folder[app].name
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
