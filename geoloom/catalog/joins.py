@@ -253,10 +253,20 @@ _BOOL = _RINGS + """,
 
 def _boolean(mode):
     def run(fx):
-        return rounded(sp.polygon_boolean(box_edges(fx.box), mode))
+        return rounded(sp.polygon_boolean(box_edges(fx.box), mode).drop("mode"))
 
     return run
 
 
 for _mode, _rule in (("union", "false"), ("intersection", "true"), ("subtraction", "(side = 'b')")):
     query(f"polygon_{_mode}", "box", sql=_BOOL.format(rule=_rule))(_boolean(_mode))
+
+
+@query(
+    "polygon_boolean", "box",
+    sql=_BOOL.format(rule="inside").replace("SELECT CASE side WHEN 'a' THEN id ELSE other END AS poly_a", "SELECT mode, CASE side WHEN 'a' THEN id ELSE other END AS poly_a")
+    .replace("FROM ins WHERE inside = inside", """FROM ins JOIN (VALUES ('union', false, false), ('intersection', true, true), ('subtraction', false, true)) AS z(mode, ra, rb)
+             ON inside = CASE side WHEN 'a' THEN ra ELSE rb END"""),
+)
+def _(fx):
+    return rounded(sp.polygon_boolean(box_edges(fx.box), "union", "intersection", "subtraction"))

@@ -445,8 +445,8 @@ def split_at_intersections(edges: DataFrame, cutters: DataFrame | None = None, t
     return _pieces(edges.select("id", "seq", *SEG), boundary_cuts(edges, cutters), ["id", "seq"], tol)
 
 
-def polygon_boolean(edges: DataFrame, mode: str, pairs: DataFrame | None = None, tol: float = 1e-9) -> DataFrame:
-    """Boundary pieces of the union, intersection or difference of polygon pairs.
+def polygon_boolean(edges: DataFrame, *modes: str, pairs: DataFrame | None = None, tol: float = 1e-9) -> DataFrame:
+    """Boundary pieces of the union, intersection or subtraction of polygon pairs, per mode asked for.
 
     ``pairs`` (id, other) names the pairs; without it every two polygons whose boundaries meet
     are taken, lower id first. Both polygons are cut at their crossings with the partner, and a
@@ -454,8 +454,8 @@ def polygon_boolean(edges: DataFrame, mode: str, pairs: DataFrame | None = None,
     the pair the piece comes from.
     """
     rules = {"union": (False, False), "intersection": (True, True), "subtraction": (False, True)}
-    if mode not in rules:
-        raise ValueError(f"unknown mode {mode!r}")
+    if not modes or set(modes) - set(rules):
+        raise ValueError(f"modes are {sorted(rules)}, not {modes!r}")
     cuts = materialize(boundary_cuts(edges), "cuts")
     if pairs is None:
         pairs = cuts.filter("id < other").select("id", "other").distinct()
@@ -472,19 +472,19 @@ def polygon_boolean(edges: DataFrame, mode: str, pairs: DataFrame | None = None,
     )
     mids = materialize(mids, "pieces")
     name = ["id", "seq", "poly", "side", "t"]
-    inner = _parity(mids, edges.select(F.col("id").alias("poly"), *SEG), name)
-    for_a, for_b = rules[mode]
+    inner = _parity(mids, edges.select(F.col("id").alias("poly"), *SEG), name).withColumn("inside", F.lit(True))
+    inside = F.coalesce("inside", F.lit(False))
 
-    def chosen(inside: bool) -> Column:
-        return F.lit(inside == for_a) & (F.col("side") == "a") | F.lit(inside == for_b) & (F.col("side") == "b")
+    def kept_in(mode: str) -> Column:
+        for_a, for_b = rules[mode]
+        return F.when(inside == F.when(F.col("side") == "a", for_a).otherwise(for_b), mode)
 
-    kept = mids.filter(chosen(True)).join(inner, name, "left_semi")
-    kept = kept.unionByName(mids.filter(chosen(False)).join(inner, name, "left_anti"))
+    kept = mids.join(inner, name, "left").withColumn("mode", F.explode(F.array_compact(F.array(*[kept_in(m) for m in modes]))))
     first = F.col("side") == "a"
     return kept.select(
         F.when(first, F.col("id")).otherwise(F.col("poly")).alias("poly_a"),
         F.when(first, F.col("poly")).otherwise(F.col("id")).alias("poly_b"),
-        "side", "seq", *SEG,
+        "mode", "side", "seq", *SEG,
     )
 
 
