@@ -30,14 +30,8 @@ def query(name: str, *views: str, sql: str | None = None):
 
 
 def load() -> dict[str, Entry]:
-    from geoloom.catalog import shapes  # noqa: F401
-
-    for module in ("joins", "ordered", "graphs", "layout", "text", "raster"):
-        try:
-            __import__(f"geoloom.catalog.{module}")
-        except ModuleNotFoundError as err:
-            if f"geoloom.catalog.{module}" not in str(err):
-                raise
+    from geoloom.catalog import graphs, joins, layout, ordered, raster, shapes, text  # noqa: F401
+
     return ENTRIES
 
 

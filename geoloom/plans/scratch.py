@@ -1,28 +1,20 @@
 """Written tables that cut lineage, kept in the folder the cluster names.
 
-``spark.checkpoint.dir`` is read from the session. Only when it is unset, as in
-tests on one machine, a temporary folder stands in for it.
+``spark.checkpoint.dir`` is read from the session. Where it is unset the tables go below
+``spark.sql.warehouse.dir``, which every executor sees too; never to a folder of one machine.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folder: dict[str, tempfile.TemporaryDirectory] = {}
-
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables of this application."""
-    app = spark.sparkContext.applicationId
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/geoloom-{app}"
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.TemporaryDirectory(prefix="geoloom-", ignore_cleanup_errors=True)
-    return _own_folder[app].name
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{shared.rstrip('/')}/geoloom-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -37,7 +29,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path  # remembered for discard()
     return out

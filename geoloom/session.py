@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
+_folders: list[tempfile.TemporaryDirectory] = []  # removed when the process ends
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -14,7 +18,8 @@ SETTINGS = {
 
 
 def local_session(cores: str = "8", app: str = "geoloom", **extra: str) -> SparkSession:
-    """A local session for tests and benchmarks."""
+    """A local session for tests and benchmarks, with a scratch folder of its own."""
+    _folders.append(tempfile.TemporaryDirectory(prefix="geoloom-", ignore_cleanup_errors=True))
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     settings = {
         **SETTINGS,
@@ -22,6 +27,7 @@ def local_session(cores: str = "8", app: str = "geoloom", **extra: str) -> Spark
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "12g",
+        "spark.checkpoint.dir": _folders[-1].name,
         **extra,
     }
     for key, value in settings.items():
