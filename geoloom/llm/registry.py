@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from geoloom.llm import decontaminate
+from geoloom.llm import decontaminate, simhash
 
 
 def load() -> dict:
     return {
         "op6_decontaminate": (decontaminate.report, decontaminate.SQL),
+        "op8_simhash": (simhash.report, None),
     }
