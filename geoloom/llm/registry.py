@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from geoloom.llm import decontaminate, simhash
+from geoloom.llm import decontaminate, simhash, suffixdedup
 
 
 def load() -> dict:
     return {
         "op6_decontaminate": (decontaminate.report, decontaminate.SQL),
         "op8_simhash": (simhash.report, None),
+        "op3_suffix_dedup": (suffixdedup.report, None),
     }
