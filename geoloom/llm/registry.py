@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from geoloom.llm import decontaminate, simhash, suffixdedup
+from geoloom.llm import decontaminate, preferences, quality, simhash, suffixdedup, urlfilter
 
 
 def load() -> dict:
     return {
+        "op3_suffix_dedup": (suffixdedup.report, None),
+        "op4_preferences": (preferences.report, preferences.SQL),
         "op6_decontaminate": (decontaminate.report, decontaminate.SQL),
+        "op7_quality": (quality.report, quality.SQL),
         "op8_simhash": (simhash.report, None),
-        "op3_suffix_dedup": (suffixdedup.report, None),
+        "op9_urlfilter": (urlfilter.report, urlfilter.SQL),
     }
