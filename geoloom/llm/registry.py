@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from geoloom.llm import decontaminate, preferences, quality, simhash, suffixdedup, urlfilter
+from geoloom.llm import decontaminate, preferences, quality, simhash, suffixdedup, toxicity, urlfilter
 
 
 def load() -> dict:
     return {
+        "op1_toxicity": (toxicity.report, None),
         "op3_suffix_dedup": (suffixdedup.report, None),
         "op4_preferences": (preferences.report, preferences.SQL),
         "op6_decontaminate": (decontaminate.report, decontaminate.SQL),
