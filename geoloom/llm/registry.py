@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from geoloom.llm import decontaminate, preferences, quality, simhash, suffixdedup, toxicity, urlfilter
+import corpus_pipeline
+from geoloom.llm import decontaminate, mixing, preferences, quality, simhash, suffixdedup, toxicity, urlfilter
 
 
 def load() -> dict:
     return {
         "op1_toxicity": (toxicity.report, None),
+        "op2_mixing": (mixing.report, None),
         "op3_suffix_dedup": (suffixdedup.report, None),
         "op4_preferences": (preferences.report, preferences.SQL),
         "op6_decontaminate": (decontaminate.report, decontaminate.SQL),
         "op7_quality": (quality.report, quality.SQL),
         "op8_simhash": (simhash.report, None),
         "op9_urlfilter": (urlfilter.report, urlfilter.SQL),
+        "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }
