@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from geoloom.llm import decontaminate, mixing, preferences, quality, simhash, suffixdedup, toxicity, urlfilter
+from geoloom.llm import decontaminate, mixing, preferences, quality, simhash, suffixdedup, toxicity, urlfilter, warc
 
 
 def load() -> dict:
@@ -12,6 +12,7 @@ def load() -> dict:
         "op2_mixing": (mixing.report, None),
         "op3_suffix_dedup": (suffixdedup.report, None),
         "op4_preferences": (preferences.report, preferences.SQL),
+        "op5_warc": (warc.report, warc.SQL),
         "op6_decontaminate": (decontaminate.report, decontaminate.SQL),
         "op7_quality": (quality.report, quality.SQL),
         "op8_simhash": (simhash.report, None),
