@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from geoloom.llm import decontaminate, mixing, preferences, quality, simhash, suffixdedup, toxicity, urlfilter, warc
+from geoloom.llm import decontaminate, mixing, preferences, quality, simhash, suffixdedup, toxicity, urlfilter, warc, wrapper
 
 
 def load() -> dict:
@@ -17,5 +17,6 @@ def load() -> dict:
         "op7_quality": (quality.report, quality.SQL),
         "op8_simhash": (simhash.report, None),
         "op9_urlfilter": (urlfilter.report, urlfilter.SQL),
+        "op10_wrapper": (wrapper.report, wrapper.SQL),
         "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }
