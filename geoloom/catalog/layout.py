@@ -28,7 +28,7 @@ from geoloom.streaming import progress as live
 def _(fx):
     path = scratch_path(fx.spark, "layout")
     layout_xml.write_layout(fx.node, path)
-    return layout_xml.layout_nodes(layout_xml.read_layout(fx.spark, path)).distinct()
+    return layout_xml.layout_nodes(layout_xml.read_layout(fx.spark, path))
 
 
 _FLAT = """
@@ -149,8 +149,9 @@ def _(fx):
 @query(
     "progress_summary", "progress",
     sql="""
-    , p AS (SELECT *, lead(ts) OVER (PARTITION BY entity_id ORDER BY ts) AS nx FROM fx_progress),
-    s AS (SELECT entity_id, count(*) AS events, arg_max(state, ts) AS state, arg_max(greatest(0, least(100, progress)), ts) AS progress,
+    , p AS (SELECT *, lead(ts) OVER (PARTITION BY entity_id ORDER BY ts, state, progress) AS nx FROM fx_progress),
+    s AS (SELECT entity_id, count(*) AS events, arg_max(state, ROW(ts, state, progress)) AS state,
+                 arg_max(greatest(0, least(100, progress)), ROW(ts, state, progress)) AS progress,
                  coalesce(sum(CASE WHEN state = 'RUNNING' THEN epoch_us(nx) - epoch_us(ts) END) / 1e6, 0) AS running_s FROM p GROUP BY entity_id),
     l AS (SELECT *, CASE WHEN state = 'COMPLETED' THEN 0 ELSE (100 - progress) / 100 * 600 END AS left_s FROM s),
     t AS (SELECT * FROM l UNION ALL SELECT NULL, sum(events)::BIGINT, 'ALL', avg(progress), sum(running_s), sum(left_s) FROM l)

@@ -239,11 +239,9 @@ def _(fx):
     return rounded(out)
 
 
-@query(
-    "tessellate_spline", "vertex",
-    sql="""WITH RECURSIVE c AS (SELECT path_id * 100000 + seq // 12 AS id, row_number() OVER w - 1 AS j, x, y, count(*) OVER (PARTITION BY path_id, seq // 12) AS n
+_SPLINE = """WITH RECURSIVE c AS (SELECT path_id * 100000 + seq // 12 AS id, row_number() OVER w - 1 AS j, x, y, count(*) OVER (PARTITION BY path_id, seq // 12) AS n
              FROM fx_vertex WINDOW w AS (PARTITION BY path_id, seq // 12 ORDER BY seq)),
-    h AS (SELECT id, n, least(3, n - 1) AS p FROM c WHERE j = 0 AND n > 1),
+    h AS (SELECT id, n, least({p}, n - 1) AS p FROM c WHERE j = 0 AND n > 1),
     s AS (SELECT id, n, p, i, (n - p) * i / (3.0 * n - 1) AS u FROM h JOIN range(40) AS r(i) ON i < 3 * n - 1),
     b AS (SELECT id, i, u, n, p, 0 AS d, j, CASE WHEN greatest(0, least(j - p, n - p)) <= u AND u < greatest(0, least(j + 1 - p, n - p)) THEN 1.0::DOUBLE ELSE 0.0 END AS v
           FROM s JOIN range(20) AS r(j) ON j < n + p
@@ -253,20 +251,33 @@ def _(fx):
                        greatest(0, least(j + 1 - p, n - p)) AS t2, greatest(0, least(j + d + 2 - p, n - p)) AS t3 FROM b WHERE d < p) q WHERE nv IS NOT NULL),
     pt AS (SELECT b.id, b.i, sum(v * x) / sum(v) AS x, sum(v * y) / sum(v) AS y FROM b JOIN c ON c.id = b.id AND c.j = b.j WHERE d = p GROUP BY 1, 2
            UNION ALL SELECT c.id, 3 * c.n - 1, x, y FROM c WHERE j = c.n - 1 AND c.n > 1)
-    SELECT id, i, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM pt""",
-)
-def _(fx):
+    SELECT id, i, round(x + 1e-6, 3) + 0.0 AS x, round(y + 1e-6, 3) + 0.0 AS y FROM pt"""
+
+
+def _splines(fx, degree: int):
     # one spline per twelve successive vertices of a path, so its arrays stay short; clamped uniform knots
     pts = fx.vertex.groupBy((F.col("path_id") * 100000 + F.floor(F.col("seq") / 12)).alias("id")).agg(
         F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("ctrl")
     )
     n = F.size("ctrl")
-    pts = pts.filter(n > 1).withColumn("degree", F.least(F.lit(3), n - 1))
+    pts = pts.filter(n > 1).withColumn("degree", F.least(F.lit(degree), n - 1))
     span = n - F.col("degree")
     knots = F.transform(
         F.sequence(F.lit(0), n + F.col("degree")), lambda j: F.greatest(F.lit(0), F.least(j - F.col("degree"), span)).cast("double")
     )
-    return rounded(gen.tessellate_spline(pts.withColumn("knots", knots)))
+    points = gen.tessellate_spline(pts.withColumn("knots", knots))
+    # many values lie halfway between two roundings; both sides are lifted off them
+    return rounded(points.withColumns({c: F.col(c) + 1e-6 for c in "xy"}), 3)
+
+
+@query("tessellate_spline", "vertex", sql=_SPLINE.format(p=3))
+def _(fx):
+    return _splines(fx, 3)
+
+
+@query("tessellate_spline_quintic", "vertex", sql=_SPLINE.format(p=5))
+def _(fx):
+    return _splines(fx, 5)
 
 
 @query(
@@ -333,14 +344,13 @@ def _(fx):
 @query(
     "segments_to_path", "vertex",
     sql="""
-    SELECT path_id, CAST(0 AS BIGINT) AS part,
-           string_agg(CAST(CAST(x AS BIGINT) AS STRING) || ' ' || CAST(CAST(y AS BIGINT) AS STRING), ';' ORDER BY seq) AS points
+    SELECT path_id, string_agg(CAST(CAST(x AS BIGINT) AS STRING) || ' ' || CAST(CAST(y AS BIGINT) AS STRING), ';' ORDER BY seq) AS points
     FROM fx_vertex GROUP BY path_id HAVING count(*) > 1""",
 )
 def _(fx):
-    paths = gen.segments_to_path(gen.path_to_segments(fx.vertex), part_points=1 << 20)
+    paths = gen.pack_paths(gen.segments_to_path(gen.path_to_segments(fx.vertex)))
     text = F.transform("points", lambda p: F.concat_ws(" ", p["x"].cast("bigint"), p["y"].cast("bigint")))
-    return paths.select("path_id", "part", F.array_join(text, ";").alias("points"))
+    return paths.select("path_id", F.array_join(text, ";").alias("points"))
 
 
 @query(
@@ -453,12 +463,28 @@ def _(fx):
     return rounded(tr.apply_transform(fx.segment, move).select("id", "x1", "y1", "x2", "y2"))
 
 
+_AFFINE = """
+    , s AS (SELECT grp, count(*)::HUGEINT AS n, sum(x::HUGEINT) AS sx, sum(y::HUGEINT) AS sy, sum((x * x)::HUGEINT) AS sxx, sum((x * y)::HUGEINT) AS sxy,
+                   sum((y * y)::HUGEINT) AS syy FROM fx_pair GROUP BY grp),
+    e AS (SELECT grp, arg_min(x, x * 1000 + y) AS x1, arg_min(y, x * 1000 + y) AS y1, arg_min(mx, x * 1000 + y) AS u1, arg_min(my, x * 1000 + y) AS v1,
+                 arg_max(x, x * 1000 + y) AS x2, arg_max(y, x * 1000 + y) AS y2, arg_max(mx, x * 1000 + y) AS u2, arg_max(my, x * 1000 + y) AS v2
+          FROM fx_pair GROUP BY grp),
+    l AS (SELECT e.*, (n * sxx - sx * sx) * (n * syy - sy * sy) > (n * sxy - sx * sy) * (n * sxy - sx * sy) AS whole,
+                 nullif(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0) AS len FROM e JOIN s USING (grp)),
+    k AS (SELECT *, coalesce((x2 - x1) / len, 0) AS ux, coalesce((y2 - y1) / len, 0) AS uy, coalesce((u2 - u1) / len, 0) AS ku, coalesce((v2 - v1) / len, 0) AS kv FROM l),
+    q AS (SELECT *, x1 - (x1 * ux + y1 * uy) * ux AS qx, y1 - (x1 * ux + y1 * uy) * uy AS qy FROM k),
+    r AS (SELECT *, (u1 - ku * (x1 * ux + y1 * uy)) / (qx * qx + qy * qy + 1) AS gu, (v1 - kv * (x1 * ux + y1 * uy)) / (qx * qx + qy * qy + 1) AS gv FROM q),
+    m AS (SELECT grp, CASE WHEN whole THEN 2 ELSE ku * ux + gu * qx END AS a, CASE WHEN whole THEN 1 ELSE kv * ux + gv * qx END AS b,
+                 CASE WHEN whole THEN -1 ELSE ku * uy + gu * qy END AS c, CASE WHEN whole THEN 3 ELSE kv * uy + gv * qy END AS d,
+                 CASE WHEN whole THEN grp ELSE gu END AS tx, CASE WHEN whole THEN -5 ELSE gv END AS ty FROM r)"""
+
+
 @query(
     "apply_group_transform", "pair", "segment",
-    sql="""
-    SELECT id, id % 25 AS grp, round(2 * x1 - y1 + id % 25, 4) + 0.0 AS x1, round(x1 + 3 * y1 - 5, 4) + 0.0 AS y1,
-           round(2 * x2 - y2 + id % 25, 4) + 0.0 AS x2, round(x2 + 3 * y2 - 5, 4) + 0.0 AS y2
-    FROM fx_segment WHERE id % 25 IN (SELECT grp FROM fx_pair)""",
+    sql=_AFFINE + """
+    SELECT id, id % 25 AS grp, round(a * x1 + c * y1 + tx, 4) + 0.0 AS x1, round(b * x1 + d * y1 + ty, 4) + 0.0 AS y1,
+           round(a * x2 + c * y2 + tx, 4) + 0.0 AS x2, round(b * x2 + d * y2 + ty, 4) + 0.0 AS y2
+    FROM fx_segment JOIN m ON m.grp = id % 25""",
 )
 def _(fx):
     maps = tr.estimate_affine(fx.pair, "grp")
@@ -502,14 +528,71 @@ def _(fx):
 
 
 @query(
-    "estimate_affine", "pair",
+    "extents_of_curves", "curve",
     sql="""
-    SELECT DISTINCT grp, 2.0::DOUBLE AS a, 1.0::DOUBLE AS b, -1.0::DOUBLE AS c, 3.0::DOUBLE AS d, grp::DOUBLE AS tx, (-5.0)::DOUBLE AS ty FROM fx_pair""",
+    , w AS (SELECT *, CASE WHEN kind = 'circle' THEN 7.0 WHEN a1 < a0 THEN a1 + 2 * pi() - a0 ELSE a1 - a0 END AS sw FROM fx_curve),
+    t AS (SELECT id, kind, cx, cy, r, a0 + sw * q AS th FROM w CROSS JOIN (VALUES (0), (1)) AS v(q) WHERE kind = 'arc'
+          UNION ALL SELECT id, kind, cx, cy, r, n * pi() / 2 FROM w CROSS JOIN range(-8, 16) AS v(n) WHERE kind = 'circle' OR n * pi() / 2 BETWEEN a0 AND a0 + sw)
+    SELECT id, round(min(cx + r * cos(th)), 4) + 0.0 AS min_x, round(min(cy + r * sin(th)), 4) + 0.0 AS min_y, round(max(cx + r * cos(th)), 4) + 0.0 AS max_x,
+           round(max(cy + r * sin(th)), 4) + 0.0 AS max_y FROM t GROUP BY id""",
+)
+def _(fx):
+    return rounded(m.curve_extents(fx.curve).select("id", "min_x", "min_y", "max_x", "max_y"))
+
+
+@query(
+    "estimate_affine", "pair",
+    sql=_AFFINE + """
+    SELECT grp, round(a, 6) + 0.0 AS a, round(b, 6) + 0.0 AS b, round(c, 6) + 0.0 AS c, round(d, 6) + 0.0 AS d, round(tx, 6) + 0.0 AS tx, round(ty, 6) + 0.0 AS ty FROM m""",
 )
 def _(fx):
     return rounded(tr.estimate_affine(fx.pair, "grp"), 6)
 
 
+@query(
+    "estimate_affine_far", "pair",
+    sql="""
+    SELECT DISTINCT grp, 2.0::DOUBLE AS a, 1.0::DOUBLE AS b, -1.0::DOUBLE AS c, 3.0::DOUBLE AS d, (56 + grp)::DOUBLE AS x, 177.0::DOUBLE AS y FROM fx_pair""",
+)
+def _(fx):
+    # three more points per group span the plane; all design points lie ten million units out
+    three = [(0.0, 0.0), (50.0, 0.0), (0.0, 50.0)]
+    more = fx.pair.select("grp").distinct().select("grp", F.inline(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in three])))
+    more = more.withColumns({"mx": 2 * F.col("x") - F.col("y") + F.col("grp"), "my": F.col("x") + 3 * F.col("y") - 5})
+    far = fx.pair.unionByName(more).withColumns({"x": F.col("x") + 1e7, "y": F.col("y") + 1e7})
+    maps = tr.estimate_affine(far, "grp")
+    at = affine.from_columns().apply(F.lit(1e7 + 50), F.lit(1e7 + 44))
+    return rounded(maps.select("grp", "a", "b", "c", "d", at[0].alias("x"), at[1].alias("y")), 3, a=6, b=6, c=6, d=6)
+
+
+_ARC_MOVES = {"turned": (0.0, 2.0, -2.0, 0.0), "mirrored": (-1.5, 0.0, 0.0, 1.5)}
+
+
+@query(
+    "transform_curves", "curve",
+    sql="""
+    , w AS (SELECT *, CASE WHEN a1 < a0 THEN a1 + 2 * pi() - a0 ELSE a1 - a0 END AS sw FROM fx_curve),
+    t AS (SELECT *, k / 4.0 AS t FROM w JOIN range(5) AS r(k) ON kind = 'arc' OR k = 0),
+    p AS (SELECT *, cx + r * cos(a0 + sw * t) AS px, cy + r * sin(a0 + sw * t) AS py FROM t),
+    m AS (SELECT 'turned' AS move, 0.0 AS a, 2.0 AS b, -2.0 AS c, 0.0 AS d, 2.0 AS f UNION ALL SELECT 'mirrored', -1.5, 0.0, 0.0, 1.5, 1.5)
+    SELECT move, id, kind, CASE WHEN move = 'mirrored' AND kind = 'arc' THEN 4 - k ELSE k END AS k, round(f * r, 4) + 0.0 AS r,
+           round(a * cx + c * cy + 3, 4) + 0.0 AS cx, round(b * cx + d * cy - 4, 4) + 0.0 AS cy,
+           CASE WHEN kind = 'arc' THEN round(a * px + c * py + 3, 3) + 0.0 END AS px, CASE WHEN kind = 'arc' THEN round(b * px + d * py - 4, 3) + 0.0 END AS py
+    FROM p CROSS JOIN m""",
+)
+def _(fx):
+    out = None
+    for name, (a, b, c, d) in _ARC_MOVES.items():
+        part = tr.transform_curves(fx.curve, affine.Affine(a, b, c, d, 3.0, -4.0)).withColumn("move", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    arc = F.col("kind") == "arc"
+    k = F.explode(F.when(arc, F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
+    rows = out.withColumn("k", k)
+    px, py = g.polar("cx", "cy", "r", F.col("a0") + g.sweep("a0", "a1") * F.col("k") / 4.0)
+    rows = rows.withColumns({"px": F.when(arc, px), "py": F.when(arc, py)})
+    return rounded(rows.select("move", "id", "kind", "k", "r", "cx", "cy", "px", "py"), px=3, py=3)
+
+
 @query(
     "two_point_alignment", "pair",
     sql="""

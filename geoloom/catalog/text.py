@@ -66,9 +66,9 @@ def _(fx):
 
 @query(
     "match_line_sequence", "dxf_line",
-    sql="""SELECT a.file, a.line_no, a.text, b.text AS next_text, c.line_no AS layer_line
-           FROM fx_dxf_line a JOIN fx_dxf_line b ON a.file = b.file AND b.line_no = a.line_no + 1 AND a.text = '0' AND b.text = 'LINE'
-           JOIN fx_dxf_line c ON a.file = c.file AND c.line_no = a.line_no + 4""",
+    sql="""SELECT * FROM (SELECT file, line_no, text, CASE WHEN lead(line_no) OVER w = line_no + 1 THEN lead(text) OVER w END AS next_text,
+                  min(CASE WHEN text = '8' THEN line_no END) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS layer_line
+           FROM fx_dxf_line WINDOW w AS (PARTITION BY file ORDER BY line_no)) q WHERE text = '0' AND next_text = 'LINE' AND layer_line IS NOT NULL""",
 )
 def _(fx):
     pairs = lines.match_line_sequence(fx.dxf_line, "^0$", "^LINE$")

@@ -67,40 +67,32 @@ def tessellate_bezier(curves: DataFrame, degree: int = 3, points: int = 8) -> Da
     )
 
 
-def _with_basis(rows: DataFrame, max_degree: int) -> DataFrame:
-    """Add ``n``: B-spline basis values at ``u``, one per control point.
-
-    Each degree is a column of its own built from the one before, so no level is worked out twice.
-    """
+def _basis(k: Column) -> Column:
+    """The degree + 1 B-spline basis values that are not zero at ``u`` in the knot span that starts at knot ``k``."""
     knots, u = F.col("knots"), F.col("u")
 
-    def term(top: Column, bottom: Column, value: Column) -> Column:
-        return F.when(bottom != 0.0, top / bottom * value).otherwise(F.lit(0.0))
-
-    def inside(i: Column) -> Column:
-        return F.when((F.get(knots, i) <= u) & (u < F.get(knots, i + 1)), 1.0).otherwise(0.0)
+    def share(top: Column, bottom: Column, value: Column) -> Column:
+        return F.coalesce(F.when(bottom != 0.0, top / bottom * value), F.lit(0.0))
 
-    def raised(p: int):
-        def value(i: Column) -> Column:
-            left = term(u - F.get(knots, i), F.get(knots, i + p) - F.get(knots, i), F.get("n", i))
-            right = term(F.get(knots, i + p + 1) - u, F.get(knots, i + p + 1) - F.get(knots, i + 1), F.get("n", i + 1))
-            return left + right
+    def raised(low: Column, p: Column) -> Column:
+        def value(j: Column) -> Column:
+            a, b = F.get(knots, k - p + j), F.get(knots, k + j)
+            c, d = F.get(knots, k - p + j + 1), F.get(knots, k + j + 1)
+            return share(u - a, b - a, F.get(low, j - 1)) + share(d - u, d - c, F.get(low, j))
 
-        return value
+        return F.transform(F.sequence(F.lit(0), p), value)
 
-    rows = rows.withColumn("n", F.transform(F.sequence(F.lit(0), F.size(knots) - 2), inside))
-    for p in range(1, max_degree + 1):
-        up = F.transform(F.sequence(F.lit(0), F.size(knots) - 2 - p), raised(p))
-        rows = rows.withColumn("n", F.when(F.col("degree") >= p, up).otherwise(F.col("n")))
-    return rows.withColumn("n", F.slice("n", 1, F.size("ctrl")))
+    one = F.array(F.lit(1.0))
+    return F.when(F.col("degree") < 1, one).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("degree")), one, raised))
 
 
 def tessellate_spline(
-    splines: DataFrame, samples: Column | None = None, closed: bool = False, periodic: bool = False, max_degree: int = 3
+    splines: DataFrame, samples: Column | None = None, closed: bool = False, periodic: bool = False
 ) -> DataFrame:
-    """Sample B-splines (degree, knots, ctrl): 3 points per control point by default.
+    """Sample B-splines (degree, knots, ctrl) of any degree: 3 points per control point by default.
 
-    An open spline ends on its last control point, a closed one is sampled all round.
+    Only the degree + 1 control points that act on a sample are weighed. An open spline ends on its
+    last control point, a closed one is sampled all round.
     """
     n = (samples if samples is not None else F.size("ctrl") * 3).cast("bigint")
     inner = n if closed else n - 1
@@ -109,18 +101,21 @@ def tessellate_spline(
     if closed and periodic:
         lo, hi = F.get(knots, F.col("degree")), F.get(knots, F.size(knots) - F.col("degree") - 1)
     rows = splines.withColumn("i", steps(inner - 1)).withColumn("u", lo + (hi - lo) / inner * F.col("i"))
-    rows = _with_basis(rows, max_degree)
+    span = F.size(F.filter(knots, lambda t: t <= F.col("u"))) - 1
+    rows = rows.withColumn("degree", F.col("degree").cast("int")).withColumn("k", span)
+    rows = rows.withColumn("n", _basis(F.col("k")))
+    rows = rows.withColumn("near", F.transform("n", lambda w, j: F.get("ctrl", F.col("k") - F.col("degree") + j)))
 
-    def weighted(axis: str) -> Column:
-        pairs = F.zip_with("n", F.transform("ctrl", lambda p: p[axis]), lambda w, v: w * v)
-        return F.aggregate(pairs, F.lit(0.0), lambda acc, v: acc + v)
+    def summed(value) -> Column:
+        each = F.zip_with("n", "near", lambda w, p: F.when(p.isNotNull(), value(w, p)).otherwise(F.lit(0.0)))
+        return F.aggregate(each, F.lit(0.0), lambda acc, v: acc + v)
 
-    total = F.aggregate("n", F.lit(0.0), lambda acc, v: acc + v)
+    total = summed(lambda w, p: w)
     out = rows.select(
         "id",
         "i",
-        F.coalesce(g.ratio(weighted("x"), total), F.lit(0.0)).alias("x"),
-        F.coalesce(g.ratio(weighted("y"), total), F.lit(0.0)).alias("y"),
+        F.coalesce(g.ratio(summed(lambda w, p: w * p["x"]), total), F.lit(0.0)).alias("x"),
+        F.coalesce(g.ratio(summed(lambda w, p: w * p["y"]), total), F.lit(0.0)).alias("y"),
     )
     if closed:
         return out
@@ -185,11 +180,10 @@ def path_to_segments(vertices: DataFrame, keep_chunk: bool = False, chunk_rows:
     )
 
 
-def segments_to_path(segments: DataFrame, part_points: int = 4096) -> DataFrame:
-    """Ordered segments (path_id, seq, ...) -> paths as arrays of points.
+def segments_to_path(segments: DataFrame) -> DataFrame:
+    """Ordered segments (path_id, seq, ...) -> path vertices (path_id, seq, x, y), in the long form.
 
-    A point equal to the one before it is dropped. A path longer than ``part_points`` order
-    steps continues in the next part, so no row grows without bound.
+    A point equal to the one before it is dropped; seq grows along the path, with gaps.
     """
     ends = segments.select(
         "path_id",
@@ -199,11 +193,16 @@ def segments_to_path(segments: DataFrame, part_points: int = 4096) -> DataFrame:
                 F.struct((F.col("seq") * 2 + 1).alias("pos"), F.col("x2").alias("x"), F.col("y2").alias("y")),
             )
         ),
-    ).withColumn("part", chunk_of("pos", part_points))
-    kept = ordered_scan(ends, ["path_id"], ["pos"], "part", lag={"before": F.struct("x", "y")})
+    )
+    kept = ordered_scan(ends, ["path_id"], ["pos"], chunk_of("pos"), lag={"before": F.struct("x", "y")})
     kept = kept.filter(F.col("before").isNull() | (F.col("before") != F.struct("x", "y")))
-    points = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda p: F.struct(p["x"], p["y"]))
-    return kept.groupBy("path_id", "part").agg(points.alias("points"))
+    return kept.select("path_id", F.col("pos").alias("seq"), "x", "y")
+
+
+def pack_paths(vertices: DataFrame) -> DataFrame:
+    """Path vertices -> one row per path with its points as an array; each path must fit a row."""
+    points = F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.struct(p["x"], p["y"]))
+    return vertices.groupBy("path_id").agg(points.alias("points"))
 
 
 def box_polygon(boxes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.plans.scratch import materialize
 from geoloom.functions import affine
 from geoloom.functions.affine import Affine
 from geoloom.operators.generate import grid_array
@@ -92,24 +93,51 @@ def _cells(move: Affine) -> dict[str, Column]:
     return {n: getattr(move, n) for n in CELLS}
 
 
-def node_transforms(nodes: DataFrame, depth: int = 3, top_level: str | None = None) -> DataFrame:
-    """Absolute map of every node: own x parent x grandparent, up to ``depth`` levels.
+def _doubled(state: DataFrame, step, name: str) -> DataFrame:
+    """Repeat ``step`` (joins each open node with the state of the node it points to) until none is open.
 
-    With ``top_level`` the product stops at the ancestor of that level, which still counts.
+    Pointers reach twice as far each time, so a tree of depth n takes about log2(n) rounds; each
+    round is a written table, and settled nodes are not written again.
+    """
+    state = materialize(state, name)
+    settled, rounds = [], 0
+    while True:
+        settled.append(state.filter("up IS NULL"))
+        rest = state.filter("up IS NOT NULL")
+        if rest.isEmpty():
+            break
+        if rounds > 62:
+            raise ValueError("the parents form a ring")
+        rounds += 1
+        every = settled[0]
+        for part in settled[1:]:
+            every = every.unionByName(part)
+        state = materialize(step(rest, every.unionByName(rest)), name)
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def node_transforms(nodes: DataFrame, top_level: str | None = None) -> DataFrame:
+    """Absolute map of every node: own x parent x grandparent, up to the root.
+
+    With ``top_level`` the product stops at the ancestor of that level, which still counts. A parent
+    that is not among the nodes ends the product too.
     """
     own = nodes.withColumns(_cells(own_transform())).select("node_id", "parent_id", "level", *CELLS)
     stop = (F.col("level") == top_level) if top_level else F.lit(False)
-    state = own.withColumn("up", F.when(~stop, F.col("parent_id")))
-    above = own.select(
-        F.col("node_id").alias("up"), F.when(~stop, F.col("parent_id")).alias("p_up"), *[F.col(c).alias("p_" + c) for c in CELLS]
-    )
-    for _ in range(depth - 1):
-        joined = state.join(above, "up", "left")
-        product = affine.from_columns().then(affine.from_columns("p_"))
+    product = affine.from_columns().then(affine.from_columns("p_"))
+
+    def step(rest: DataFrame, every: DataFrame) -> DataFrame:
+        above = every.select(F.col("node_id").alias("up"), F.col("up").alias("p_up"), *[F.col(c).alias("p_" + c) for c in CELLS])
         known = F.col("p_a").isNotNull()
         cells = {n: F.when(known, v).otherwise(F.col(n)) for n, v in _cells(product).items()}
-        state = joined.select("node_id", "parent_id", "level", *[v.alias(n) for n, v in cells.items()], F.col("p_up").alias("up"))
-    return state.drop("up")
+        return rest.join(above, "up", "left").select(
+            "node_id", "parent_id", "level", *[v.alias(n) for n, v in cells.items()], F.col("p_up").alias("up")
+        )
+
+    return _doubled(own.withColumn("up", F.when(~stop, F.col("parent_id"))), step, "moves").drop("up")
 
 
 def invert_about_parent(own: Affine, parent: Affine, invert_x: bool, invert_y: bool) -> Affine:
@@ -119,9 +147,9 @@ def invert_about_parent(own: Affine, parent: Affine, invert_x: bool, invert_y: b
     return affine.combine(affine.translate(-ox, -oy), own, flip, affine.translate(ox, oy))
 
 
-def inverted_transforms(nodes: DataFrame, invert_x: bool, invert_y: bool, depth: int = 3) -> DataFrame:
+def inverted_transforms(nodes: DataFrame, invert_x: bool, invert_y: bool) -> DataFrame:
     """Each node's own map flipped about its parent's absolute origin; top nodes keep theirs."""
-    absolute = node_transforms(nodes, depth).select(F.col("node_id").alias("parent_id"), *[F.col(c).alias("p_" + c) for c in CELLS])
+    absolute = node_transforms(nodes).select(F.col("node_id").alias("parent_id"), *[F.col(c).alias("p_" + c) for c in CELLS])
     own = nodes.withColumns(_cells(own_transform())).select("node_id", "parent_id", "level", *CELLS)
     rows = own.join(absolute, "parent_id", "left")
     flipped = invert_about_parent(affine.from_columns(), affine.from_columns("p_"), invert_x, invert_y)
@@ -129,24 +157,23 @@ def inverted_transforms(nodes: DataFrame, invert_x: bool, invert_y: bool, depth:
     return rows.select("node_id", "parent_id", "level", *[v.alias(n) for n, v in cells.items()])
 
 
-def nearest_ancestor(nodes: DataFrame, fiducials: DataFrame, depth: int = 3) -> DataFrame:
+def nearest_ancestor(nodes: DataFrame, fiducials: DataFrame) -> DataFrame:
     """Closest node on the way up, itself included, that has fiducials; null when none has."""
     marked = fiducials.select("node_id").distinct().withColumn("has", F.lit(True))
     tree = nodes.select("node_id", "parent_id").join(marked, "node_id", "left")
-    above = tree.select(F.col("node_id").alias("up"), F.col("parent_id").alias("p_up"), F.col("has").alias("p_has"))
-    state = tree.select(
+    first = tree.select(
         "node_id", F.when(F.col("has"), F.col("node_id")).alias("ancestor"), F.when(F.col("has").isNull(), F.col("parent_id")).alias("up"),
-        F.when(F.col("has"), 0).alias("hops"),
+        F.when(F.col("has"), 0).otherwise(1).alias("hops"),
     )
-    for step in range(1, depth):
-        found = F.coalesce("p_has", F.lit(False))
-        state = state.join(above, "up", "left").select(
-            "node_id",
-            F.coalesce("ancestor", F.when(found, F.col("up"))).alias("ancestor"),
-            F.when(~found, F.col("p_up")).alias("up"),
-            F.coalesce("hops", F.when(found, step)).alias("hops"),
+
+    def step(rest: DataFrame, every: DataFrame) -> DataFrame:
+        above = every.select(F.col("node_id").alias("up"), F.col("ancestor").alias("p_ancestor"), F.col("up").alias("p_up"), F.col("hops").alias("p_hops"))
+        return rest.join(above, "up", "left").select(
+            "node_id", F.col("p_ancestor").alias("ancestor"), F.col("p_up").alias("up"), (F.col("hops") + F.col("p_hops")).alias("hops")
         )
-    return state.drop("up")
+
+    found = _doubled(first, step, "ancestors")
+    return found.select("node_id", "ancestor", F.when(F.col("ancestor").isNotNull(), F.col("hops")).alias("hops"))
 
 
 def tile_local(

@@ -174,26 +174,26 @@ def extents_columns(boxes: DataFrame) -> DataFrame:
     )
 
 
-def curve_extents(curves: DataFrame, facets: int = 32) -> DataFrame:
-    """Bounding box of circles (exact) and arcs (over their tessellated points)."""
+def curve_extents(curves: DataFrame) -> DataFrame:
+    """Exact bounding box of circles and arcs: the ends and the axis extremes that the arc passes."""
     turn = g.sweep("a0", "a1")
+    circle = F.col("kind") == "circle"
 
-    def over(fn, pick, centre: str) -> Column:
-        steps = F.transform(
-            F.sequence(F.lit(0), F.lit(facets)),
-            lambda i: F.col(centre) + F.col("r") * fn(F.col("a0") + turn * i / float(facets)),
-        )
-        return pick(steps)
+    def passes(quarter: int) -> Column:
+        return circle | (F.pmod(F.lit(quarter * math.pi / 2) - F.col("a0"), F.lit(2 * math.pi)) <= turn)
 
-    circle = F.col("kind") == "circle"
+    (x0, y0), (x1, y1) = (g.polar("cx", "cy", "r", a) for a in (F.col("a0"), F.col("a0") + turn))
+
+    def side(fn, one: Column, two: Column, quarter: int, extreme: Column) -> Column:
+        return F.when(passes(quarter), extreme).otherwise(fn(one, two))
+
+    cx, cy, r = F.col("cx"), F.col("cy"), F.col("r")
     out = curves.withColumns(
         {
-            "min_x": F.when(circle, F.col("cx") - F.col("r")).otherwise(over(F.cos, F.array_min, "cx")),
-            "min_y": F.when(circle, F.col("cy") - F.col("r")).otherwise(over(F.sin, F.array_min, "cy")),
-            "max_x": F.when(circle, F.col("cx") + F.col("r")).otherwise(over(F.cos, F.array_max, "cx")),
-            "max_y": F.when(circle, F.col("cy") + F.col("r")).otherwise(over(F.sin, F.array_max, "cy")),
+            "min_x": side(F.least, x0, x1, 2, cx - r), "min_y": side(F.least, y0, y1, 3, cy - r),
+            "max_x": side(F.greatest, x0, x1, 0, cx + r), "max_y": side(F.greatest, y0, y1, 1, cy + r),
         }
-    )
+    )
     return extents_columns(out)
 
 

@@ -345,8 +345,6 @@ def generate_tiles(
     """Clip segments to the tiling of their extents and lengthen each part at both ends."""
     from geoloom.operators.measure import extend_segments
 
-    if size_x <= 3 or size_y <= 3:
-        raise ValueError("a tile must be larger than 3")
     parts = clip_to_grid(segments, ext, size_x, size_y, groups, pad_x=padding, pad_y=padding)
     return extend_segments(parts, extension) if extension else parts
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +32,25 @@ def apply_group_transform(geoms: DataFrame, maps: DataFrame, key: str, points=SE
 
 
 def transform_curves(curves: DataFrame, move: Affine) -> DataFrame:
-    """Move circles and arcs: centre and start point move, the radius follows from them."""
+    """Move circles and arcs: centre and start point move, radius and angles follow from them.
+
+    A map that mirrors swaps the ends, so an arc still runs counter-clockwise from a0 to a1. The map
+    must scale all directions alike, else the result is no circle; tessellate such curves first.
+    """
     cx, cy = move.apply("cx", "cy")
     circle = F.col("kind") == "circle"
-    sx, sy = g.polar("cx", "cy", "r", F.when(circle, 0.0).otherwise(F.col("a0")))
-    nx, ny = move.apply(sx, sy)
-    return curves.withColumns({"cx": cx, "cy": cy, "r": F.hypot(nx - cx, ny - cy)})
+    mirrored = g.col(move.a * move.d - move.b * move.c) < 0
+    # counter-clockwise from a0 to a1; seen in a mirror the arc starts at its old end
+    from_ = F.when(circle, 0.0).when(mirrored, F.col("a1")).otherwise(F.col("a0"))
+    x, y = move.apply(*g.polar("cx", "cy", "r", from_))
+    start = F.atan2(y - cy, x - cx)
+    return curves.withColumns(
+        {
+            "cx": cx, "cy": cy, "r": F.hypot(x - cx, y - cy),
+            "a0": F.when(circle, F.col("a0")).otherwise(start),
+            "a1": F.when(circle, F.col("a1")).otherwise(start + g.sweep("a0", "a1")),
+        }
+    )
 
 
 def transform_paths(paths: DataFrame, move: Affine, points: str = "points") -> DataFrame:
@@ -97,7 +109,8 @@ def align(segments: DataFrame, group: str, mode: str = "corner", to: tuple | Dat
 def estimate_affine(pairs: DataFrame, group: str = "grp", kind: str = "fit", order: str | None = None) -> DataFrame:
     """Least-squares map from (x, y) to (mx, my) per group: columns a, b, c, d, tx, ty.
 
-    Only sums leave each task, so a group of any size costs one small row per task. Groups
+    Only central moments leave each task, so a group of any size costs one small row per task and
+    the answer holds far from the origin. Groups
     whose points do not span the plane get the minimum-norm solution; when that solution
     shrinks a diagonal of 100 to nothing it becomes a translation. ``kind='first'``
     translates to the first measured point instead (``order`` says which is first).
@@ -110,66 +123,41 @@ def estimate_affine(pairs: DataFrame, group: str = "grp", kind: str = "fit", ord
             group, one.alias("a"), zero.alias("b"), zero.alias("c"), one.alias("d"),
             F.col("p.mx").alias("tx"), F.col("p.my").alias("ty"),
         )
-    terms = {
-        "n": F.count(F.lit(1)).cast("double"),
-        **{n: F.sum(n) for n in ("x", "y", "mx", "my")},
-        **{
-            p + q: F.sum(F.col(p) * F.col(q))
-            for p, q in (("x", "x"), ("x", "y"), ("y", "y"), ("x", "mx"), ("y", "mx"), ("x", "my"), ("y", "my"))
-        },
-    }
-    sums = pairs.groupBy(group).agg(*[v.alias("s_" + k) for k, v in terms.items()])
-    s = {k: F.col("s_" + k) for k in terms}
-    # moments about the mean turn the 3 x 3 system into a 2 x 2 one
-    sxx = s["xx"] - s["x"] * s["x"] / s["n"]
-    sxy = s["xy"] - s["x"] * s["y"] / s["n"]
-    syy = s["yy"] - s["y"] * s["y"] / s["n"]
-    sums = sums.withColumns({"vxx": sxx, "vxy": sxy, "vyy": syy})
-    det = F.col("vxx") * F.col("vyy") - F.col("vxy") * F.col("vxy")
-    sums = sums.withColumns({"det": det, "spread": F.col("vxx") * F.col("vyy")})
-    full = (F.col("det") > 1e-12 * F.col("spread")) & (F.col("spread") > 0)
+    moments = {"n": F.count(F.lit(1)).cast("double"), **{f"m_{c}": F.avg(c) for c in ("x", "y", "mx", "my")}}
+    for one, two in (("x", "x"), ("x", "y"), ("y", "y"), ("x", "mx"), ("y", "mx"), ("x", "my"), ("y", "my")):
+        moments[f"v_{one}_{two}"] = F.covar_pop(one, two)
+    rows = pairs.groupBy(group).agg(*[v.alias(k) for k, v in moments.items()])
+    vxx, vxy, vyy = F.col("v_x_x"), F.col("v_x_y"), F.col("v_y_y")
+    rows = rows.withColumns({"det": vxx * vyy - vxy * vxy, "trace": vxx + vyy})
+    # rank is judged on the moments about the mean, relative to the spread
+    flat = F.col("det") <= 1e-12 * F.col("trace") * F.col("trace")
+    # direction of the line that a flat group lies on; none for a single point
+    some = F.col("trace") > 0
+    ux = F.when(some, F.sqrt(F.greatest(vxx, F.lit(0.0)) / F.col("trace"))).otherwise(0.0)
+    uy = F.when(some, F.when(vxy < 0, -1.0).otherwise(1.0) * F.sqrt(F.greatest(vyy, F.lit(0.0)) / F.col("trace"))).otherwise(0.0)
+    rows = rows.withColumns({"flat": flat, "ux": ux, "uy": uy})
+    along = F.col("ux") * F.col("m_x") + F.col("uy") * F.col("m_y")
+    across = F.col("m_x") * F.col("uy") - F.col("m_y") * F.col("ux")
+    # the part of the mean across the line; all of it for a single point
+    qx = F.when(some, across * F.col("uy")).otherwise(F.col("m_x"))
+    qy = F.when(some, -across * F.col("ux")).otherwise(F.col("m_y"))
 
     def solve(m: str) -> tuple[Column, Column, Column]:
-        px = s["x" + m] - s["x"] * s[m] / s["n"]
-        py = s["y" + m] - s["y"] * s[m] / s["n"]
-        kx = (px * F.col("vyy") - py * F.col("vxy")) / F.col("det")
-        ky = (py * F.col("vxx") - px * F.col("vxy")) / F.col("det")
-        return kx, ky, (s[m] - kx * s["x"] - ky * s["y"]) / s["n"]
+        px, py, mean = F.col(f"v_x_{m}"), F.col(f"v_y_{m}"), F.col(f"m_{m}")
+        kx, ky = (px * vyy - py * vxy) / F.col("det"), (py * vxx - px * vxy) / F.col("det")
+        # minimum norm: the slope along the line, and the rest along the part of the mean across it
+        k = F.when(some, (F.col("ux") * px + F.col("uy") * py) / F.col("trace")).otherwise(0.0)
+        c = (mean - k * along) / (qx * qx + qy * qy + 1.0)
+        low = [k * F.col("ux") + c * qx, k * F.col("uy") + c * qy, c]
+        full = [kx, ky, mean - kx * F.col("m_x") - ky * F.col("m_y")]
+        return tuple(F.when(F.col("flat"), x).otherwise(y) for x, y in zip(low, full))
 
     (a, c, tx), (b, d, ty) = solve("mx"), solve("my")
-    good = sums.filter(full).select(
-        group, a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"), tx.alias("tx"), ty.alias("ty")
-    )
-    schema = f"{group} {pairs.schema[group].dataType.simpleString()}, a double, b double, c double, d double, tx double, ty double"
-    flat = sums.filter(~F.coalesce(full, F.lit(False))).select(group, *["s_" + k for k in terms])
-    return good.unionByName(flat.mapInPandas(_min_norm(group), schema))
-
-
-def _min_norm(group: str):
-    """Minimum-norm solutions from normal-equation sums, one row per degenerate group."""
-
-    def rows(batches):
-        import numpy as np
-
-        for batch in batches:
-            out = []
-            for r in batch.to_dict("records"):
-                normal = np.array(
-                    [
-                        [r["s_xx"], r["s_xy"], r["s_x"]],
-                        [r["s_xy"], r["s_yy"], r["s_y"]],
-                        [r["s_x"], r["s_y"], r["s_n"]],
-                    ]
-                )
-                right = np.array([[r["s_xmx"], r["s_xmy"]], [r["s_ymx"], r["s_ymy"]], [r["s_mx"], r["s_my"]]])
-                (a, b), (c, d), (tx, ty) = np.linalg.pinv(normal, rcond=1e-10, hermitian=True) @ right
-                dx, dy = 100.0 * (a + c), 100.0 * (b + d)
-                if np.hypot(dx, dy) <= 1e-4:
-                    a, b, c, d, tx, ty = 1.0, 0.0, 0.0, 1.0, tx + dx / 2, ty + dy / 2
-                out.append((r[group], a, b, c, d, tx, ty))
-            yield pd.DataFrame(out, columns=[group, "a", "b", "c", "d", "tx", "ty"])
-
-    return rows
+    solved = rows.select(group, "flat", a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"), tx.alias("tx"), ty.alias("ty"))
+    dx, dy = 100.0 * (F.col("a") + F.col("c")), 100.0 * (F.col("b") + F.col("d"))
+    lost = F.col("flat") & (F.hypot(dx, dy) <= 1e-4)
+    plain = {"a": F.lit(1.0), "b": F.lit(0.0), "c": F.lit(0.0), "d": F.lit(1.0), "tx": F.col("tx") + dx / 2, "ty": F.col("ty") + dy / 2}
+    return solved.select(group, *[F.when(lost, v).otherwise(F.col(n)).alias(n) for n, v in plain.items()])
 
 
 def two_point_alignment(

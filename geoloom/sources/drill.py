@@ -118,20 +118,22 @@ def drill_commands(lines: DataFrame, tools: DataFrame | None = None) -> DataFram
         fill={
             "x": F.when(moves, number(t, X_VALUE)),
             "y": F.when(moves, number(t, Y_VALUE)),
-            # a fixed-width code keeps the chunk totals in the hash aggregate; the 1 keeps leading zeros
-            "tool": F.when(F.col("known"), F.concat(F.lit("1"), F.substring("pick", 2, 17)).cast("bigint")),
+            # the line of the selection: of fixed width, which keeps the chunk totals in the hash aggregate
+            "picked": F.when(F.col("known"), F.col("line_no")),
             "routing": F.when(route, True).when(t.rlike(DRILL_ON), False),
             "block": F.when(begin, F.col("line_no")).when(t.rlike(REPEATS_DONE), F.lit(None)),
             "done": F.when(t.rlike(REPEATS_DONE), F.col("line_no")),
             "tracking": F.when(begin, True).when(end, False),
         },
     )
+    names = lines.select("file", F.col("line_no").alias("picked"), _text(TOOL).alias("tool")).filter("tool IS NOT NULL")
+    rows = rows.join(names, ["file", "picked"], "left")
     open_block = F.when(F.col("done").isNull() | (F.col("block") > F.col("done")), F.col("block"))
     return rows.select(
         "file", "line_no", "text",
         F.coalesce("x", F.lit(0.0)).alias("x"),
         F.coalesce("y", F.lit(0.0)).alias("y"),
-        F.coalesce(F.concat(F.lit("T"), F.substring(F.col("tool").cast("string"), 2, 17)), F.lit("0")).alias("tool"),
+        F.coalesce("tool", F.lit("0")).alias("tool"),
         F.coalesce("routing", F.lit(False)).alias("routing"),
         open_block.alias("block"),
         F.coalesce("tracking", F.lit(False)).alias("tracking"),

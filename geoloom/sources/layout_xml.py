@@ -73,11 +73,10 @@ def layout_tiles(plates: DataFrame) -> DataFrame:
     )
 
 
-def write_layout(nodes: DataFrame, path: str, layers_per_device: int = 256) -> None:
-    """Write a three-level node table as layout files.
+def write_layout(nodes: DataFrame, path: str) -> None:
+    """Write a three-level node table as layout files: one element per plate, with its devices and their layers.
 
-    A device with very many layers is written as several elements of the same tag, so that no
-    element grows without bound.
+    The format nests, so a plate and all below it are one row of the result.
     """
 
     def moved(df: DataFrame, *more: Column) -> DataFrame:
@@ -94,15 +93,14 @@ def write_layout(nodes: DataFrame, path: str, layers_per_device: int = 256) -> N
             *more,
         )
 
-    layers = moved(nodes.filter("level = 'layer'")).withColumn("part", F.floor(F.col("node_id") / layers_per_device))
-    packed = layers.groupBy("parent_id", "part").agg(F.collect_list(F.struct("Tag", "TransformInfo", "ArrayInfo")).alias(LAYER))
+    layers = moved(nodes.filter("level = 'layer'"))
+    packed = layers.groupBy("parent_id").agg(F.collect_list(F.struct("Tag", "TransformInfo", "ArrayInfo")).alias(LAYER))
     devices = moved(nodes.filter("level = 'device'")).join(packed.withColumnRenamed("parent_id", "node_id"), "node_id", "left")
     devices = devices.select(
         F.col("parent_id").alias("plate"),
         F.struct("Tag", "TransformInfo", "ArrayInfo", F.struct(LAYER).alias("Layers")).alias("device"),
     )
-    plates = moved(nodes.filter("level = 'plate'")).join(devices, F.col("node_id") == F.col("plate"), "left")
-    rows = plates.select(
-        "Tag", "TransformInfo", "ArrayInfo", F.struct(F.array_compact(F.array("device")).alias(DEVICE)).alias("Devices")
-    )
+    nested = devices.groupBy("plate").agg(F.collect_list("device").alias(DEVICE))
+    plates = moved(nodes.filter("level = 'plate'")).join(nested, F.col("node_id") == F.col("plate"), "left")
+    rows = plates.select("Tag", "TransformInfo", "ArrayInfo", F.struct(DEVICE).alias("Devices"))
     rows.write.option("rowTag", PLATE).option("rootTag", ROOT).xml(path)

@@ -221,3 +221,42 @@ def test_clip_keeps_total_length_over_a_tiling(spark):
     by_join = spatial.clip_to_boxes(df, tiles, "tile")
     for parts in (by_grid, by_join):
         assert parts.select(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).first()[0] == pytest.approx(whole)
+
+
+def test_deep_layout(spark):
+    from geoloom.operators.layout import nearest_ancestor, node_transforms
+
+    rows = [(k, k - 1 if k else None, f"level{k}", 1.0, 2.0, 0.0, 2.0) for k in range(11)] + [(50, 49, "stray", 3.0, 0.0, 0.0, 1.0)]
+    nodes = spark.createDataFrame(rows, "node_id long, parent_id long, level string, off_x double, off_y double, rot_deg double, scale double")
+    got = {r.node_id: r for r in node_transforms(nodes).collect()}
+    assert got[10].a == 2.0**11 and got[10].tx == 2.0**11 - 1 and got[50].tx == 3.0
+    stopped = {r.node_id: r.a for r in node_transforms(nodes, "level4").collect()}
+    assert stopped[10] == 2.0**7 and stopped[3] == 2.0**4
+    marked = spark.createDataFrame([(0,)], "node_id long")
+    near = {r.node_id: (r.ancestor, r.hops) for r in nearest_ancestor(nodes, marked).collect()}
+    assert near[10] == (0, 10) and near[0] == (0, 0) and near[50] == (None, None)
+
+
+def test_scratch_is_shared(spark, monkeypatch):
+    from geoloom.plans.scratch import scratch_root
+
+    class Plain:
+        sparkContext = spark.sparkContext
+
+        class conf:
+            @staticmethod
+            def get(key, *default):
+                return "file:/warehouse" if key == "spark.sql.warehouse.dir" else default[0]
+
+    assert scratch_root(Plain).startswith("file:/warehouse/_scratch/")
+    assert scratch_root(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_affine_of_flat_groups(spark):
+    from geoloom.operators.transform import estimate_affine
+
+    rows = [(1, 3.0, 4.0, 6.0, 2.0)] * 3 + [(2, float(k), float(2 * k), float(5 * k), 7.0) for k in range(4)]
+    got = {r.grp: r for r in estimate_affine(spark.createDataFrame(rows, "grp int, x double, y double, mx double, my double"), "grp").collect()}
+    one = [6.0 * v / 26.0 for v in (3.0, 4.0, 1.0)]
+    assert [got[1].a, got[1].c, got[1].tx] == pytest.approx(one)
+    assert [got[2].a, got[2].c, got[2].tx] == pytest.approx([1.0, 2.0, 0.0], abs=1e-9) and got[2].ty == pytest.approx(7.0)
