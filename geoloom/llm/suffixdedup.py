@@ -6,8 +6,10 @@ window starts with one anchor each. Anchors seen once cannot repeat and go; stre
 for byte are counted as one class, so copies cost one row. Where an anchor has several classes their
 bytes meet in one task: the suffixes smaller than their successors are sorted directly, the others are
 induced from them by scanning the buckets of first bytes, and neighbours with a common prefix of a whole
-window are repeats. An anchor with more classes than ``GROUP`` is not sorted in one task; its windows are
-counted one by one through a shuffle, which gives the same answer for any size.
+window are repeats. The classes of an anchor with more than ``GROUP`` of them are cut into shorter
+stretches, which meet by the hash of the core that all windows of a stretch share, equal ones counted
+once; where even these are more than ``GROUP``, windows are counted one by one through a shuffle. The
+answer is the same whichever way an anchor goes.
 
 Texts are named by two 64-bit hashes; equal texts share all work. Defined cases: a null text is empty; a
 text shorter than the window keeps all; equal rows and repeated ids are judged row by row (each copy of a
@@ -32,8 +34,8 @@ from geoloom.plans.scratch import discard, materialize
 WINDOW, GRAM = 400, 64
 #: bytes hashed at once, and bytes of stretches sorted at once
 PIECE, SORTED_AT_ONCE = 1 << 20, 1 << 19
-#: classes of one anchor sorted in one task
-GROUP = 4096
+#: stretches that share an anchor, or a core, sorted in one task
+GROUP = 512
 
 _TABLE = np.random.default_rng(20240).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -222,12 +224,14 @@ def repeated_starts(parts: list[bytes], runs: list[int], window: int) -> list[np
 
 
 def _sorter(window: int):
+    """Columns: group, the class, base, n, single, part; a part is sorted with the others of its group."""
+
     def rows(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        masks = repeated_starts([x[5] for x in held], [x[3] for x in held], window)
+        masks = repeated_starts([x[8] for x in held], [x[6] for x in held], window)
         out = []
-        for (kh, sh, rel, run, single, _), mask in zip(held, masks):
+        for (_, kh, sh, rel, run, base, _, single, _), mask in zip(held, masks):
             if single and mask.any():
-                edges = np.flatnonzero(np.diff(mask, prepend=False, append=False))
+                edges = np.flatnonzero(np.diff(mask, prepend=False, append=False)) + base
                 out += [(kh, sh, rel, run, a, b - 1) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
         if out:
             yield pa.RecordBatch.from_pandas(
@@ -238,20 +242,55 @@ def _sorter(window: int):
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(6))):
-                if held and held[-1][:4] == row[:4]:
-                    continue  # the same class from a repeated document row
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[-1][:6] == row[:6]:
+                    continue  # the same stretch from a repeated document row
                 if size >= SORTED_AT_ONCE and held[-1][0] != row[0]:
                     yield from rows(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[8])
         if held:
             yield from rows(held)
 
     return work
 
 
+PART = ["group", *CLASS, "base", "n", "single", "part"]
+
+
+def _sorted_spans(parts: DataFrame, window: int) -> DataFrame:
+    met = parts.select(*PART).repartition("group").sortWithinPartitions("group", *CLASS, "base")
+    return met.mapInArrow(_sorter(window), FOUND)
+
+
+def _crowded_spans(parts: DataFrame, window: int) -> DataFrame:
+    """Spans of anchors with very many classes: shorter stretches grouped by the core that all their windows hold."""
+    step = max(1, window // 12)
+    core = window - step + 1
+    # the anchor lies between block * step and block * step + step - 1 bytes into the windows of a block
+    last = F.col("rel") - F.col("block") * step
+    blocks = F.sequence(F.expr(f"greatest(rel - run + 1, 0) div {step}").cast("int"), F.expr(f"rel div {step}").cast("int"))
+    cut = parts.dropDuplicates(CLASS).select(*CLASS, "single", "part", F.explode(blocks).alias("block"))
+    cut = cut.withColumns({"base": F.greatest(last - (step - 1), F.lit(0)), "upto": F.least(last, F.col("run") - 1)})
+    cut = cut.filter("base <= upto").withColumn("n", F.col("upto") - F.col("base") + 1)
+    held = F.xxhash64("kh", "block", F.substring("part", last + 1, F.lit(core)))
+    cut = cut.select(held.alias("group"), *CLASS, "base", "n", "single", F.substring("part", F.col("base") + 1, F.col("n") + (window - 1)).alias("part"))
+    cut = materialize(cut.withColumn("ph", F.xxhash64("part")), "cut")
+    same = ["group", "ph", "n"]
+    counted = cut.groupBy(*same).agg(
+        F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("times"), F.min(F.struct(*CLASS, "base")).alias("at")
+    )
+    counted = materialize(counted, "counted")
+    wide = materialize(counted.groupBy("group").agg(F.count("*").alias("v"), F.min("times").alias("least")), "wide")
+    met = cut.join(counted, same).withColumn("first", F.struct(*CLASS, "base") == F.col("at"))
+    twice = met.where("times >= 2 and single").select(*CLASS, F.col("base").alias("lo"), (F.col("base") + F.col("n") - 1).alias("hi"))
+    ones = met.where("first").withColumn("single", F.col("times") == 1).join(wide.where("v >= 2 and least = 1"), "group")
+    ones = materialize(ones.select(*PART, "v"), "ones")
+    spans = twice.unionByName(_sorted_spans(ones.where(F.col("v") <= GROUP), window))
+    return spans.unionByName(_count_windows(ones.where(F.col("v") > GROUP), window))
+
+
 def _name(docs: DataFrame, text: str) -> DataFrame:
     """Adds the two hashes that name a text."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -284,12 +323,13 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         x["kh"].alias("kh"), x["sh"].alias("sh"), x["rel"].alias("rel"), x["run"].alias("run"), (x["n"] == 1).alias("single"),
         F.substring(F.col("bytes"), x["p"] + 1, x["run"] + (window - 1)).alias("part"), x["v"].alias("v")))
     parts = texts.where("wants is not null").select(body.alias("bytes"), "wants").select(F.explode(part).alias("x")).select("x.*")
-    sorted_parts = parts.where(F.col("v") <= GROUP).select(*CLASS, "single", "part").repartition("kh").sortWithinPartitions(*CLASS)
-    found = sorted_parts.mapInArrow(_sorter(window), FOUND)
+    plain = parts.where(F.col("v") <= GROUP).select(
+        F.col("kh").alias("group"), *CLASS, F.lit(0).alias("base"), F.col("run").alias("n"), "single", "part"
+    )
     whole = judged.where("n >= 2").select(*CLASS, F.lit(0).alias("lo"), (F.col("run") - 1).alias("hi"))
-    spans = materialize(whole.unionByName(found), "spans")
+    spans = materialize(whole.unionByName(_sorted_spans(plain, window)), "spans")
     if not judged.where((F.col("v") > GROUP) & (F.col("least") == 1)).isEmpty():
-        spans = materialize(spans.unionByName(_count_windows(parts.where(F.col("v") > GROUP), window)), "spans")
+        spans = materialize(spans.unionByName(_crowded_spans(parts.where(F.col("v") > GROUP), window)), "spans")
     marks = (
         met.select(*CLASS, "k1", "k2", "p").join(spans, CLASS)
         .groupBy("k1", "k2").agg(F.collect_list(F.struct((F.col("p") + F.col("lo")).alias("lo"), (F.col("p") + F.col("hi")).alias("hi"))).alias("spans"))
@@ -298,13 +338,14 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
 
 def _count_windows(parts: DataFrame, window: int) -> DataFrame:
-    """Repeated windows of anchors with very many classes, each window counted through a shuffle."""
-    parts = parts.dropDuplicates(CLASS)
-    one = parts.select(*CLASS, "single", "part", F.explode(F.sequence(F.lit(0), F.col("run") - 1)).alias("lo"))
-    string = F.substring(F.col("part"), F.col("lo") + 1, F.lit(window))
-    one = materialize(one.select(*CLASS, "single", "lo", F.xxhash64(string).alias("w1"), F.xxhash64(F.lit(1), string).alias("w2")), "windows")
-    twice = materialize(one.groupBy("w1", "w2").count().where("count >= 2").select("w1", "w2"), "twice")
-    return one.where("single").join(twice, ["w1", "w2"]).select(*CLASS, "lo", F.col("lo").alias("hi"))
+    """Repeated windows of groups of very many stretches, each window counted through a shuffle."""
+    one = parts.select("group", *CLASS, "base", "single", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
+    string = F.substring(F.col("part"), F.col("o") + 1, F.lit(window))
+    lo = F.col("base") + F.col("o")
+    one = materialize(one.select("group", *CLASS, "single", lo.alias("lo"), F.xxhash64(string).alias("w1"), F.xxhash64(F.lit(1), string).alias("w2")), "windows")
+    key = ["group", "w1", "w2"]
+    twice = materialize(one.groupBy(*key).agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("n")).where("n >= 2").select(*key), "twice")
+    return one.where("single").join(twice, key).select(*CLASS, "lo", F.col("lo").alias("hi"))
 
 
 def removed_runs(spans, window: int = WINDOW) -> list[tuple[int, int]]:
