@@ -28,7 +28,7 @@ PERIOD = 1024
 #: weights are a policy table, held on the driver; more sources than this are refused
 MAX_SOURCES = 1 << 16
 #: rows of one chunk of the order hash, about
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 1024
 RESULTS = ("mix_weight", "mix_block", "mix_slot", "mix_row")
 
 
