@@ -33,7 +33,7 @@ from geoloom.plans.scratch import discard, materialize
 
 WINDOW, GRAM = 400, 64
 #: bytes hashed at once, and bytes of stretches sorted at once
-PIECE, SORTED_AT_ONCE = 1 << 20, 1 << 19
+PIECE, SORTED_AT_ONCE = 1 << 19, 1 << 18
 #: stretches that share an anchor, or a core, sorted in one task
 GROUP = 512
 
