@@ -8,6 +8,7 @@ from geoloom.catalog import query
 from geoloom.catalog.shapes import rounded
 from geoloom.operators import graph as gr
 from geoloom.operators.ordered import simplify_contour
+from geoloom.plans.scratch import materialize
 
 _ENDS = """
     , en AS (SELECT id, 0 AS tip, x1 AS x, y1 AS y FROM fx_chain UNION ALL SELECT id, 1, x2, y2 FROM fx_chain)"""
@@ -20,6 +21,31 @@ def _(fx):
     return gr.connected_pairs(fx.chain)
 
 
+_MEMBERS = _ENDS + """, v AS (SELECT *, min(id * 2 + tip) OVER w AS first_end, count(*) OVER w AS ends FROM en WINDOW w AS (PARTITION BY x, y))
+    SELECT id, tip, first_end, ends FROM v"""
+
+
+def _members(segments):
+    """Vertex membership, each vertex named by its lowest end."""
+    ends = materialize(gr.segment_ends(segments), "members")
+    named = ends.groupBy("vertex").agg(F.min(F.col("id") * 2 + F.col("tip")).alias("first_end"), F.count(F.lit(1)).alias("ends"))
+    return ends.join(named, "vertex").select("id", "tip", "first_end", "ends")
+
+
+@query("segment_vertices", "chain", sql=_MEMBERS)
+def _(fx):
+    return _members(fx.chain)
+
+
+@query("segment_vertices_near", "chain", sql=_MEMBERS)
+def _(fx):
+    # ends a few ten-thousandths off, to both sides of every cell border
+    def off(c, k):
+        return F.col(c) + ((F.col("id") * 7 + k) % 7 - 3) * 1.5e-4
+
+    return _members(fx.chain.withColumns({c: off(c, k) for k, c in enumerate(("x1", "y1", "x2", "y2"))}))
+
+
 @query("next_connected", "chain",
        sql=_ENDS + f""", p AS (SELECT a.id, b.id AS mate, {_KIND} AS kind, a.tip * 2 + b.tip AS code
                                FROM en a JOIN en b ON a.x = b.x AND a.y = b.y AND a.id <> b.id)

@@ -238,7 +238,8 @@ def _(fx):
 
 
 _BOOL = _RINGS + """,
-    pr AS (SELECT DISTINCT least(id, other) AS pa, greatest(id, other) AS pb FROM cut),
+    pr AS (SELECT a.id AS pa, b.id AS pb FROM fx_box a JOIN fx_box b ON a.id < b.id AND a.min_x <= b.max_x AND b.min_x <= a.max_x
+           AND a.min_y <= b.max_y AND b.min_y <= a.max_y),
     lk AS (SELECT pa AS id, pb AS other, 'a' AS side FROM pr UNION ALL SELECT pb, pa, 'b' FROM pr),
     m AS (SELECT l.id, l.other, side, seq, x1, y1, x2, y2, t FROM cut c JOIN lk l ON c.id = l.id AND c.other = l.other WHERE t > 0 AND t < 1
           UNION SELECT l.id, l.other, side, seq, x1, y1, x2, y2, e FROM ring r JOIN lk l ON r.id = l.id CROSS JOIN (VALUES (0), (1)) AS z(e)),

@@ -45,6 +45,15 @@ _BOX_FACETS = [
     (10, 0, 1, 0, 0, 0, 0, 0, 0, 1), (11, 0, 1, 0, 0, 0, 1, 0, 1, 1),
 ]
 
+# Customers, orders and parts of one hundredth of the unit scale share a square of 10,007 units; the next
+# keys lie in the next square along x. Customers, parts and orders number 1,500, 2,000 and 15,000 there.
+SQUARE = 10100
+
+
+def _square(key: str, keys: int) -> str:
+    return f"CAST(floor({key} / {keys}.0) AS BIGINT) * {SQUARE}"
+
+
 _HEADER = ["M48", "METRIC,LZ", "VER,1", "FMAT,2", "T1C0.4", "T2C0.8", "T3C1.2", "T4C3.0", "M95"]
 _DXF_CODES = ["0", "100", "8", "100", "10", "20", "11", "21", "31"]
 
@@ -58,17 +67,17 @@ def view_sql(name: str, ansi: bool) -> str:
     texts = {
         "point": """
             SELECT c_custkey AS id, c_mktsegment AS layer,
-                   CAST((c_custkey * 7919) % 10007 AS DOUBLE) AS x,
+                   CAST((c_custkey * 7919) % 10007 + {square} AS DOUBLE) AS x,
                    CAST((c_custkey * 104729) % 10009 AS DOUBLE) AS y,
                    CAST(c_custkey % 50 AS DOUBLE) AS z
-            FROM customer""",
+            FROM customer""".format(square=_square("c_custkey", 1500)),
         "segment": """
             SELECT o_orderkey AS id, o_orderpriority AS layer, o_custkey AS path_id,
-                   CAST((o_orderkey * 7919) % 10007 AS DOUBLE) AS x1,
+                   CAST((o_orderkey * 7919) % 10007 + {square} AS DOUBLE) AS x1,
                    CAST((o_orderkey * 104729) % 10009 AS DOUBLE) AS y1,
-                   CAST((o_orderkey * 7919) % 10007 + (o_orderkey * 31) % 401 - 200 AS DOUBLE) AS x2,
+                   CAST((o_orderkey * 7919) % 10007 + (o_orderkey * 31) % 401 - 200 + {square} AS DOUBLE) AS x2,
                    CAST((o_orderkey * 104729) % 10009 + (o_orderkey * 17) % 399 - 199 AS DOUBLE) AS y2
-            FROM orders""",
+            FROM orders""".format(square=_square("o_orderkey", 15000)),
         "vertex": """
             SELECT user_id AS path_id, seq,
                    CAST(user_id * 1000 + (event_id * 37) % 500 AS DOUBLE) AS x,
@@ -92,11 +101,11 @@ def view_sql(name: str, ansi: bool) -> str:
             WHERE bx IS NOT NULL""",
         "box": """
             SELECT p_partkey AS id,
-                   CAST((p_partkey * 7919) % 10007 - p_size * 8 AS DOUBLE) AS min_x,
+                   CAST((p_partkey * 7919) % 10007 - p_size * 8 + {square} AS DOUBLE) AS min_x,
                    CAST((p_partkey * 104729) % 10009 - p_size * 6 AS DOUBLE) AS min_y,
-                   CAST((p_partkey * 7919) % 10007 + p_size * 8 AS DOUBLE) AS max_x,
+                   CAST((p_partkey * 7919) % 10007 + p_size * 8 + {square} AS DOUBLE) AS max_x,
                    CAST((p_partkey * 104729) % 10009 + p_size * 6 AS DOUBLE) AS max_y
-            FROM part""",
+            FROM part""".format(square=_square("p_partkey", 2000)),
         "curve": """
             SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'circle' ELSE 'arc' END AS kind,
                    CAST((s_suppkey * 7919) % 10007 AS DOUBLE) AS cx, CAST((s_suppkey * 104729) % 10009 AS DOUBLE) AS cy,

@@ -5,19 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.functions import geometry as g
 from geoloom.plans.chains import rank_chains
+from geoloom.plans.components import components
 from geoloom.plans.scan import chunk_of, ordered_scan
 from geoloom.plans.scratch import materialize
 
 
 def segment_ends(segments: DataFrame, tol: float = 1e-3) -> DataFrame:
-    """Both ends of every segment with their snapped vertex: (id, tip, kx, ky); tip 0 is the start."""
+    """Both ends of every segment with the vertex they meet at: (id, tip, vertex); tip 0 is the start.
+
+    Ends no farther apart than ``tol`` share a vertex, and so do chains of such ends; one row per end,
+    however many meet. Each distinct spot is compared with the others of its cell and of the
+    cells within ``tol``, and the close ones are joined into components.
+    """
     ends = [
-        F.struct(F.lit(i).alias("tip"), g.snap(x, tol).alias("kx"), g.snap(y, tol).alias("ky"))
+        F.struct(F.lit(i).alias("tip"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
         for i, (x, y) in enumerate((("x1", "y1"), ("x2", "y2")))
     ]
-    return segments.select("id", F.inline(F.array(*ends)))
+    ends = materialize(segments.select("id", F.inline(F.array(*ends))), "ends")
+    spots = ends.select("x", "y").distinct().withColumn("vertex", F.monotonically_increasing_id())
+    spots = materialize(spots, "spots")
+    links = materialize(_close(spots, tol), "close")
+    if not links.isEmpty():
+        roots = components(links).select(F.col("node").alias("vertex"), "root")
+        spots = spots.join(roots, "vertex", "left").select("x", "y", F.coalesce("root", "vertex").alias("vertex"))
+    return ends.join(spots, ["x", "y"]).select("id", "tip", "vertex")
+
+
+def _close(spots: DataFrame, tol: float) -> DataFrame:
+    """Pairs (u, v) of spots no farther apart than ``tol``."""
+    if tol <= 0:
+        return spots.select(F.col("vertex").alias("u"), F.col("vertex").alias("v")).limit(0)
+    side = 16.0 * tol
+
+    def cells(c: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(c) - tol) / side), F.floor((F.col(c) + tol) / side)))
+
+    listed = spots.withColumn("cx", cells("x")).withColumn("cy", cells("y"))
+    other = listed.select("cx", "cy", F.col("vertex").alias("v"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    met = listed.join(other, ["cx", "cy"]).filter((F.col("vertex") < F.col("v")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= tol))
+    return met.select(F.col("vertex").alias("u"), "v").distinct()
 
 
 _KINDS = ("start_to_start", "start_to_end", "end_to_start", "end_to_end")
@@ -32,14 +59,14 @@ def _kind(tip_a: Column, tip_b: Column) -> Column:
 
 
 def connected_pairs(segments: DataFrame, tol: float = 1e-3) -> DataFrame:
-    """Touching ends (id_a, id_b, kind): each end with the next one by id at the same vertex.
+    """Touching ends (id_a, id_b, kind) as chains: each end with the next one by id at the same vertex.
 
     At a vertex of two ends this is the one pair. At a vertex of n ends it is the chain of n - 1
-    pairs that ties them together, not their n^2 combinations; the order at a vertex comes
-    from a scan in chunks of the id.
+    pairs that ties them together, not their n^2 combinations, which ``segment_ends`` gives
+    in linear size as vertex membership. The order at a vertex comes from a scan in chunks of the id.
     """
     ends = segment_ends(segments, tol).withColumn("o", F.col("id") * 2 + F.col("tip"))
-    linked = ordered_scan(ends, ["kx", "ky"], ["o"], chunk_of("o", 1 << 17), lead={"next": F.struct("id", "tip")})
+    linked = ordered_scan(ends, ["vertex"], ["o"], chunk_of("o", 1 << 17), lead={"next": F.struct("id", "tip")})
     linked = linked.filter(F.col("next").isNotNull() & (F.col("next.id") != F.col("id")))
     return linked.select(
         F.col("id").alias("id_a"), F.col("next.id").alias("id_b"), _kind(F.col("tip"), F.col("next.tip")).alias("kind")
@@ -52,20 +79,20 @@ def next_connected(segments: DataFrame, tol: float = 1e-3) -> DataFrame:
     A vertex only has to know its two lowest ids, so any number of ends may meet there.
     """
     ends = materialize(segment_ends(segments, tol), "ends")
-    lowest = ends.groupBy("kx", "ky").agg(F.min("id").alias("one"))
+    lowest = ends.groupBy("vertex").agg(F.min("id").alias("one"))
     second = (
-        ends.join(lowest, ["kx", "ky"])
+        ends.join(lowest, ["vertex"])
         .filter(F.col("id") > F.col("one"))
-        .groupBy("kx", "ky")
+        .groupBy("vertex")
         .agg(F.min("id").alias("two"))
     )
-    both = lowest.join(second, ["kx", "ky"])
+    both = lowest.join(second, ["vertex"])
     mate = F.when(F.col("id") == F.col("one"), F.col("two")).otherwise(F.col("one"))
-    cand = materialize(ends.join(both, ["kx", "ky"]).select("id", "tip", "kx", "ky", mate.alias("mate")), "mates")
+    cand = materialize(ends.join(both, ["vertex"]).select("id", "tip", "vertex", mate.alias("mate")), "mates")
     first = cand.groupBy("id").agg(F.min("mate").alias("mate"))
     at = cand.join(first, ["id", "mate"])
-    other = ends.select(F.col("id").alias("mate"), F.col("tip").alias("mate_tip"), "kx", "ky")
-    code = at.join(other, ["mate", "kx", "ky"]).groupBy("id", "mate").agg(F.min(F.col("tip") * 2 + F.col("mate_tip")).alias("code"))
+    other = ends.select(F.col("id").alias("mate"), F.col("tip").alias("mate_tip"), "vertex")
+    code = at.join(other, ["mate", "vertex"]).groupBy("id", "mate").agg(F.min(F.col("tip") * 2 + F.col("mate_tip")).alias("code"))
     return code.select("id", "mate", _kind(F.floor(F.col("code") / 2), F.col("code") % 2).alias("kind"))
 
 
@@ -79,7 +106,7 @@ def stitch_paths(segments: DataFrame, tol: float = 1e-3) -> DataFrame:
     """
     ends = segment_ends(segments, tol).withColumn("o", F.col("id") * 2 + F.col("tip"))
     ranked = ordered_scan(
-        ends, ["kx", "ky"], ["o"], chunk_of("o", 1 << 17),
+        ends, ["vertex"], ["o"], chunk_of("o", 1 << 17),
         index="rn", lag={"before": F.col("o")}, lead={"after": F.col("o")},
     )
     mates = ranked.select("o", F.when(F.col("rn") % 2 == 1, F.col("after")).otherwise(F.col("before")).alias("mate"))

@@ -443,20 +443,37 @@ def split_at_intersections(edges: DataFrame, cutters: DataFrame | None = None, t
     return _pieces(edges.select("id", "seq", *SEG), boundary_cuts(edges, cutters), ["id", "seq"], tol)
 
 
+def meeting_boxes(edges: DataFrame) -> DataFrame:
+    """(id, other): every two shapes whose bounding boxes meet, lower id first."""
+    boxes = materialize(
+        edges.groupBy("id").agg(
+            F.least(F.min("x1"), F.min("x2")).alias("min_x"), F.least(F.min("y1"), F.min("y2")).alias("min_y"),
+            F.greatest(F.max("x1"), F.max("x2")).alias("max_x"), F.greatest(F.max("y1"), F.max("y2")).alias("max_y"),
+        ), "boxes",
+    )
+    met = cell_join(
+        _prefixed(boxes, "a_"), _prefixed(boxes, "b_"), Box(*["a_" + c for c in BOX]), Box(*["b_" + c for c in BOX]),
+        keep=F.col("a_id") < F.col("b_id"),
+    )
+    return met.select(F.col("a_id").alias("id"), F.col("b_id").alias("other"))
+
+
 def polygon_boolean(edges: DataFrame, *modes: str, pairs: DataFrame | None = None, tol: float = 1e-9) -> DataFrame:
     """Boundary pieces of the union, intersection or subtraction of polygon pairs, per mode asked for.
 
-    ``pairs`` (id, other) names the pairs; without it every two polygons whose boundaries meet
-    are taken, lower id first. Both polygons are cut at their crossings with the partner, and a
-    piece stays by whether its midpoint lies in the partner. ``side`` tells which polygon of
-    the pair the piece comes from.
+    ``pairs`` (id, other) names the pairs; without it every two polygons whose bounding boxes meet
+    are taken, lower id first, so one inside the other is a pair too. Both polygons are cut at their
+    crossings with the partner, and a piece stays by whether its midpoint lies in the partner; on
+    the partner's boundary that is so along its left and lower sides only, so of edges that
+    coincide each side is judged alike. ``side`` tells which polygon of the pair the piece comes from.
     """
     rules = {"union": (False, False), "intersection": (True, True), "subtraction": (False, True)}
     if not modes or set(modes) - set(rules):
         raise ValueError(f"modes are {sorted(rules)}, not {modes!r}")
+    edges = materialize(edges.select("id", "seq", *SEG), "edges")
     cuts = materialize(boundary_cuts(edges), "cuts")
     if pairs is None:
-        pairs = cuts.filter("id < other").select("id", "other").distinct()
+        pairs = meeting_boxes(edges)
     sides = F.array(
         F.struct(F.col("id"), F.col("other"), F.lit("a").alias("side")),
         F.struct(F.col("other").alias("id"), F.col("id").alias("other"), F.lit("b").alias("side")),

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 CHUNK_ROWS = 65536
 
@@ -36,7 +35,8 @@ def ordered_scan(
     """Add ordered columns per key group.
 
     running: inclusive running sums. fill: last non-null value up to the row. lag and lead:
-    value of the neighbouring row, null at the ends. index: 1-based row number. ``chunk``
+    value of the neighbouring row, null at the ends. index: 1-based row number. Rows without a
+    key or chunk are left out. ``chunk``
     must not decrease along ``order``. Given as the name of a column, it is kept, so a second
     scan over the same chunks finds the rows already partitioned.
     """
@@ -49,39 +49,43 @@ def ordered_scan(
     feed = {name: f"__in_{name}" for name in fed}
     inputs = {feed[n]: c for n, c in fed.items()}
     base = df.withColumns(inputs if kept_chunk else {ck: chunk, **inputs})
-    pos = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    # rows without a key or place are in no group; said here, it holds for both branches below
+    for name in (*keys, ck):
+        base = base.filter(F.col(name).isNotNull())
 
     inside = Window.partitionBy(*keys, ck).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = {"__first": F.row_number().over(inside) == 1, "__end": F.lead(F.lit(1)).over(inside).isNull()}
-    totals, carry = _Totals(base.schema), {}
+    totals, carry = {}, {}
     before = Window.partitionBy(*keys).orderBy(ck)
     ahead = before.rowsBetween(Window.unboundedPreceding, -1)
     for name in running:
         local[f"__loc_{name}"] = F.sum(feed[name]).over(upto)
-        totals.add(name, feed[name], F.sum)
+        totals[name] = F.col(f"__loc_{name}")
         carry[name] = F.sum(f"__tot_{name}").over(ahead)
     for name in fill:
         local[f"__loc_{name}"] = F.last(feed[name], ignorenulls=True).over(upto)
-        known = F.when(F.col(feed[name]).isNotNull(), pos)
-        totals.add(name, feed[name], lambda c, known=known: F.max_by(c, known))
+        totals[name] = F.col(f"__loc_{name}")
         carry[name] = F.last(f"__tot_{name}", ignorenulls=True).over(ahead)
     for name in lag:
         local[f"__loc_{name}"] = F.lag(feed[name]).over(inside)
-        totals.add(name, feed[name], lambda c: F.max_by(c, pos))
+        totals[name] = F.col(feed[name])
         carry[name] = F.lag(f"__tot_{name}").over(before)
     for name in lead:
         local[f"__loc_{name}"] = F.lead(feed[name]).over(inside)
-        totals.add(name, feed[name], lambda c: F.min_by(c, pos))
+        local[f"__head_{name}"] = F.first(feed[name]).over(upto)
+        totals[name] = F.col(f"__head_{name}")
         carry[name] = F.lead(f"__tot_{name}").over(before)
 
+    # What crosses a border is read off the last row of each chunk, from the rows that the windows saw.
+    # The test on all columns holds always; with it both branches need the same columns, so they share
+    # one shuffle and the input is read once.
+    windowed = base.withColumns(local).filter(F.hash(*base.columns) >= -(1 << 31))
     carried = (
-        base.groupBy(*keys, ck)
-        .agg(*totals.aggregates)
-        .select(*keys, ck, *totals.columns)
+        windowed.filter("__end").select(*keys, ck, *[c.alias(f"__tot_{n}") for n, c in totals.items()])
         .select(*keys, ck, *[c.alias(f"__car_{n}") for n, c in carry.items()])
     )
-    joined = base.withColumns(local).join(carried, [*keys, ck])
+    joined = windowed.join(carried, [*keys, ck])
     result = {}
     for name in running:
         result[name] = F.col(f"__loc_{name}") + F.coalesce(F.col(f"__car_{name}"), F.lit(0))
@@ -114,28 +118,6 @@ def written_scan(
     return ordered_scan(df, keys, order, F.floor(place * parts), lead=lead, index=index)
 
 
-class _Totals:
-    """The per-chunk aggregates. A struct is taken apart into its fields and put together after,
-    so that the aggregation buffers stay of fixed width and the hash aggregate can be used."""
-
-    def __init__(self, schema: StructType):
-        self.schema, self.aggregates, self.columns = schema, [], []
-
-    def add(self, name: str, source: str, fold) -> None:
-        out = f"__tot_{name}"
-        kind = self.schema[source].dataType
-        if not isinstance(kind, StructType):
-            self.aggregates.append(fold(F.col(source)).alias(out))
-            self.columns.append(F.col(out))
-            return
-        self.aggregates.append(fold(F.col(source).isNotNull()).alias(f"{out}__is"))
-        fields = []
-        for field in kind.names:
-            self.aggregates.append(fold(F.col(source)[field]).alias(f"{out}__{field}"))
-            fields.append(F.col(f"{out}__{field}").alias(field))
-        self.columns.append(F.when(F.col(f"{out}__is"), F.struct(*fields)).alias(out))
-
-
 def chunked_fold(
     df: DataFrame,
     keys: list[str],

@@ -79,7 +79,7 @@ def dxf_polyline_vertices(lines: DataFrame) -> DataFrame:
     A vertex opens at its code 10; seq is the pair number of that line, so it grows along the
     polyline without counting.
     """
-    items = dxf_items(lines).filter(F.col("kind") == "LWPOLYLINE")
+    items = materialize(dxf_items(lines).filter(F.col("kind") == "LWPOLYLINE").drop("kind"), "items")  # read twice
     heads = items.groupBy("file", "entity").agg(
         F.max(_only("8")).alias("layer"), F.max(_only("70")).cast("int").alias("flag")
     )
@@ -98,7 +98,7 @@ def dxf_splines(lines: DataFrame) -> DataFrame:
 
     part is knot, x, y or z; i numbers the values of a part. ``splines_from_parts`` packs them.
     """
-    items = dxf_items(lines).filter(F.col("kind") == "SPLINE")
+    items = materialize(dxf_items(lines).filter(F.col("kind") == "SPLINE").drop("kind"), "items")  # read twice
     heads = items.groupBy("file", "entity").agg(
         F.coalesce(F.max(_only("8")), F.lit("0")).alias("layer"),
         F.max(_only("71")).cast("int").alias("degree"),
@@ -131,6 +131,7 @@ def dxf_polylines(vertices: DataFrame, groups: list[str]) -> DataFrame:
     Flag 1 closes the polyline with an edge back to its first vertex. Every arc is a piece of its
     own; straight edges between arcs share one.
     """
+    vertices = materialize(vertices, "vertices")  # read twice
     rows = vertices.withColumn("chunk", chunk_of("seq"))
     rows = ordered_scan(
         rows, groups, ["seq"], "chunk", lead={"next": F.struct("x", "y")}, lag={"last_bulge": F.col("bulge")}

@@ -260,3 +260,68 @@ def test_affine_of_flat_groups(spark):
     one = [6.0 * v / 26.0 for v in (3.0, 4.0, 1.0)]
     assert [got[1].a, got[1].c, got[1].tx] == pytest.approx(one)
     assert [got[2].a, got[2].c, got[2].tx] == pytest.approx([1.0, 2.0, 0.0], abs=1e-9) and got[2].ty == pytest.approx(7.0)
+
+
+def test_booleans_of_nested_and_touching_boxes(spark):
+    from geoloom.operators.generate import box_edges
+    from geoloom.operators.spatial import polygon_boolean
+
+    rows = [(1, 0.0, 0.0, 10.0, 10.0), (2, 2.0, 2.0, 4.0, 4.0), (3, 10.0, 0.0, 20.0, 10.0), (4, 30.0, 0.0, 31.0, 1.0)]
+    boxes = spark.createDataFrame(rows, "id long, min_x double, min_y double, max_x double, max_y double")
+    got = {}
+    for r in polygon_boolean(box_edges(boxes), "union", "intersection", "subtraction").collect():
+        got.setdefault((r.poly_a, r.poly_b, r.mode), []).append((r.side, r.x1, r.y1, r.x2, r.y2))
+    assert {k[:2] for k in got} == {(1, 2), (1, 3)}
+    length = {k: sum(abs(c - a) + abs(d - b) for _, a, b, c, d in v) for k, v in got.items()}
+    assert length[1, 2, "union"] == 40 and length[1, 2, "intersection"] == 8 and length[1, 2, "subtraction"] == 48
+    # the shared edge lies on the right of 1, which is outside, and on the left of 3, which is inside
+    assert {s for s, *_ in got[1, 3, "intersection"]} == {"a"} and length[1, 3, "intersection"] == 10
+    assert length[1, 3, "union"] == 70
+
+
+def test_scan_reads_its_input_once(spark):
+    from geoloom.sources import dxf
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = spark.range(100).selectExpr("'f' AS file", "id AS line_no", "CAST(id AS STRING) AS text").write
+        path = spark.conf.get("spark.checkpoint.dir") + "/lines_once"
+        lines.mode("overwrite").parquet(path)
+        table = spark.read.parquet(path)
+        once = ordered_scan(table, ["file"], ["line_no"], chunk_of("line_no"), fill={"f": F.col("text")}, lead={"n": F.col("text")})
+        twice = ordered_scan(once, ["file"], ["line_no"], chunk_of("line_no"), running={"s": F.lit(1)})
+        for df in (once, twice, dxf.dxf_polylines(dxf.dxf_polyline_vertices(table), ["file", "path_id"])):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan") <= 2 and plan.count("ReusedExchange") >= 1
+        assert once._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_ends_meet_across_cells(spark):
+    from geoloom.operators.graph import next_connected, segment_ends
+
+    rnd = random.Random(9)
+    rows = []
+    for k in range(60):
+        x, y = rnd.choice([0.016, 0.032, 5.0, -0.016]), rnd.choice([0.0, 0.016, 7.0])
+        rows.append((k, x + rnd.uniform(-8e-4, 8e-4), y + rnd.uniform(-8e-4, 8e-4), 100.0 + k, 50.0))
+    rows += [(90, 200.0, 0.0, 300.0, 0.0), (91, 200.0008, 0.0, 300.0, 1.0), (92, 200.0016, 0.0, 300.0, 2.0)]
+    df = spark.createDataFrame(rows, "id long, x1 double, y1 double, x2 double, y2 double")
+    ends = [(i, t, x, y) for i, x1, y1, x2, y2 in rows for t, x, y in ((0, x1, y1), (1, x2, y2))]
+    label = {e[:2]: e[:2] for e in ends}
+    changed = True
+    while changed:
+        changed = False
+        for a in ends:
+            for b in ends:
+                if math.hypot(a[2] - b[2], a[3] - b[3]) <= 1e-3 and label[a[:2]] < label[b[:2]]:
+                    label[b[:2]], changed = label[a[:2]], True
+    groups = {}
+    for r in segment_ends(df).collect():
+        groups.setdefault(r.vertex, set()).add((r.id, r.tip))
+    want = {}
+    for e, top in label.items():
+        want.setdefault(top, set()).add(e)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+    assert {(r.id, r.mate) for r in next_connected(df).collect()} >= {(90, 91), (91, 90), (92, 90)}
