@@ -184,19 +184,33 @@ def slice_facets(facets: DataFrame, thickness: float, base: float | Column = 0.0
 def chain_contours(cuts: DataFrame) -> DataFrame:
     """Link cut segments into contours: the next segment's forward edge is this one's backward edge.
 
-    Out: the cut rows with contour (lowest facet of the ring), pos and is_closed. Links come from
-    one pre-aggregated pass over edges; the order comes from pointer doubling.
+    Out: the cut rows with contour (lowest facet of the ring), pos and is_closed. At an edge of more
+    than two facets the ends pair up by rank. Nodes are numbered in the order of slice, mesh and
+    facet, so one number names them; the order along a contour comes from pointer doubling.
     """
-    cuts = materialize(cuts, "cuts")
-    me = F.struct("slice", "mesh_id", "facet_id")
+    ordered = cuts.sort("slice", "mesh_id", "facet_id").withColumn("node", F.monotonically_increasing_id())
+    cuts = materialize(ordered, "cuts")
+    none = F.lit(None).cast("bigint")
     roles = F.array(
-        F.struct(F.col("fwd").alias("edge"), me.alias("into"), F.lit(None).cast(cuts.select(me.alias("m")).schema["m"].dataType).alias("out")),
-        F.struct(F.col("bwd").alias("edge"), F.lit(None).cast(cuts.select(me.alias("m")).schema["m"].dataType).alias("into"), me.alias("out")),
+        F.struct(F.col("fwd").alias("edge"), F.col("node").alias("into"), none.alias("out")),
+        F.struct(F.col("bwd").alias("edge"), none.alias("into"), F.col("node").alias("out")),
     )
-    seams = cuts.select("mesh_id", "slice", F.inline(roles)).groupBy("mesh_id", "slice", "edge")
-    seams = seams.agg(F.min("into").alias("id"), F.min("out").alias("prev")).filter("id IS NOT NULL AND prev IS NOT NULL")
-    nodes = cuts.select(me.alias("id")).join(seams.select("id", "prev"), "id", "left")
-    ranks = rank_chains(nodes).select(
-        "id.slice", "id.mesh_id", "id.facet_id", F.col("chain.facet_id").alias("contour"), "pos", F.col("is_ring").alias("is_closed")
+    ends = cuts.select("mesh_id", "slice", F.inline(roles))
+    seams = ends.groupBy("mesh_id", "slice", "edge").agg(
+        F.min("into").alias("id"), F.min("out").alias("prev"), F.count("into").alias("n_in"), F.count("out").alias("n_out")
     )
-    return cuts.drop("fwd", "bwd").join(ranks, ["slice", "mesh_id", "facet_id"])
+    seams = materialize(seams.filter("id IS NOT NULL AND prev IS NOT NULL"), "seams")
+    links = seams.filter("n_in = 1 AND n_out = 1").select("id", "prev")
+    shared = seams.filter("n_in > 1 OR n_out > 1").select("mesh_id", "slice", "edge")
+    if not shared.isEmpty():
+        met = ends.join(shared, ["mesh_id", "slice", "edge"]).withColumn("side", F.col("into").isNotNull())
+        met = met.withColumn("node", F.coalesce("into", "out"))
+        ranked = ordered_scan(met, ["mesh_id", "slice", "edge", "side"], ["node"], chunk_of("node"), index="rn")
+        keys = ["mesh_id", "slice", "edge", "rn"]
+        into = ranked.filter("side").select(*keys, F.col("node").alias("id"))
+        out = ranked.filter("NOT side").select(*keys, F.col("node").alias("prev"))
+        links = links.unionByName(into.join(out, keys).select("id", "prev"))
+    nodes = cuts.select(F.col("node").alias("id")).join(links, "id", "left")
+    ranks = rank_chains(nodes).select(F.col("id").alias("node"), F.col("chain"), "pos", F.col("is_ring").alias("is_closed"))
+    heads = cuts.select(F.col("node").alias("chain"), F.col("facet_id").alias("contour"))
+    return cuts.drop("fwd", "bwd").join(ranks, "node").join(heads, "chain").drop("node", "chain")

@@ -134,7 +134,7 @@ def paths_from_sequence(
     return rows.withColumn("pos", F.col("__nth") - F.col("__first")).drop("__nth", "__first", "head", "chunk")
 
 
-def merge_collinear(segments: DataFrame, groups: list[str], order: str, tol: float = 1e-3, rows: int = 512) -> DataFrame:
+def merge_collinear(segments: DataFrame, groups: list[str], order: str, tol: float = 1e-3, rows: int = 4096) -> DataFrame:
     """Merge consecutive segments while the direction stays within ``tol`` of the run's first.
 
     The direction a segment is compared with depends on where the last run began, so the runs
@@ -146,7 +146,7 @@ def merge_collinear(segments: DataFrame, groups: list[str], order: str, tol: flo
     def start(_first: Column) -> Column:
         return F.struct(F.lit(None).cast("double").alias("ref"), empty.alias("out"))
 
-    def step(s: Column, v: Column) -> Column:
+    def step(s: Column, v: Column, _before: Column) -> Column:
         begins = s["ref"].isNull() | (F.abs(g.turn(v["a"] - s["ref"])) > tol)
         return F.struct(
             F.when(begins, v["a"]).otherwise(s["ref"]).alias("ref"),
@@ -168,7 +168,7 @@ def merge_collinear(segments: DataFrame, groups: list[str], order: str, tol: flo
     )
 
 
-def simplify_contour(points: DataFrame, groups: list[str], order: str, tol_deg: float = 1.0, closed: Column | None = None, rows: int = 512) -> DataFrame:
+def simplify_contour(points: DataFrame, groups: list[str], order: str, tol_deg: float = 1.0, closed: Column | None = None, rows: int = 4096) -> DataFrame:
     """Drop contour points while the direction from the last kept point stays within a tolerance.
 
     Points are (groups, order, x, y). The first and last point stay; where ``closed`` (a column
@@ -178,26 +178,20 @@ def simplify_contour(points: DataFrame, groups: list[str], order: str, tol_deg:
     item = F.struct(F.col(order).alias("o"), "x", "y")
     none = F.lit(None).cast("double")
 
-    def start(_first: Column) -> Column:
-        return F.struct(
-            none.alias("lx"), none.alias("ly"), none.alias("ref"), none.alias("px"), none.alias("py"),
-            F.lit(None).cast("bigint").alias("po"), F.array().cast("array<bigint>").alias("out"),
-        )
+    def start(head: Column) -> Column:
+        return F.struct(head["x"].alias("lx"), head["y"].alias("ly"), none.alias("ref"), F.array().cast("array<bigint>").alias("out"))
 
-    def step(s: Column, v: Column) -> Column:
-        first = s["px"].isNull()
+    def step(s: Column, v: Column, p: Column) -> Column:
+        first = p.isNull()
         second = s["ref"].isNull()
         from_last = F.atan2(v["y"] - s["ly"] + 0.0, v["x"] - s["lx"] + 0.0)
-        from_prev = F.atan2(v["y"] - s["py"] + 0.0, v["x"] - s["px"] + 0.0)
+        from_prev = F.atan2(v["y"] - p["y"] + 0.0, v["x"] - p["x"] + 0.0)
         bends = ~first & ~second & (F.abs(g.turn(from_last - s["ref"])) > tol)
-        kept = F.when(first, v["o"]).when(bends, s["po"])
+        kept = F.when(first, v["o"]).when(bends, p["o"])
         return F.struct(
-            F.when(first, v["x"]).when(bends, s["px"]).otherwise(s["lx"]).alias("lx"),
-            F.when(first, v["y"]).when(bends, s["py"]).otherwise(s["ly"]).alias("ly"),
+            F.when(first, v["x"]).when(bends, p["x"]).otherwise(s["lx"]).alias("lx"),
+            F.when(first, v["y"]).when(bends, p["y"]).otherwise(s["ly"]).alias("ly"),
             F.when(first, none).when(second, from_last).when(bends, from_prev).otherwise(s["ref"]).alias("ref"),
-            v["x"].alias("px"),
-            v["y"].alias("py"),
-            v["o"].alias("po"),
             F.when(kept.isNotNull(), F.array_append(s["out"], kept)).otherwise(s["out"]).alias("out"),
         )
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from geoloom.plans.scratch import discard, materialize
+from geoloom.plans.scratch import materialize
 
 
 def rank_chains(nodes: DataFrame) -> DataFrame:
@@ -34,10 +34,18 @@ def rank_chains(nodes: DataFrame) -> DataFrame:
         F.col("prev").isNull().alias("done"),
     )
     state, seen = _written(first.withColumn("moved", F.lit(True)))
+    settled = [state.filter("done")]
     while seen["open"]:
-        far = state.select(F.col("id").alias("head"), *[F.col(c).alias("far_" + c) for c in ("head", "hops", "low", "low_hops", "done")])
+        # settled nodes are read, and written only once; a round writes the open ones
+        known = settled[0]
+        for part in settled[1:]:
+            known = known.unionByName(part)
+        rest = state.filter("NOT done")
+        far = known.unionByName(rest).select(
+            F.col("id").alias("head"), *[F.col(c).alias("far_" + c) for c in ("head", "hops", "low", "low_hops", "done")]
+        )
         lower = F.col("far_low") < F.col("low")
-        stepped = state.filter("NOT done").join(far, "head").select(
+        stepped = rest.join(far, "head").select(
             "id",
             F.col("far_head").alias("head"),
             (F.col("hops") + F.col("far_hops")).alias("hops"),
@@ -46,16 +54,19 @@ def rank_chains(nodes: DataFrame) -> DataFrame:
             F.col("far_done").alias("done"),
             lower.alias("moved"),
         )
-        settled = state.filter("done").withColumn("moved", F.lit(False))
-        renewed, now = _written(settled.unionByName(stepped))
-        discard(state)
+        renewed, now = _written(stepped)
         # Open chains close at least one node per round, so an idle round leaves only rings; their
         # least id is known once a whole round has not lowered it anywhere.
         idle = now["open"] == seen["open"] and now["moved"] == 0
         state, seen = renewed, now
         if idle:
+            settled.append(state)
             break
-    return state.select(
+        settled.append(state.filter("done"))
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return out.select(
         "id",
         F.when(F.col("done"), F.col("head")).otherwise(F.col("low")).alias("chain"),
         F.when(F.col("done"), F.col("hops")).otherwise(F.col("low_hops")).alias("pos"),

@@ -126,63 +126,81 @@ def chunked_fold(
     start,
     step,
     *,
-    rows: int = 512,
+    rows: int = 4096,
 ):
     """Left fold with data-dependent state along each group, in bounded chunks.
 
     ``item`` is the struct fed to the fold, ``start(first item)`` the state at the head of a
-    group and ``step(state, item)`` the next state; the state must carry ``out``, an array
-    that ``step`` extends and that is emptied at every chunk border.
-
-    All chunks fold at once. A later chunk first guesses that a group starts at its head;
-    rounds then hand each chunk the exit state of the one before, until no entry state
-    changes. The first chunk of a group is right from the start and each round settles at
-    least one more, so the fixed point equals the sequential fold. Groups that fit one chunk,
-    the usual case, need no round.
+    group and ``step(state, item, previous item)`` the next state (the previous item is null at
+    the head of a group); the state must carry ``out``, an array that ``step`` extends and that is
+    emptied at every chunk border.
+
+    All chunks fold at once, each as if a group started at its head. Rounds then compare the exit
+    state of each chunk with the entry of the next. Of chunks that entered wrongly, the first of a
+    run takes its neighbour's exit and the rest of the run takes the same state, as if it passed
+    through. The first one is right after that, so a group needs at most as many rounds as it has
+    chunks; a state that passes through unchanged, as along a straight path, needs two however
+    long the path, and chunks whose fold forgets its entry settle at once. A round folds and writes
+    only the chunks whose entry moved; the items are written once.
 
     Returns one row per (keys, chunk) with ``out`` and ``exit`` (the state without ``out``).
     """
     from geoloom.plans.scratch import discard, materialize
 
+    at = [*keys, "__chunk"]
     numbered = df.withColumns({"__chunk": chunk_of(order, rows), "__item": item})
     packed = (
-        numbered.groupBy(*keys, "__chunk")
+        numbered.groupBy(*at)
         .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__item").alias("v")))).alias("__a"))
         .withColumn("__items", F.transform("__a", lambda s: s["v"]))
         .drop("__a")
     )
     packed = materialize(packed, "fold")
-    fresh = packed.withColumn("__entry", start(F.col("__items")[0]))
-
-    def folded(frame: DataFrame) -> DataFrame:
-        done = F.aggregate("__items", F.col("__entry"), step)
-        return frame.withColumn("__done", done).withColumn("exit", F.col("__done").dropFields("out"))
-
-    spans = packed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    state = folded(fresh)
-    if spans <= 1:
-        return state.select(*keys, "__chunk", "__items", F.col("__done")["out"].alias("out"), "exit")
-
-    state = materialize(state, "fold")
-    empty = F.slice(F.col("__done")["out"], 1, 0)
     along = Window.partitionBy(*keys).orderBy("__chunk")
+    borders = packed.select(*at, F.lag(F.element_at("__items", -1)).over(along).alias("__before"))
+    packed = packed.join(materialize(borders, "borders"), at)
+
+    def folded(frame: DataFrame, number: int) -> DataFrame:
+        before = F.concat(F.array("__before"), F.slice("__items", 1, F.size("__items") - 1))
+        pairs = F.zip_with("__items", before, lambda v, p: F.struct(v.alias("v"), p.alias("p")))
+        done = F.aggregate(pairs, F.col("__entry"), lambda s, x: step(s, x["v"], x["p"]))
+        rows = frame.withColumn("__done", done)
+        rows = rows.select(
+            *at, F.col("__entry").dropFields("out").alias("__entry"), F.col("__done").dropFields("out").alias("exit"),
+            F.col("__done")["out"].alias("out"), F.lit(number).alias("__round"),
+        )
+        return materialize(rows, "fold")
+
+    fresh = packed.withColumn("__entry", start(F.col("__items")[0]))
+    rounds = [folded(fresh, 0)]
+    light = rounds[0].select(*at, "__entry", "exit")
+    blank = fresh.schema["__entry"].dataType["out"].dataType
     while True:
-        exits = state.select(*keys, "__chunk", F.lag("exit").over(along).alias("__handed"))
-        handed = state.withColumn("__blank", empty).join(exits, [*keys, "__chunk"])
-        entry = F.when(
-            F.col("__handed").isNotNull(), F.col("__handed").withField("out", F.col("__blank"))
-        ).otherwise(F.col("__entry"))
-        moved = ~entry.dropFields("out").eqNullSafe(F.col("__entry").dropFields("out"))
+        handed = light.withColumn("__handed", F.lag("exit").over(along))
+        moved = F.col("__handed").isNotNull() & ~F.col("__handed").eqNullSafe(F.col("__entry"))
+        handed = handed.withColumn("__moved", moved)
+        heads = F.when(F.col("__moved") & ~F.coalesce(F.lag("__moved").over(along), F.lit(False)), F.col("__handed"))
+        given = F.last(heads, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+        update = handed.withColumn("__given", given).filter("__moved").select(*at, "__given")
+        update = materialize(update, "moved")
+        if update.isEmpty():
+            break
+        entry = F.col("__given").withField("out", F.array().cast(blank))
+        rounds.append(folded(packed.join(update, at).withColumn("__entry", entry), len(rounds)))
+        new = rounds[-1].select(*at, F.col("__entry").alias("__e"), F.col("exit").alias("__x"), F.lit(True).alias("__new"))
+        both = light.join(new, at, "left")
         renewed = materialize(
-            folded(
-                handed.withColumns({"__moved": moved, "__entry": entry}).select(
-                    *keys, "__chunk", "__items", "__entry", "__moved"
-                )
-            ),
-            "fold",
-        )
-        discard(state)
-        state = renewed.drop("__moved")
-        state._scratch_path = renewed._scratch_path
-        if renewed.filter("__moved").isEmpty():
-            return state.select(*keys, "__chunk", "__items", F.col("__done")["out"].alias("out"), "exit")
+            both.select(
+                *at, F.when(F.col("__new"), F.col("__e")).otherwise(F.col("__entry")).alias("__entry"),
+                F.when(F.col("__new"), F.col("__x")).otherwise(F.col("exit")).alias("exit"),
+            ), "light",
+        )
+        discard(light)
+        light = renewed
+    if len(rounds) == 1:
+        return rounds[0].select(*at, "out", "exit")
+    every = rounds[0]
+    for part in rounds[1:]:
+        every = every.unionByName(part)
+    last = every.groupBy(*at).agg(F.max_by(F.struct("out", "exit"), "__round").alias("__last"))
+    return last.select(*at, "__last.out", "__last.exit")

@@ -325,3 +325,18 @@ def test_ends_meet_across_cells(spark):
         want.setdefault(top, set()).add(e)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
     assert {(r.id, r.mate) for r in next_connected(df).collect()} >= {(90, 91), (91, 90), (92, 90)}
+
+
+def test_straight_path_settles_in_two_rounds(spark, monkeypatch):
+    from geoloom.plans import scratch
+
+    written = []
+    plain = scratch.materialize
+    monkeypatch.setattr(scratch, "materialize", lambda df, name="table": written.append(name) or plain(df, name))
+    segs = spark.range(400).selectExpr("1L AS path_id", "id AS seq", "id * 1.0D AS x1", "0.0D AS y1", "id + 1.0D AS x2", "0.0D AS y2")
+    got = merge_collinear(segs, ["path_id"], "seq", rows=4).collect()
+    assert [(r["seq"], r["merged"]) for r in got] == [(0, 400)] and written.count("moved") <= 3
+    written.clear()
+    pts = spark.range(401).selectExpr("1L AS g", "id AS pos", "id * 1.0D AS x", "0.0D AS y")
+    kept = simplify_contour(pts, ["g"], "pos", rows=4).collect()
+    assert sorted(r["pos"] for r in kept) == [0, 400] and written.count("moved") <= 4
