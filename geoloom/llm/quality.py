@@ -22,13 +22,16 @@ from geoloom.plans.scratch import materialize
 REPEAT = 8
 LEAST, SPREAD = 50, 3
 #: rate -> slack: the upper fence is at least this
-SLACK = {"symbols": 100, "dup_lines": 300, "repeats": 200, "word_length": 20000}
+SLACK = {"symbols": 100, "dup_lines": 500, "stutter": 100, "word_length": 20000}
 _SPACE = r"[\x20\x09-\x0D]+"
 _SPACES = " \t\n\x0b\f\r"
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without ``text`` but with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
+    """``docs`` without ``text`` but with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stutter.
+
+    n_stutter: words equal to the word before them.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     core = F.btrim(body, F.lit(_SPACES))
     one = docs.withColumn("_words", F.when(F.length(core) > 0, F.split(core, _SPACE)).otherwise(F.array().cast("array<string>")))
@@ -46,6 +49,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     four = three.withColumn("_twins", F.array_sort(F.transform(F.filter("_pairs", twin), lambda x: x["i"])))
     steps = F.zip_with("_twins", F.slice("_twins", 2, F.greatest(F.size("_twins"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(REPEAT)), F.lit(REPEAT)))
     covered = F.coalesce(F.aggregate(steps, F.lit(0), lambda s, x: s + x), F.lit(0))
+    pairwise = F.zip_with("_words", F.slice("_words", 2, F.greatest(n, F.lit(1))), lambda a, b: F.coalesce(a == b, F.lit(False)))
     kept = [c for c in docs.columns if c != text]
     return four.select(
         *(F.col(f"`{c}`") for c in kept),
@@ -55,6 +59,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
+        F.size(F.filter(pairwise, lambda x: x)).cast("long").alias("n_stutter"),
     )
 
 
@@ -66,7 +71,8 @@ def _rates() -> dict[str, Column]:
 
     return {
         "symbols": rate("n_symbols", "n_words"), "dup_lines": rate("n_dup_lines", "n_lines"),
-        "repeats": rate("n_repeat_words", "n_words"), "word_length": rate("word_chars", "n_words"),
+        "stutter": rate("n_stutter", "n_words"),
+        "word_length": rate("word_chars", "n_words"),
     }
 
 
@@ -140,7 +146,7 @@ def report(spark, sf_dir: str) -> DataFrame:
 _RATES_SQL = "unnest([" + ", ".join(
     f"{{'rate': '{k}', 'x': {v}}}" for k, v in {
         "symbols": "n_symbols * 1000 // greatest(n_words, 1)", "dup_lines": "n_dup_lines * 1000 // greatest(n_lines, 1)",
-        "repeats": "n_repeat_words * 1000 // greatest(n_words, 1)", "word_length": "word_chars * 1000 // greatest(n_words, 1)",
+        "stutter": "n_stutter * 1000 // greatest(n_words, 1)", "word_length": "word_chars * 1000 // greatest(n_words, 1)",
     }.items()) + "])"
 SQL = rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text,
@@ -153,7 +159,8 @@ ln AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup FRO
 c AS (SELECT r, doc_id, coalesce('=' || lang, '?') AS l, coalesce('=' || source, '?') AS s, CAST(len(w) AS BIGINT) AS n_words,
              CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-             coalesce(n_lines, 0) AS n_lines, coalesce(dup, 0) AS n_dup_lines, coalesce(k, 0) AS n_repeat_words
+             coalesce(n_lines, 0) AS n_lines, coalesce(dup, 0) AS n_dup_lines, coalesce(k, 0) AS n_repeat_words,
+             len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutter
       FROM d LEFT JOIN rep USING (r) LEFT JOIN ln USING (r)),
 b AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
 v AS (SELECT r, l, s, u.rate, u.x FROM (SELECT *, {_RATES_SQL} AS u FROM b WHERE NOT base_failed)),
