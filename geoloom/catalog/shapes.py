@@ -99,6 +99,58 @@ def _(fx):
     return rounded(m.point_at(fx.vertex, 1.25))
 
 
+_SHAPES = """
+    , sh AS (SELECT id, 'line' AS kind, x1, y1, x2, y2, 0.0 AS cx, 0.0 AS cy, 0.0 AS r, 0.0 AS a0, 0.0 AS sw FROM fx_segment
+             UNION ALL SELECT id, kind, 0, 0, 0, 0, cx, cy, r, CASE WHEN kind = 'circle' THEN 0 ELSE a0 END,
+                              CASE WHEN kind = 'circle' THEN 2 * pi() WHEN a1 < a0 THEN a1 + 2 * pi() - a0 ELSE a1 - a0 END FROM fx_curve
+             UNION ALL SELECT id, 'ellipse', 0, 0, 0, 0, cx, cy, r, a0, a1 - a0 FROM fx_curve
+             UNION ALL SELECT id, 'bezier2', x1, y1, x2, y2, y1, x2, 0, 0, 0 FROM fx_segment),
+    pt AS (SELECT id, kind, i, CASE kind WHEN 'line' THEN x1 + (x2 - x1) * t WHEN 'bezier2' THEN (1 - t) * (1 - t) * x1 + 2 * t * (1 - t) * cx + t * t * x2
+                                         ELSE cx + r * cos(a0 + sw * t) END AS x,
+                  CASE kind WHEN 'line' THEN y1 + (y2 - y1) * t WHEN 'bezier2' THEN (1 - t) * (1 - t) * y1 + 2 * t * (1 - t) * cy + t * t * y2
+                            ELSE cy + r * (CASE WHEN kind = 'ellipse' THEN 0.5 ELSE 1 END) * sin(a0 + sw * t) END AS y
+           FROM (SELECT *, i / 6.0 AS t FROM sh CROSS JOIN range(7) AS n(i)) q)"""
+
+
+def _shapes(fx):
+    lines = fx.segment.select("id", F.lit("line").alias("kind"), "x1", "y1", "x2", "y2")
+    curves = fx.curve.select("id", "kind", "cx", "cy", "r", "a0", "a1")
+    ellipses = fx.curve.select("id", F.lit("ellipse").alias("kind"), "cx", "cy", F.col("r").alias("ra"), (F.col("r") / 2).alias("rb"), "a0", "a1")
+    beziers = fx.segment.select(
+        "id", F.lit("bezier2").alias("kind"), F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("y1").alias("x1"), F.col("x2").alias("y1"), "x2", "y2"
+    )
+    return tr.concat_geometries(lines, curves, ellipses, beziers)
+
+
+@query("points_along_shapes", "segment", "curve", sql=_SHAPES + " SELECT id, kind, i, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y FROM pt")
+def _(fx):
+    return rounded(gen.points_along(_shapes(fx), 7), 3)
+
+
+@query(
+    "split_even_shapes", "segment", "curve",
+    sql=_SHAPES + """ SELECT a.id, a.i, round(a.x, 3) + 0.0 AS x1, round(a.y, 3) + 0.0 AS y1, round(b.x, 3) + 0.0 AS x2, round(b.y, 3) + 0.0 AS y2
+    FROM pt a JOIN pt b ON a.id = b.id AND a.kind = b.kind AND b.i = a.i + 1""",
+)
+def _(fx):
+    return rounded(gen.split_even(_shapes(fx), 6), 3)
+
+
+@query(
+    "points_along_paths", "vertex",
+    sql="""
+    , s AS (SELECT path_id, seq, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM fx_vertex WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
+    l AS (SELECT *, sqrt((x2-x1)*(x2-x1) + (y2-y1)*(y2-y1)) AS len FROM s WHERE x2 IS NOT NULL),
+    c AS (SELECT *, sum(len) OVER (PARTITION BY path_id ORDER BY seq) AS upto, sum(len) OVER (PARTITION BY path_id) AS total FROM l),
+    g AS (SELECT *, i * total / 10 AS goal FROM c CROSS JOIN range(11) AS n(i)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY path_id, i ORDER BY seq) AS rn FROM g WHERE upto >= goal - 1e-6 * total)
+    SELECT path_id, i, round(x1 + (x2 - x1) * least(1, (goal - upto + len) / len), 3) + 0.0 AS x, round(y1 + (y2 - y1) * least(1, (goal - upto + len) / len), 3) + 0.0 AS y
+    FROM f WHERE rn = 1""",
+)
+def _(fx):
+    return rounded(gen.points_along_paths(m.measured_path_segments(fx.vertex), 11), 3)
+
+
 @query(
     "extents_of", "segment",
     sql="""

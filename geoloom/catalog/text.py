@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from geoloom.catalog import query
 from geoloom.catalog.joins import _PART, _ROUND_PART, _TILES
 from geoloom.catalog.shapes import rounded
+from geoloom.functions.geometry import fixed
 from geoloom.operators import aggregate as agg
 from geoloom.operators import spatial as sp
+from geoloom.operators.transform import concat_geometries
 from geoloom.plans.scratch import scratch_path
 from geoloom.sources import drill, dxf, lines, sinks, stl, vectors
 
@@ -27,6 +29,26 @@ def _(fx):
     return dxf.dxf_entities(fx.dxf_line).select("file", "entity", "kind", "layer", "x1", "y1", "x2", "y2")
 
 
+@query(
+    "dxf_round_trip", "segment", "curve", "point",
+    sql="""
+    SELECT 'LINE' AS kind, layer, x1, y1, x2, y2, NULL::DOUBLE AS r, NULL::DOUBLE AS a0, NULL::DOUBLE AS a1 FROM fx_segment
+    UNION ALL SELECT 'POINT', layer, x, y, NULL, NULL, NULL, NULL, NULL FROM fx_point
+    UNION ALL SELECT upper(kind), 'curves', cx, cy, NULL, NULL, r, CASE WHEN kind = 'arc' THEN round(a0, 6) END, CASE WHEN kind = 'arc' THEN round(a1, 6) END FROM fx_curve""",
+)
+def _(fx):
+    # to text files per layer, read back by lines, and parsed
+    shapes = concat_geometries(
+        fx.segment.select(F.lit("line").alias("kind"), "id", "layer", "x1", "y1", "x2", "y2"),
+        fx.point.select(F.lit("point").alias("kind"), (F.col("id") + 10**9).alias("id"), "layer", F.col("x").alias("x1"), F.col("y").alias("y1")),
+        fx.curve.select("kind", (F.col("id") + 2 * 10**9).alias("id"), F.lit("curves").alias("layer"), "cx", "cy", "r", "a0", "a1"),
+    )
+    path = scratch_path(fx.spark, "drawing")
+    sinks.save_dxf(sinks.write_dxf_lines(shapes), path)
+    back = dxf.dxf_entities(lines.read_lines(fx.spark, path))
+    return back.select("kind", "layer", "x1", "y1", "x2", "y2", "r", fixed("a0", 6).alias("a0"), fixed("a1", 6).alias("a1"))
+
+
 @query(
     "dxf_polylines", "vertex",
     sql="""

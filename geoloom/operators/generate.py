@@ -151,17 +151,58 @@ def arcs_from_points(arcs: DataFrame) -> DataFrame:
     return rows.withColumn("sweep", g.sweep("a0", "a1"))
 
 
-def points_along(segments: DataFrame, n: int) -> DataFrame:
-    """n evenly spaced points on every segment, both ends included."""
-    rows = segments.withColumn("i", steps(n - 1)).withColumn("t", F.col("i") / float(n - 1))
-    return rows.select("id", "i", g.mix("x1", "x2", "t").alias("x"), g.mix("y1", "y2", "t").alias("y"))
+def shape_point(shapes: DataFrame, at: Column) -> tuple[Column, Column]:
+    """Point at fraction ``at`` of each row, by its ``kind``: line (also where there is no kind), circle, arc, ellipse, bezier2, bezier3.
 
+    Beziers have control points x0, y0 .. x3, y3; an ellipse runs from a0 to a1 on the semi-axes ra and
+    rb. Kinds whose columns the table lacks do not occur in it.
+    """
+    names = set(shapes.columns)
+    kinds: list[tuple[str, tuple[Column, Column]]] = []
+    if {"cx", "cy", "r", "a0", "a1"} <= names and "kind" in names:
+        kinds += [("circle", curve_point(at)), ("arc", curve_point(at))]
+    if {"cx", "cy", "ra", "rb", "a0", "a1"} <= names:
+        a = F.col("a0") + (F.col("a1") - F.col("a0")) * at
+        kinds.append(("ellipse", (F.col("cx") + F.col("ra") * F.cos(a), F.col("cy") + F.col("rb") * F.sin(a))))
+    s = 1.0 - at
+    for degree, weights in ((2, [s * s, 2.0 * s * at, at * at]), (3, [s * s * s, 3.0 * s * s * at, 3.0 * s * at * at, at * at * at])):
+        if {f"{c}{k}" for c in "xy" for k in range(degree + 1)} <= names:
+            kinds.append((f"bezier{degree}", tuple(_blend(weights, [f"{c}{k}" for k in range(degree + 1)]) for c in "xy")))
+    line = (g.mix("x1", "x2", at), g.mix("y1", "y2", at)) if {"x1", "y1", "x2", "y2"} <= names else None
+    out = line if line and "kind" not in names else tuple(F.when(F.col("kind") == "line", v) for v in line) if line else (F.lit(None), F.lit(None))
+    for kind, point in kinds:
+        out = tuple(F.when(F.col("kind") == kind, p).otherwise(o) for p, o in zip(point, out))
+    return out
+
+
+def points_along(shapes: DataFrame, n: int) -> DataFrame:
+    """n evenly spaced points on every shape (see ``shape_point``), both ends included."""
+    rows = shapes.withColumn("i", steps(n - 1))
+    x, y = shape_point(shapes, F.col("i") / float(n - 1))
+    return rows.select("id", *(["kind"] if "kind" in shapes.columns else []), "i", x.alias("x"), y.alias("y"))
 
-def split_even(curves: DataFrame, n: int) -> DataFrame:
-    """Split every circle or arc into n chords."""
-    rows = curves.withColumn("i", steps(n - 1))
-    x1, y1 = curve_point(F.col("i") / float(n))
-    x2, y2 = curve_point((F.col("i") + 1) / float(n))
+
+def points_along_paths(measured: DataFrame, n: int) -> DataFrame:
+    """n points evenly spaced along every path; ``measured`` is the result of ``measured_path_segments``.
+
+    Each segment lists the points that fall on it. A point at a joint comes from the earlier segment.
+    """
+    total = measured.groupBy("path_id").agg(F.max("len_to").alias("total"))
+    rows = measured.join(total, "path_id").filter("total > 0")
+    unit = F.col("total") / (n - 1)
+    low = F.greatest(F.ceil(F.col("len_from") / unit - 1e-9), F.lit(0))
+    high = F.least(F.floor(F.col("len_to") / unit + 1e-9), F.lit(n - 1))
+    rows = rows.withColumn("i", F.explode(F.when(low <= high, F.sequence(low, high))))
+    t = F.coalesce(g.ratio(F.col("i") * unit - F.col("len_from"), F.col("len")), F.lit(0.0))
+    points = rows.select("path_id", "i", "seq", g.mix("x1", "x2", t).alias("x"), g.mix("y1", "y2", t).alias("y"))
+    return points.groupBy("path_id", "i").agg(F.min_by("x", "seq").alias("x"), F.min_by("y", "seq").alias("y"))
+
+
+def split_even(shapes: DataFrame, n: int) -> DataFrame:
+    """Split every shape (see ``shape_point``) into n chords."""
+    rows = shapes.withColumn("i", steps(n - 1))
+    x1, y1 = shape_point(shapes, F.col("i") / float(n))
+    x2, y2 = shape_point(shapes, (F.col("i") + 1) / float(n))
     return rows.select("id", "i", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
 
 

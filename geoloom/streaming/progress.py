@@ -47,16 +47,19 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "com
         query.awaitTermination()
         return spark.read.schema(stream.schema).parquet(path)
 
-    newest = []
-
     def save(batch: DataFrame, number: int) -> None:
-        target = f"{path}/batch={number}"
-        batch.write.mode("overwrite").parquet(target)
-        newest.append(target)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     query = (
         stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(newest[-1])
+    # found in the folder, so that a restart without new events still has the answer
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in store.listStatus(folder)] if store.exists(folder) else []
+    batches = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch={max(batches)}")
