@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from geoloom.catalog import query
-from geoloom.functions import affine
+from geoloom.functions import affine, affine3
 from geoloom.functions import geometry as g
 from geoloom.functions.geometry import fixed
 from geoloom.operators import aggregate as agg
@@ -531,6 +531,20 @@ _AFFINE = """
                  CASE WHEN whole THEN grp ELSE gu END AS tx, CASE WHEN whole THEN -5 ELSE gv END AS ty FROM r)"""
 
 
+@query(
+    "apply_transform_3d", "point",
+    sql="""
+    , s AS (SELECT id, (x - 10) * 2 AS x, (y - 20) * 0.5 AS y, (z - 5) * 3 AS z FROM fx_point),
+    a AS (SELECT id, x, y * cos(0.3) - z * sin(0.3) AS y, y * sin(0.3) + z * cos(0.3) AS z FROM s),
+    b AS (SELECT id, x * cos(-0.2) + z * sin(-0.2) AS x, y, z * cos(-0.2) - x * sin(-0.2) AS z FROM a),
+    c AS (SELECT id, x * cos(1.1) - y * sin(1.1) AS x, x * sin(1.1) + y * cos(1.1) AS y, z FROM b)
+    SELECT id, round(x + 10 + 7, 3) + 0.0 AS x, round(y + 20 - 8, 3) + 0.0 AS y, round(z + 5 + 9, 3) + 0.0 AS z FROM c""",
+)
+def _(fx):
+    turned = affine3.about(10.0, 20.0, 5.0, affine3.scale(2.0, 0.5, 3.0).then(affine3.rotate(0.3, -0.2, 1.1)))
+    return rounded(affine3.apply_transform_3d(fx.point, turned.then(affine3.translate(7.0, -8.0, 9.0))).select("id", "x", "y", "z"), 3)
+
+
 @query(
     "apply_group_transform", "pair", "segment",
     sql=_AFFINE + """

@@ -72,14 +72,9 @@ def segment_intersections(a: DataFrame, b: DataFrame | None = None, *, cell: flo
     def distinct(rows: DataFrame) -> DataFrame:
         return rows.groupBy(*SEG).agg(F.min("id").alias("id"))
 
-    def has_copies(rows: DataFrame) -> bool:
-        return not rows.groupBy(*SEG).count().filter("count > 1").isEmpty()
-
     order = (F.col("a_id") < F.col("b_id")) if b is None else None
-    if not has_copies(left) and (b is None or not has_copies(right)):
-        found = crossings(_prefixed(left, "a_"), _prefixed(right, "b_"), pair=order, **options)
-        return found.select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"), "x", "y")
-    ua, ub = distinct(left), distinct(right)
+    ua = materialize(distinct(left), "shapes")
+    ub = ua if b is None else materialize(distinct(right), "shapes")
     found = crossings(_prefixed(ua, "a_"), _prefixed(ub, "b_"), pair=order, **options).select("a_id", "b_id", "x", "y")
 
     def members(rows: DataFrame, unique: DataFrame, tag: str) -> DataFrame:

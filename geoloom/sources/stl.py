@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.plans.scan import chunk_of, ordered_scan
+from geoloom.plans.scratch import qualified
 
 FLAT = 1e-4
 CORNERS = [f"{axis}{i}" for i in range(3) for axis in "xyz"]
@@ -36,29 +37,57 @@ def stl_ascii_facets(lines: DataFrame, flat: float = FLAT) -> DataFrame:
     return rows.groupBy("file", "facet_no").agg(*corners).filter(_not_flat(flat))
 
 
-def stl_binary_facets(spark: SparkSession, path: str, flat: float = FLAT) -> DataFrame:
-    """Binary mesh files -> facets; each file is decoded as one array, in Arrow batches."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def stl_binary_facets(spark: SparkSession, path: str, flat: float = FLAT, facets_per_task: int = 1 << 18) -> DataFrame:
+    """Binary mesh files -> facets (file, facet_no, x0 .. z2).
+
+    Files are listed by Spark and dealt to tasks in ranges of whole records, so a file of any size
+    is read by many tasks.
+    """
+    record = _record().itemsize
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+    held = F.expr(f"(length - {HEADER_BYTES + 4}) div {record}")
+    starts = F.sequence(F.lit(0).cast("bigint"), held - 1, F.lit(facets_per_task).cast("bigint"))
+    ranges = files.filter(held > 0).select("file", held.alias("held"), F.explode(starts).alias("first"))
+    ranges = ranges.withColumn("count", F.least(F.lit(facets_per_task), F.col("held") - F.col("first")))
     schema = "file string, facet_no bigint, " + ", ".join(f"{c} double" for c in CORNERS)
-    return files.mapInPandas(_decoded, schema).filter(_not_flat(flat))
+    return ranges.repartition("file", "first").mapInPandas(_decoded, schema).filter(_not_flat(flat))
+
+
+def _record():
+    import numpy as np
+
+    return np.dtype([(n, t, *([(s[0],)] if s else [])) for n, t, *s in RECORD])
+
+
+def _opened(path: str):
+    """File system and path within it."""
+    import re
+
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
 
 
 def _decoded(batches):
     import numpy as np
     import pandas as pd
 
-    dtype = np.dtype([(n, t, *([(s[0],)] if s else [])) for n, t, *s in RECORD])
-    step = 1 << 16
+    dtype, step = _record(), 1 << 16
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            count = int(np.frombuffer(content, "<u4", 1, HEADER_BYTES)[0])
-            records = np.frombuffer(content, dtype, count, HEADER_BYTES + 4)
-            for start in range(0, count, step):
-                part = records["corners"][start : start + step].astype("f8")
-                out = pd.DataFrame(part, columns=CORNERS)
-                out.insert(0, "facet_no", np.arange(start, start + len(part), dtype="i8"))
-                out.insert(0, "file", path)
-                yield out
+        for path, first, count in zip(batch["file"], batch["first"], batch["count"]):
+            store, name = _opened(path)
+            with store.open_input_file(name) as file:
+                file.seek(HEADER_BYTES)
+                told = int(np.frombuffer(file.read(4), "<u4")[0])
+                end = min(first + count, told)  # bytes behind the told facets are none
+                file.seek(HEADER_BYTES + 4 + first * dtype.itemsize)
+                for start in range(first, end, step):
+                    n = min(step, end - start)
+                    records = np.frombuffer(file.read(n * dtype.itemsize), dtype, n)
+                    out = pd.DataFrame(records["corners"].astype("f8"), columns=CORNERS)
+                    out.insert(0, "facet_no", np.arange(start, start + n, dtype="i8"))
+                    out.insert(0, "file", path)
+                    yield out
 
 
 def write_binary_stl(facets: DataFrame, path: str, facets_per_file: int = 65536) -> int:
@@ -67,19 +96,18 @@ def write_binary_stl(facets: DataFrame, path: str, facets_per_file: int = 65536)
     Each group of ids becomes one file, written by the task that holds it.
     """
     schema = "name string"
+    folder = qualified(facets.sparkSession, path)
     keyed = facets.select("facet_id", *CORNERS).withColumn("part", F.floor(F.col("facet_id") / facets_per_file))
 
     def save(key, pdf):
         import numpy as np
         import pandas as pd
-        from pyarrow import fs
 
-        dtype = np.dtype([(n, t, *([(s[0],)] if s else [])) for n, t, *s in RECORD])
+        dtype = _record()
         pdf = pdf.sort_values("facet_id")
         records = np.zeros(len(pdf), dtype)
         records["corners"] = pdf[CORNERS].to_numpy("f4")
-        where = path if "://" in path else "file://" + path
-        store, root = fs.FileSystem.from_uri(where)
+        store, root = _opened(folder)
         store.create_dir(root, recursive=True)
         name = f"{root}/part-{key[0]}.stl"
         with store.open_output_stream(name) as out:
