@@ -13,10 +13,15 @@ from geoloom.llm import decontaminate, mixing, simhash, suffixdedup, toxicity
 from geoloom.plans.scratch import discard, materialize
 
 
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold of their language."""
     model = toxicity.train(docs.select("doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
-    return toxicity.score_documents(docs, model).where("not rejected").select(*docs.columns)
+    scored = toxicity.score_documents(docs, model, score="_score", rejected="_rejected")
+    return scored.where("not _rejected").select(*_columns(docs))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +31,13 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of 400 bytes that occur more than once; n_chars follows."""
-    return suffixdedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return suffixdedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*_columns(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows hit less than a twentieth of the words."""
-    found = decontaminate.find_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~decontaminate.is_contaminated()).select(*docs.columns)
+    found = decontaminate.find_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into="_spans")
+    return found.where(~decontaminate.is_contaminated("_spans")).select(*_columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

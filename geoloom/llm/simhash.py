@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -243,30 +243,38 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, plan: str | None = None
     return met.mapInArrow(_comparer(distance), EDGE)
 
 
+def _rooted(fps: DataFrame, distance: int) -> DataFrame:
+    """``fps`` (distinct fp, more) with the root fingerprint of each component, written."""
+    linked = components(near_links(fps, distance)).withColumnRenamed("node", "fp")
+    return materialize(fps.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``."""
     marked = materialize(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")), "fingerprints")
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    linked = components(near_links(fps, distance)).withColumnRenamed("node", "fp")
-    rooted = materialize(fps.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    rooted = _rooted(fps, distance)
     lowest = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
     placed = materialize(rooted.join(lowest, "root").select("fp", "component_id"), "placed")
     return marked.join(placed, "fp").select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the smallest id, and of rows repeating that id the first by text."""
-    from pyspark.sql import Window
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest id (null last), then the smallest text hash.
 
-    found = near_duplicates(docs, doc_id, text)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    rank = Window.partitionBy("_kept_id").orderBy(F.xxhash64(text), F.length(text))
-    return (
-        docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept_id")))
-        .withColumn("_kept_rank", F.row_number().over(rank))
-        .where("_kept_rank = 1")
-        .drop("_kept_id", "_kept_rank")
-    )
+    Rows are named by id and text, so rows that share an id but not a component are judged apart.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    name = {"_id": F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.lit("?")), "_n1": F.xxhash64(body), "_n2": F.xxhash64(F.lit(1), body)}
+    named = docs.select("*", *[c.alias(k) for k, c in name.items()])
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "_id", "_n1", "_n2")
+    marked = materialize(named.select(key.alias("row"), fingerprints(F.col(text)).alias("fp")), "fingerprints")
+    first = materialize(marked.groupBy("fp").agg(F.min("row").alias("row")), "distinct")
+    kept = _rooted(first, distance).groupBy("root").agg(F.min("row").alias("row"))
+    kept = materialize(kept.select("row._id", "row._n1", "row._n2"), "kept")
+    rank = Window.partitionBy(*name).orderBy(F.length(text))
+    met = named.join(kept, list(name)).withColumn("_kept_rank", F.row_number().over(rank)).where("_kept_rank = 1")
+    return met.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def report(spark, sf_dir: str) -> DataFrame:

@@ -75,3 +75,20 @@ def test_contaminated_documents_go(spark, steps):
 def test_mixing_keeps_all(steps):
     assert sorted(r.doc_id for r in steps[5]) == sorted(r.doc_id for r in steps[4])
     assert [r.mix_slot for r in steps[5]] == sorted(r.mix_slot for r in steps[5])
+
+
+def test_clashing_columns_and_hard_rows(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    same = "A passage of some words that goes on and on in more than one text. " * 12
+    rows = {
+        "doc_id": [1, 2, 3, 3, None, 5], "text": [None, "", same + "one", same + "one", "two " * 30 + same, "kept text of a few words"],
+        "lang": [None, "en", "en", "en", "de", "fr"], "source": ["a", None, "a", "a", "b", "b"], "n_chars": [0, 0, 1, 1, 2, 3],
+    }
+    more = {c: [c] * 6 for c in ("score", "rejected", "contamination", "spans", "k1", "fp", "component_id", "a.b")}
+    for name, table in (("documents", rows | more), ("labels", {"doc_id": [1, 2], "toxic": [0, 1]}), ("benchmark", {"item_id": [1], "text": ["no such words"]})):
+        pq.write_table(pa.table(table), tmp_path / f"{name}.parquet")
+    got = cp.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} >= {1, 5} and all(r[c] == c for r in got for c in more)
+    assert all(same not in (r.text or "") for r in got) or len([r for r in got if r.doc_id in (3, None)]) == 1

@@ -91,3 +91,9 @@ def test_edge_tables(spark):
                                  "doc_id long, text string, component_id string")
     assert sorted(r.component_id for r in sh.near_duplicates(same).collect()) == [1, 1, 1, 9]
     assert sorted((r.doc_id, r.component_id) for r in sh.keep_one(same).collect()) == [(1, "x"), (9, "z")]
+
+
+def test_keep_one_judges_rows_apart(spark):
+    rows = [(1, "a b c d e"), (1, "quite other words in this text"), (1, "a b c d e"), (2, "a b c d e"), (None, "x y z"), (None, "p q r s t u v"), (None, "x y z")]
+    got = sh.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, [rows[0], rows[1], rows[4], rows[5]]))
