@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import re
+import shutil
 
 from pyspark.sql import SparkSession
 
-_folders: list[tempfile.TemporaryDirectory] = []  # removed when the process ends
+from geoloom.plans.scratch import scratch_root
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -18,8 +20,7 @@ SETTINGS = {
 
 
 def local_session(cores: str = "8", app: str = "geoloom", **extra: str) -> SparkSession:
-    """A local session for tests and benchmarks, with a scratch folder of its own."""
-    _folders.append(tempfile.TemporaryDirectory(prefix="geoloom-", ignore_cleanup_errors=True))
+    """A local session for tests and benchmarks; its scratch tables go when the process ends."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     settings = {
         **SETTINGS,
@@ -27,9 +28,12 @@ def local_session(cores: str = "8", app: str = "geoloom", **extra: str) -> Spark
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "12g",
-        "spark.checkpoint.dir": _folders[-1].name,
         **extra,
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    folder = re.sub("^file:/*", "/", scratch_root(session))
+    if folder.startswith("/"):
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return session
