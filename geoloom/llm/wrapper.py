@@ -4,7 +4,8 @@ A page becomes a tree of blocks: containers, and runs of leaf blocks of one kind
 trees of a host are merged into its wrapper by simple tree matching: children are aligned in order so that
 the number of matched nodes is largest, aligned leaves with equal text stay constant (template), others
 become slots. The content region is found by going down from the root while one container holds nearly
-all the varying text; only the path to that region leaves the induction. Tasks first merge the pages they
+all the varying text, with the siblings of its mark that are content as well. The way to that region leaves
+the induction; where siblings share a mark, each page is aligned with the wrapper by the same matching. Tasks first merge the pages they
 read, then partial wrappers of a host are merged one by one in a stream, so a host with a third of all
 pages is never gathered. Every page of a host takes part.
 
@@ -36,6 +37,8 @@ from geoloom.plans.scratch import materialize
 
 #: share of the varying text that a child must hold for the descent to go on
 SHARE = 0.9
+#: share of the region's varying text per page from which a sibling of the same mark is content too
+TWIN = 0.25
 #: child nodes of a wrapper node before further kinds are merged by element name alone
 WIDE = 48
 #: open elements of a page; deeper ones still part blocks but open no node of their own
@@ -216,18 +219,20 @@ class Slot:
     leaves, ``vary``: those found varying; ``kids``: containers and leaf runs in order; ``pages``: pages merged.
     """
 
-    __slots__ = ("mark", "leaf", "text", "mass", "vary", "kids", "pages")
+    __slots__ = ("mark", "leaf", "text", "mass", "vary", "kids", "pages", "narrow", "nodes")
 
     def __init__(self, mark: str, leaf: bool, text: int | None, mass: int, kids: list[Slot]):
         self.mark, self.leaf, self.text, self.mass, self.vary, self.kids, self.pages = mark, leaf, text, mass, 0, kids, 1
+        self.narrow = False  # kids of one mark were merged
+        self.nodes: list[Node] = []  # of the page, not pickled
 
     def __reduce__(self):
-        return _slot, (self.mark, self.leaf, self.text, self.mass, self.vary, self.kids, self.pages)
+        return _slot, (self.mark, self.leaf, self.text, self.mass, self.vary, self.kids, self.pages, self.narrow)
 
 
-def _slot(mark, leaf, text, mass, vary, kids, pages) -> Slot:
+def _slot(mark, leaf, text, mass, vary, kids, pages, narrow) -> Slot:
     out = Slot(mark, leaf, text, mass, kids)
-    out.vary, out.pages = vary, pages
+    out.vary, out.pages, out.narrow = vary, pages, narrow
     return out
 
 
@@ -236,12 +241,14 @@ def reduced(node: Node) -> Slot:
     kids: list[Slot] = []
     runs: list[list] = []
 
-    def leaf(mark: str, line: str) -> None:
+    def leaf(mark: str, line: str, kid: Node | None = None) -> None:
         if kids and kids[-1].leaf and kids[-1].mark == mark:
             runs[-1].append(line)
         else:
             kids.append(Slot(mark, True, None, 0, []))
             runs.append([line])
+        if kid is not None:
+            kids[-1].nodes.append(kid)
 
     for kid in node.kids:
         if isinstance(kid, list):
@@ -255,12 +262,14 @@ def reduced(node: Node) -> Slot:
             else:
                 line = " ".join("".join(x for part in kid.kids for x in part).split())
                 if line:
-                    leaf(kid.mark, line)
+                    leaf(kid.mark, line, kid)
     for slot, lines in zip(kids, runs):
         if slot.leaf:
             slot.text = xxhash.xxh64_intdigest("\n".join(lines))
             slot.mass = sum(map(len, lines))
-    return Slot(node.mark, False, None, 0, kids)
+    out = Slot(node.mark, False, None, 0, kids)
+    out.nodes.append(node)
+    return out
 
 
 def match(a: Slot, b: Slot) -> int:
@@ -282,6 +291,23 @@ def _table(a: list[Slot], b: list[Slot]) -> list[list[int]]:
     return rows
 
 
+def _aligned(a: list[Slot], b: list[Slot]) -> list[tuple[Slot | None, Slot | None]]:
+    """Both lists in order: matched pairs, and single nodes with None."""
+    table = _table(a, b)
+    i, j, out = len(a), len(b), []
+    while i or j:
+        if i and j and table[i][j] == table[i - 1][j - 1] + (m := match(a[i - 1], b[j - 1])) and m:
+            i, j = i - 1, j - 1
+            out.append((a[i], b[j]))
+        elif i and (not j or table[i][j] == table[i - 1][j]):
+            i -= 1
+            out.append((a[i], None))
+        else:
+            j -= 1
+            out.append((None, b[j]))
+    return out[::-1]
+
+
 def _fade(slot: Slot) -> None:
     """Everything below a node that some page lacks varies."""
     if slot.leaf and slot.text is not None:
@@ -300,26 +326,21 @@ def merge(a: Slot, b: Slot) -> Slot:
         a.pages += b.pages
         return a
     a.pages += b.pages
+    a.narrow |= b.narrow
     if [k.mark for k in a.kids] == [k.mark for k in b.kids] and [k.leaf for k in a.kids] == [k.leaf for k in b.kids]:
         for x, y in zip(a.kids, b.kids):  # the largest match is the plain one
             merge(x, y)
         return a
-    table = _table(a.kids, b.kids)
-    i, j, out = len(a.kids), len(b.kids), []
-    while i or j:
-        if i and j and table[i][j] == table[i - 1][j - 1] + (m := match(a.kids[i - 1], b.kids[j - 1])) and m:
-            out.append(merge(a.kids[i - 1], b.kids[j - 1]))
-            i, j = i - 1, j - 1
-        elif i and (not j or table[i][j] == table[i - 1][j]):
-            _fade(a.kids[i - 1])
-            out.append(a.kids[i - 1])
-            i -= 1
+    out = []
+    for x, y in _aligned(a.kids, b.kids):
+        if x is not None and y is not None:
+            out.append(merge(x, y))
         else:
-            _fade(b.kids[j - 1])
-            out.append(b.kids[j - 1])
-            j -= 1
-    out.reverse()
-    a.kids = out if len(out) <= WIDE else _narrowed(out)
+            _fade(x or y)
+            out.append(x or y)
+    a.kids = out
+    if len(out) > WIDE:
+        a.kids, a.narrow = _narrowed(out), True
     return a
 
 
@@ -338,8 +359,13 @@ def _narrowed(kids: list[Slot]) -> list[Slot]:
     return list(first.values())
 
 
-def region(wrapper: Slot, varying: bool = True) -> list[str] | None:
-    """Marks from the root down to the container that holds nearly all varying text (or all text); None without any."""
+def _element(mark: str) -> str:
+    return mark.partition(".")[0]
+
+
+def descent(wrapper: Slot, varying: bool = True) -> tuple[list[Slot], list[Slot]] | None:
+    """Slots from the root down to the container that holds nearly all varying text (or all text), and the last one
+    with its siblings of the same mark that are content too; None without any text."""
     totals: dict[int, int] = {}
 
     def total(s: Slot) -> int:
@@ -349,15 +375,67 @@ def region(wrapper: Slot, varying: bool = True) -> list[str] | None:
 
     if not total(wrapper):
         return None
-    path = [wrapper.mark]
+    path = [wrapper]
     while True:
-        best = max(wrapper.kids, key=lambda k: totals[id(k)], default=None)
-        if best is None or totals[id(best)] < SHARE * totals[id(wrapper)] or best.mark.partition(".")[0] not in DESCENDS:
-            return path
-        path.append(best.mark)
-        if best.leaf or best.mark.partition(".")[0] in ("article", "main"):
-            return path
-        wrapper = best
+        at = path[-1]
+        best = max(at.kids, key=lambda k: totals[id(k)], default=None)
+        if best is None or totals[id(best)] == 0 or _element(best.mark) not in DESCENDS:
+            return path, path[-1:]
+        least = TWIN * totals[id(best)] / best.pages
+        if totals[id(best)] < SHARE * totals[id(at)]:
+            return path, path[-1:]
+        twins = [k for k in at.kids if k is best or (k.mark == best.mark and totals[id(k)] and totals[id(k)] >= least * k.pages)]
+        path.append(best)
+        if len(twins) > 1:
+            return path, twins
+        if best.leaf or _element(best.mark) in ("article", "main"):
+            return path, path[-1:]
+
+
+def region(wrapper: Slot, varying: bool = True) -> list[str] | None:
+    """Marks from the root down to the region."""
+    found = descent(wrapper, varying)
+    return found and [s.mark for s in found[0]]
+
+
+def plan(wrapper: Slot) -> bytes | None:
+    """What a page of the host needs: the wrapper, the place among its siblings of each slot on the way, and the last
+    slot's twins. Where the mark alone leads on, siblings are left out."""
+    found = descent(wrapper)
+    if found is None:
+        return None
+    path, twins = found
+    for up, at in zip(path, path[1:]):
+        if up.narrow or sum(k.mark == at.mark for k in up.kids) > 1:
+            break
+        up.kids = [at]
+    else:
+        if not path[-1].narrow:
+            path[-1].kids = []
+    way = [next(n for n, k in enumerate(up.kids) if k is at) for up, at in zip(path, path[1:])]
+    ends = [n for n, k in enumerate(path[-2].kids) if any(k is t for t in twins)] if len(path) > 1 else []
+    return pickle.dumps((wrapper, way, ends))
+
+
+def located(wrapper: Slot, way: list[int], ends: list[int], page: Slot) -> list[Node]:
+    """Nodes of a page that fall into the region, by aligning its children with the wrapper's on each level."""
+    if page.mark != wrapper.mark:
+        return []
+    found = [page]
+    for level, n in enumerate(way):
+        chosen = [wrapper.kids[k] for k in (ends if level == len(way) - 1 else [n])]
+        mark = chosen[0].mark
+        below = []
+        for at in found:
+            if wrapper.narrow:
+                below += [k for k in at.kids if k.mark == mark or ("." not in mark and _element(k.mark) == mark)]
+                continue
+            same = [k for k in at.kids if k.mark == mark]
+            if len(same) > 1 or sum(k.mark == mark for k in wrapper.kids) > 1:
+                same = [y for x, y in _aligned(wrapper.kids, at.kids) if y is not None and any(x is c for c in chosen)]
+            below += same
+        found, wrapper = below, wrapper.kids[n]
+    return [node for slot in found for node in slot.nodes]
 
 
 def at_path(root: Node, path: list[str]) -> Node | None:
@@ -387,20 +465,25 @@ def articles(node: Node) -> list[Node]:
     return found["article"] or found["main"]
 
 
-def main_text(page: str | None, path: list[str] | None) -> str:
-    """Kept blocks of the region at ``path``; a lone article in it narrows it down."""
+def main_text(page: str | None, path: list[str] | tuple | None) -> str:
+    """Kept blocks of the region at ``path`` (marks, or a plan); a lone article in it narrows it down."""
     root = parse(page)
-    node = at_path(root, path) if path else None
-    if node is None:
-        node = root
-        if not articles(root) and (own := region(reduced(root), varying=False)):
-            node = at_path(root, own) or root
-    inner = articles(node)
-    return "\n".join(blocks(inner[0] if len(inner) == 1 else node))
+    nodes: list[Node] = []
+    if isinstance(path, tuple):
+        nodes = located(*path, reduced(root))
+    elif path:
+        nodes = [n for n in [at_path(root, path)] if n is not None]
+    if not nodes:
+        nodes = [root]
+        if not articles(root) and (own := descent(reduced(root), varying=False)):
+            nodes = [n for slot in own[1] for n in slot.nodes] or nodes
+    if len(nodes) == 1 and len(inner := articles(nodes[0])) == 1:
+        nodes = inner
+    return "\n".join(line for n in nodes for line in blocks(n))
 
 
 WRAPPER = T.StructType().add("host", T.StringType()).add("wrapper", T.BinaryType())
-REGION = T.StructType().add("host", T.StringType()).add("region", T.ArrayType(T.StringType()))
+REGION = T.StructType().add("host", T.StringType()).add("region", T.BinaryType())
 
 
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,17 +516,23 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if wrapper is not None:
                 names.append(name)
-                paths.append(region(wrapper))
+                paths.append(plan(wrapper))
             name, wrapper = one, tree
         if names:
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(paths, pa.list_(pa.string()))], names=REGION.names)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(paths, pa.binary())], names=REGION.names)
     if wrapper is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([region(wrapper)], pa.list_(pa.string()))], names=REGION.names)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([plan(wrapper)], pa.binary())], names=REGION.names)
 
 
 @F.pandas_udf(T.StringType())
 def _extract(pages: pd.Series, paths: pd.Series) -> pd.Series:
-    return pd.Series([main_text(h, None if p is None else list(p)) for h, p in zip(pages, paths)], dtype=object)
+    plans: dict[bytes | None, tuple | None] = {None: None}
+    out = []
+    for h, p in zip(pages, paths):
+        if p not in plans:
+            plans[p] = pickle.loads(p)
+        out.append(main_text(h, plans[p]))
+    return pd.Series(out, dtype=object)
 
 
 def host_regions(pages: DataFrame) -> DataFrame:

@@ -52,3 +52,32 @@ def test_one_page_hosts_and_columns(spark):
     rows = [(1, None, page(1, body="article"), "c"), (1, None, page(1, body="article"), "c"), (2, "x", None, "d")]
     got = wr.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id, r.text) for r in got) == [(1, text(1)), (1, text(1)), (2, "")]
+
+
+def wordy(k, n=12):
+    return " ".join(f"word{k * n + i}" for i in range(n))
+
+
+def regions(pages, spark):
+    rows = [(k, "http://b.org/x", h) for k, h in enumerate(pages)]
+    got = wr.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_region_among_siblings_of_one_mark(spark):
+    top = "<div id=top><p>Welcome to this site</p><p>same words</p></div>"
+    for a, b in (("id=x", "id=content"), ("class='col-4'", "class='col-8'")):
+        first = top.replace("id=top", a)
+        pages = [f"<body>{first}<div {b}><p>{wordy(k)}</p><h2>t{k}</h2></div></body>" for k in range(5)]
+        pages.append(f"<body><div><p>Only here</p><h3>x</h3></div>{first}<div {b}><p>{wordy(9)}</p><h2>t9</h2></div></body>")
+        assert [t.split("\n")[-2:] for t in regions(pages, spark)] == [[wordy(k), f"t{k}"] for k in (0, 1, 2, 3, 4, 9)]
+        assert all("Welcome" not in t for t in regions(pages[:5], spark))
+
+
+def test_two_content_blocks_of_one_mark(spark):
+    def block(k):
+        return f"<div class='post'><h2>t{k}</h2><p>{wordy(k)}</p></div>"
+
+    pages = [f"<body><p>Same line</p>{block(k)}</body>" for k in range(30)] + [f"<body><p>Same line</p>{block(40)}{block(41)}</body>"]
+    got = regions(pages, spark)
+    assert got[-1] == f"t40\n{wordy(40)}\nt41\n{wordy(41)}" and got[0] == f"t0\n{wordy(0)}"
