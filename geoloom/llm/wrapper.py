@@ -10,7 +10,10 @@ read, then partial wrappers of a host are merged one by one in a stream, so a ho
 pages is never gathered. Every page of a host takes part.
 
 From the region all blocks are kept in page order, apart from navigation, headers, footers, sidebars,
-notices, adverts, forms, comments and the like, known by element, role and class words. A page without a
+notices, adverts, forms, comments and the like, known by element, role, or a class or id that names them as a
+whole or by its head noun. Running text and names that only mention such a word are in doubt: they go where
+the host's wrapper finds them constant, and on a page without one they stay, apart from notices and headers
+outside an article. A form or a named part that holds nearly all text of its page stays. A page without a
 region of its host (the only page, or one built differently) falls back on its own: a lone article, or the
 same descent over its text.
 
@@ -65,6 +68,20 @@ DROPPED_WORDS = set(
     "header masthead share sharing social related recommended newsletter subscribe subscription popup modal overlay widget toolbar "
     "pagination pager login signup skip".split()
 )
+#: nouns that only say what a named thing is laid out as
+LAYOUT = set(
+    "area article articles bar block blocks box boxes button buttons container content feed form group icon icons inner item items "
+    "left link links list media menu outer panel panels post posts right row section slot stories stuff text this to unit wrap wrapper zone".split()
+)
+#: words of class names that tell a state of the element rather than what it is
+STATES = {"has", "with", "without", "no", "non", "not", "is", "hide", "show", "js"}
+#: elements of running text: only the wrapper drops them for their words
+WRITING = set("p h1 h2 h3 h4 h5 h6 li dd dt td th tr blockquote pre figure figcaption caption table".split())
+#: words of parts that can hold more text than the article and are furniture all the same
+NEVER_MAIN = set(
+    "ad ads advert adverts advertisement advertising cookie cookies consent gdpr comment comments disqus reply replies respond "
+    "newsletter subscribe subscription breadcrumb breadcrumbs share sharing pagination pager".split()
+)
 ENDS_P = BLOCKS - {"html", "head", "body", "option", "optgroup", "legend", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"}
 # an opened element ends open ones of the same set, up to the nearest of the stops
 ENDS = {
@@ -87,31 +104,94 @@ _WORDS = re.compile(r"[^a-z]+")
 
 
 class Node:
-    """A container: its element, its mark (element and class words), and its parts in page order."""
+    """A container: its element, its mark (element and class words), and its parts in page order.
+
+    ``dropped``: furniture. ``soft``: dropped for words or as a form, and kept if it holds nearly all text of the page.
+    ``doubt``: name under which the host's wrapper decides, else ``dropped_alone``.
+    """
 
-    __slots__ = ("tag", "mark", "dropped", "kids")
+    __slots__ = ("tag", "mark", "dropped", "soft", "doubt", "dropped_alone", "kids")
 
     def __init__(self, tag: str, mark: str, dropped: bool):
-        self.tag, self.mark, self.dropped, self.kids = tag, mark, dropped, []
+        self.tag, self.mark, self.dropped, self.soft, self.doubt, self.dropped_alone, self.kids = tag, mark, dropped, False, None, False, []
+
+
+def furniture(name: str) -> int:
+    """How far a class or id names furniture: 3 the whole name, 2 its head noun, 1 some word, 0 none."""
+    ws = [w for w in _WORDS.split(name) if len(w) > 1]
+    if not DROPPED_WORDS.intersection(ws) or STATES.intersection(ws):
+        return 0
+    while len(ws) > 1 and ws[-1] in LAYOUT:
+        ws.pop()
+    if ws[-1] not in DROPPED_WORDS:
+        return 1
+    return 3 if DROPPED_WORDS.issuperset(ws) else 2
 
 
 def _node(tag: str, attrs: str, inside_article: bool) -> Node:
-    words: set[str] = set()
     dropped = tag in DROPPED or (tag == "header" and not inside_article)
-    classes = ""
+    soft = tag == "form"
+    doubt = alone = False
+    classes, named = "", []
     if attrs:
         for name, value in _ATTR.findall(attrs):
             name = name.lower()
             if name in ("class", "id"):
                 value = html.unescape(value.strip("\"'")).lower()
-                words |= set(_WORDS.split(value))
                 if name == "class":
                     classes = " ".join(w for w in _WORDS.split(value) if w)
+                for one in value.split():
+                    if tag in ("html", "body", "article", "main") or dropped or not (level := furniture(one)):
+                        continue
+                    named.append(one)
+                    topic = name == "id" and tag == "section" and not NEVER_MAIN.intersection(_WORDS.split(one))
+                    if name == "id" and tag in WRITING and tag[0] == "h":
+                        named.pop()  # the place a link leads to
+                    elif level == 1:
+                        doubt = True
+                    elif tag in WRITING or topic or (level == 2 and {"header", "banner", "notice"}.intersection(_WORDS.split(one))):
+                        doubt, alone = True, alone or not inside_article
+                    else:
+                        dropped, soft = True, not NEVER_MAIN.intersection(_WORDS.split(one))
             elif name == "role" and value.strip("\"'").lower() in DROPPED_ROLES:
-                dropped = True
-        if tag not in ("html", "body", "article", "main") and words & DROPPED_WORDS:
-            dropped = True
-    return Node(tag, f"{tag}.{classes}" if classes else tag, dropped)
+                dropped, soft = True, soft and value.strip("\"'").lower() == "form"
+    node = Node(tag, f"{tag}.{classes}" if classes else tag, dropped)
+    node.soft = soft and dropped
+    if doubt and not dropped:
+        node.mark = f"{tag}.{classes}?" + " ".join(w for x in named for w in _WORDS.split(x) if w)
+        node.doubt, node.dropped_alone = node.mark, alone
+    return node
+
+
+def _release(root: Node) -> None:
+    """A soft node outside of which hardly any kept text stands is no furniture."""
+
+    def size(n: Node) -> int:
+        return sum(sum(len(x.strip()) for x in k) if isinstance(k, list) else 0 if k.dropped else size(k) for k in n.kids)
+
+    def soft(n: Node) -> Iterator[Node]:
+        for kid in n.kids:
+            if isinstance(kid, Node):
+                if kid.dropped and kid.soft:
+                    yield kid
+                elif not kid.dropped:
+                    yield from soft(kid)
+
+    while True:
+        found = max(((size(n), k, n) for k, n in enumerate(soft(root))), default=None)
+        if found is None or found[0] == 0 or found[0] < SHARE * (found[0] + size(root)):
+            return
+        found[2].dropped = False
+
+
+def settle(node: Node, constant: dict[str, bool]) -> None:
+    """Drops the nodes in doubt that the wrapper found constant (or, unknown to it, that go by default)."""
+    for kid in node.kids:
+        if isinstance(kid, Node) and not kid.dropped:
+            if kid.doubt is not None and constant.get(kid.doubt, kid.dropped_alone):
+                kid.dropped = True
+            else:
+                settle(kid, constant)
 
 
 def parse(page: str | None) -> Node:
@@ -176,6 +256,7 @@ def parse(page: str | None) -> Node:
             stack[-1].kids.append(node)
             if tag not in VOID and not attrs.rstrip().endswith("/") and len(stack) < DEPTH:
                 stack.append(node)
+    _release(root)
     return root
 
 
@@ -398,13 +479,31 @@ def region(wrapper: Slot, varying: bool = True) -> list[str] | None:
     return found and [s.mark for s in found[0]]
 
 
+def doubts(wrapper: Slot) -> dict[str, bool]:
+    """Marks in doubt that several pages have -> whether their text is the same on all of them."""
+    out: dict[str, bool] = {}
+
+    def varies(s: Slot) -> bool:
+        return s.leaf and s.text is None or any([varies(k) for k in s.kids])
+
+    def walk(s: Slot) -> None:
+        if "?" in s.mark and s.pages > 1:
+            out[s.mark] = out.get(s.mark, True) and not varies(s)
+        for kid in s.kids:
+            walk(kid)
+
+    walk(wrapper)
+    return out
+
+
 def plan(wrapper: Slot) -> bytes | None:
-    """What a page of the host needs: the wrapper, the place among its siblings of each slot on the way, and the last
-    slot's twins. Where the mark alone leads on, siblings are left out."""
+    """What a page of the host needs: the wrapper, the place among its siblings of each slot on the way, the last
+    slot's twins, and the marks in doubt. Where the mark alone leads on, siblings are left out."""
     found = descent(wrapper)
     if found is None:
         return None
     path, twins = found
+    unsure = doubts(wrapper)
     for up, at in zip(path, path[1:]):
         if up.narrow or sum(k.mark == at.mark for k in up.kids) > 1:
             break
@@ -414,7 +513,7 @@ def plan(wrapper: Slot) -> bytes | None:
             path[-1].kids = []
     way = [next(n for n, k in enumerate(up.kids) if k is at) for up, at in zip(path, path[1:])]
     ends = [n for n, k in enumerate(path[-2].kids) if any(k is t for t in twins)] if len(path) > 1 else []
-    return pickle.dumps((wrapper, way, ends))
+    return pickle.dumps((wrapper, way, ends, unsure))
 
 
 def located(wrapper: Slot, way: list[int], ends: list[int], page: Slot) -> list[Node]:
@@ -470,9 +569,11 @@ def main_text(page: str | None, path: list[str] | tuple | None) -> str:
     root = parse(page)
     nodes: list[Node] = []
     if isinstance(path, tuple):
-        nodes = located(*path, reduced(root))
+        nodes = located(*path[:3], reduced(root))
     elif path:
         nodes = [n for n in [at_path(root, path)] if n is not None]
+    settle(root, path[3] if isinstance(path, tuple) else {})
+    nodes = [n for n in nodes if not n.dropped]
     if not nodes:
         nodes = [root]
         if not articles(root) and (own := descent(reduced(root), varying=False)):

@@ -81,3 +81,20 @@ def test_two_content_blocks_of_one_mark(spark):
     pages = [f"<body><p>Same line</p>{block(k)}</body>" for k in range(30)] + [f"<body><p>Same line</p>{block(40)}{block(41)}</body>"]
     got = regions(pages, spark)
     assert got[-1] == f"t40\n{wordy(40)}\nt41\n{wordy(41)}" and got[0] == f"t0\n{wordy(0)}"
+
+
+def test_words_do_not_drop_article_text():
+    body = f"<article><p>{wordy(1)}</p></article>"
+    for whole in (f"<div id=page class='has-sidebar'>{body}</div>", f"<form action=x>{body}</form>", f"<div class='content-sidebar-wrap'>{body}</div>"):
+        assert wr.main_text(f"<body>{whole}</body>", None) == wordy(1)
+    parts = (
+        "<header class='entry-header'><h1>Title</h1></header><h2 id='related-work'>Related</h2><section id='social-impact'><p>Impact</p></section>"
+        "<p class='notice'>Note</p><div id='header-files'><p>Files</p></div>"
+    )
+    gone = "<div class='related-posts'><p>x</p></div><div id='comments'><p>x</p></div><div class='sidebar left'>x</div><div class='social-links'>x</div>"
+    assert wr.main_text(f"<body><article>{parts}{gone}</article></body>", None).split("\n") == ["Title", "Related", "Impact", "Note", "Files"]
+
+
+def test_wrapper_decides_names_in_doubt(spark):
+    pages = [f"<body><article><p>{wordy(k)}</p><p class='notice'>Note {k}</p><div class='social-proof'>Trusted by all</div></article></body>" for k in range(4)]
+    assert regions(pages, spark) == [f"{wordy(k)}\nNote {k}" for k in range(4)]
