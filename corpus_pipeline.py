@@ -34,6 +34,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return suffixdedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*_columns(docs))
 
 
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of over 50 words that occur more than once, also below 400 bytes; n_chars follows."""
+    return suffixdedup.remove_passages(docs, 51).withColumn("n_chars", F.length("text").cast("long")).select(*_columns(docs))
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows hit less than a twentieth of the words."""
     found = decontaminate.find_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into="_spans")
@@ -53,6 +58,9 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
+#: steps on what a stage kept, before the next one
+AFTER = {"suffix_array_dedup": [("repeated_passages", cut_passages)]}
+
 #: the classifier, hashes and suffix sorting have no SQL form; tests/llm/test_pipeline.py checks each stage
 ORACLE_SQL = None
 
@@ -60,7 +68,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        done = materialize(stage(spark, docs, sf_dir), name)
-        discard(docs)
-        docs = done
+        for step, work in [(name, stage), *AFTER.get(name, [])]:
+            done = materialize(work(spark, docs, sf_dir), step)
+            discard(docs)
+            docs = done
     return docs

@@ -18,7 +18,9 @@ long text is removed whole); an empty table gives no rows; other columns pass th
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,8 @@ from pyspark.sql import types as T
 from geoloom.plans.scratch import discard, materialize
 
 WINDOW, GRAM = 400, 64
+#: bytes that stand for a word where passages are counted in words
+SYMBOL = 7
 #: bytes hashed at once, and bytes of stretches sorted at once
 PIECE, SORTED_AT_ONCE = 1 << 19, 1 << 18
 #: stretches that share an anchor, or a core, sorted in one task
@@ -420,3 +424,53 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def report(spark, sf_dir: str) -> DataFrame:
     return measure_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def coded(text: str | None) -> str:
+    """Each word as ``SYMBOL`` bytes: a bar, and 36 bits of its hash."""
+    known: dict[bytes, str] = {}
+    out = []
+    for w in _WORD.findall((text or "").encode()):
+        if w not in known:
+            known[w] = "|" + base64.b64encode(xxhash.xxh3_64_digest(w)[:5])[:6].decode()
+        out.append(known[w])
+    return "".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def _coded(texts: pd.Series) -> pd.Series:
+    return texts.map(coded)
+
+
+def word_runs(text: str, spans, words: int) -> list[tuple[int, int]]:
+    """Byte runs covered by windows of ``words`` words; ``spans`` of starts in the coded text."""
+    at = [m.span() for m in _WORD.finditer(text.encode())]
+    aligned = [(-(-s["lo"] // SYMBOL), s["hi"] // SYMBOL) for s in spans]  # windows from inside a word are no words
+    return [(at[lo][0], at[hi + words - 1][1]) for lo, hi in aligned if lo <= hi]
+
+
+def _passage_cleaner(words: int):
+    @F.pandas_udf(T.StringType())
+    def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, found in zip(texts, spans):
+            runs = word_runs(text, found, words) if found is not None else []
+            runs = removed_runs([{"lo": a, "hi": b} for a, b in runs], 0)
+            out.append(kept_bytes(text, runs).decode() if runs else text)
+        return pd.Series(out, dtype=object)
+
+    return clean
+
+
+def remove_passages(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without passages of ``words`` words that occur more than once, however few their bytes and whatever
+    white space parts their words."""
+    symbols = docs.select(F.col(doc_id).alias("_id"), _coded(text).alias("_code"))
+    _, marks = find_repeats(symbols, "_id", "_code", words * SYMBOL, min(8, words) * SYMBOL)
+    marks = marks.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
+    named = docs.withColumn("_code", _coded(text)).withColumn("_n1", F.xxhash64("_code")).withColumn("_n2", F.xxhash64(F.lit(1), F.col("_code")))
+    met = named.join(marks, (F.col("_n1") == F.col("_k1")) & (F.col("_n2") == F.col("_k2")), "left")
+    return met.withColumn(text, _passage_cleaner(words)(F.col(text), F.col("_spans"))).select(*(F.col(f"`{c}`") for c in docs.columns))

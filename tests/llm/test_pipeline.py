@@ -92,3 +92,25 @@ def test_clashing_columns_and_hard_rows(spark, tmp_path):
     got = cp.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} >= {1, 5} and all(r[c] == c for r in got for c in more)
     assert all(same not in (r.text or "") for r in got) or len([r for r in got if r.doc_id in (3, None)]) == 1
+
+
+def test_short_repeated_passages_are_cut(spark):
+    def ws(a, n):
+        return " ".join(f"w{k}" for k in range(a, a + n))
+
+    long, short = ws(0, 51), ws(200, 50)
+    assert len(long) < 400
+    texts = [f"one  {long} {ws(1000, 30)}", f"{ws(2000, 30)}\n{long.replace(' ', '  ')} end", f"a {short} b", f"c {short} d", None, ""]
+    docs = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r.text for r in cp.cut_passages(spark, cp.cut_repeats(spark, docs, FOLDER), FOLDER).collect()}
+    assert got == {0: f"one   {ws(1000, 30)}", 1: f"{ws(2000, 30)}\n end", 2: texts[2], 3: texts[3], 4: None, 5: ""}
+
+
+def test_run_leaves_no_repeated_passage(spark):
+    seen, twice = set(), 0
+    for r in cp.run(spark, FOLDER).collect():
+        ws = (r.text or "").split()
+        own = {tuple(ws[i : i + 51]) for i in range(len(ws) - 50)}
+        twice += len(own & seen)
+        seen |= own
+    assert seen and twice == 0
