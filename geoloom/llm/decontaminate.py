@@ -6,7 +6,8 @@ of bounded size by a hash of their id, so that an automaton always fits a worker
 through the blocks one after the other without a shuffle and its spans add up.
 
 Defined cases: a null text has no words; an item without words has no window; repeated items count
-once by id; equal windows in several items name all of them; an empty item table hits nothing; other
+once by id; items with a null id hit words and count as one item, whose name is null and last in the list and
+left out of its digest; equal windows in several items name all of them; an empty item table hits nothing; other
 columns of the documents pass through, and one named like the result column is replaced.
 """
 
@@ -176,12 +177,16 @@ def _finder(items, window: int):
                     if b - a >= least:
                         auto.match(codes[a:b].tolist(), a, hits, found)
                 starts, ends = merge(hits)
-                rows.append((len(ws), starts, ends, sorted({auto.ids[k] for k in found})))
+                rows.append((len(ws), starts, ends, _sorted({auto.ids[k] for k in found})))
             yield pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items"])
 
     return find
 
 
+def _sorted(names: set[str | None]) -> list[str | None]:
+    return sorted(names, key=lambda x: (x is None, x or ""))
+
+
 def merge(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     """Union of half-open spans as sorted starts and ends."""
     starts: list[int] = []
@@ -202,7 +207,7 @@ def _united(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         one["n_words"], one["starts"], one["ends"], one["items"], two["starts"], two["ends"], two["items"]
     ):
         starts, ends = merge([*zip(s1, e1), *zip(s2, e2)])
-        rows.append((n, starts, ends, sorted({*i1, *i2})))
+        rows.append((n, starts, ends, _sorted({*i1, *i2})))
     return pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items"])
 
 
@@ -212,12 +217,10 @@ def find_spans(
 ) -> DataFrame:
     """``docs`` with a struct ``into``: word count, spans of hit words (half open) and ids of the items hit."""
     spark = docs.sparkSession
-    named = items.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).alias("body")).where(
-        "name is not null and body is not null"
-    )
+    named = items.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).alias("body")).where("body is not null")
     total = named.agg(F.sum(F.length("body"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
-    named = named.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks)))
+    named = named.withColumn("block", F.pmod(F.xxhash64(F.coalesce("name", "body")), F.lit(blocks)))
     out = docs
     for b in range(blocks):
         held = [tuple(r) for r in named.where(F.col("block") == b).select("name", "body").collect()]  # about block_chars
