@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from geoloom.llm import decontaminate, mixing, preferences, quality, simhash, suffixdedup, toxicity, urlfilter, warc, wrapper
+from geoloom.llm import (
+    alignment, centroids, decontaminate, langid, mixing, preferences, quality, simhash, suffixdedup, toxicity, urlfilter, warc, wrapper,
+)
 
 
 def load() -> dict:
@@ -18,5 +20,8 @@ def load() -> dict:
         "op8_simhash": (simhash.report, None),
         "op9_urlfilter": (urlfilter.report, urlfilter.SQL),
         "op10_wrapper": (wrapper.report, wrapper.SQL),
+        "op11_langid": (langid.report, None),
+        "op12_centroids": (centroids.report, centroids.SQL),
+        "op13_alignment": (alignment.report, None),
         "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }
