@@ -11,6 +11,9 @@ stretches, which meet by the hash of the core that all windows of a stretch shar
 once; where even these are more than ``GROUP``, windows are counted one by one through a shuffle. The
 answer is the same whichever way an anchor goes.
 
+Texts may be read as symbols of several bytes: passages of ``words`` words are found in texts of one 8-byte
+symbol a word, where windows start at symbols only.
+
 Texts are named by two 64-bit hashes; equal texts share all work. Defined cases: a null text is empty; a
 text shorter than the window keeps all; equal rows and repeated ids are judged row by row (each copy of a
 long text is removed whole); an empty table gives no rows; other columns pass through untouched.
@@ -31,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoloom.llm.names import free_names
 from geoloom.plans.scratch import discard, materialize
 
 WINDOW, GRAM = 400, 64
-#: bytes that stand for a word where passages are counted in words
-SYMBOL = 7
+#: words of a repeated passage, words of its grams, and bytes that stand for a word
+PASSAGE, PASSAGE_GRAM, SYMBOL = 51, 8, 8
 #: bytes hashed at once, and bytes of stretches sorted at once
 PIECE, SORTED_AT_ONCE = 1 << 19, 1 << 18
 #: stretches that share an anchor, or a core, sorted in one task
@@ -67,12 +71,21 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """Mixed 64-bit hash of the ``gram`` bytes from each place."""
-    up, down = _power(len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_TABLE[data] * up, out=total[1:])
-    h = (total[gram:] - total[:-gram]) * down[: len(data) - gram + 1]
+def symbol_values(data: np.ndarray) -> np.ndarray:
+    """A random 64-bit number for each byte, or each 8-byte symbol."""
+    if data.dtype == np.uint8:
+        return _TABLE[data]
+    h = data * np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h * _BASE
+
+
+def gram_hashes(values: np.ndarray, gram: int) -> np.ndarray:
+    """Mixed 64-bit hash of the ``gram`` symbols from each place."""
+    up, down = _power(len(values))
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * up, out=total[1:])
+    h = (total[gram:] - total[:-gram]) * down[: len(values) - gram + 1]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
@@ -90,9 +103,12 @@ def least_places(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(ahead[:n], behind[width - 1 : width - 1 + n]) & np.uint64(0xFFFFFF)).astype(np.int64)
 
 
-def stretches(data: bytes | memoryview, starts: np.ndarray, ends: np.ndarray, window: int, gram: int):
-    """(document number, first start, starts, anchor offset, anchor hash, stretch hash) of texts lying in ``data``."""
-    raw = np.frombuffer(data, dtype=np.uint8)
+def stretches(data: bytes | memoryview, starts: np.ndarray, ends: np.ndarray, window: int, gram: int, symbol: int = 1):
+    """(document number, first start, starts, anchor offset, anchor hash, stretch hash) of texts lying in ``data``.
+
+    All places and lengths are counted in symbols of 1 or 8 bytes.
+    """
+    raw = np.frombuffer(data, dtype=np.uint8 if symbol == 1 else np.uint64)
     first = 0
     while first < len(starts):
         # whole documents up to a piece; one longer than that is cut, its pieces sharing window - 1 bytes
@@ -102,7 +118,7 @@ def stretches(data: bytes | memoryview, starts: np.ndarray, ends: np.ndarray, wi
             to = min(b, at + PIECE + window - 1)
             if to - at < window:
                 continue
-            h = gram_hashes(raw[at:to], gram)
+            h = gram_hashes(symbol_values(raw[at:to]), gram)
             place = least_places(h, window - gram + 1)
             inside = np.zeros(len(place) + 1, dtype=np.int8)
             lows = np.clip(starts[first:last] - at, 0, None)
@@ -122,22 +138,22 @@ def stretches(data: bytes | memoryview, starts: np.ndarray, ends: np.ndarray, wi
             anchor = place[begin]
             doc = np.searchsorted(starts[first:last], begin + at, "right") - 1 + first
             view = memoryview(data)
-            cut = [xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip((begin + at).tolist(), (end + at + window).tolist())]
+            cut = [xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip(((begin + at) * symbol).tolist(), ((end + at + window) * symbol).tolist())]
             yield doc, begin + at - starts[doc], end - begin + 1, anchor - begin, h[anchor], np.array(cut, dtype=np.uint64)
         first = last
 
 
-def _stretcher(window: int, gram: int):
+def _stretcher(window: int, gram: int, symbol: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body = batch.column(2).cast(pa.large_string())
             offsets = np.frombuffer(body.buffers()[1], dtype=np.int64)[body.offset : body.offset + len(body) + 1]
-            if not len(body) or offsets[-1] - offsets[0] < window:
+            if not len(body) or offsets[-1] - offsets[0] < window * symbol:
                 continue
             data = memoryview(body.buffers()[2])[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
+            offsets = (offsets - offsets[0]) // symbol
             k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
-            for doc, p, run, rel, kh, sh in stretches(data, offsets[:-1], offsets[1:], window, gram):
+            for doc, p, run, rel, kh, sh in stretches(data, offsets[:-1], offsets[1:], window, gram, symbol):
                 columns = [k1[doc], k2[doc], p.astype(np.int32), run.astype(np.int32), rel.astype(np.int32)]
                 columns += [kh.view(np.int64), sh.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=STRETCH.names)
@@ -208,14 +224,15 @@ def suffix_order(text: np.ndarray, limits: np.ndarray, wanted: np.ndarray, windo
     return order[wanted[order]]
 
 
-def repeated_starts(parts: list[bytes], runs: list[int], window: int) -> list[np.ndarray]:
-    """For each stretch a mask of its first ``run`` places: whether the window there occurs elsewhere among them."""
+def repeated_starts(parts: list[bytes], runs: list[int], window: int, symbol: int = 1) -> list[np.ndarray]:
+    """For each stretch a mask of its first ``run`` symbols: whether the window there occurs elsewhere among them."""
+    window *= symbol
     text = np.frombuffer(b"".join(parts) + bytes(window), dtype=np.uint8)
     limits = np.cumsum([len(x) for x in parts])
     begins = limits - [len(x) for x in parts]
     wanted = np.zeros(int(limits[-1]), dtype=bool)
     for b, r in zip(begins.tolist(), runs):
-        wanted[b : b + r] = True
+        wanted[b : b + r * symbol : symbol] = True
     order = suffix_order(text, limits, wanted, window)
     strings = np.ndarray((int(limits[-1]),), dtype=f"S{window}", buffer=text, strides=(1,))
     hit = np.zeros(int(limits[-1]), dtype=bool)
@@ -224,14 +241,14 @@ def repeated_starts(parts: list[bytes], runs: list[int], window: int) -> list[np
         same = near[1:] == near[:-1]
         hit[order[a : a + len(same)][same]] = True
         hit[order[a + 1 : a + 1 + len(same)][same]] = True
-    return [hit[b : b + r] for b, r in zip(begins.tolist(), runs)]
+    return [hit[b : b + r * symbol : symbol] for b, r in zip(begins.tolist(), runs)]
 
 
-def _sorter(window: int):
+def _sorter(window: int, symbol: int):
     """Columns: group, the class, base, n, single, part; a part is sorted with the others of its group."""
 
     def rows(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        masks = repeated_starts([x[8] for x in held], [x[6] for x in held], window)
+        masks = repeated_starts([x[8] for x in held], [x[6] for x in held], window, symbol)
         out = []
         for (_, kh, sh, rel, run, base, _, single, _), mask in zip(held, masks):
             if single and mask.any():
@@ -263,12 +280,12 @@ def _sorter(window: int):
 PART = ["group", *CLASS, "base", "n", "single", "part"]
 
 
-def _sorted_spans(parts: DataFrame, window: int) -> DataFrame:
+def _sorted_spans(parts: DataFrame, window: int, symbol: int) -> DataFrame:
     met = parts.select(*PART).repartition("group").sortWithinPartitions("group", *CLASS, "base")
-    return met.mapInArrow(_sorter(window), FOUND)
+    return met.mapInArrow(_sorter(window, symbol), FOUND)
 
 
-def _crowded_spans(parts: DataFrame, window: int) -> DataFrame:
+def _crowded_spans(parts: DataFrame, window: int, symbol: int) -> DataFrame:
     """Spans of anchors with very many classes: shorter stretches grouped by the core that all their windows hold."""
     step = max(1, window // 12)
     core = window - step + 1
@@ -278,8 +295,8 @@ def _crowded_spans(parts: DataFrame, window: int) -> DataFrame:
     cut = parts.dropDuplicates(CLASS).select(*CLASS, "single", "part", F.explode(blocks).alias("block"))
     cut = cut.withColumns({"base": F.greatest(last - (step - 1), F.lit(0)), "upto": F.least(last, F.col("run") - 1)})
     cut = cut.filter("base <= upto").withColumn("n", F.col("upto") - F.col("base") + 1)
-    held = F.xxhash64("kh", "block", F.substring("part", last + 1, F.lit(core)))
-    cut = cut.select(held.alias("group"), *CLASS, "base", "n", "single", F.substring("part", F.col("base") + 1, F.col("n") + (window - 1)).alias("part"))
+    held = F.xxhash64("kh", "block", F.substring("part", last * symbol + 1, F.lit(core * symbol)))
+    cut = cut.select(held.alias("group"), *CLASS, "base", "n", "single", F.substring("part", F.col("base") * symbol + 1, (F.col("n") + (window - 1)) * symbol).alias("part"))
     cut = materialize(cut.withColumn("ph", F.xxhash64("part")), "cut")
     same = ["group", "ph", "n"]
     counted = cut.groupBy(*same).agg(
@@ -291,8 +308,8 @@ def _crowded_spans(parts: DataFrame, window: int) -> DataFrame:
     twice = met.where("times >= 2 and single").select(*CLASS, F.col("base").alias("lo"), (F.col("base") + F.col("n") - 1).alias("hi"))
     ones = met.where("first").withColumn("single", F.col("times") == 1).join(wide.where("v >= 2 and least = 1"), "group")
     ones = materialize(ones.select(*PART, "v"), "ones")
-    spans = twice.unionByName(_sorted_spans(ones.where(F.col("v") <= GROUP), window))
-    return spans.unionByName(_count_windows(ones.where(F.col("v") > GROUP), window))
+    spans = twice.unionByName(_sorted_spans(ones.where(F.col("v") <= GROUP), window, symbol))
+    return spans.unionByName(_count_windows(ones.where(F.col("v") > GROUP), window, symbol))
 
 
 def _name(docs: DataFrame, text: str) -> DataFrame:
@@ -301,12 +318,15 @@ def _name(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("k1", F.xxhash64(body)).withColumn("k2", F.xxhash64(F.lit(1), body))
 
 
-def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM):
-    """(texts, marks): marks has (k1, k2, spans of repeated window starts); texts the bodies of all texts in it."""
-    key = F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("row_id")
-    named = _name(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("body")), "body")
-    long = named.where(F.octet_length("body") >= window)
-    cut = materialize(long.select("k1", "k2", "body").mapInArrow(_stretcher(window, gram), STRETCH), "stretches")
+def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, symbol: int = 1):
+    """(texts, marks): marks has (k1, k2, spans of repeated window starts); texts the bodies of all texts in it.
+
+    Windows, grams and spans are counted in symbols.
+    """
+    key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).alias("row_id")
+    named = _name(docs.select(key, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body")), "body")
+    long = named.where(F.octet_length("body") >= window * symbol)
+    cut = materialize(long.select("k1", "k2", "body").mapInArrow(_stretcher(window, gram, symbol), STRETCH), "stretches")
     shared = materialize(cut.groupBy("kh").count().where("count >= 2").select("kh"), "shared")
     met = materialize(cut.join(shared, "kh").groupBy(*CLASS, "k1", "k2", "p").agg(F.count("*").alias("c")), "met")
     discard(cut)
@@ -325,15 +345,15 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     body = F.encode("body", "utf-8")
     part = F.transform("wants", lambda x: F.struct(
         x["kh"].alias("kh"), x["sh"].alias("sh"), x["rel"].alias("rel"), x["run"].alias("run"), (x["n"] == 1).alias("single"),
-        F.substring(F.col("bytes"), x["p"] + 1, x["run"] + (window - 1)).alias("part"), x["v"].alias("v")))
+        F.substring(F.col("bytes"), x["p"] * symbol + 1, (x["run"] + (window - 1)) * symbol).alias("part"), x["v"].alias("v")))
     parts = texts.where("wants is not null").select(body.alias("bytes"), "wants").select(F.explode(part).alias("x")).select("x.*")
     plain = parts.where(F.col("v") <= GROUP).select(
         F.col("kh").alias("group"), *CLASS, F.lit(0).alias("base"), F.col("run").alias("n"), "single", "part"
     )
     whole = judged.where("n >= 2").select(*CLASS, F.lit(0).alias("lo"), (F.col("run") - 1).alias("hi"))
-    spans = materialize(whole.unionByName(_sorted_spans(plain, window)), "spans")
+    spans = materialize(whole.unionByName(_sorted_spans(plain, window, symbol)), "spans")
     if not judged.where((F.col("v") > GROUP) & (F.col("least") == 1)).isEmpty():
-        spans = materialize(spans.unionByName(_crowded_spans(parts.where(F.col("v") > GROUP), window)), "spans")
+        spans = materialize(spans.unionByName(_crowded_spans(parts.where(F.col("v") > GROUP), window, symbol)), "spans")
     marks = (
         met.select(*CLASS, "k1", "k2", "p").join(spans, CLASS)
         .groupBy("k1", "k2").agg(F.collect_list(F.struct((F.col("p") + F.col("lo")).alias("lo"), (F.col("p") + F.col("hi")).alias("hi"))).alias("spans"))
@@ -341,10 +361,10 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     return texts.select("k1", "k2", "body"), materialize(marks, "marks")
 
 
-def _count_windows(parts: DataFrame, window: int) -> DataFrame:
+def _count_windows(parts: DataFrame, window: int, symbol: int) -> DataFrame:
     """Repeated windows of groups of very many stretches, each window counted through a shuffle."""
     one = parts.select("group", *CLASS, "base", "single", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
-    string = F.substring(F.col("part"), F.col("o") + 1, F.lit(window))
+    string = F.substring(F.col("part"), F.col("o") * symbol + 1, F.lit(window * symbol))
     lo = F.col("base") + F.col("o")
     one = materialize(one.select("group", *CLASS, "single", lo.alias("lo"), F.xxhash64(string).alias("w1"), F.xxhash64(F.lit(1), string).alias("w2")), "windows")
     key = ["group", "w1", "w2"]
@@ -386,20 +406,40 @@ def _measurer(window: int):
     return measure
 
 
-def measure_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def measure_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, words: int | None = None
+) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, of repeated strings of ``window`` bytes.
+
+    With ``words`` also n_passage_words and n_passage_spans: words inside passages of so many words that occur
+    more than once, and the maximal runs of them.
+    """
     texts, marks = find_repeats(docs, doc_id, text, window, gram)
     measured = texts.join(marks, ["k1", "k2"]).select("k1", "k2", _measurer(window)("body", "spans").alias("m"))
     measured = materialize(measured.dropDuplicates(["k1", "k2"]), "measured")
-    body = F.coalesce(F.col(text), F.lit(""))
-    small = _name(docs, text).select(
-        F.col(doc_id).alias("doc_id"), "k1", "k2", F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("whole")
-    )
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    size = F.octet_length(body).cast("long").alias("n_bytes")
+    small = _name(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("body"), size), "body")
+    small = small.select("doc_id", "k1", "k2", "n_bytes", F.sha2("body", 256).alias("whole"))
     none = F.lit(0).cast("long")
-    return small.join(measured, ["k1", "k2"], "left").select(
-        "doc_id", "n_bytes", F.coalesce("m.n_removed", none).alias("n_removed"), F.coalesce("m.n_spans", none).alias("n_spans"),
+    out = small.join(measured, ["k1", "k2"], "left").select(
+        "k1", "k2", "doc_id", "n_bytes", F.coalesce("m.n_removed", none).alias("n_removed"), F.coalesce("m.n_spans", none).alias("n_spans"),
         F.coalesce("m.kept_sha256", "whole").alias("kept_sha256"),
     )
+    if words is not None:
+        found = find_passages(docs, words, doc_id, text).select("k1", "k2", _passage_measurer(words)("spans").alias("p"))
+        out = out.join(materialize(found, "passages"), ["k1", "k2"], "left")
+        out = out.withColumns({"n_passage_words": F.coalesce("p.w", none), "n_passage_spans": F.coalesce("p.r", none)}).drop("p")
+    return out.drop("k1", "k2")
+
+
+def _passage_measurer(words: int):
+    @F.pandas_udf(T.StructType().add("w", T.LongType()).add("r", T.LongType()))
+    def measure(spans: pd.Series) -> pd.DataFrame:
+        runs = [removed_runs(found, words) for found in spans]
+        return pd.DataFrame([(sum(b - a for a, b in r), len(r)) for r in runs], columns=["w", "r"])
+
+    return measure
 
 
 def _cleaner(window: int):
@@ -412,30 +452,33 @@ def _cleaner(window: int):
     return clean
 
 
+def _cut(docs: DataFrame, marks: DataFrame, text: str, cleaner) -> DataFrame:
+    """``docs`` with ``text`` cut by the spans of its name (k1, k2) in ``marks``."""
+    n1, n2, m1, m2, spans = free_names("n1 n2 m1 m2 spans", docs)
+    marks = marks.select(F.col("k1").alias(m1), F.col("k2").alias(m2), F.col("spans").alias(spans))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    named = docs.withColumns({n1: F.xxhash64(body), n2: F.xxhash64(F.lit(1), body)})
+    met = named.join(marks, (F.col(n1) == F.col(m1)) & (F.col(n2) == F.col(m2)), "left")
+    cut = cleaner(F.col(f"`{text}`"), F.col(spans)).alias(text)
+    return met.select(*(cut if c == text else F.col(f"`{c}`") for c in docs.columns))
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``; part of a character left at a cut goes too."""
     _, marks = find_repeats(docs, doc_id, text, window, gram)
-    marks = marks.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
-    body = F.coalesce(F.col(text), F.lit(""))
-    named = docs.withColumn("_n1", F.xxhash64(body)).withColumn("_n2", F.xxhash64(F.lit(1), body))
-    met = named.join(marks, (F.col("_n1") == F.col("_k1")) & (F.col("_n2") == F.col("_k2")), "left")
-    return met.withColumn(text, _cleaner(window)(F.col(text), F.col("_spans"))).select(*(F.col(f"`{c}`") for c in docs.columns))
-
-
-def report(spark, sf_dir: str) -> DataFrame:
-    return measure_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return _cut(docs, marks, text, _cleaner(window))
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def coded(text: str | None) -> str:
-    """Each word as ``SYMBOL`` bytes: a bar, and 36 bits of its hash."""
+    """Each word as ``SYMBOL`` characters: 48 bits of its hash."""
     known: dict[bytes, str] = {}
     out = []
     for w in _WORD.findall((text or "").encode()):
         if w not in known:
-            known[w] = "|" + base64.b64encode(xxhash.xxh3_64_digest(w)[:5])[:6].decode()
+            known[w] = base64.b64encode(xxhash.xxh3_64_digest(w)[:6]).decode()
         out.append(known[w])
     return "".join(out)
 
@@ -445,11 +488,21 @@ def _coded(texts: pd.Series) -> pd.Series:
     return texts.map(coded)
 
 
+def find_passages(docs: DataFrame, words: int = PASSAGE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(k1, k2, spans) of the texts, by name, that hold passages of ``words`` words that occur more than once, whatever
+    white space parts them; spans are of words where such a passage begins."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    named = _name(docs.select(F.col(f"`{doc_id}`").alias("row_id"), body.alias("body")), "body")
+    symbols = materialize(named.select("row_id", F.col("k1").alias("t1"), F.col("k2").alias("t2"), _coded("body").alias("code")), "coded")
+    _, marks = find_repeats(symbols, "row_id", "code", words, min(PASSAGE_GRAM, words), SYMBOL)
+    texts = _name(symbols.select("t1", "t2", "code"), "code").drop("code").distinct()
+    return texts.join(marks, ["k1", "k2"]).select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), "spans")
+
+
 def word_runs(text: str, spans, words: int) -> list[tuple[int, int]]:
-    """Byte runs covered by windows of ``words`` words; ``spans`` of starts in the coded text."""
+    """Byte runs covered by windows of ``words`` words; ``spans`` of words where windows start."""
     at = [m.span() for m in _WORD.finditer(text.encode())]
-    aligned = [(-(-s["lo"] // SYMBOL), s["hi"] // SYMBOL) for s in spans]  # windows from inside a word are no words
-    return [(at[lo][0], at[hi + words - 1][1]) for lo, hi in aligned if lo <= hi]
+    return [(at[s["lo"]][0], at[s["hi"] + words - 1][1]) for s in spans]
 
 
 def _passage_cleaner(words: int):
@@ -465,12 +518,12 @@ def _passage_cleaner(words: int):
     return clean
 
 
-def remove_passages(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_passages(docs: DataFrame, words: int = PASSAGE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without passages of ``words`` words that occur more than once, however few their bytes and whatever
     white space parts their words."""
-    symbols = docs.select(F.col(doc_id).alias("_id"), _coded(text).alias("_code"))
-    _, marks = find_repeats(symbols, "_id", "_code", words * SYMBOL, min(8, words) * SYMBOL)
-    marks = marks.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
-    named = docs.withColumn("_code", _coded(text)).withColumn("_n1", F.xxhash64("_code")).withColumn("_n2", F.xxhash64(F.lit(1), F.col("_code")))
-    met = named.join(marks, (F.col("_n1") == F.col("_k1")) & (F.col("_n2") == F.col("_k2")), "left")
-    return met.withColumn(text, _passage_cleaner(words)(F.col(text), F.col("_spans"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _cut(docs, find_passages(docs, words, doc_id, text), text, _passage_cleaner(words))
+
+
+def report(spark, sf_dir: str) -> DataFrame:
+    """The 400-byte contract, and beside it the words inside repeated passages of over 50 words."""
+    return measure_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), words=PASSAGE)

@@ -49,6 +49,43 @@ def test_against_brute_force(spark, monkeypatch, group):
     }
 
 
+def brute_passages(texts, n):
+    """(words inside passages of n words seen more than once, their maximal runs) of each text."""
+    read = [t.encode().split() if t else [] for t in texts]
+    seen = Counter(tuple(ws[i : i + n]) for ws in read for i in range(len(ws) - n + 1))
+    out = []
+    for ws in read:
+        gone = [False] * len(ws)
+        for i in range(len(ws) - n + 1):
+            if seen[tuple(ws[i : i + n])] > 1:
+                gone[i : i + n] = [True] * n
+        out.append((sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))))
+    return out
+
+
+@pytest.mark.parametrize("group", [512, 2])
+def test_passages_against_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(sd, "GROUP", group)
+    rng = np.random.default_rng(12)
+
+    def prose(n, k=400):
+        return "".join(f"w{x}{rng.choice([' ', '  ', chr(10), chr(9)])}" for x in rng.integers(0, k, n))
+
+    passage = prose(60)
+    texts = [None, "", " ", passage, prose(50) + " ".join(passage.split()) + " " + prose(40), prose(90), "x " * 70, "y " * 12, "y " * 13]
+    texts += [prose(30) + " ".join(passage.split()[k : k + 14]) + " " + prose(30) for k in range(0, 40, 3)] + [prose(200, 3), prose(150, 3)]
+    base = prose(120).split()
+    texts += [" ".join(base[: k * 9] + ["X"] + base[k * 9 :]) for k in range(10)] + [" ".join(base)] * 2
+    docs = spark.createDataFrame([(i if i != 3 else None, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, k1 int").repartition(3)
+    got = {r.doc_id: (r.n_passage_words, r.n_passage_spans) for r in sd.measure_repeats(docs, window=4000, words=13).collect()}
+    want = brute_passages(texts, 13)
+    assert got == {(i if i != 3 else None): w for i, w in enumerate(want)} and sum(w > 0 for w, _ in want) > 20
+    kept = {r.doc_id: r.text for r in sd.remove_passages(docs, 13).collect()}
+    for i, (t, (gone, _)) in enumerate(zip(texts, want)):
+        left = kept[i if i != 3 else None]
+        assert left == t if not gone else len(left.split()) == len(t.split()) - gone
+
+
 def test_long_document_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(sd, "PIECE", 500)
     rng = np.random.default_rng(2)
@@ -72,6 +109,14 @@ def test_suffix_order():
             assert m.tolist() == [seen[x[i : i + 16]] > 1 for i in range(r)]
 
 
+def test_clashing_names(spark):
+    rows = [(k, f"{k} " + "same words " * 60, *["own"] * 6) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n1 string, __N2 string, _k1 string, k2 string, spans string, code string")
+    for cut in (sd.remove_repeats(docs), sd.remove_passages(docs, 51)):
+        assert cut.columns == docs.columns
+        assert all(list(r)[2:] == ["own"] * 6 and len(r.text) < 20 for r in cut.collect())
+
+
 def test_remove_and_empty(spark):
     df = spark.createDataFrame([(1, "é" * 30 + "tail", 5), (2, "é" * 30 + "more", 6), (3, None, 7)], "doc_id long, text string, spans int")
     got = {r.doc_id: (r.text, r.spans) for r in sd.remove_repeats(df, window=24, gram=6).collect()}
