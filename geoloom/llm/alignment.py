@@ -25,9 +25,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +44,13 @@ SIDE_A, SIDE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: parts by A id, records of a run, runs merged at once, bytes of runs that meet their counts in one task
 RADIX, SPILL, FAN, MET_BYTES = 32, 1 << 21, 64, 64 << 20
 #: pieces a worker keeps, the longest of them, and the characters of a text that are cut into pieces at once
-PIECES, PIECE_CHARS, SEGMENT = 200_000, 200, 1 << 20
+PIECES, PIECE_CHARS, SEGMENT = 250_000, 200, 1 << 20
+#: pairs of a group above which they are listed by distinct ids
+LARGE = 4096
+#: characters below this are letters, numbers, white space or others alike for both engines of A
+_PLAIN = "\u0250"
+#: fixed value: the words that byte-level tokenizers merge within
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _LOW = RADIX.bit_length() - 1
 _ID_BITS, _DOC_BITS = 20, 23
@@ -64,9 +69,13 @@ def _byte_of() -> dict[str, int]:
 
 
 class Encoder:
-    """Both tokenizers, from the bytes of their files."""
+    """Both tokenizers, from the bytes of their files.
 
-    def __init__(self, a_file: bytes, b_file: bytes):
+    A is encoded by a faster engine with the merges of the same file where :func:`agrees` holds and the text has only
+    characters below ``_PLAIN``, whose classes are the same in both engines; else by the file's own library.
+    """
+
+    def __init__(self, a_file: bytes, b_file: bytes, fast: bool = False):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -74,28 +83,64 @@ class Encoder:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_proto=b_file)
         byte = _byte_of()
-        self.a_bytes = {i: bytes(byte[c] for c in w) if all(c in byte for c in w) else w.encode() for w, i in self.a.get_vocab().items()}
+        special = {i: w.encode() for w, i in self.a.get_vocab().items() if not all(c in byte for c in w)}
+        self.a_bytes = {i: bytes(byte[c] for c in w) for w, i in self.a.get_vocab().items() if i not in special} | special
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-        if max(max(self.a_bytes, default=0), len(pieces)) >= 1 << _ID_BITS:
+        self.quick = quick_engine(a_file) if fast else None
+        self.top = max(max(self.a_bytes, default=0), len(pieces)) + 1
+        if self.top > 1 << _ID_BITS:
             raise ValueError(f"token ids must be below {1 << _ID_BITS}")
+        self.a_size = np.zeros(self.top, dtype=np.int64)
+        self.b_size = np.zeros(self.top, dtype=np.int64)
+        for i, w in self.a_bytes.items():
+            self.a_size[i] = len(w)
+        self.b_size[: len(pieces)] = [len(w) for w in self.b_bytes]
+        #: each id followed by each of the signs between ids
+        self.shown = [f"{i}{sign}" for i in range(self.top) for sign in ",|;\n"]
+
+    def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """A and B ids of space and each text."""
+        if self.quick is None:
+            a = [x.ids for x in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        else:
+            encode, slow = self.quick.encode_ordinary, self.a.encode
+            a = [encode(" " + t) if max(t, default=" ") < _PLAIN else slow(" " + t, add_special_tokens=False).ids for t in texts]
+        return a, self.b.encode(texts, num_threads=1)
+
+
+def quick_engine(a_file: bytes):
+    """The byte-level merges of a tokenizer file in the faster engine; None where the file has other steps."""
+    import json
+
+    import tiktoken
+
+    told = json.loads(a_file)
+    split, model = told["pre_tokenizer"] or {}, told["model"]
+    plain = told["normalizer"] is None and model["type"] == "BPE" and split.get("type") == "ByteLevel"
+    if not plain or split.get("add_prefix_space") or not split.get("use_regex", True) or model.get("dropout") or model.get("continuing_subword_prefix"):
+        return None
+    byte = _byte_of()
+    special = {t["id"] for t in told["added_tokens"]}
+    ranks = {bytes(byte[c] for c in w): i for w, i in model["vocab"].items() if i not in special}
+    made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if made != sorted(made):  # the engine merges by id
+        return None
+    return tiktoken.Encoding("side_a", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
 
-    def groups(self, text: str) -> list[tuple[list[int], list[int]]] | None:
-        """A and B ids of each group of space and ``text``; None where their bytes are others."""
-        whole = (" " + text).encode()
-        a = self.a.encode(" " + text, add_special_tokens=False).ids
-        b = self.b.encode(text)
-        sides = [[self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]]
-        if any(b"".join(s) != whole for s in sides):
-            return None
-        ends_a, ends_b = (np.cumsum([len(x) for x in s]) for s in sides)
-        both = np.intersect1d(ends_a, ends_b)
-        upto_a, upto_b = np.searchsorted(ends_a, both) + 1, np.searchsorted(ends_b, both) + 1
-        return [
-            (a[i:j], b[k:m])
-            for i, j, k, m in zip([0, *upto_a[:-1].tolist()], upto_a.tolist(), [0, *upto_b[:-1].tolist()], upto_b.tolist())
-        ]
+
+def agrees(a_file: bytes) -> bool:
+    """Whether the faster engine encodes every entry of the vocabulary as the file's own library does."""
+    from tokenizers import Tokenizer
+
+    quick, own = quick_engine(a_file), Tokenizer.from_str(a_file.decode())
+    if quick is None:
+        return False
+    own.encode_special_tokens = True
+    byte = _byte_of()
+    texts = [bytes(byte[c] for c in w).decode(errors="ignore") for w in own.get_vocab() if all(c in byte for c in w)]
+    return [x.ids for x in own.encode_batch(texts, add_special_tokens=False)] == [quick.encode_ordinary(t) for t in texts]
 
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -114,59 +159,106 @@ class _Pieces:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.shown: list[str] = []
-        self.marks = np.zeros((1024, 4), dtype=np.int64)
-        self.span = np.zeros((1024, 2), dtype=np.int64)
-        self.pairs, self.links = np.zeros((2, 8192), dtype=np.int64)
-        self.n_pairs = 0
-
-    def learn(self, piece: str) -> bool:
-        groups = self.encoder.groups(piece)
-        if groups is None:
-            return False
-        linked: Counter = Counter()
-        n_links = 0
-        for a, b in groups:
-            n_links += len(a) * len(b)
-            if len(a) == len(b) == 1:
-                linked[a[0], b[0]] += 1
-            else:
-                of_b = Counter(b)
-                for x, n in Counter(a).items():
-                    for y, m in of_b.items():
-                        linked[x, y] += n * m
-        at, end = len(self.shown), self.n_pairs + len(linked)
-        if at == len(self.marks):
-            self.marks, self.span = (np.concatenate([x, np.zeros_like(x)]) for x in (self.marks, self.span))
-        while end > len(self.pairs):
-            self.pairs, self.links = (np.concatenate([x, np.zeros_like(x)]) for x in (self.pairs, self.links))
-        ids = np.array(list(linked), dtype=np.int64).reshape(-1, 2)
-        self.pairs[self.n_pairs : end] = pair_keys(ids[:, 0], ids[:, 1])
-        self.links[self.n_pairs : end] = list(linked.values())
-        self.marks[at] = sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), n_links
-        self.span[at] = self.n_pairs, end
-        self.shown.append(";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups))
-        self.number[piece] = at
-        self.n_pairs = end
-        return True
-
-    def read(self, pieces: list[str]):
-        """(marks, rendered groups, pairs, links) of consecutive pieces; None where one does not give its bytes back."""
+        self.marks = np.zeros((0, 4), dtype=np.int64)
+        self.ends = np.zeros(1, dtype=np.int64)
+        self.pairs, self.links = np.zeros((2, 0), dtype=np.int64)
+        self.size = self.n_pairs = 0
+
+    def _append(self, shown: list[str], marks: np.ndarray, sizes: np.ndarray, pairs: np.ndarray, links: np.ndarray) -> None:
+        def room(x: np.ndarray, n: int) -> np.ndarray:
+            return x if n <= len(x) else np.concatenate([x, np.zeros((max(n, 2 * len(x)) - len(x), *x.shape[1:]), dtype=x.dtype)])
+
+        n, m = self.size + len(shown), self.n_pairs + len(pairs)
+        self.marks, self.ends, self.pairs, self.links = room(self.marks, n), room(self.ends, n + 1), room(self.pairs, m), room(self.links, m)
+        self.marks[self.size : n] = marks
+        self.ends[self.size + 1 : n + 1] = self.n_pairs + np.cumsum(sizes)
+        self.pairs[self.n_pairs : m], self.links[self.n_pairs : m] = pairs, links
+        self.shown += shown
+        self.size, self.n_pairs = n, m
+
+    def learn(self, new: list[str]) -> None:
+        """Align pieces; one that does not give its bytes back gets the number -1."""
+        a, b = self.encoder.ids(new)
+        a_bytes, b_bytes = self.encoder.a_bytes, self.encoder.b_bytes
+        wanted = [(" " + p).encode() for p in new]
+        size = np.array([len(w) for w in wanted])
+        flat = [np.fromiter(chain.from_iterable(x), dtype=np.int64) for x in (a, b)]
+        counts = [np.array([len(i) for i in x], dtype=np.int64) for x in (a, b)]
+        lengths = [self.encoder.a_size[flat[0]], self.encoder.b_size[flat[1]]]
+        good = np.ones(len(new), dtype=bool)
+        for n, long in zip(counts, lengths):
+            good &= np.bincount(np.repeat(np.arange(len(new)), n), weights=long, minlength=len(new)) == size
+        whole = b"".join(wanted)
+        if not good.all() or any(b"".join(map(t.__getitem__, f.tolist())) != whole for t, f in ((a_bytes, flat[0]), (b_bytes, flat[1]))):
+            good = np.array([b"".join(a_bytes[i] for i in x) == w == b"".join(b_bytes[i] for i in y) for x, y, w in zip(a, b, wanted)])
+            keep = np.flatnonzero(good).tolist()
+            self.number.update((p, -1) for p, ok in zip(new, good) if not ok)
+            if keep:
+                self.learn([new[k] for k in keep])
+            return
+        self.number.update(zip(new, range(self.size, self.size + len(new))))
+        self._append(*self.aligned(flat, counts, lengths, size))
+
+    def aligned(self, flat: list, counts: list, lengths: list, size: np.ndarray):
+        """(rendered groups, marks, pairs of each piece, pairs, links) of pieces whose tokens lie one after the other."""
+        ends = [np.cumsum(x) for x in lengths]
+        both = np.zeros((2, int(size.sum()) + 1), dtype=bool)
+        for k in (0, 1):
+            both[k, ends[k]] = True
+        last = [both[1, ends[0]], both[0, ends[1]]]  # whether a token ends its group
+        group = [np.cumsum(x) - x for x in last]
+        n_groups = int(last[0].sum())
+        n = [np.bincount(g, minlength=n_groups) for g in group]
+        first = [np.cumsum(x) - x for x in n]
+        piece_ends = np.cumsum(size)
+        piece = np.searchsorted(piece_ends, ends[0][last[0]])  # of each group
+        # every A token with every B token of its group; large groups by their distinct ids
+        large = np.flatnonzero(n[0] * n[1] > LARGE)
+        times = np.where(n[0] * n[1] > LARGE, 0, n[1])[group[0]]
+        at = np.repeat(first[1][group[0]] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        owner = [np.repeat(piece[group[0]], times)]
+        pairs, links = [pair_keys(np.repeat(flat[0], times), flat[1][at])], [np.ones(len(at), dtype=np.int64)]
+        for g in large.tolist():
+            (x, of_x), (y, of_y) = (np.unique(flat[k][first[k][g] : first[k][g] + n[k][g]], return_counts=True) for k in (0, 1))
+            pairs.append(pair_keys(np.repeat(x, len(y)), np.tile(y, len(x))))
+            links.append((of_x[:, None] * of_y).ravel())
+            owner.append(np.full(len(pairs[-1]), piece[g]))
+        owner, pairs, links = (np.concatenate(x) for x in (owner, pairs, links))
+        if len(large):
+            order = np.argsort(owner, kind="stable")
+            owner, pairs, links = owner[order], pairs[order], links[order]
+        marks = np.stack([*counts, np.bincount(piece, minlength=len(size)), np.bincount(piece, weights=n[0] * n[1], minlength=len(size)).astype(np.int64)], axis=1)
+        # ids in the order of groups, A before B, each with the sign that follows it
+        code = np.empty(len(flat[0]) + len(flat[1]), dtype=np.int64)
+        code[np.arange(len(flat[0])) + first[1][group[0]]] = flat[0] * 4 + last[0]
+        closing = np.where(np.append(piece[1:] != piece[:-1], True), 3, 2)[group[1]] if n_groups else np.zeros(0, dtype=np.int64)
+        code[np.arange(len(flat[1])) + (first[0] + n[0])[group[1]]] = flat[1] * 4 + np.where(last[1], closing, 0)
+        shown = "".join(map(self.encoder.shown.__getitem__, code.tolist())).split("\n")[:-1]
+        return shown, marks, np.bincount(owner, minlength=len(size)), pairs, links
+
+    def meet(self, pieces: list[str]) -> None:
+        """Learn what is new among some pieces."""
         new = set(pieces).difference(self.number)
-        if len(self.number) + len(new) > PIECES:
+        if self.size + len(new) > PIECES or any(len(p) > PIECE_CHARS for p in self.long):
             self.clear()
             new = set(pieces)
-        if not all(self.learn(p) for p in sorted(new)):
-            return None
+        self.long = [p for p in new if len(p) > PIECE_CHARS]
+        if new:
+            self.learn(sorted(new))
+
+    long: list[str] = []
+
+    def read(self, pieces: list[str]):
+        """(marks, rendered groups, pairs, links) of consecutive pieces that were met; None where one does not give its bytes back."""
         at = np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        if at.min() < 0:
+            return None
         shown = ";".join(map(self.shown.__getitem__, at.tolist()))
         some, times = np.unique(at, return_counts=True)
-        first, size = self.span[some, 0], self.span[some, 1] - self.span[some, 0]
-        before = np.cumsum(size) - size
-        place = np.repeat(first - before, size) + np.arange(int(size.sum()))
-        out = times @ self.marks[some], shown, self.pairs[place], self.links[place] * np.repeat(times, size)
-        if any(len(p) > PIECE_CHARS for p in new):
-            self.clear()
-        return out
+        first = self.ends[some]
+        size = self.ends[some + 1] - first
+        place = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return times @ self.marks[some], shown, self.pairs[place], self.links[place] * np.repeat(times, size)
 
 
 def segments(text: str, cuts: bool) -> Iterator[list[str]]:
@@ -179,13 +271,18 @@ def segments(text: str, cuts: bool) -> Iterator[list[str]]:
     yield _CUT.split(rest) if cuts else [rest]
 
 
-def align_text(pieces: _Pieces, text: str | None):
-    """(marks, digest, pairs, links) of a text; None without tokens. A pair may stand in several rows."""
+def align_text(pieces: _Pieces, text: str | None, met: list[str] | None = None):
+    """(marks, digest, pairs, links) of a text; None without tokens. A pair may stand in several rows.
+
+    ``met``: the pieces of a text of one segment, where they are known and met.
+    """
     if not text:
         return None
-    for parts in (segments(text, pieces.encoder.cuts), iter([[text]])):
+    for parts in (segments(text, pieces.encoder.cuts) if met is None else iter([met]), iter([[text]])):
         digest, marks, pairs, links = hashlib.sha256(), np.zeros(4, dtype=np.int64), [], []
         for k, some in enumerate(parts):
+            if some is not met:
+                pieces.meet(some)
             read = pieces.read(some)
             if read is None:
                 break
@@ -198,8 +295,28 @@ def align_text(pieces: _Pieces, text: str | None):
     return None
 
 
+def align_texts(pieces: _Pieces, texts: list[str | None]) -> Iterator:
+    """:func:`align_text` of each text; short texts meet their new pieces together."""
+    at = 0
+    while at < len(texts):
+        if len(texts[at] or "") > SEGMENT:
+            yield align_text(pieces, texts[at])
+            at += 1
+            continue
+        some, size = [], 0
+        while at < len(texts) and size <= SEGMENT and len(texts[at] or "") <= SEGMENT:
+            text = texts[at]
+            some.append((text, next(segments(text, pieces.encoder.cuts)) if text else []))
+            size += len(text or "")
+            at += 1
+        pieces.meet(list(chain.from_iterable(x[1] for x in some)))
+        # a text read again as a whole may make the worker forget; then the others meet their pieces anew
+        for text, parts in some:
+            yield align_text(pieces, text, parts if all(p in pieces.number for p in parts) else None)
+
+
 def _packed(rows: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(rows).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(rows).tobytes())
 
 
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,8 +379,7 @@ def _spiller(files, id_type: pa.DataType, limit: int):
 
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ["run", "local", *_MARKS, "groups_sha256"]}
-            for text in batch.column(1):
-                found = align_text(pieces, text.as_py())
+            for found in align_texts(pieces, batch.column(1).to_pylist()):
                 marks, digest = ([0] * 4, "") if found is None else (found[0].tolist(), found[1])
                 for c, v in zip(out, [run, local, *marks, digest]):
                     out[c].append(v)
@@ -289,7 +405,8 @@ def spill_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold
     """A written table: rows of documents (run, local, doc_id, n_a ...) and of run parts (run, part, entries, records)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    files = docs.sparkSession.sparkContext.broadcast(tuple(open(f"{folder}/{f}", "rb").read() for f in (SIDE_A, SIDE_B)))
+    a_file, b_file = (open(f"{folder}/{f}", "rb").read() for f in (SIDE_A, SIDE_B))
+    files = docs.sparkSession.sparkContext.broadcast((a_file, b_file, agrees(a_file)))
     kind = docs.schema[doc_id].dataType
     schema = T.StructType([*_SPILLED.fields, T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in _MARKS)])
     schema = schema.add("groups_sha256", T.StringType()).add("part", T.IntegerType()).add("entries", T.BinaryType()).add("records", T.BinaryType())

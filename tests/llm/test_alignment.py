@@ -18,7 +18,7 @@ HARD = [
 
 @pytest.fixture(scope="module")
 def encoder():
-    return al.Encoder(*FILES)
+    return al.Encoder(*FILES, fast=True)
 
 
 def plain(encoder, text):
@@ -104,10 +104,28 @@ _kept = []
 
 def _shared():
     if not _kept:
-        _kept.append(al.Encoder(*FILES))
+        _kept.append(al.Encoder(*FILES, fast=True))
     return _kept[0]
 
 
+def test_both_engines_agree(encoder):
+    assert al.agrees(FILES[0])
+    own = al.Encoder(*FILES)
+    assert own.quick is None and encoder.quick is not None
+    chars = [chr(c) for c in range(1, 0x300)]
+    texts = [f for c in chars for f in (c, f"a{c}b", f"a {c}1", f"{c}{c} {c}", f"1{c} ")] + ["don't we'll I'VE", "x" * 700, "字 a", "\u1c89 \ua7cb"]
+    assert own.ids(texts) == encoder.ids(texts)
+
+
+def test_large_groups(encoder, monkeypatch):
+    text = "ab字" * 50 + " one two " + "\u1c89" * 40 + "été" * 30
+    (want,), _ = brute(encoder, [text])
+    for large in (0, 3, 10**9):
+        monkeypatch.setattr(al, "LARGE", large)
+        marks, digest, keys, links = al.align_text(al._Pieces(encoder), text)
+        assert (*marks.tolist(), digest) == (*want[:4], want[-1]) and links.sum() == want[3] and len(keys) == len(links)
+
+
 def test_merge_of_many_runs():
     import numpy as np
 
