@@ -1,11 +1,16 @@
 """Quality rules with thresholds adapted to each language and source.
 
-Per document a few counts are taken with built-in functions. Their rates go into quantile sketches: counts
+Per document a few counts are taken with built-in functions. Their rates and sizes go into quantile sketches: counts
 by bucket, exact below 128 and within 1/64 above, which merge by adding. Sketches are kept by language and
 source, and merged into sketches by language and of all. A group with fewer than ``LEAST`` documents takes
-the sketch of its language, then that of all. Fences stand ``SPREAD`` quartile distances outside the
-quartiles, and never nearer than the fixed slack of the rate, so that an even group rejects nobody. The
-small table of fences is joined back and decides.
+the sketch of its language, then that of all.
+
+Every fence comes from the sketches; there is no fixed cutoff. The upper fence of a rate is its 7/8 quantile plus
+``SPREAD`` margins. A margin is the distance from the median to that quantile, the larger of the group's and its language's
+(of all documents, where both are zero), and at least what one event (a symbol, an equal line, a stuttered word, a
+repeated window of words) adds to the rate of a text of the group's median size, so an even group does not
+reject a text for a single event. The mean word length has a lower fence from the 1/8 quantile as well.
+The table of fences, one row a group, is joined back and decides.
 
 Equal 8-word windows are found by 64-bit hashes inside one text. Defined cases: a null text has no words;
 an empty text fails the base rule; null languages and sources are groups of their own; repeated rows count
@@ -20,9 +25,13 @@ from pyspark.sql import functions as F
 from geoloom.plans.scratch import materialize
 
 REPEAT = 8
-LEAST, SPREAD = 50, 3
-#: rate -> slack: the upper fence is at least this
-SLACK = {"symbols": 100, "dup_lines": 500, "stutter": 100, "word_length": 20000}
+LEAST, SPREAD = 50, 5
+#: rate -> (size it is a share of, how much of that one event makes up)
+EVENT = {
+    "symbols": ("n_words", 1), "dup_lines": ("n_lines", 1), "stutter": ("n_words", 1), "repeat": ("n_words", 2 * REPEAT),
+    "word_length": ("n_words", 0),
+}
+SIZES = ("n_words", "n_lines")
 _SPACE = r"[\x20\x09-\x0D]+"
 _SPACES = " \t\n\x0b\f\r"
 
@@ -71,7 +80,7 @@ def _rates() -> dict[str, Column]:
 
     return {
         "symbols": rate("n_symbols", "n_words"), "dup_lines": rate("n_dup_lines", "n_lines"),
-        "stutter": rate("n_stutter", "n_words"),
+        "stutter": rate("n_stutter", "n_words"), "repeat": rate("n_repeat_words", "n_words"),
         "word_length": rate("word_chars", "n_words"),
     }
 
@@ -83,22 +92,16 @@ def bucket(x: Column) -> Column:
 
 
 def sketch(counted: DataFrame) -> DataFrame:
-    """(lang_key, source_key, rate, bucket, n) over the documents that pass the base rule."""
-    rates = F.array(*(F.struct(F.lit(k).alias("rate"), bucket(v).alias("bucket")) for k, v in _rates().items()))
+    """(lang_key, source_key, rate, bucket, n) over the documents that pass the base rule; sizes are sketched as rates are."""
+    measures = _rates() | {k: F.col(k) for k in SIZES}
+    rates = F.array(*(F.struct(F.lit(k).alias("rate"), bucket(v).alias("bucket")) for k, v in measures.items()))
     each = counted.where("not base_failed").select("lang_key", "source_key", F.explode(rates).alias("x"))
     return each.groupBy("lang_key", "source_key", "x.rate", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketches: DataFrame) -> DataFrame:
-    """(lang_key, source_key, hi_<rate> ..., lo_word_length): thresholds for every group with documents."""
-    any_rate = next(iter(SLACK))
-    groups = sketches.where(F.col("rate") == any_rate).groupBy("lang_key", "source_key").agg(F.sum("n").alias("own"))
-    groups = groups.withColumn("of_lang", F.sum("own").over(Window.partitionBy("lang_key")))
+def quantiles(sketches: DataFrame) -> DataFrame:
+    """(l, s, <measure>_lo, _mid, _hi): eighth, median and seven eighths of each group, each language (s '*') and of all."""
     every = F.lit("*")
-    groups = groups.withColumn("use_lang", F.when(F.col("of_lang") >= LEAST, F.col("lang_key")).otherwise(every)).withColumn(
-        "use_source", F.when(F.col("own") >= LEAST, F.col("source_key")).otherwise(every)
-    )
-    groups = groups.withColumn("use_lang", F.when(F.col("own") >= LEAST, F.col("lang_key")).otherwise(F.col("use_lang")))
     levels = F.array(
         F.struct(F.col("lang_key").alias("l"), F.col("source_key").alias("s")),
         F.struct(F.col("lang_key").alias("l"), every.alias("s")),
@@ -107,18 +110,43 @@ def fences(sketches: DataFrame) -> DataFrame:
     merged = sketches.withColumn("x", F.explode(levels)).groupBy("x.l", "x.s", "rate", "bucket").agg(F.sum("n").alias("n"))
     whole = Window.partitionBy("l", "s", "rate")
     ranked = merged.withColumn("upto", F.sum("n").over(whole.orderBy("bucket"))).withColumn("total", F.sum("n").over(whole))
-    quarter = ranked.groupBy("l", "s", "rate").agg(
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3"),
-    )
-    reach = (F.col("q3") - F.col("q1")) * SPREAD
     out = []
-    for name, slack in SLACK.items():
-        out.append(F.max(F.when(F.col("rate") == name, F.greatest(F.col("q3") + reach, F.lit(slack)))).cast("long").alias(f"hi_{name}"))
-    out.append(F.max(F.when(F.col("rate") == "word_length", F.least(F.col("q1") - reach, F.lit(1500)))).cast("long").alias("lo_word_length"))
-    return groups.join(quarter.groupBy(F.col("l").alias("use_lang"), F.col("s").alias("use_source")).agg(*out), ["use_lang", "use_source"]).drop(
-        "use_lang", "use_source", "own", "of_lang"
-    )
+    for name in (*EVENT, *SIZES):
+        for part, eighths in (("lo", 1), ("mid", 4), ("hi", 7)):
+            reached = (F.col("rate") == name) & (F.col("upto") * 8 >= F.col("total") * eighths)
+            out.append(F.min(F.when(reached, F.col("bucket"))).alias(f"{name}_{part}"))
+    return ranked.groupBy("l", "s").agg(*out)
+
+
+def fences(sketches: DataFrame) -> DataFrame:
+    """(lang_key, source_key, hi_<rate> ..., lo_word_length): thresholds for every group with documents."""
+    groups = sketches.where(F.col("rate") == SIZES[0]).groupBy("lang_key", "source_key").agg(F.sum("n").alias("own"))
+    groups = groups.withColumn("of_lang", F.sum("own").over(Window.partitionBy("lang_key")))
+    every, large = F.lit("*"), F.col("of_lang") >= LEAST
+    groups = groups.withColumn("use_source", F.when(F.col("own") >= LEAST, F.col("source_key")).otherwise(every))
+    groups = groups.withColumn("use_lang", F.when(large, F.col("lang_key")).otherwise(every))
+    at = materialize(quantiles(sketches), "quantiles")
+
+    def level(mark: str, lang: Column, source: Column) -> tuple[DataFrame, Column]:
+        named = at.select(*(F.col(c).alias(f"{mark}{c}") for c in at.columns))
+        return named, (F.col(f"{mark}l") == lang) & (F.col(f"{mark}s") == source)
+
+    met = groups
+    for mark, lang, source in (("own_", "use_lang", F.col("use_source")), ("lang_", "use_lang", every), ("all_", None, every)):
+        met = met.join(*level(mark, every if lang is None else F.col(lang), source))
+
+    def margin(name: str, low: bool = False) -> Column:
+        def reach(mark: str) -> Column:
+            near, far = ("lo", "mid") if low else ("mid", "hi")
+            return F.col(f"{mark}{name}_{far}") - F.col(f"{mark}{name}_{near}")
+
+        spread = F.greatest(reach("own_"), reach("lang_"))
+        spread = F.when(spread == 0, reach("all_")).otherwise(spread)
+        size, event = EVENT[name]
+        return F.greatest(spread, F.expr(f"{1000 * event} div greatest(own_{size}_mid, 1)")) * SPREAD
+
+    out = [(F.col(f"own_{name}_hi") + margin(name)).alias(f"hi_{name}") for name in EVENT]
+    return met.select("lang_key", "source_key", *out, (F.col("own_word_length_lo") - margin("word_length", low=True)).alias("lo_word_length"))
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -131,7 +159,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     met = counted.join(limits, ["lang_key", "source_key"], "left")
     rates = _rates()
     good = (rates["word_length"] >= F.col("lo_word_length"))
-    for name in SLACK:
+    for name in EVENT:
         good = good & (rates[name] <= F.col(f"hi_{name}"))
     return met.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -146,7 +174,8 @@ def report(spark, sf_dir: str) -> DataFrame:
 _RATES_SQL = "unnest([" + ", ".join(
     f"{{'rate': '{k}', 'x': {v}}}" for k, v in {
         "symbols": "n_symbols * 1000 // greatest(n_words, 1)", "dup_lines": "n_dup_lines * 1000 // greatest(n_lines, 1)",
-        "stutter": "n_stutter * 1000 // greatest(n_words, 1)", "word_length": "word_chars * 1000 // greatest(n_words, 1)",
+        "stutter": "n_stutter * 1000 // greatest(n_words, 1)", "repeat": "n_repeat_words * 1000 // greatest(n_words, 1)",
+        "n_words": "n_words", "n_lines": "n_lines", "word_length": "word_chars * 1000 // greatest(n_words, 1)",
     }.items()) + "])"
 SQL = rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text,
@@ -166,13 +195,18 @@ b AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words
 v AS (SELECT r, l, s, u.rate, u.x FROM (SELECT *, {_RATES_SQL} AS u FROM b WHERE NOT base_failed)),
 k AS (SELECT l, s, rate, (x >> greatest(length(bin(x)) - 7, 0)) << greatest(length(bin(x)) - 7, 0) AS x FROM v),
 own AS (SELECT l, s, count(*) AS n FROM b WHERE NOT base_failed GROUP BY l, s),
-pick AS (SELECT l, s, CASE WHEN n >= {LEAST} OR sum(n) OVER (PARTITION BY l) >= {LEAST} THEN l ELSE '*' END AS ul,
+pick AS (SELECT l, s, CASE WHEN sum(n) OVER (PARTITION BY l) >= {LEAST} THEN l ELSE '*' END AS ul,
                 CASE WHEN n >= {LEAST} THEN s ELSE '*' END AS us FROM own),
 lev AS (SELECT l, s, rate, x FROM k UNION ALL SELECT l, '*', rate, x FROM k UNION ALL SELECT '*', '*', rate, x FROM k),
-q AS (SELECT l, s, rate, quantile_disc(x, 0.25) AS q1, quantile_disc(x, 0.75) AS q3 FROM lev GROUP BY l, s, rate),
-f AS (SELECT l, s, rate, greatest(q3 + {SPREAD} * (q3 - q1), CASE rate {" ".join(f"WHEN '{k}' THEN {v}" for k, v in SLACK.items())} END) AS hi,
-             CASE WHEN rate = 'word_length' THEN least(q1 - {SPREAD} * (q3 - q1), 1500) ELSE -1 END AS lo FROM q),
-ok AS (SELECT v.r, bool_and(v.x BETWEEN f.lo AND f.hi) AS good FROM v JOIN pick USING (l, s)
-       JOIN f ON f.l = pick.ul AND f.s = pick.us AND f.rate = v.rate GROUP BY v.r)
+q AS MATERIALIZED (SELECT l, s, rate, quantile_disc(x, 0.125) AS lo, quantile_disc(x, 0.5) AS mid, quantile_disc(x, 0.875) AS hi FROM lev GROUP BY l, s, rate),
+f AS (SELECT p.l, p.s, o.rate, o.hi + {SPREAD} * greatest(CASE WHEN greatest(o.hi - o.mid, g.hi - g.mid) = 0 THEN a.hi - a.mid
+               ELSE greatest(o.hi - o.mid, g.hi - g.mid) END, coalesce(e.event * 1000 // greatest(z.mid, 1), 0)) AS hi,
+             CASE WHEN o.rate = 'word_length' THEN o.lo - {SPREAD} * CASE WHEN greatest(o.mid - o.lo, g.mid - g.lo) = 0 THEN a.mid - a.lo
+               ELSE greatest(o.mid - o.lo, g.mid - g.lo) END ELSE -1 END AS lo
+      FROM pick p JOIN q o ON o.l = p.ul AND o.s = p.us JOIN q g ON g.l = p.ul AND g.s = '*' AND g.rate = o.rate
+      JOIN q a ON a.l = '*' AND a.s = '*' AND a.rate = o.rate
+      JOIN (VALUES {", ".join(f"('{k}', '{of}', {n})" for k, (of, n) in EVENT.items())}) e(rate, size, event) ON e.rate = o.rate
+      JOIN q z ON z.l = p.ul AND z.s = p.us AND z.rate = e.size),
+ok AS (SELECT v.r, bool_and(v.x BETWEEN f.lo AND f.hi) AS good FROM v JOIN f ON f.l = v.l AND f.s = v.s AND f.rate = v.rate GROUP BY v.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(good, false) AS kept
 FROM b LEFT JOIN ok USING (r)"""
