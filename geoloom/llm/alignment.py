@@ -54,6 +54,7 @@ _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 _LOW = RADIX.bit_length() - 1
 _ID_BITS, _DOC_BITS = 20, 23
+_BESIDE = re.compile("[!-~À-ɏ](?:[\0-ɏ]*[!-~À-ɏ])?")
 _CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 _ENTRY = np.dtype([("a", "<u4"), ("b", "<u4"), ("n", "<u8")])
 _COUNTED = np.dtype([("pair", "<i8"), ("n", "<i8"), ("best", "?")])
@@ -100,14 +101,34 @@ class Encoder:
         #: each id followed by each of the signs between ids
         self.shown = [f"{i}{sign}" for i in range(self.top) for sign in ",|;\n"]
 
-    def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """A and B ids of space and each text."""
+    def joined_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """A ids of space and each of some texts that may stand side by side, encoded as one text."""
+        ids = self.quick.encode_to_numpy(" " + " ".join(texts)).astype(np.int64)
+        ends = np.cumsum(self.a_size[ids])
+        upto = np.cumsum([len(t.encode()) + 1 for t in texts])
+        last = np.searchsorted(ends, upto)
+        return (ids, np.diff(last + 1, prepend=0)) if (ends[last] == upto).all() else None
+
+    def a_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of space and each text one after the other, and how many each text has."""
         if self.quick is None:
-            a = [x.ids for x in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-        else:
-            encode, slow = self.quick.encode_ordinary, self.a.encode
-            a = [encode(" " + t) if max(t, default=" ") < _PLAIN else slow(" " + t, add_special_tokens=False).ids for t in texts]
-        return a, self.b.encode(texts, num_threads=1)
+            return _flat([x.ids for x in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)])
+        encode, slow = self.quick.encode_ordinary, self.a.encode
+        return _flat([encode(" " + t) if max(t, default=" ") < _PLAIN else slow(" " + t, add_special_tokens=False).ids for t in texts])
+
+    def beside(self, texts: list[str]) -> tuple[list[str], list[str]]:
+        """Texts that may stand between spaces beside others without changing their ids, and the others."""
+        if self.quick is None or not self.cuts:
+            return [], texts
+        fits = list(map(_BESIDE.fullmatch, texts))
+        return [t for t, f in zip(texts, fits) if f], [t for t, f in zip(texts, fits) if not f]
+
+    def b_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat(self.b.encode(texts, num_threads=1))
+
+
+def _flat(some: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(some), dtype=np.int64), np.array([len(x) for x in some], dtype=np.int64)
 
 
 def quick_engine(a_file: bytes):
@@ -157,6 +178,7 @@ class _Pieces:
         self.clear()
 
     def clear(self) -> None:
+        self.times_cleared += 1
         self.number: dict[str, int] = {}
         self.shown: list[str] = []
         self.marks = np.zeros((0, 4), dtype=np.int64)
@@ -178,19 +200,28 @@ class _Pieces:
 
     def learn(self, new: list[str]) -> None:
         """Align pieces; one that does not give its bytes back gets the number -1."""
-        a, b = self.encoder.ids(new)
-        a_bytes, b_bytes = self.encoder.a_bytes, self.encoder.b_bytes
+        encoder = self.encoder
+        beside, other = encoder.beside(new)
+        joined = encoder.joined_ids(beside) if beside else None
+        if joined is not None:
+            new = beside + other
+            a_flat, a_counts = (np.concatenate(x) for x in zip(joined, encoder.a_ids(other)))
+        else:
+            a_flat, a_counts = encoder.a_ids(new)
+        b_flat, b_counts = encoder.b_ids(new)
+        flat, counts = [a_flat, b_flat], [a_counts, b_counts]
         wanted = [(" " + p).encode() for p in new]
         size = np.array([len(w) for w in wanted])
-        flat = [np.fromiter(chain.from_iterable(x), dtype=np.int64) for x in (a, b)]
-        counts = [np.array([len(i) for i in x], dtype=np.int64) for x in (a, b)]
         lengths = [self.encoder.a_size[flat[0]], self.encoder.b_size[flat[1]]]
         good = np.ones(len(new), dtype=bool)
         for n, long in zip(counts, lengths):
             good &= np.bincount(np.repeat(np.arange(len(new)), n), weights=long, minlength=len(new)) == size
         whole = b"".join(wanted)
-        if not good.all() or any(b"".join(map(t.__getitem__, f.tolist())) != whole for t, f in ((a_bytes, flat[0]), (b_bytes, flat[1]))):
-            good = np.array([b"".join(a_bytes[i] for i in x) == w == b"".join(b_bytes[i] for i in y) for x, y, w in zip(a, b, wanted)])
+        tables = encoder.a_bytes, encoder.b_bytes
+        if not good.all() or any(b"".join(map(t.__getitem__, f.tolist())) != whole for t, f in zip(tables, flat)):
+            for t, f, n in zip(tables, flat, counts):
+                parts = np.split(f, np.cumsum(n)[:-1])
+                good &= np.array([b"".join(map(t.__getitem__, x.tolist())) == w for x, w in zip(parts, wanted)])
             keep = np.flatnonzero(good).tolist()
             self.number.update((p, -1) for p, ok in zip(new, good) if not ok)
             if keep:
@@ -244,9 +275,10 @@ class _Pieces:
             new = set(pieces)
         self.long = [p for p in new if len(p) > PIECE_CHARS]
         if new:
-            self.learn(sorted(new))
+            self.learn(list(new))
 
     long: list[str] = []
+    times_cleared = 0
 
     def read(self, pieces: list[str]):
         """(marks, rendered groups, pairs, links) of consecutive pieces that were met; None where one does not give its bytes back."""
@@ -310,9 +342,9 @@ def align_texts(pieces: _Pieces, texts: list[str | None]) -> Iterator:
             size += len(text or "")
             at += 1
         pieces.meet(list(chain.from_iterable(x[1] for x in some)))
-        # a text read again as a whole may make the worker forget; then the others meet their pieces anew
-        for text, parts in some:
-            yield align_text(pieces, text, parts if all(p in pieces.number for p in parts) else None)
+        cleared = pieces.times_cleared
+        for text, parts in some:  # one that is read again as a whole may make the worker forget the pieces of the others
+            yield align_text(pieces, text, parts if cleared == pieces.times_cleared else None)
 
 
 def _packed(rows: np.ndarray) -> bytes:

@@ -114,7 +114,11 @@ def test_both_engines_agree(encoder):
     assert own.quick is None and encoder.quick is not None
     chars = [chr(c) for c in range(1, 0x300)]
     texts = [f for c in chars for f in (c, f"a{c}b", f"a {c}1", f"{c}{c} {c}", f"1{c} ")] + ["don't we'll I'VE", "x" * 700, "字 a", "\u1c89 \ua7cb"]
-    assert own.ids(texts) == encoder.ids(texts)
+    for ours, theirs in zip(own.a_ids(texts), encoder.a_ids(texts)):
+        assert (ours == theirs).all()
+    beside, other = encoder.beside(texts)
+    assert sorted(beside + other) == sorted(texts) and own.beside(texts) == ([], texts)
+    assert len(beside) > 1000 and all((x == y).all() for x, y in zip(own.a_ids(beside), encoder.joined_ids(beside)))
 
 
 def test_large_groups(encoder, monkeypatch):
