@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoloom.llm.names import free_names
 from geoloom.plans.components import components
 from geoloom.plans.scratch import materialize
 
@@ -264,16 +265,18 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distan
 
     Rows are named by id and text, so rows that share an id but not a component are judged apart.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    name = {"_id": F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.lit("?")), "_n1": F.xxhash64(body), "_n2": F.xxhash64(F.lit(1), body)}
+    own_id, n1, n2, nth = free_names("id n1 n2 nth", docs)
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    row_id = F.col(f"`{doc_id}`")
+    name = {own_id: F.coalesce(F.concat(F.lit("="), row_id.cast("string")), F.lit("?")), n1: F.xxhash64(body), n2: F.xxhash64(F.lit(1), body)}
     named = docs.select("*", *[c.alias(k) for k, c in name.items()])
-    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "_id", "_n1", "_n2")
-    marked = materialize(named.select(key.alias("row"), fingerprints(F.col(text)).alias("fp")), "fingerprints")
+    key = F.struct(row_id.isNull().alias("none"), row_id.alias("id"), *name)
+    marked = materialize(named.select(key.alias("row"), fingerprints(F.col(f"`{text}`")).alias("fp")), "fingerprints")
     first = materialize(marked.groupBy("fp").agg(F.min("row").alias("row")), "distinct")
     kept = _rooted(first, distance).groupBy("root").agg(F.min("row").alias("row"))
-    kept = materialize(kept.select("row._id", "row._n1", "row._n2"), "kept")
-    rank = Window.partitionBy(*name).orderBy(F.length(text))
-    met = named.join(kept, list(name)).withColumn("_kept_rank", F.row_number().over(rank)).where("_kept_rank = 1")
+    kept = materialize(kept.select(*(F.col("row")[k].alias(k) for k in name)), "kept")
+    rank = Window.partitionBy(*name).orderBy(F.length(F.col(f"`{text}`")))
+    met = named.join(kept, list(name)).withColumn(nth, F.row_number().over(rank)).where(F.col(nth) == 1)
     return met.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

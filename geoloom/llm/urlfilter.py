@@ -6,7 +6,8 @@ canonical URL belongs to one block and sets one bit in each of its words. The ta
 lets more URLs through to the exact join, which removes every false positive.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is never
-listed; repeated rows are judged alike; empty lists and tables work; other columns pass through.
+listed; repeated rows are judged alike; empty lists and tables work; other columns pass
+through, and those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.llm.names import free_names
 from geoloom.plans.scratch import materialize
 
 BITS_PER_URL = 16
 #: 64 bytes of bits each
 MAX_BLOCKS = 1 << 18
+RESULTS = ("host", "path", "rule", "verdict")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -74,31 +77,29 @@ def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule and verdict; ``listed`` has the URLs to block where no rule fits."""
-    h, p = host(F.col(url)), path(F.col(url))
+    h, p = host(F.col(f"`{url}`")), path(F.col(f"`{url}`"))
     names = materialize(
         listed.select(canonical(h, p).alias("canonical")).where("canonical is not null").distinct(), "listed"
     )
     size = max(1, names.count() * BITS_PER_URL // 512)
     blocks = min(MAX_BLOCKS, 1 << (size - 1).bit_length())
     bloom = materialize(bloom_blocks(names, blocks), "bloom")
-    judged = pages.drop("host", "path", "rule", "verdict").select(
-        "*", h.alias("host"), p.alias("path"), canonical(h, p).alias("_canonical"), rule_of(h, p, rules).alias("_rule")
+    name, rule, block, hit, found = free_names("canonical rule block hit found", pages)
+    words = free_names(" ".join(f"w{k}" for k in range(8)), pages)
+    kept = [F.col(f"`{c}`") for c in pages.columns if c not in RESULTS]
+    judged = pages.select(*kept, h.alias("host"), p.alias("path"), canonical(h, p).alias(name), rule_of(h, p, rules).alias(rule))
+    renamed = bloom.select(F.col("block").alias(block), *(F.col(f"w{k}").alias(w) for k, w in enumerate(words)))
+    probed = judged.withColumn(block, F.pmod(F.xxhash64(name), F.lit(blocks))).join(F.broadcast(renamed), block, "left")
+    possible = F.col(name).isNotNull() & F.col(rule).isNull()
+    for w, bit in zip(words, _bits(F.col(name))):
+        possible = possible & F.coalesce(F.col(w).bitwiseAND(bit) != 0, F.lit(False))
+    probed = probed.withColumn(hit, possible).drop(block, *words)
+    exact = names.select(F.col("canonical").alias(name), F.lit("block").alias(found))
+    sure = probed.where(F.col(hit)).join(exact, name, "left")
+    other = probed.where(~F.col(hit)).withColumn(found, F.lit(None).cast("string"))
+    return sure.unionByName(other).select(
+        *kept, "host", "path", F.col(rule)["rule"].alias("rule"), F.coalesce(F.col(rule)["verdict"], found, F.lit("allow")).alias("verdict")
     )
-    probed = judged.withColumn("_block", F.pmod(F.xxhash64("_canonical"), F.lit(blocks))).join(
-        F.broadcast(bloom.withColumnsRenamed({c: f"_{c}" for c in bloom.columns})), "_block", "left"
-    )
-    hit = F.col("_canonical").isNotNull() & F.col("_rule").isNull()
-    for k, bit in enumerate(_bits(F.col("_canonical"))):
-        hit = hit & F.coalesce(F.col(f"_w{k}").bitwiseAND(bit) != 0, F.lit(False))
-    probed = probed.withColumn("_hit", hit).drop("_block", *(f"_w{k}" for k in range(8)))
-    exact = names.select(F.col("canonical").alias("_canonical"), F.lit("block").alias("_found"))
-    possible = probed.where("_hit").join(exact, "_canonical", "left")
-    other = probed.where("not _hit").withColumn("_found", F.lit(None).cast("string"))
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return possible.unionByName(other).select(
-        *(F.col(f"`{c}`") for c in kept), "host", "path", F.col("_rule")["rule"].alias("rule"),
-        F.coalesce(F.col("_rule")["verdict"], "_found", F.lit("allow")).alias("verdict"),
-    )
 
 
 def _on_label(host: Column, labels: list[str]) -> Column:

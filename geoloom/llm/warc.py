@@ -5,25 +5,31 @@ only the rows of tasks that ended well name their files, so a lost executor leav
 The reader deals byte ranges of the archives to tasks. A record belongs to the range where it starts. A
 record must parse, hold as many bytes as it says, end as the format asks and agree with its digest;
 after a failed check, and at the start of a range, the search goes on from the next byte for a gzip
-member or a version line that passes. Bytes inside no record are the quarantined gaps.
+member or a version line that passes. Bytes inside no record are the quarantined gaps. Digests are checked in
+any of the algorithms below, in hex or base32; one of another algorithm is not checked. The query compares the
+records that it read with those that were written and fails, naming the first gaps, if any is missing.
 
 The files are opened by the tasks through pyarrow's file systems, under the folder given (the session's
-shared folder in the query). Defined cases: a null html is an empty payload, a null url an empty header; a
-null page_id writes an empty id; rows that repeat the smallest page_id of a payload are all responses;
-empty tables write no file and read as no rows.
+shared folder in the query). A member is inflated whole, so a record must fit a task; heads may have any length.
+Defined cases: a null html is an empty payload, a null url an empty header; a
+null page_id writes an id that reads as null, and ids of any type are percent-encoded; rows that repeat the smallest page_id of a payload are all responses;
+a length that is no number of ASCII digits fails its record; a revisit without the length or digest of its payload has
+nulls there; empty tables write no file and read as no rows.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +55,11 @@ RECORDS = (
 )
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _ID = re.compile(r"^<urn:page:(.*)>$")
+_NONE = "<urn:page-none>"
+_DIGITS = re.compile(r"[0-9]{1,18}")
+_HTTP_LENGTH = re.compile(rb"(?i)(?:^|\n)content-length:[ \t]*([0-9]{1,18})[ \t]*(?:\r|$)")
+#: fixed values: digest algorithms by their names in records
+ALGORITHMS = {"sha256", "sha1", "sha512", "sha384", "md5"}
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 
 
@@ -59,18 +70,22 @@ def open_store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def page_uri(page_id) -> str:
+    return _NONE if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
 def record(kind: str, page_id, url: str | None, body: bytes | None, digest: str, size: int, refers_to=None) -> bytes:
     """One record; a revisit (``body`` None) has the HTTP head of its payload only."""
     block = _HTTP % size + (body or b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {page_uri(page_id)}",
         "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url or '')}",
         f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {page_uri(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -156,6 +171,18 @@ class Reader:
         return -1
 
 
+def digest_fails(given: str | None, data: bytes) -> bool:
+    """Whether a digest (algorithm:value) says that ``data`` is damaged."""
+    name, colon, value = (given or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    if not colon or name not in ALGORITHMS:
+        return False
+    found = hashlib.new(name, data)
+    if len(value) == 2 * found.digest_size:
+        return value.lower() != found.hexdigest()
+    return value.upper().rstrip("=") != base64.b32encode(found.digest()).decode().rstrip("=")
+
+
 def parse(data: bytes) -> dict | None:
     """Fields of a whole record, or None when a check fails."""
     if not _VERSION.match(data):
@@ -171,25 +198,30 @@ def parse(data: bytes) -> dict | None:
         fields[name.decode(errors="replace").strip().lower()] = value.decode(errors="replace").strip()
     length = fields.get("content-length", "")
     block = data[end + 4 :]
-    if not length.isdigit() or len(block) != int(length) + 4 or not block.endswith(b"\r\n\r\n"):
+    if not _DIGITS.fullmatch(length) or len(block) != int(length) + 4 or not block.endswith(b"\r\n\r\n"):
         return None
     block = block[:-4]
-    digest = fields.get("warc-block-digest", "")
-    if digest.startswith("sha256:") and digest != f"sha256:{hashlib.sha256(block).hexdigest()}":
+    if digest_fails(fields.get("warc-block-digest"), block):
         return None
     payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
     kind = fields.get("warc-type", "")
-    given = fields.get("warc-payload-digest", "").removeprefix("sha256:")
+    given = fields.get("warc-payload-digest")
     if kind == "revisit":
-        size, own = int(fields.get("x-payload-length") or 0), given
+        said = fields.get("x-payload-length")
+        if said is None and (found := _HTTP_LENGTH.search(block)):
+            said = found[1].decode()
+        if said is not None and not _DIGITS.fullmatch(said):
+            return None
+        size, own = None if said is None else int(said), given and given.removeprefix("sha256:")
     else:
-        size, own = len(payload), hashlib.sha256(payload).hexdigest()
-        if fields.get("warc-payload-digest", "").startswith("sha256:") and own != given:
+        if digest_fails(given, payload):
             return None
+        size, own = len(payload), hashlib.sha256(payload).hexdigest()
 
     def page(name: str) -> str | None:
-        found = _ID.match(fields.get(name, ""))
-        return found[1] or None if found else fields.get(name)
+        said = fields.get(name)
+        found = _ID.match(said or "")
+        return unquote(found[1]) if found else None if said == _NONE else said
 
     return {
         "record_type": kind, "record_id": page("warc-record-id"), "url": fields.get("warc-target-uri"), "refers_to": page("warc-refers-to"),
@@ -215,11 +247,11 @@ def record_at(reader: Reader, start: int) -> tuple[int, dict] | None:
     if not _VERSION.match(head):
         return None
     end, n = head.find(b"\r\n\r\n"), CHUNK
-    while end < 0 and start + n < reader.size and n < 16 * CHUNK:  # no head is longer than a megabyte
-        n *= 2
+    while end < 0 and start + n < reader.size and all(b":" in line for line in head.split(b"\n")[1:-1]):
+        n *= 2  # so far it reads like a head
         head = reader.bytes(start, n)
         end = head.find(b"\r\n\r\n")
-    length = re.search(rb"(?i)\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", head[: end + 2]) if end >= 0 else None
+    length = re.search(rb"(?i)\ncontent-length:[ \t]*([0-9]{1,18})[ \t]*\r\n", head[: end + 2]) if end >= 0 else None
     if not length:
         return None
     size = end + 8 + int(length[1])
@@ -288,15 +320,22 @@ def list_archives(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("path", F.col("length").alias("size"))
 
 
-def _number(column: str) -> Column:
-    return F.col(column).try_cast("long")
+def all_read(files: DataFrame, records: DataFrame) -> DataFrame:
+    """``records`` of just written ``files``, or an error that names gaps if some are missing."""
+    written, found = files.agg(F.sum("records")).first()[0] or 0, records.count()
+    if written != found:
+        first = [tuple(r) for r in gaps(files, records).orderBy("path", "start").limit(5).collect()]
+        raise RuntimeError(f"{written} records written, {found} read; first gaps (path, start, size): {first}")
+    return records
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     files = write_archives(pages, scratch_path(spark, "warc"))
-    return read_archives(files).select(
-        _number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", _number("refers_to").alias("refers_to")
+    kind = pages.schema["page_id"].dataType
+    read = all_read(files, materialize(read_archives(files).drop("payload"), "records"))
+    return read.select(
+        F.col("record_id").try_cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").try_cast(kind).alias("refers_to")
     )
 
 

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoloom.llm.names import free_names
 from geoloom.llm.urlfilter import host
 from geoloom.plans.scratch import materialize
 
@@ -44,7 +45,8 @@ SHARE = 0.9
 TWIN = 0.25
 #: child nodes of a wrapper node before further kinds are merged by element name alone
 WIDE = 48
-#: open elements of a page; deeper ones still part blocks but open no node of their own
+#: containers inside each other that the induction tells apart; the parts of deeper ones belong to the last of these, still
+#: as blocks of their own, and what is dropped is dropped at any depth
 DEPTH = 100
 #: hosts a task merges before it hands its wrappers on
 HOSTS_HELD = 2000
@@ -66,8 +68,10 @@ DROPPED_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr "
     "notice notices comment comments disqus reply replies respond sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
     "header masthead share sharing social related recommended newsletter subscribe subscription popup modal overlay widget toolbar "
-    "pagination pager login signup skip".split()
+    "pagination pager login signup skip commentlist commentbox discussion".split()
 )
+#: words that name furniture as a class only; as an id they may be the place of a heading
+CLASS_ONLY = {"discussion"}
 #: nouns that only say what a named thing is laid out as
 LAYOUT = set(
     "area article articles bar block blocks box boxes button buttons container content feed form group icon icons inner item items "
@@ -80,8 +84,10 @@ WRITING = set("p h1 h2 h3 h4 h5 h6 li dd dt td th tr blockquote pre figure figca
 #: words of parts that can hold more text than the article and are furniture all the same
 NEVER_MAIN = set(
     "ad ads advert adverts advertisement advertising cookie cookies consent gdpr comment comments disqus reply replies respond "
-    "newsletter subscribe subscription breadcrumb breadcrumbs share sharing pagination pager".split()
+    "newsletter subscribe subscription breadcrumb breadcrumbs share sharing pagination pager commentlist commentbox discussion".split()
 )
+#: such words that name an advert or reader comments: they drop running text too where they are the whole name
+NEVER_TEXT = set("ad ads advert adverts advertisement advertising comment comments disqus reply replies respond commentlist commentbox discussion".split())
 ENDS_P = BLOCKS - {"html", "head", "body", "option", "optgroup", "legend", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"}
 # an opened element ends open ones of the same set, up to the nearest of the stops
 ENDS = {
@@ -128,6 +134,12 @@ def furniture(name: str) -> int:
     return 3 if DROPPED_WORDS.issuperset(ws) else 2
 
 
+def _never_text(name: str) -> bool:
+    """Whether a class names an advert or comments and nothing else."""
+    ws = [w for w in _WORDS.split(name) if len(w) > 1]
+    return bool(NEVER_TEXT.intersection(ws)) and NEVER_TEXT.union(LAYOUT).issuperset(ws)
+
+
 def _node(tag: str, attrs: str, inside_article: bool) -> Node:
     dropped = tag in DROPPED or (tag == "header" and not inside_article)
     soft = tag == "form"
@@ -143,12 +155,16 @@ def _node(tag: str, attrs: str, inside_article: bool) -> Node:
                 for one in value.split():
                     if tag in ("html", "body", "article", "main") or dropped or not (level := furniture(one)):
                         continue
+                    if name == "id" and CLASS_ONLY.intersection(_WORDS.split(one)):
+                        continue
                     named.append(one)
                     topic = name == "id" and tag == "section" and not NEVER_MAIN.intersection(_WORDS.split(one))
                     if name == "id" and tag in WRITING and tag[0] == "h":
                         named.pop()  # the place a link leads to
                     elif level == 1:
                         doubt = True
+                    elif name == "class" and tag in WRITING and tag[0] != "h" and _never_text(one):
+                        dropped = True
                     elif tag in WRITING or topic or (level == 2 and {"header", "banner", "notice"}.intersection(_WORDS.split(one))):
                         doubt, alone = True, alone or not inside_article
                     else:
@@ -194,40 +210,57 @@ def settle(node: Node, constant: dict[str, bool]) -> None:
                 settle(kid, constant)
 
 
+class _Open:
+    """An open element: its name, and the node that takes what stands in it."""
+
+    __slots__ = ("tag", "node")
+
+    def __init__(self, tag: str, node: Node):
+        self.tag, self.node = tag, node
+
+
 def parse(page: str | None) -> Node:
     """Tree of a page: block elements as nodes, everything between them as text (character references decoded)."""
     root = Node("#", "#", False)
-    stack = [root]
+    stack = [_Open("#", root)]
     page = page or ""
-    at = 0
+    at = depth = 0  # depth: nodes on the stack
 
-    def text(piece: str) -> None:
-        if piece:
-            kids = stack[-1].kids
-            if kids and isinstance(kids[-1], list):
-                kids[-1].append(piece)
-            else:
-                kids.append([piece])
+    def add(piece: str) -> None:
+        kids = stack[-1].node.kids
+        if kids and isinstance(kids[-1], list):
+            kids[-1].append(piece)
+        else:
+            kids.append([piece])
+
+    def close(k: int) -> None:
+        """Ends the open elements from the k-th on."""
+        nonlocal depth
+        while len(stack) > k:
+            gone = stack.pop()
+            if gone.node is not stack[-1].node:
+                depth -= 1
+            elif gone.tag in BLOCKS:
+                stack[-1].node.kids.append(Node(gone.tag, gone.tag, False))  # parts the blocks around it
 
     while True:
         m = _TOKEN.search(page, at)
         if m is None:
-            text(page[at:])
+            if at < len(page):
+                add(page[at:])
             break
-        text(page[at : m.start()])
+        if at < m.start():
+            add(page[at : m.start()])
         at = m.end()
         if m[1]:
             tag = m[1].lower()
             if tag in BLOCKS or tag in DROPPED or tag in INLINE:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag or (tag[0] == "h" and tag[1:].isdigit() and stack[k].tag[0] == "h" and stack[k].tag[1:].isdigit()):
-                        del stack[k:]
+                        close(k)
                         break
-                else:
-                    if len(stack) >= DEPTH and tag in BLOCKS:
-                        stack[-1].kids.append(Node(tag, tag, False))  # parts the blocks around it
             elif tag == "br":
-                text(" ")
+                add(" ")
         elif m[2]:
             tag, attrs = m[2].lower(), m[3]
             if tag in RAW:
@@ -235,14 +268,14 @@ def parse(page: str | None) -> Node:
                 at = end.end() if end else len(page)
                 continue
             if tag == "br":
-                text(" ")
+                add(" ")
                 continue
             if tag not in BLOCKS and tag not in DROPPED and not _marked(tag, attrs) and not (tag in INLINE and any(n.tag == tag for n in stack)):
                 continue
             if tag in ENDS_P:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == "p":
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k].tag in ("td", "th", "table", "button", "object", "caption"):
                         break
@@ -251,11 +284,19 @@ def parse(page: str | None) -> Node:
                 low = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in stops), 0)
                 first = next((k for k in range(low + 1, len(stack)) if stack[k].tag in ended), 0)
                 if first:
-                    del stack[first:]
+                    close(first)
             node = _node(tag, attrs, any(n.tag in ("article", "main") for n in stack))
-            stack[-1].kids.append(node)
-            if tag not in VOID and not attrs.rstrip().endswith("/") and len(stack) < DEPTH:
-                stack.append(node)
+            here = stack[-1].node
+            opens = tag not in VOID and not attrs.rstrip().endswith("/")
+            if depth < DEPTH or node.dropped or not opens:
+                here.kids.append(node)
+                if opens:
+                    stack.append(_Open(tag, node))
+                    depth += 1
+            else:
+                if tag in BLOCKS:
+                    here.kids.append(Node(tag, tag, False))  # parts the blocks around it
+                stack.append(_Open(tag, here))
     _release(root)
     return root
 
@@ -637,18 +678,20 @@ def _extract(pages: pd.Series, paths: pd.Series) -> pd.Series:
 
 
 def host_regions(pages: DataFrame) -> DataFrame:
-    """(host, region) from pages with ``_host`` and ``html``; null where the host's pages do not differ."""
-    partial = pages.select("_host", "html").mapInArrow(_induce, WRAPPER)
-    ordered = partial.repartition("host").sortWithinPartitions("host")
+    """(host, region) from pages (host, html); null where the host's pages do not differ."""
+    partial = pages.mapInArrow(_induce, WRAPPER)
+    ordered = partial.repartition("host").sortWithinPartitions("host", F.xxhash64("wrapper"))
     return materialize(ordered.mapInArrow(_combine, REGION), "regions")
 
 
 def extract(pages: DataFrame, url: str = "url", into: str = "text") -> DataFrame:
     """``pages`` (with ``html``) and their main text in column ``into``."""
-    hosted = pages.withColumn("_host", host(F.col(url)))
-    regions = host_regions(hosted).where("region is not null").select(F.col("host").alias("_host"), F.col("region").alias("_region"))
-    met = hosted.join(regions, "_host", "left").withColumn("_text", _extract("html", "_region"))
-    return met.select(*(F.col(f"`{c}`") for c in pages.columns if c != into), F.col("_text").alias(into))
+    name, found, out = free_names("host region text", pages)
+    hosted = pages.withColumn(name, host(F.col(f"`{url}`")))
+    regions = host_regions(hosted.select(F.col(name).alias("host"), "html")).where("region is not null")
+    met = hosted.join(regions.select(F.col("host").alias(name), F.col("region").alias(found)), name, "left")
+    met = met.withColumn(out, _extract("html", found))
+    return met.select(*(F.col(f"`{c}`") for c in pages.columns if c != into), F.col(out).alias(into))
 
 
 def report(spark, sf_dir: str) -> DataFrame:

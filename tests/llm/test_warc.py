@@ -61,5 +61,70 @@ def test_rows_with_nulls_and_copies(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(pages.where("false"), str(tmp_path / "none"))).collect() == []
 
 
+def test_damaged_heads_are_quarantined(spark, tmp_path):
+    good = record(1, b"good body")
+    revisit = warc.record("revisit", 2, "u", None, "ab", 1234, 1)
+    heads = [
+        revisit.replace(b"X-Payload-Length: 1234", b"X-Payload-Length: ten"), good.replace(b"Content-Length: ", b"Content-Length: \xc2\xb2"),
+        good.replace(b"Content-Length: ", b"Content-Length: -"), good.replace(b"WARC-Type: ", b"no colon here\r\nWARC-Type "),
+    ]
+    data = b"".join(h + good for h in heads)
+    (tmp_path / "a.warc").write_bytes(data)
+    files = warc.list_archives(spark, str(tmp_path))
+    assert [r.record_id for r in warc.read_archives(files).collect()] == ["1"] * len(heads)
+    assert sum(r.size for r in warc.gaps(files, warc.read_archives(files)).collect()) == sum(map(len, heads))
+
+
+def test_long_heads_and_foreign_digests():
+    import base64
+
+    body = b"some payload"
+    sha1 = hashlib.sha1(body)
+    base = [b"WARC/1.0", b"WARC-Type: resource", b"Content-Length: %d" % len(body)]
+    for name, value, good in (
+        ("sha1", base64.b32encode(sha1.digest()).decode(), True), ("SHA-1", sha1.hexdigest().upper(), True), ("sha1", "A" * 32, False),
+        ("md5", hashlib.md5(body).hexdigest(), True), ("sha256", "0" * 64, False), ("crc9", "whatever", True),
+    ):
+        for field in ("WARC-Block-Digest", "WARC-Payload-Digest"):
+            data = b"\r\n".join([*base, f"{field}: {name}:{value}".encode()]) + b"\r\n\r\n" + body + b"\r\n\r\n"
+            assert (warc.parse(data) is not None) == good
+    import io
+
+    head = b"\r\n".join([*base, *(b"X-%d: %s" % (k, b"v" * 1000) for k in range(3000))])
+    data = head + b"\r\n\r\n" + body + b"\r\n\r\n"
+    assert len(head) > 3_000_000
+    for whole in (data, warc.member(data)):
+        got = list(warc.salvage(warc.Reader(io.BytesIO(whole), len(whole)), 0, len(whole)))
+        assert [(a, n, f["payload"]) for a, n, f in got] == [(0, len(whole), body)]
+
+
+def test_revisits_of_other_writers():
+    head = b"HTTP/1.1 200 OK\r\nContent-Length: 77\r\n\r\n"
+    for block, extra, want in ((head, b"", (77, None)), (b"", b"WARC-Payload-Digest: sha1:ABC\r\n", (None, "sha1:ABC"))):
+        data = b"WARC/1.1\r\nWARC-Type: revisit\r\n" + extra + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+        got = warc.parse(data)
+        assert (got["payload_bytes"], got["payload_digest"]) == want
+
+
+def test_text_ids_and_lost_records(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    ids = ["a b", "ü>%", "", None, "x\r\nWARC-Type: y", "10"]
+    pq.write_table(pa.table({"page_id": ids, "url": ["u"] * 6, "html": ["h" * 200] * 3 + ["k", None, "h" * 200]}), tmp_path / "pages.parquet")
+    got = warc.report(spark, str(tmp_path)).collect()
+    assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in got) == sorted(
+        [("a b", "revisit", ""), ("ü>%", "revisit", ""), ("", "response", "None"), ("None", "response", "None"), (ids[4], "response", "None"), ("10", "revisit", "")]
+    )
+    pages = spark.read.parquet(str(tmp_path / "pages.parquet"))
+    files = warc.write_archives(pages, str(tmp_path / "out"))
+    path = files.first().path
+    with open(path, "r+b") as f:
+        f.seek(3)
+        f.write(b"\xff\xff")
+    with pytest.raises(RuntimeError, match="6 records written, 5 read"):
+        warc.all_read(files, warc.read_archives(files))
+
+
 def test_query(spark):
     assert differences(spark, "op5_warc", "/root/testdata/sf0.001") == []

@@ -98,3 +98,35 @@ def test_words_do_not_drop_article_text():
 def test_wrapper_decides_names_in_doubt(spark):
     pages = [f"<body><article><p>{wordy(k)}</p><p class='notice'>Note {k}</p><div class='social-proof'>Trusted by all</div></article></body>" for k in range(4)]
     assert regions(pages, spark) == [f"{wordy(k)}\nNote {k}" for k in range(4)]
+
+
+def test_furniture_goes_at_any_depth():
+    for n in (20, 99, 100, 110, 3000):
+        inner = f"<nav>MENU</nav><p>text</p><div>more<aside>side<div>x</div></aside></div>tail<p class='ad'>buy</p>"
+        whole = "<body>" + "<div>" * n + inner + "</div>" * n + "<p>after</p></body>"
+        assert wr.main_text(whole, None).split("\n") == ["text", "more", "tail", "after"]
+
+
+def test_adverts_and_comments_among_running_text(spark):
+    gone = (
+        "<p class='ad'>Buy {0} now</p><table class='ad'><tr><td>cheap {0}</td></tr></table><ul><li>point {0}</li><li class='comment'>I agree {0}</li></ul>"
+        "<ol class=commentlist><li>first {0}</li></ol><section class=discussion><p>nice {0}</p></section><blockquote class='ad-box'>offer {0}</blockquote>"
+    )
+    kept = "<section id='discussion'><h2 id='comments'>Comments on {0}</h2><p class='lead'>Results {0}</p></section>"
+    pages = [f"<body><article><p>{wordy(k)}</p>{gone.format(wordy(k + 50, 3))}{kept.format(k)}</article></body>" for k in range(6)]
+    want = [f"{wordy(k)}\npoint {wordy(k + 50, 3)}\nComments on {k}\nResults {k}" for k in range(6)]
+    assert regions(pages, spark) == want and [wr.main_text(p, None) for p in pages] == want
+
+
+def test_any_partitioning_gives_the_same_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    one = {r.page_id: r.text for r in wr.extract(docs.repartition(1)).collect()}
+    for n in (3, 8):
+        assert {r.page_id: r.text for r in wr.extract(docs.repartition(n, "page_id")).collect()} == one
+
+
+def test_clashing_names(spark):
+    rows = [(k, "http://a.org/x", page(k), "own", "own", "own", "own") for k in range(3)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, _host string, _region string, host string, _TEXT string")
+    got = wr.extract(docs).collect()
+    assert {r.page_id: r.text for r in got} == {k: text(k) for k in range(3)} and {tuple(r)[3:7] for r in got} == {("own",) * 4}
