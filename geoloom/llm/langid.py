@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE_ROWS, TRAIN_WORDS = 6000, 400
+SAMPLE_ROWS, TRAIN_WORDS = 4000, 250
 BUCKETS, DIMS, GRAMS = 1 << 16, 16, (2, 3, 4)
-EPOCHS, BATCH, RATE = 5, 32, 0.5
+EPOCHS, BATCH, RATE = 3, 32, 0.5
 PRECISION = 0.98
 UNKNOWN = "und"
 #: words whose numbers a worker keeps
@@ -82,24 +82,40 @@ class Model:
         return e / e.sum(axis=-1, keepdims=True)
 
 
-def _bags(texts: list[dict[str, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Buckets of each text and their shares, adding up to one."""
-    known: dict[str, list[int]] = {}
-    out = []
-    for counts in texts:
-        rows: dict[int, float] = {}
-        n = sum(counts.values())
-        for w, c in sorted(counts.items()):
-            if w not in known:
-                known[w] = subwords(w)
-            for b in known[w]:
-                rows[b] = rows.get(b, 0.0) + c / n / len(known[w])
-        out.append((np.fromiter(rows, dtype=np.int64, count=len(rows)), np.fromiter(rows.values(), dtype=np.float64, count=len(rows))))
+class Bags:
+    """Texts as distinct words with their shares; the buckets of a word are held once."""
+
+    def __init__(self, texts: list[dict[str, int]]):
+        known: dict[str, int] = {}
+        self.words, self.shares = [], []
+        for counts in texts:
+            self.words.append(np.array([known.setdefault(w, len(known)) for w in counts], dtype=np.int32))
+            n = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+            self.shares.append((n / n.sum()).astype(np.float32))
+        parts = [subwords(w) for w in known]
+        self.size = np.array([len(p) for p in parts], dtype=np.int32)
+        self.first = np.cumsum(self.size) - self.size
+        self.buckets = np.fromiter((b for p in parts for b in p), dtype=np.int32, count=int(self.size.sum()))
+
+    def batch(self, rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of some texts: text and word (among the distinct ones) and share of each entry, then buckets of those words and their sizes."""
+        text = np.repeat(np.arange(len(rows)), [len(self.words[k]) for k in rows])
+        some, word = np.unique(np.concatenate([self.words[k] for k in rows]), return_inverse=True)
+        size, first = self.size[some], self.first[some]
+        place = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return text, word, np.concatenate([self.shares[k] for k in rows]), self.buckets[place], size
+
+
+def _means(model: Model, n: int, text, word, share, buckets, size) -> np.ndarray:
+    words = np.add.reduceat(model.table[buckets], np.cumsum(size) - size, axis=0) / size[:, None]
+    out = np.zeros((n, DIMS))
+    np.add.at(out, text, share[:, None] * words[word])
     return out
 
 
-def _logits(model: Model, bags: list) -> np.ndarray:
-    return np.array([(model.table[b] * s[:, None]).sum(axis=0) @ model.weights + model.bias for b, s in bags]).reshape(len(bags), len(model.langs))
+def _logits(model: Model, bags: Bags, rows) -> np.ndarray:
+    parts = [rows[a : a + BATCH] for a in range(0, len(rows), BATCH)]
+    return np.concatenate([_means(model, len(part), *bags.batch(part)) @ model.weights + model.bias for part in parts])
 
 
 def fit(texts: list[dict[str, int]], langs: list[str], seed: int = 11) -> Model:
@@ -110,7 +126,7 @@ def fit(texts: list[dict[str, int]], langs: list[str], seed: int = 11) -> Model:
     if len(names) < 2:
         return model
     y = np.searchsorted(names, langs)
-    bags = _bags(texts)
+    bags = Bags(texts)
     order = rng.permutation(len(y))
     order = order[np.argsort(y[order], kind="stable")]  # every language in each part
     held, used = order[::5], np.delete(order, slice(None, None, 5))
@@ -124,18 +140,20 @@ def fit(texts: list[dict[str, int]], langs: list[str], seed: int = 11) -> Model:
             rows = used[a : a + BATCH]
             rate = RATE * (1 - steps / total)
             steps += 1
-            mean = np.array([(model.table[bags[k][0]] * bags[k][1][:, None]).sum(axis=0) for k in rows])
+            text, word, share, buckets, size = bags.batch(rows)
+            mean = _means(model, len(rows), text, word, share, buckets, size)
             p = model.shares(mean @ model.weights + model.bias)
             p[np.arange(len(rows)), y[rows]] -= 1
             back = p @ model.weights.T
             model.weights -= rate * mean.T @ p
             model.bias -= rate * p.mean(axis=0)
-            buckets = np.concatenate([bags[k][0] for k in rows])
+            of_word = np.zeros((len(size), DIMS))
+            np.add.at(of_word, word, share[:, None] * back[text])
             some, where = np.unique(buckets, return_inverse=True)
             grad = np.zeros((len(some), DIMS))
-            np.add.at(grad, where, np.concatenate([bags[k][1][:, None] * back[j] for j, k in enumerate(rows)]))
+            np.add.at(grad, where, np.repeat(of_word / size[:, None], size, axis=0))
             model.table[some] -= rate * grad * len(names)
-    _calibrate(model, _logits(model, [bags[k] for k in held]), y[held])
+    _calibrate(model, _logits(model, bags, held), y[held])
     return model
 
 

@@ -56,7 +56,7 @@ def test_gradient_learns_and_calibrates():
         texts.append({w: int(c) for w, c in zip(*np.unique(ws, return_counts=True))})
         langs.append("a" if k % 10 == 3 else lang)  # a fifth of the labels of b is wrong
     model = li.fit(texts, langs)
-    shares = model.shares(li._logits(model, li._bags([{"foo": 2, "baz": 1}, {"qux": 3}])))
+    shares = model.shares(li._logits(model, li.Bags([{"foo": 2, "baz": 1}, {"qux": 3}]), [0, 1]))
     assert shares[0, 0] > 0.9 and 0.6 < shares[1, 1] < 0.95
 
 
