@@ -42,6 +42,8 @@ WINDOW, GRAM = 400, 64
 PASSAGE, PASSAGE_GRAM, SYMBOL = 51, 8, 8
 #: bytes hashed at once, and bytes of stretches sorted at once
 PIECE, SORTED_AT_ONCE = 1 << 19, 1 << 18
+#: word codes that a task keeps
+CODES = 1 << 19
 #: stretches that share an anchor, or a core, sorted in one task
 GROUP = 512
 
@@ -319,7 +321,7 @@ def _name(docs: DataFrame, text: str) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, symbol: int = 1):
-    """(texts, marks): marks has (k1, k2, spans of repeated window starts); texts the bodies of all texts in it.
+    """Written tables (texts, marks): marks has (k1, k2, spans of repeated window starts); texts the bodies of all texts in it.
 
     Windows, grams and spans are counted in symbols.
     """
@@ -328,8 +330,10 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     long = named.where(F.octet_length("body") >= window * symbol)
     cut = materialize(long.select("k1", "k2", "body").mapInArrow(_stretcher(window, gram, symbol), STRETCH), "stretches")
     shared = materialize(cut.groupBy("kh").count().where("count >= 2").select("kh"), "shared")
-    met = materialize(cut.join(shared, "kh").groupBy(*CLASS, "k1", "k2", "p").agg(F.count("*").alias("c")), "met")
+    # counted by their whole name first: a join on an anchor that very many texts hold is one that Spark can split
+    met = materialize(cut.groupBy(*CLASS, "k1", "k2", "p").agg(F.count("*").alias("c")).join(shared, "kh"), "met")
     discard(cut)
+    discard(shared)
     classes = materialize(met.groupBy(*CLASS).agg(F.sum("c").alias("n"), F.min(F.struct("k1", "k2", "p")).alias("at")), "classes")
     width = materialize(classes.groupBy("kh").agg(F.count("*").alias("v"), F.min("n").alias("least")), "width")
     judged = classes.join(width, "kh")
@@ -358,7 +362,10 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         met.select(*CLASS, "k1", "k2", "p").join(spans, CLASS)
         .groupBy("k1", "k2").agg(F.collect_list(F.struct((F.col("p") + F.col("lo")).alias("lo"), (F.col("p") + F.col("hi")).alias("hi"))).alias("spans"))
     )
-    return texts.select("k1", "k2", "body"), materialize(marks, "marks")
+    marks = materialize(marks, "marks")
+    for table in (met, classes, width, spans):
+        discard(table)
+    return texts, marks
 
 
 def _count_windows(parts: DataFrame, window: int, symbol: int) -> DataFrame:
@@ -417,6 +424,8 @@ def measure_repeats(
     texts, marks = find_repeats(docs, doc_id, text, window, gram)
     measured = texts.join(marks, ["k1", "k2"]).select("k1", "k2", _measurer(window)("body", "spans").alias("m"))
     measured = materialize(measured.dropDuplicates(["k1", "k2"]), "measured")
+    discard(texts)
+    discard(marks)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     size = F.octet_length(body).cast("long").alias("n_bytes")
     small = _name(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("body"), size), "body")
@@ -465,27 +474,33 @@ def _cut(docs: DataFrame, marks: DataFrame, text: str, cleaner) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``; part of a character left at a cut goes too."""
-    _, marks = find_repeats(docs, doc_id, text, window, gram)
+    texts, marks = find_repeats(docs, doc_id, text, window, gram)
+    discard(texts)
     return _cut(docs, marks, text, _cleaner(window))
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def coded(text: str | None) -> str:
-    """Each word as ``SYMBOL`` characters: 48 bits of its hash."""
-    known: dict[bytes, str] = {}
-    out = []
-    for w in _WORD.findall((text or "").encode()):
-        if w not in known:
-            known[w] = base64.b64encode(xxhash.xxh3_64_digest(w)[:6]).decode()
-        out.append(known[w])
-    return "".join(out)
+class _Codes(dict):
+    """Word -> ``SYMBOL`` characters that stand for 48 bits of its hash."""
+
+    def __missing__(self, word: bytes) -> str:
+        code = self[word] = base64.b64encode(xxhash.xxh3_64_digest(word)[:6]).decode()
+        return code
 
 
 @F.pandas_udf(T.StringType())
-def _coded(texts: pd.Series) -> pd.Series:
-    return texts.map(coded)
+def _coded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The words of each text as symbols."""
+    codes = _Codes()
+    for texts in batches:
+        out = []
+        for text in texts:
+            out.append("".join(map(codes.__getitem__, text.encode().split())))  # at the same white space as _WORD
+            if len(codes) > CODES:
+                codes.clear()
+        yield pd.Series(out, dtype=object)
 
 
 def find_passages(docs: DataFrame, words: int = PASSAGE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -494,9 +509,14 @@ def find_passages(docs: DataFrame, words: int = PASSAGE, doc_id: str = "doc_id",
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     named = _name(docs.select(F.col(f"`{doc_id}`").alias("row_id"), body.alias("body")), "body")
     symbols = materialize(named.select("row_id", F.col("k1").alias("t1"), F.col("k2").alias("t2"), _coded("body").alias("code")), "coded")
-    _, marks = find_repeats(symbols, "row_id", "code", words, min(PASSAGE_GRAM, words), SYMBOL)
+    bodies, marks = find_repeats(symbols, "row_id", "code", words, min(PASSAGE_GRAM, words), SYMBOL)
+    discard(bodies)
     texts = _name(symbols.select("t1", "t2", "code"), "code").drop("code").distinct()
-    return texts.join(marks, ["k1", "k2"]).select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), "spans")
+    found = texts.join(marks, ["k1", "k2"]).select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), "spans")
+    found = materialize(found, "passages")
+    discard(symbols)
+    discard(marks)
+    return found
 
 
 def word_runs(text: str, spans, words: int) -> list[tuple[int, int]]:
