@@ -178,6 +178,31 @@ def _(fx):
     return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
+@query(
+    "progress_running", "progress",
+    sql="""
+    , p AS (SELECT *, lead(ts) OVER (PARTITION BY entity_id ORDER BY ts, state, progress) AS nx FROM fx_progress),
+    s AS (SELECT entity_id, max(ts) AS ts, count(*) AS events, arg_max(state, ROW(ts, state, progress)) AS state,
+                 arg_max(greatest(0, least(100, progress)), ROW(ts, state, progress)) AS progress,
+                 coalesce(sum(CASE WHEN state = 'RUNNING' THEN epoch_us(nx) - epoch_us(ts) END) / 1e6, 0) AS running_s FROM p GROUP BY entity_id)
+    SELECT entity_id, ts, state, round(progress, 4) + 0.0 AS progress, events, round(running_s, 4) + 0.0 AS running_s,
+           round(CASE WHEN state = 'COMPLETED' THEN 0 ELSE (100 - progress) / 100 * 600 END, 4) + 0.0 AS left_s FROM s""",
+)
+def _(fx):
+    # three deliveries, events up to half a day late; the stream stops and starts again between them
+    path, out, log = (scratch_path(fx.spark, n) for n in ("arriving", "running", "running-log"))
+    events = fx.progress.withColumn("ts", F.col("ts").cast("timestamp"))
+    arrival = F.unix_seconds("ts") + F.pmod(F.xxhash64("entity_id", "ts"), F.lit(43_200))
+    events = events.withColumn("arrival", arrival)
+    first, last = events.agg(F.min("arrival"), F.max("arrival")).first()
+    share = (F.col("arrival") - (first or 0)) / max(1, (last or 0) - (first or 0) + 1)
+    for k in range(3):
+        events.where(F.floor(share * 3) == k).drop("arrival").write.mode("append").parquet(path)
+        live.write_changes(live.running_progress(live.read_progress(fx.spark, path), 600.0, "1 day"), out, log)
+    found = live.latest_changes(fx.spark, out).drop("closed")
+    return rounded(found.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
 @query(
     "progress_stream_windows", "progress",
     sql="""
