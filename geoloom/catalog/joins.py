@@ -115,6 +115,28 @@ def _(fx):
     return sp.containment_tree(fx.box)
 
 
+# parts of one remainder lie in each other, 20 deep; every seventh nest is crossed by a long box, and boxes of size 0 and copies occur
+_NEST = """SELECT p_partkey AS id, CAST(bx + k AS DOUBLE) AS min_x, CAST(by_ + k + CASE WHEN g % 7 = 0 AND k = 5 THEN 12 ELSE 0 END AS DOUBLE) AS min_y,
+                   CAST(bx + 100 - k AS DOUBLE) AS max_x, CAST(by_ + 100 - k AS DOUBLE) AS max_y
+            FROM (SELECT p_partkey, floor(p_partkey / 20) AS g, CASE WHEN p_partkey % 20 = 19 THEN 50 ELSE p_partkey % 20 - p_partkey % 2 * (p_partkey % 4 - 1) / 2 END AS k,
+                         floor(p_partkey / 20) % 1000 * 200 AS bx, floor(floor(p_partkey / 20) / 1000) * 200 AS by_ FROM part) t"""
+
+
+@query(
+    "nesting_forest",
+    sql=f"""
+    WITH box AS ({_NEST}),
+    p AS (SELECT b.id, arg_min(a.id, (a.max_x - a.min_x) * (a.max_y - a.min_y) * 1000000 - a.id) AS parent_id, count(*) AS depth
+          FROM box a JOIN box b ON a.id <> b.id AND a.min_x <= b.min_x AND a.min_y <= b.min_y AND a.max_x >= b.max_x AND a.max_y >= b.max_y
+               AND (a.min_x < b.min_x OR a.min_y < b.min_y OR a.max_x > b.max_x OR a.max_y > b.max_y OR a.id < b.id) GROUP BY b.id)
+    SELECT x.id, parent_id, coalesce(depth, 0) AS depth, CASE WHEN coalesce(depth, 0) % 2 = 0 THEN 'fg' ELSE 'bg' END AS fill,
+           (max_x - min_x) * (max_y - min_y) AS area FROM box x LEFT JOIN p ON x.id = p.id""",
+)
+def _(fx):
+    fx.table("part").createOrReplaceTempView("part")
+    return sp.containment_tree(fx.spark.sql(_NEST), swept=True)
+
+
 # clipping checks: a part is the stretch of the line parameter inside both slabs
 _PART = """
     q AS (SELECT *, CASE WHEN x2 = x1 THEN CASE WHEN x1 BETWEEN bx0 AND bx1 THEN 0 ELSE 2 END ELSE least((bx0-x1)/(x2-x1), (bx1-x1)/(x2-x1)) END AS ex,

@@ -9,6 +9,7 @@ from geoloom.functions import geometry as g
 from geoloom.operators.generate import box_edges, grid_shape, tile_grid
 from geoloom.plans.cells import Box, Line, cell_join, point_box
 from geoloom.plans.scan import chunk_of, ordered_scan, written_scan
+from geoloom.plans.sweep import nests
 from geoloom.plans.scratch import materialize
 
 SEG = ("x1", "y1", "x2", "y2")
@@ -284,8 +285,13 @@ def clip_to_grid(
 
 def box_contains(boxes: DataFrame) -> DataFrame:
     """Pairs (outer, inner) of boxes where both corners of the inner lie in the outer."""
+    return _contained(boxes, boxes)
+
+
+def _contained(boxes: DataFrame, asked: DataFrame) -> DataFrame:
+    """Pairs (outer, inner) of all boxes and those asked for."""
     outer = _prefixed(boxes.select("id", *BOX), "o_")
-    inner = _prefixed(boxes.select("id", *BOX), "i_")
+    inner = _prefixed(asked.select("id", *BOX), "i_")
     keep = (
         (F.col("o_min_x") <= F.col("i_min_x")) & (F.col("o_min_y") <= F.col("i_min_y"))
         & (F.col("o_max_x") >= F.col("i_max_x")) & (F.col("o_max_y") >= F.col("i_max_y"))
@@ -296,11 +302,24 @@ def box_contains(boxes: DataFrame) -> DataFrame:
     return found.select(F.col("o_id").alias("outer"), F.col("i_id").alias("inner"))
 
 
-def containment_tree(boxes: DataFrame) -> DataFrame:
+#: mean containers of a box above which nests are swept rather than joined
+DEEP = 16
+
+
+def _mean_depth(boxes: DataFrame, sample: int = 2000) -> float:
+    """About how many containers a box has, from some boxes against all."""
+    n = boxes.count()
+    some = boxes.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // sample))) == 0)
+    return _contained(boxes, some).count() / max(1, some.count())
+
+
+def containment_tree(boxes: DataFrame, swept: bool | None = None) -> DataFrame:
     """Parent, depth and fill of every box; the smallest container is the parent.
 
-    Equal boxes nest by id: the lower id is outside. Each distinct box is joined once and
-    stands for its copies, so many copies of a box cost one candidate and not their square.
+    Equal boxes nest by id: the lower id is outside. Each distinct box is taken once and
+    stands for its copies. Shallow boxes are joined with their containers. Where boxes have many, a sweep
+    (:func:`nests`) finds parents and depths in n log n rows, and only boxes whose containers cross each other are
+    joined. Both ways give the same rows; ``swept`` chooses one, else a count on some boxes does.
     """
     area = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))
     ranked = ordered_scan(
@@ -311,14 +330,25 @@ def containment_tree(boxes: DataFrame) -> DataFrame:
     unique = materialize(
         ranked.groupBy(*BOX).agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")), "boxes"
     )
+    asked = unique
+    found = None
+    if swept is None:
+        swept = _mean_depth(unique) > DEEP
+    if swept:
+        sure = materialize(nests(unique.select("id", "n", *BOX)), "nests")
+        last = unique.select(F.col("id").alias("outer"), F.col("last").alias("around"))
+        found = sure.join(last, "outer", "left").select(F.col("id").alias("lead"), "around", "above")
+        asked = materialize(unique.join(sure.select("id"), "id", "left_anti"), "crossed")
     weight = unique.select(F.col("id").alias("outer"), "last", "n", area.alias("outer_area"))
-    found = box_contains(unique).join(weight, "outer")
+    inside = _contained(unique, asked).join(weight, "outer")
     # innermost copy of the smallest container; of equal areas the later id is nested deeper
-    found = materialize(found.select(F.col("inner").alias("lead"), "outer", "last", "n", "outer_area"), "inside")
-    least = found.groupBy("lead").agg(F.min("outer_area").alias("outer_area"), F.sum("n").alias("above"))
-    nearest = found.join(least, ["lead", "outer_area"]).groupBy("lead").agg(
+    inside = materialize(inside.select(F.col("inner").alias("lead"), "outer", "last", "n", "outer_area"), "inside")
+    least = inside.groupBy("lead").agg(F.min("outer_area").alias("outer_area"), F.sum("n").alias("above"))
+    nearest = inside.join(least, ["lead", "outer_area"]).groupBy("lead").agg(
         F.max_by("last", "outer").alias("around"), F.max("above").alias("above")
     )
+    if found is not None:
+        nearest = nearest.unionByName(found)
     rows = ranked.join(unique.select(*BOX, F.col("id").alias("lead")), list(BOX)).join(nearest, "lead", "left")
     depth = F.coalesce("above", F.lit(0).cast("bigint")) + F.col("copy") - 1
     return rows.select(
