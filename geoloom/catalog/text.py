@@ -12,7 +12,7 @@ from geoloom.operators import aggregate as agg
 from geoloom.operators import spatial as sp
 from geoloom.operators.transform import concat_geometries
 from geoloom.plans.scratch import scratch_path
-from geoloom.sources import drill, dxf, lines, sinks, stl, vectors
+from geoloom.sources import datasource, drill, dxf, lines, sinks, stl, vectors
 
 _REAL = "CAST({} AS DOUBLE)"
 
@@ -250,3 +250,54 @@ def _(fx):
     for kind, rows in (("line", shapes.filter("kind = 'line'")), ("curve", shapes.filter("kind <> 'line'"))):
         both = both.unionByName(sinks.mark_commands(rows, 7.3).select(F.lit(kind).alias("kind"), "*"))
     return rounded(both)
+
+
+def _shapes(fx):
+    return concat_geometries(
+        fx.segment.select(F.lit("line").alias("kind"), "id", "layer", "x1", "y1", "x2", "y2"),
+        fx.curve.select("kind", (F.col("id") + 2 * 10**9).alias("id"), F.lit("curves").alias("layer"), "cx", "cy", "r", "a0", "a1"),
+    )
+
+
+@query(
+    "dxf_files", "segment", "curve",
+    sql="""
+    SELECT 'LINE' AS kind, layer, x1, y1, x2, y2, NULL::DOUBLE AS r, NULL::DOUBLE AS a0 FROM fx_segment WHERE layer IN ('1-URGENT', '5-LOW')
+    UNION ALL SELECT upper(kind), 'curves', cx, cy, NULL, NULL, r, CASE WHEN kind = 'arc' THEN round(a0, 6) END FROM fx_curve""",
+)
+def _(fx):
+    # written by the staged writer, read in byte ranges of a few entities, two layers and the curves only
+    spark, path = datasource.register(fx.spark), scratch_path(fx.spark, "dxf")
+    text = sinks.write_dxf_lines(_shapes(fx)).repartitionByRange("layer", "id").sortWithinPartitions("layer", "id", "n")
+    text.select("text").write.format("dxf").mode("append").save(path)
+    wanted = spark.read.format("dxf").options(rangeBytes=100_000, columns="kind,layer,x1,y1,x2,y2,r,a0", layers="1-URGENT,5-LOW,curves").load(path)
+    return wanted.select("kind", "layer", "x1", "y1", "x2", "y2", "r", fixed("a0", 6).alias("a0"))
+
+
+@query("stl_files", "facet", sql=f"SELECT 'binary' AS form, {_FACETS.format('').removeprefix('SELECT ')} UNION ALL SELECT 'text', {_FACETS.format('').removeprefix('SELECT ')}")
+def _(fx):
+    spark, binary, text = datasource.register(fx.spark), scratch_path(fx.spark, "mesh"), scratch_path(fx.spark, "mesh-text")
+    fx.facet.select(*stl.CORNERS).write.format("stl").mode("append").save(binary)
+    rows = fx.stl_line.repartitionByRange("file").sortWithinPartitions("file", "line_no")
+    rows.select("text").write.format("dxf").mode("append").save(text)  # drawing lines or mesh lines, text is text
+    forms = {"binary": binary, "text": text}
+    parts = [spark.read.format("stl").option("rangeBytes", 50_000).load(p).select(F.lit(f).alias("form"), *stl.CORNERS) for f, p in forms.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "drill_files", "drill_program",
+    sql="""
+    SELECT 'prog' || CAST(o_orderkey % 50 AS STRING) AS file,
+           CAST(CASE h WHEN 0 THEN 10000 + (o_orderkey * 7919) % 10007 ELSE 20000 + (o_orderkey * 31) % 401 END AS DOUBLE) AS x,
+           CAST(10000 + (o_orderkey * 104729) % 10009 AS DOUBLE) AS y
+    FROM orders CROSS JOIN (VALUES (0), (1)) AS a(h)""",
+)
+def _(fx):
+    # one text file a program; the commands come back by byte ranges, ordered by where they stand
+    spark, path = datasource.register(fx.spark), scratch_path(fx.spark, "programs")
+    laid = fx.drill_program.repartitionByRange("file").sortWithinPartitions("file", "line_no")
+    laid.select("file", "text").write.partitionBy("file").text(path)
+    back = spark.read.format("drill").option("rangeBytes", 20_000).load(path)
+    named = back.select(F.regexp_extract("file", "file=([^/]+)/", 1).alias("file"), F.col("at").alias("line_no"), "text")
+    return drill.drill_hits(named, repeats=False).select("file", "x", "y")
