@@ -59,6 +59,26 @@ def _(fx):
     return lay.layout_extents(lay.flatten_layout(fx.node), used, agg.extents_agg(patterns, "pattern"))
 
 
+@query(
+    "layout_extents_placed", "node", "segment",
+    sql=_FLAT + """, e AS (SELECT substr(layer, 1, 1)::BIGINT AS pattern, count(*) AS n, min(least(x1, x2)) AS x0, min(least(y1, y2)) AS y0,
+                   max(greatest(x1, x2)) AS x1, max(greatest(y1, y2)) AS y1 FROM fx_segment GROUP BY 1),
+    q AS (SELECT plate_id, n, device_x + layer_x AS sx, device_y + layer_y AS sy, CASE WHEN layer_id % 2 = 0 THEN x0 ELSE -2 * y1 END AS x0,
+                 CASE WHEN layer_id % 2 = 0 THEN x1 ELSE -2 * y0 END AS x1, CASE WHEN layer_id % 2 = 0 THEN y0 ELSE 2 * e.x0 END AS y0,
+                 CASE WHEN layer_id % 2 = 0 THEN y1 ELSE 2 * e.x1 END AS y1 FROM i JOIN e ON e.pattern = layer_id % 5 + 1)
+    SELECT plate_id, sum(n)::BIGINT AS n, min(x0 + sx) AS min_x, min(y0 + sy) AS min_y, max(x1 + sx) AS max_x, max(y1 + sy) AS max_y
+    FROM q GROUP BY ROLLUP (plate_id)""",
+)
+def _(fx):
+    # every second layer is turned by a quarter and doubled; the last row is the whole layout
+    patterns = fx.segment.withColumn("pattern", F.substring("layer", 1, 1).cast("bigint"))
+    used = fx.node.filter("level = 'layer'").select(F.col("node_id").alias("layer_id"), (F.col("node_id") % 5 + 1).alias("pattern"))
+    turned = F.col("layer_id") % 2 == 1
+    cells = {"a": F.when(turned, 0.0).otherwise(1.0), "b": F.when(turned, 2.0).otherwise(0.0), "c": F.when(turned, -2.0).otherwise(0.0), "d": F.when(turned, 0.0).otherwise(1.0)}
+    instances = lay.flatten_layout(fx.node).withColumns(cells)
+    return lay.layout_extents(instances, used, agg.extents_agg(patterns, "pattern"), apply=True, total=True)
+
+
 # fiducials: every point marks a plate, a device or a layer
 _FID = """fid AS (SELECT id, CASE id % 3 WHEN 0 THEN id % 4 WHEN 1 THEN 100 + id % 15 ELSE 1000 + id % 70 END AS node_id FROM fx_point)"""
 

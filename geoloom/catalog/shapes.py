@@ -14,6 +14,7 @@ from geoloom.operators import aggregate as agg
 from geoloom.operators import generate as gen
 from geoloom.operators import measure as m
 from geoloom.operators import transform as tr
+from geoloom.plans.scan import chunk_of, ordered_scan
 
 
 def rounded(df, places=4, **kept):
@@ -129,8 +130,8 @@ def _(fx):
 
 @query(
     "split_even_shapes", "segment", "curve",
-    sql=_SHAPES + """ SELECT a.id, a.i, round(a.x, 3) + 0.0 AS x1, round(a.y, 3) + 0.0 AS y1, round(b.x, 3) + 0.0 AS x2, round(b.y, 3) + 0.0 AS y2
-    FROM pt a JOIN pt b ON a.id = b.id AND a.kind = b.kind AND b.i = a.i + 1""",
+    sql=_SHAPES + """ SELECT id, i, round(x, 3) + 0.0 AS x1, round(y, 3) + 0.0 AS y1, round(nx, 3) + 0.0 AS x2, round(ny, 3) + 0.0 AS y2
+    FROM (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM pt WINDOW w AS (PARTITION BY id, kind ORDER BY i)) WHERE nx IS NOT NULL""",
 )
 def _(fx):
     return rounded(gen.split_even(_shapes(fx), 6), 3)
@@ -405,6 +406,46 @@ def _(fx):
     return paths.select("path_id", F.array_join(text, ";").alias("points"))
 
 
+# what is kept depends on the last kept point, so the SQL goes along each path
+def _fold(name: str, points: str) -> str:
+    far = f"sqrt(({points}.x - lx) * ({points}.x - lx) + ({points}.y - ly) * ({points}.y - ly)) > 180.5"
+    return f"""{name} AS (SELECT path_id, n, x, y, x AS lx, y AS ly, true AS kept FROM {points} WHERE n = 1
+              UNION ALL SELECT {points}.path_id, {points}.n, {points}.x, {points}.y, CASE WHEN {far} THEN {points}.x ELSE lx END,
+                     CASE WHEN {far} THEN {points}.y ELSE ly END, {far} FROM {name} JOIN {points} ON {points}.path_id = {name}.path_id AND {points}.n = {name}.n + 1)"""
+
+
+@query(
+    "segments_to_path_tolerance", "vertex",
+    sql=f"""
+    WITH RECURSIVE v AS (SELECT path_id, x, y, row_number() OVER (PARTITION BY path_id ORDER BY seq) AS n, count(*) OVER (PARTITION BY path_id) AS k FROM fx_vertex), {_fold('f', 'v')}
+    SELECT f.path_id, row_number() OVER (PARTITION BY f.path_id ORDER BY f.n) AS nth, f.x, f.y FROM f JOIN v USING (path_id, n) WHERE kept AND k > 1""",
+)
+def _(fx):
+    kept = gen.segments_to_path(gen.path_to_segments(fx.vertex), 180.5)
+    return ordered_scan(kept, ["path_id"], ["seq"], chunk_of("seq"), index="nth").select("path_id", "nth", "x", "y")
+
+
+@query(
+    "path_editing", "vertex",
+    sql=f"""
+    WITH RECURSIVE a AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM fx_vertex WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
+    m AS (SELECT 'merge' AS op, path_id, seq, x, y FROM a WHERE NOT (seq = 11 AND coalesce(sqrt((x - px) * (x - px) + (y - py) * (y - py)) <= 180.5, false))),
+    v AS (SELECT path_id, x, y, seq - 9 AS n FROM fx_vertex WHERE seq >= 10), {_fold('f', 'v')},
+    u AS (SELECT path_id, x, y, 12 - seq AS n FROM fx_vertex WHERE seq <= 11), {_fold('h', 'u')}
+    SELECT op, path_id, row_number() OVER (PARTITION BY op, path_id ORDER BY seq) AS nth, x, y FROM (
+        SELECT * FROM m UNION ALL SELECT 'append', path_id, n + 9, x, y FROM f WHERE kept AND n > 1 UNION ALL SELECT 'append', path_id, seq, x, y FROM fx_vertex WHERE seq <= 10
+        UNION ALL SELECT 'prepend', path_id, 12 - n, x, y FROM h WHERE kept AND n > 1 UNION ALL SELECT 'prepend', path_id, seq, x, y FROM fx_vertex WHERE seq >= 11) q""",
+)
+def _(fx):
+    low, high = fx.vertex.where("seq <= 10"), fx.vertex.where("seq > 10")
+    edited = {"merge": gen.merge_paths(low, high, 180.5), "append": gen.append_points(low, high, 180.5), "prepend": gen.append_points(high, low, 180.5, prepend=True)}
+    out = None
+    for op, rows in edited.items():
+        nth = ordered_scan(rows, ["path_id"], ["seq"], chunk_of("seq"), index="nth").select(F.lit(op).alias("op"), "path_id", "nth", "x", "y")
+        out = nth if out is None else out.unionByName(nth)
+    return out
+
+
 @query(
     "box_polygon", "box",
     sql="""

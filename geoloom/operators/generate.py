@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import affine
 from geoloom.functions import geometry as g
-from geoloom.plans.scan import CHUNK_ROWS, chunk_of, ordered_scan
+from geoloom.plans.scan import CHUNK_ROWS, chunk_of, chunked_fold, ordered_scan
 
 
 def steps(n: Column | int, first: int = 0) -> Column:
@@ -221,23 +221,82 @@ def path_to_segments(vertices: DataFrame, keep_chunk: bool = False, chunk_rows:
     )
 
 
-def segments_to_path(segments: DataFrame) -> DataFrame:
+def segments_to_path(segments: DataFrame, tol: float = 0.0, rows: int = 4096) -> DataFrame:
     """Ordered segments (path_id, seq, ...) -> path vertices (path_id, seq, x, y), in the long form.
 
-    A point equal to the one before it is dropped; seq grows along the path, with gaps.
+    A point no farther than ``tol`` from the last kept one is dropped (:func:`joined_points`); seq grows along
+    the path, with gaps.
     """
     ends = segments.select(
         "path_id",
         F.inline(
             F.array(
-                F.struct((F.col("seq") * 2).alias("pos"), F.col("x1").alias("x"), F.col("y1").alias("y")),
-                F.struct((F.col("seq") * 2 + 1).alias("pos"), F.col("x2").alias("x"), F.col("y2").alias("y")),
+                F.struct((F.col("seq") * 2).alias("seq"), F.col("x1").alias("x"), F.col("y1").alias("y")),
+                F.struct((F.col("seq") * 2 + 1).alias("seq"), F.col("x2").alias("x"), F.col("y2").alias("y")),
             )
         ),
     )
-    kept = ordered_scan(ends, ["path_id"], ["pos"], chunk_of("pos"), lag={"before": F.struct("x", "y")})
-    kept = kept.filter(F.col("before").isNull() | (F.col("before") != F.struct("x", "y")))
-    return kept.select("path_id", F.col("pos").alias("seq"), "x", "y")
+    return joined_points(ends, tol, rows)
+
+
+def joined_points(points: DataFrame, tol: float = 0.0, rows: int = 4096) -> DataFrame:
+    """Path points (path_id, seq, x, y) without those no farther than ``tol`` from the last kept point before them.
+
+    Without a tolerance a point is compared with its neighbour, by a scan; with one, what is kept depends on what was
+    kept before, so the points go through a fold in chunks.
+    """
+    if tol <= 0:
+        kept = ordered_scan(points, ["path_id"], ["seq"], chunk_of("seq"), lag={"before": F.struct("x", "y")})
+        kept = kept.filter(F.col("before").isNull() | (F.col("before") != F.struct("x", "y")))
+        return kept.select("path_id", "seq", "x", "y")
+    empty = F.array().cast("array<struct<seq:bigint,x:double,y:double>>")
+
+    def start(head: Column) -> Column:
+        return F.struct(head["x"].alias("x"), head["y"].alias("y"), empty.alias("out"))
+
+    def step(s: Column, v: Column, before: Column) -> Column:
+        far = before.isNull() | (F.hypot(v["x"] - s["x"], v["y"] - s["y"]) > tol)
+        return F.struct(
+            F.when(far, v["x"]).otherwise(s["x"]).alias("x"), F.when(far, v["y"]).otherwise(s["y"]).alias("y"),
+            F.when(far, F.array_append(s["out"], v)).otherwise(s["out"]).alias("out"),
+        )
+
+    items = points.select("path_id", F.col("seq").cast("bigint").alias("seq"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    folded = chunked_fold(items, ["path_id"], "seq", F.struct("seq", "x", "y"), start, step, rows=rows)
+    return folded.select("path_id", F.inline("out"))
+
+
+def _tips(paths: DataFrame) -> DataFrame:
+    """First and last point of each path."""
+    first, last = F.min_by(F.struct("x", "y"), "seq"), F.max_by(F.struct("x", "y"), "seq")
+    return paths.groupBy("path_id").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), first.alias("head"), last.alias("tail"))
+
+
+def merge_paths(paths: DataFrame, others: DataFrame, tol: float = 0.0) -> DataFrame:
+    """Paths followed by the other path of the same path_id; its first point goes if it lies within ``tol`` of the end."""
+    ends = _tips(paths).select("path_id", "hi", "tail").join(_tips(others).select("path_id", "lo", "head"), "path_id", "full")
+    near = F.hypot(F.col("head.x") - F.col("tail.x"), F.col("head.y") - F.col("tail.y")) <= tol
+    rows = others.join(ends, "path_id")
+    rows = rows.where(~(F.coalesce(near, F.lit(False)) & (F.col("seq") == F.col("lo"))))
+    moved = F.when(F.col("hi").isNull(), F.col("seq")).otherwise(F.col("hi") + 1 + F.col("seq") - F.col("lo"))
+    return paths.select("path_id", "seq", "x", "y").unionByName(rows.select("path_id", moved.alias("seq"), "x", "y"))
+
+
+def append_points(paths: DataFrame, points: DataFrame, tol: float = 0.0, prepend: bool = False) -> DataFrame:
+    """Paths lengthened by points (path_id, seq, x, y) at their end, or with ``prepend`` at their start, from the nearest
+    point outwards; a point within ``tol`` of the path's tip of that moment is left out."""
+    sign = -1 if prepend else 1
+    tips = _tips(paths)
+    near, far = ("lo", "head") if prepend else ("hi", "tail")
+    bounds = points.groupBy("path_id").agg((F.max("seq") if prepend else F.min("seq")).alias("first"))
+    base = tips.select("path_id", F.col(near).alias("base"), F.col(far).alias("tip"))
+    rows = points.join(bounds, "path_id").join(base, "path_id", "left")
+    # counted from 1 outwards; the tip of the path itself is point 0
+    outward = rows.select("path_id", ((F.col("seq") - F.col("first")) * sign + 1).alias("seq"), "x", "y")
+    start = base.join(bounds, "path_id", "left_semi").select("path_id", F.lit(0).cast("bigint").alias("seq"), "tip.x", "tip.y")
+    kept = joined_points(outward.unionByName(start), tol).where("seq > 0").join(base, "path_id", "left")
+    added = kept.select("path_id", (F.coalesce("base", F.lit(0)) + F.col("seq") * sign).alias("seq"), "x", "y")
+    return paths.select("path_id", "seq", "x", "y").unionByName(added)
 
 
 def pack_paths(vertices: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.plans.cells import Box, cell_join, point_box
 from geoloom.plans.chains import rank_chains
 from geoloom.plans.components import components
 from geoloom.plans.scan import chunk_of, ordered_scan
@@ -33,18 +34,26 @@ def segment_ends(segments: DataFrame, tol: float = 1e-3) -> DataFrame:
 
 
 def _close(spots: DataFrame, tol: float) -> DataFrame:
-    """Pairs (u, v) of spots no farther apart than ``tol``."""
+    """Links (u, v) that tie all spots no farther apart than ``tol``, and chains of such spots.
+
+    Spots of one small square are all within ``tol`` of each other and are tied to the first of them. Between
+    squares the cell join compares spots, which cuts and salts crowded cells; only the first spots of two
+    squares are put out, each pair once.
+    """
     if tol <= 0:
         return spots.select(F.col("vertex").alias("u"), F.col("vertex").alias("v")).limit(0)
-    side = 16.0 * tol
-
-    def cells(c: str) -> Column:
-        return F.explode(F.sequence(F.floor((F.col(c) - tol) / side), F.floor((F.col(c) + tol) / side)))
-
-    listed = spots.withColumn("cx", cells("x")).withColumn("cy", cells("y"))
-    other = listed.select("cx", "cy", F.col("vertex").alias("v"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    met = listed.join(other, ["cx", "cy"]).filter((F.col("vertex") < F.col("v")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= tol))
-    return met.select(F.col("vertex").alias("u"), "v").distinct()
+    side = tol * 0.7  # its diagonal is below tol
+    square = [F.floor(F.col(c) / side).alias(f"s{c}") for c in "xy"]
+    placed = spots.select("vertex", "x", "y", *square)
+    first = placed.groupBy("sx", "sy").agg(F.min("vertex").alias("first"))
+    placed = materialize(placed.join(first, ["sx", "sy"]), "squares")
+    same = placed.where("vertex <> first").select(F.col("first").alias("u"), F.col("vertex").alias("v"))
+    reach = {"a_x0": F.col("x") - tol, "a_y0": F.col("y") - tol, "a_x1": F.col("x") + tol, "a_y1": F.col("y") + tol}
+    left = placed.select(F.col("first").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay"), *(c.alias(n) for n, c in reach.items()))
+    right = placed.select(F.col("first").alias("v"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    near = (F.col("u") < F.col("v")) & (F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) <= tol)
+    other = cell_join(left, right, Box(*reach), point_box("bx", "by"), keep=near)
+    return same.unionByName(other.select("u", "v").distinct())
 
 
 _KINDS = ("start_to_start", "start_to_end", "end_to_start", "end_to_end")

@@ -52,18 +52,42 @@ def flatten_tiles(nodes: DataFrame, tiles: DataFrame) -> DataFrame:
     return tiles.join(layers, "layer_id").withColumns(moved).drop("__dx", "__dy")
 
 
-def layout_extents(instances: DataFrame, layer_patterns: DataFrame, pattern_extents: DataFrame, by: str = "plate_id") -> DataFrame:
+def layout_extents(
+    instances: DataFrame, layer_patterns: DataFrame, pattern_extents: DataFrame, by: str = "plate_id", apply: bool = False, total: bool = False
+) -> DataFrame:
     """Geometry count and combined extents over all layer instances, by node.
 
     layer_patterns: layer_id, pattern. pattern_extents: pattern, n and box, aggregated once per
-    pattern before any join. Instances are counted per layer first, so repeats cost nothing.
+    pattern before any join. Instances are counted per layer first, so repeats cost nothing. With ``apply`` each
+    instance puts its pattern at its place: the box is mapped by the instance's matrix, where it has
+    the columns a, b, c, d, and moved by the offsets of layer and device. With ``total`` a row without a node
+    sums up the whole layout.
     """
-    counted = instances.groupBy(by, "layer_id").agg(F.count(F.lit(1)).alias("copies"))
+    shift = {"__sx": F.col("device_x") + F.col("layer_x"), "__sy": F.col("device_y") + F.col("layer_y")}
+    cells = [c for c in ("a", "b", "c", "d") if c in instances.columns] if apply else []
+    counted = (instances.withColumns(shift) if apply else instances).groupBy(by, "layer_id", *cells).agg(
+        F.count(F.lit(1)).alias("copies"),
+        *(f(c).alias(f"{c}_{n}") for c in (shift if apply else {}) for n, f in (("lo", F.min), ("hi", F.max))),
+    )
     rows = counted.join(layer_patterns, "layer_id").join(pattern_extents, "pattern")
-    return rows.groupBy(by).agg(
+    if apply:
+        # a box keeps its sides along the axes: the extremes of a mapped box lie at its corners
+        m = {c: F.col(c) if c in cells else F.lit(1.0 if c in "ad" else 0.0) for c in "abcd"}
+        corners = [(x, y) for x in ("min_x", "max_x") for y in ("min_y", "max_y")]
+        xs = [m["a"] * F.col(x) + m["c"] * F.col(y) for x, y in corners]
+        ys = [m["b"] * F.col(x) + m["d"] * F.col(y) for x, y in corners]
+        rows = rows.withColumns({
+            "min_x": F.least(*xs) + F.col("__sx_lo"), "min_y": F.least(*ys) + F.col("__sy_lo"),
+            "max_x": F.greatest(*xs) + F.col("__sx_hi"), "max_y": F.greatest(*ys) + F.col("__sy_hi"),
+        })
+    each = rows.groupBy(by).agg(
         F.sum(F.col("copies") * F.col("n")).alias("n"),
         F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"),
     )
+    if not total:
+        return each
+    whole = each.agg(F.sum("n").alias("n"), *(f(c).alias(c) for c, f in (("min_x", F.min), ("min_y", F.min), ("max_x", F.max), ("max_y", F.max))))
+    return each.unionByName(whole.where("n IS NOT NULL").withColumn(by, F.lit(None).cast(each.schema[by].dataType)))
 
 
 def valid_layers(layers: DataFrame, files: DataFrame, fiducials: DataFrame | None = None) -> DataFrame:
