@@ -43,12 +43,22 @@ SEGMENT = 1 << 20
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of a word: itself in brackets, and its grams."""
-    whole = f"<{word}>".encode()
-    text = f"<{word}>"
-    grams = [text[i : i + n].encode() for n in GRAMS for i in range(len(text) - n + 1)]
-    return [zlib.crc32(g) & (BUCKETS - 1) for g in (whole + b"\0", *grams)]
+def subwords(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the subwords of some words, one kind after the other: (buckets in the order of the words, how many each
+    has), first the words themselves in brackets, then the grams of each length."""
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    whole = np.fromiter((zlib.crc32(w.encode(), 7) for w in words), dtype=np.int64, count=len(words)) & (BUCKETS - 1)
+    out = [(whole, np.ones(len(words), dtype=np.int64))]
+    ahead = np.repeat(np.cumsum(size), size) - np.arange(len(codes))  # characters up to the end of the word
+    h = codes
+    for n in range(2, max(GRAMS) + 1):
+        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(n)
+        if n in GRAMS:
+            mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            here = ahead[: len(h)] >= n
+            out.append(((mixed >> np.uint64(64 - BUCKETS.bit_length() + 1))[here].astype(np.int64), np.maximum(size - n + 1, 0)))
+    return out
 
 
 def word_counts(text: str | None) -> Counter:
@@ -92,10 +102,11 @@ class Bags:
             self.words.append(np.array([known.setdefault(w, len(known)) for w in counts], dtype=np.int32))
             n = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
             self.shares.append((n / n.sum()).astype(np.float32))
-        parts = [subwords(w) for w in known]
-        self.size = np.array([len(p) for p in parts], dtype=np.int32)
+        kinds = subwords(list(known))
+        owner = np.concatenate([np.repeat(np.arange(len(known)), n) for _, n in kinds])
+        self.size = sum(n for _, n in kinds)
         self.first = np.cumsum(self.size) - self.size
-        self.buckets = np.fromiter((b for p in parts for b in p), dtype=np.int32, count=int(self.size.sum()))
+        self.buckets = np.concatenate([b for b, _ in kinds])[np.argsort(owner, kind="stable")].astype(np.int32)
 
     def batch(self, rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of some texts: text and word (among the distinct ones) and share of each entry, then buckets of those words and their sizes."""
@@ -219,22 +230,45 @@ class Scorer:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1 << 12, len(model.langs)), dtype=np.float32)
 
-    def logits(self, text: str | None) -> np.ndarray | None:
-        counts = word_counts(text)
-        if not counts:
-            return None
-        new = [w for w in counts if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(counts)
-        while len(self.known) + len(new) > len(self.rows):
+    def _learn(self, new: list[str]) -> None:
+        at, end = len(self.known), len(self.known) + len(new)
+        while end > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        for w in new:
-            self.known[w] = at = len(self.known)
-            self.rows[at] = self.answers[subwords(w)].mean(axis=0)
-        at = np.fromiter(map(self.known.__getitem__, counts), dtype=np.int64, count=len(counts))
-        share = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-        return (share / share.sum()) @ self.rows[at] + self.model.bias
+        total, count = np.zeros((len(new), self.rows.shape[1])), np.zeros(len(new))
+        for buckets, n in subwords(new):
+            upto = np.zeros((len(buckets) + 1, total.shape[1]))
+            np.cumsum(self.answers[buckets], axis=0, out=upto[1:], dtype=np.float64)
+            last = np.cumsum(n)
+            total += upto[last] - upto[last - n]
+            count += n
+        self.rows[at:end] = total / count[:, None]
+        self.known.update(zip(new, range(at, end)))
+
+    def many(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
+        """Logits of each text, None without a letter; new words of some texts are learned together."""
+        at = 0
+        while at < len(texts):
+            held, size = [], 0
+            while at < len(texts) and (not held or size <= SEGMENT):
+                held.append(word_counts(texts[at]))
+                size += len(texts[at] or "")
+                at += 1
+            new = set().union(*held).difference(self.known)
+            if len(self.known) + len(new) > CACHE:
+                self.known.clear()
+                new = set().union(*held)
+            if new:
+                self._learn(list(new))
+            for counts in held:
+                if not counts:
+                    yield None
+                    continue
+                rows = np.fromiter(map(self.known.__getitem__, counts), dtype=np.int64, count=len(counts))
+                share = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+                yield (share / share.sum()) @ self.rows[rows] + self.model.bias
+
+    def logits(self, text: str | None) -> np.ndarray | None:
+        return next(self.many([text]))
 
 
 _FOUND = T.StructType().add("lang_pred", T.StringType()).add("score", T.DoubleType())
@@ -247,8 +281,7 @@ def _predictor(model):
         langs = model.value.langs
         for texts in batches:
             out = []
-            for text in texts:
-                z = scorer.logits(text)
+            for z in scorer.many(list(texts)):
                 if z is None or not langs:
                     out.append((UNKNOWN, 0.0))
                 else:

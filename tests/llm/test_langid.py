@@ -36,10 +36,20 @@ def test_scores_are_the_plain_means(docs, model):
         if not words:
             assert scorer.logits(r.text) is None
             continue
-        mean = np.mean([np.mean([model.table[b] for b in li.subwords(w)], axis=0) for w in words], axis=0)
+        mean = np.mean([np.mean([model.table[b] for kind, _ in li.subwords([w]) for b in kind], axis=0) for w in words], axis=0)
         assert np.allclose(scorer.logits(r.text), mean @ model.weights + model.bias, atol=1e-3)
 
 
+def test_subwords_do_not_depend_on_their_neighbours():
+    words = ["a", "über", "maison", "字", "of", "x" * 50]
+    together = li.subwords(words)
+    for k, w in enumerate(words):
+        for (all_of, n), (alone, m) in zip(together, li.subwords([w])):
+            first = int(n[:k].sum())
+            assert n[k] == m[0] and (all_of[first : first + n[k]] == alone).all()
+    assert [int(n[0]) for _, n in together] == [1, 2, 1, 0] and [int(n[2]) for _, n in together] == [1, 7, 6, 5]
+
+
 def test_long_texts_are_read_whole(model, monkeypatch):
     text = "le mot juste " * 300 + "the end of it " * 300
     whole = li.word_counts(text)
