@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from geoloom.catalog import query
 from geoloom.catalog.shapes import rounded
+from geoloom.functions.geometry import fixed
 from geoloom.operators import aggregate as agg
+from geoloom.operators import clipping
 from geoloom.operators import spatial as sp
 from geoloom.operators.generate import box_edges, path_to_segments, tile_grid
 
@@ -171,6 +173,72 @@ def _(fx):
     return rounded(parts.drop("t0", "t1"))
 
 
+@query("clip_points_to_boxes", "point", "box", sql="SELECT p.id, b.id AS box, x, y FROM fx_point p JOIN fx_box b ON x BETWEEN min_x AND max_x AND y BETWEEN min_y AND max_y")
+def _(fx):
+    return clipping.clip_points(fx.point, fx.box)
+
+
+# boxes near the curves, of about their size
+_NEAR = """SELECT id * 4 + k AS id, cx + (k - 2) * (id % 9 + 3) * 1.5 AS min_x, cy - (k * 7 + id) % 23 AS min_y,
+                  cx + (k - 2) * (id % 9 + 3) * 1.5 + (id * 5 + k * 11) % 60 + 1 AS max_x, cy + (k * 13 + id) % 31 + 1 AS max_y FROM fx_curve"""
+
+
+@query(
+    "clip_curves_to_boxes", "curve",
+    sql=f"""
+    , b AS ({_NEAR.replace("FROM fx_curve", "FROM fx_curve CROSS JOIN range(4) AS n(k)")}),
+    c AS (SELECT id, kind, cx, cy, r, CASE kind WHEN 'circle' THEN 0 ELSE a0 END AS s, round(CASE WHEN kind = 'circle' THEN 2 * pi() WHEN a1 < a0 THEN a1 + 2 * pi() - a0 ELSE a1 - a0 END, 9) AS w
+          FROM fx_curve),
+    j AS (SELECT c.*, b.id AS box, min_x, min_y, max_x, max_y FROM c JOIN b ON w > 0 AND cx - r <= max_x AND cx + r >= min_x AND cy - r <= max_y AND cy + r >= min_y),
+    v AS (SELECT *, unnest([(min_x - cx) / r, (max_x - cx) / r]) AS u, unnest([(min_y - cy) / r, (max_y - cy) / r]) AS q FROM j),
+    a AS (SELECT id, box, acos(u) AS t FROM v WHERE abs(u) <= 1 UNION ALL SELECT id, box, -acos(u) FROM v WHERE abs(u) <= 1
+          UNION ALL SELECT id, box, asin(q) FROM v WHERE abs(q) <= 1 UNION ALL SELECT id, box, pi() - asin(q) FROM v WHERE abs(q) <= 1),
+    m AS (SELECT DISTINCT id, box, t FROM (SELECT id, box, round(t - s - floor((t - s) / (2 * pi())) * 2 * pi(), 9) AS t, w FROM a JOIN j USING (id, box)) z WHERE t > 0 AND t < w
+          UNION SELECT id, box, 0 FROM j UNION SELECT id, box, w FROM j),
+    i AS (SELECT id, box, t AS lo, lead(t) OVER (PARTITION BY id, box ORDER BY t) AS hi FROM m),
+    k AS (SELECT i.*, j.kind, cx, cy, r, s, w FROM i JOIN j USING (id, box) WHERE hi IS NOT NULL AND cx + r * cos(s + (lo + hi) / 2) BETWEEN min_x - 1e-9 * r AND max_x + 1e-9 * r
+                 AND cy + r * sin(s + (lo + hi) / 2) BETWEEN min_y - 1e-9 * r AND max_y + 1e-9 * r),
+    h AS (SELECT *, CASE WHEN lag(hi) OVER o = lo THEN 0 ELSE 1 END AS begins FROM k WINDOW o AS (PARTITION BY id, box ORDER BY lo)),
+    n AS (SELECT *, sum(begins) OVER (PARTITION BY id, box ORDER BY lo) AS run FROM h),
+    p AS (SELECT id, box, run, max(kind) AS kind, max(cx) AS cx, max(cy) AS cy, max(r) AS r, max(s) AS s, max(w) AS w, min(lo) AS lo, max(hi) AS hi FROM n GROUP BY id, box, run),
+    e AS (SELECT *, min(lo) OVER g = 0 AND max(hi) OVER g = w AND kind = 'circle' AND count(*) OVER g > 1 AS wraps, min(hi) OVER g AS first_hi, max(lo) OVER g AS last_lo
+          FROM p WINDOW g AS (PARTITION BY id, box)),
+    f AS (SELECT id, box, kind, cx, cy, r, s, w, lo, CASE WHEN wraps AND lo = last_lo THEN hi + first_hi ELSE hi END AS hi FROM e WHERE NOT (wraps AND lo = 0))
+    SELECT id, box, CAST(row_number() OVER (PARTITION BY id, box ORDER BY lo) - 1 AS INTEGER) AS piece, CASE WHEN kind = 'circle' AND lo = 0 AND hi = w THEN 'circle' ELSE 'arc' END AS kind, cx, cy, r,
+           round(s + lo, 6) + 0.0 AS a0, round(s + hi, 6) + 0.0 AS a1 FROM f""",
+)
+def _(fx):
+    fx.curve.createOrReplaceTempView("fx_curve")
+    near = fx.spark.sql(_NEAR.replace("FROM fx_curve", "FROM fx_curve LATERAL VIEW explode(array(0L, 1L, 2L, 3L)) n AS k"))
+    found = clipping.clip_curves(fx.curve, near)
+    return found.withColumns({c: fixed(c, 6) for c in ("a0", "a1")})
+
+
+@query(
+    "clip_paths_to_boxes", "vertex",
+    sql="""
+    , b AS (SELECT path_id * 10 + k AS id, min(x) + k * 60 AS min_x, k * 35 + 5.0 AS min_y, min(x) + k * 60 + 190.0 AS max_x, k * 35 + 305.0 AS max_y
+            FROM fx_vertex CROSS JOIN range(3) AS n(k) GROUP BY path_id, k),
+    s AS (SELECT path_id, seq, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM fx_vertex WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
+    j AS (SELECT s.*, b.id AS box, min_x AS bx0, min_y AS by0, max_x AS bx1, max_y AS by1 FROM s JOIN b
+          ON x2 IS NOT NULL AND least(x1, x2) <= max_x AND greatest(x1, x2) >= min_x AND least(y1, y2) <= max_y AND greatest(y1, y2) >= min_y),"""
+    + _PART.split("p AS (")[0]
+    + """ d AS (SELECT * FROM c WHERE t0 < t1),
+    l AS (SELECT *, CASE WHEN lag(seq) OVER w + 1 = seq AND lag(t1) OVER w = 1 AND t0 = 0 THEN NULL ELSE seq END AS head FROM d WINDOW w AS (PARTITION BY path_id, box ORDER BY seq)),
+    r AS (SELECT *, max(head) OVER (PARTITION BY path_id, box ORDER BY seq) AS run FROM l)
+    SELECT path_id, box, run, seq - run + 1 AS seq, round(x1 + (x2 - x1) * t1, 4) + 0.0 AS x, round(y1 + (y2 - y1) * t1, 4) + 0.0 AS y FROM r
+    UNION ALL SELECT path_id, box, run, 0, round(x1 + (x2 - x1) * t0, 4) + 0.0, round(y1 + (y2 - y1) * t0, 4) + 0.0 FROM r WHERE head IS NOT NULL""",
+)
+def _(fx):
+    corner = fx.vertex.groupBy("path_id").agg(F.min("x").alias("x")).withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
+    k = F.col("k").cast("double")
+    boxes = corner.select(
+        (F.col("path_id") * 10 + F.col("k")).alias("id"), (F.col("x") + k * 60).alias("min_x"), (k * 35 + 5.0).alias("min_y"),
+        (F.col("x") + k * 60 + 190.0).alias("max_x"), (k * 35 + 305.0).alias("max_y"),
+    )
+    return rounded(clipping.clip_paths(fx.vertex, boxes))
+
+
 @query(
     "clip_segments_to_parts", "segment", "box",
     sql=""", j AS (SELECT s.id, x1, y1, x2, y2, b.id AS box, min_x AS bx0, min_y AS by0, max_x AS bx1, max_y AS by1 FROM fx_segment s JOIN fx_box b
