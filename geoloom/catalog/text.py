@@ -301,3 +301,39 @@ def _(fx):
     back = spark.read.format("drill").option("rangeBytes", 20_000).load(path)
     named = back.select(F.regexp_extract("file", "file=([^/]+)/", 1).alias("file"), F.col("at").alias("line_no"), "text")
     return drill.drill_hits(named, repeats=False).select("file", "x", "y")
+
+
+@query(
+    "dxf_polyline_text", "vertex",
+    sql="""
+    , s AS (SELECT path_id, seq, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM fx_vertex WINDOW w AS (PARTITION BY path_id ORDER BY seq))
+    SELECT 'path' || CAST(path_id AS STRING) AS file, 'outline' AS layer, 6 + 2 * (seq - 1) AS seq, 'line' AS kind, x1, y1, x2, y2 FROM s WHERE x2 IS NOT NULL""",
+)
+def _(fx):
+    # written as drawing lines, one file a path, and read back from the text
+    lines_ = sinks.write_dxf_path_lines(fx.vertex.withColumn("layer", F.lit("outline")))
+    head = 12  # lines before the first vertex, four a vertex after them
+    place = F.when(F.col("seq") < 0, F.col("n")).otherwise(head + (F.col("seq") - 1) * 4 + F.col("n"))
+    text = lines_.select(F.concat(F.lit("path"), F.col("id").cast("string")).alias("file"), place.cast("bigint").alias("line_no"), "text")
+    pieces = dxf.dxf_polylines(dxf.dxf_polyline_vertices(text), ["file", "path_id", "layer"])
+    return pieces.select("file", "layer", "seq", "kind", "x1", "y1", "x2", "y2")
+
+
+@query(
+    "dxf_spline_text", "segment",
+    sql="""
+    , t AS (SELECT 's' || CAST(id % 20 AS STRING) AS file, id * 16 AS entity, layer, unnest(['knot', 'knot', 'knot', 'knot', 'knot', 'knot', 'x', 'y', 'x', 'y', 'x', 'y']) AS part,
+                   unnest([1, 2, 3, 4, 5, 6, 1, 1, 2, 2, 3, 3]) AS i, unnest([0.0, 0.0, 0.0, 1.0, 1.0, 1.0, x1, y1, x2, y1, x2, y2]) AS v FROM fx_segment)
+    SELECT file, entity, layer, 2::INTEGER AS degree, 0::INTEGER AS flag, part, i::BIGINT AS i, v::DOUBLE AS v FROM t""",
+)
+def _(fx):
+    def real(name):
+        return F.col(name).cast("string")
+
+    head = [F.lit(t) for t in ("0", "SPLINE", "8")] + [F.col("layer")] + [F.lit(t) for t in ("70", "0", "71", "2")]
+    knots = [F.lit(t) for k in ("0", "0", "0", "1", "1", "1") for t in ("40", k)]
+    points = [c for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2")) for c in (F.lit("10"), real(x), F.lit("20"), real(y))]
+    body = [*head, *knots, *points]
+    file = F.concat(F.lit("s"), (F.col("id") % 20).cast("string")).alias("file")
+    rows = fx.segment.select(file, "id", F.posexplode(F.array(*body)).alias("n", "text"))
+    return dxf.dxf_splines(rows.select("file", (F.col("id") * len(body) + F.col("n")).alias("line_no"), "text"))
