@@ -9,7 +9,7 @@ from geoloom.plans.cells import Box, cell_join, point_box
 from geoloom.plans.chains import rank_chains
 from geoloom.plans.components import components
 from geoloom.plans.scan import chunk_of, ordered_scan
-from geoloom.plans.scratch import materialize
+from geoloom.plans.scratch import growing, materialize
 
 
 def segment_ends(segments: DataFrame, tol: float = 1e-3) -> DataFrame:
@@ -29,8 +29,8 @@ def segment_ends(segments: DataFrame, tol: float = 1e-3) -> DataFrame:
     links = materialize(_close(spots, tol), "close")
     if not links.isEmpty():
         roots = components(links).select(F.col("node").alias("vertex"), "root")
-        spots = spots.join(roots, "vertex", "left").select("x", "y", F.coalesce("root", "vertex").alias("vertex"))
-    return ends.join(spots, ["x", "y"]).select("id", "tip", "vertex")
+        spots = growing(spots).join(roots, "vertex", "left").select("x", "y", F.coalesce("root", "vertex").alias("vertex"))
+    return growing(ends).join(spots, ["x", "y"]).select("id", "tip", "vertex")
 
 
 def _close(spots: DataFrame, tol: float) -> DataFrame:
@@ -46,7 +46,7 @@ def _close(spots: DataFrame, tol: float) -> DataFrame:
     square = [F.floor(F.col(c) / side).alias(f"s{c}") for c in "xy"]
     placed = spots.select("vertex", "x", "y", *square)
     first = placed.groupBy("sx", "sy").agg(F.min("vertex").alias("first"))
-    placed = materialize(placed.join(first, ["sx", "sy"]), "squares")
+    placed = materialize(growing(placed).join(first, ["sx", "sy"]), "squares")
     same = placed.where("vertex <> first").select(F.col("first").alias("u"), F.col("vertex").alias("v"))
     reach = {"a_x0": F.col("x") - tol, "a_y0": F.col("y") - tol, "a_x1": F.col("x") + tol, "a_y1": F.col("y") + tol}
     left = placed.select(F.col("first").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay"), *(c.alias(n) for n, c in reach.items()))
@@ -90,18 +90,18 @@ def next_connected(segments: DataFrame, tol: float = 1e-3) -> DataFrame:
     ends = materialize(segment_ends(segments, tol), "ends")
     lowest = ends.groupBy("vertex").agg(F.min("id").alias("one"))
     second = (
-        ends.join(lowest, ["vertex"])
+        growing(ends).join(lowest, ["vertex"])
         .filter(F.col("id") > F.col("one"))
         .groupBy("vertex")
         .agg(F.min("id").alias("two"))
     )
     both = lowest.join(second, ["vertex"])
     mate = F.when(F.col("id") == F.col("one"), F.col("two")).otherwise(F.col("one"))
-    cand = materialize(ends.join(both, ["vertex"]).select("id", "tip", "vertex", mate.alias("mate")), "mates")
+    cand = materialize(growing(ends).join(both, ["vertex"]).select("id", "tip", "vertex", mate.alias("mate")), "mates")
     first = cand.groupBy("id").agg(F.min("mate").alias("mate"))
-    at = cand.join(first, ["id", "mate"])
+    at = growing(cand).join(first, ["id", "mate"])
     other = ends.select(F.col("id").alias("mate"), F.col("tip").alias("mate_tip"), "vertex")
-    code = at.join(other, ["mate", "vertex"]).groupBy("id", "mate").agg(F.min(F.col("tip") * 2 + F.col("mate_tip")).alias("code"))
+    code = growing(at).join(other, ["mate", "vertex"]).groupBy("id", "mate").agg(F.min(F.col("tip") * 2 + F.col("mate_tip")).alias("code"))
     return code.select("id", "mate", _kind(F.floor(F.col("code") / 2), F.col("code") % 2).alias("kind"))
 
 
@@ -129,7 +129,7 @@ def stitch_paths(segments: DataFrame, tol: float = 1e-3) -> DataFrame:
     )
     # Every path is walked from both sides; keep the walk that starts at the lower end.
     best = walk.groupBy("id").agg(F.min("chain").alias("chain"))
-    kept = walk.join(best, ["id", "chain"])
+    kept = growing(walk).join(best, ["id", "chain"])
     # a walk that passes the same segment both ways cannot be split by chain alone
     kept = kept.groupBy("id", "chain").agg(F.min("pos").alias("pos"), F.min_by("tip", "pos").alias("tip"), F.max("is_ring").alias("is_ring"))
     return kept.select(
@@ -212,14 +212,15 @@ def chain_contours(cuts: DataFrame) -> DataFrame:
     links = seams.filter("n_in = 1 AND n_out = 1").select("id", "prev")
     shared = seams.filter("n_in > 1 OR n_out > 1").select("mesh_id", "slice", "edge")
     if not shared.isEmpty():
-        met = ends.join(shared, ["mesh_id", "slice", "edge"]).withColumn("side", F.col("into").isNotNull())
+        met = growing(ends).join(shared, ["mesh_id", "slice", "edge"]).withColumn("side", F.col("into").isNotNull())
         met = met.withColumn("node", F.coalesce("into", "out"))
         ranked = ordered_scan(met, ["mesh_id", "slice", "edge", "side"], ["node"], chunk_of("node"), index="rn")
         keys = ["mesh_id", "slice", "edge", "rn"]
         into = ranked.filter("side").select(*keys, F.col("node").alias("id"))
         out = ranked.filter("NOT side").select(*keys, F.col("node").alias("prev"))
         links = links.unionByName(into.join(out, keys).select("id", "prev"))
-    nodes = cuts.select(F.col("node").alias("id")).join(links, "id", "left")
+    nodes = growing(cuts.select(F.col("node").alias("id"))).join(links, "id", "left")
     ranks = rank_chains(nodes).select(F.col("id").alias("node"), F.col("chain"), "pos", F.col("is_ring").alias("is_closed"))
     heads = cuts.select(F.col("node").alias("chain"), F.col("facet_id").alias("contour"))
-    return cuts.drop("fwd", "bwd").join(ranks, "node").join(heads, "chain").drop("node", "chain")
+    placed = growing(cuts.drop("fwd", "bwd")).join(ranks, "node")
+    return growing(placed).join(heads, "chain").drop("node", "chain")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from geoloom.plans.scratch import materialize
+from geoloom.plans.scratch import growing, materialize
 
 
 def rank_chains(nodes: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def rank_chains(nodes: DataFrame) -> DataFrame:
             F.col("id").alias("head"), *[F.col(c).alias("far_" + c) for c in ("head", "hops", "low", "low_hops", "done")]
         )
         lower = F.col("far_low") < F.col("low")
-        stepped = rest.join(far, "head").select(
+        stepped = growing(rest).join(far, "head").select(
             "id",
             F.col("far_head").alias("head"),
             (F.col("hops") + F.col("far_hops")).alias("hops"),

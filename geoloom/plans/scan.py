@@ -145,7 +145,7 @@ def chunked_fold(
 
     Returns one row per (keys, chunk) with ``out`` and ``exit`` (the state without ``out``).
     """
-    from geoloom.plans.scratch import discard, materialize
+    from geoloom.plans.scratch import discard, growing, materialize
 
     at = [*keys, "__chunk"]
     numbered = df.withColumns({"__chunk": chunk_of(order, rows), "__item": item})
@@ -158,7 +158,7 @@ def chunked_fold(
     packed = materialize(packed, "fold")
     along = Window.partitionBy(*keys).orderBy("__chunk")
     borders = packed.select(*at, F.lag(F.element_at("__items", -1)).over(along).alias("__before"))
-    packed = packed.join(materialize(borders, "borders"), at)
+    packed = growing(packed).join(materialize(borders, "borders"), at)
 
     def folded(frame: DataFrame, number: int) -> DataFrame:
         before = F.concat(F.array("__before"), F.slice("__items", 1, F.size("__items") - 1))
@@ -188,7 +188,7 @@ def chunked_fold(
         entry = F.col("__given").withField("out", F.array().cast(blank))
         rounds.append(folded(packed.join(update, at).withColumn("__entry", entry), len(rounds)))
         new = rounds[-1].select(*at, F.col("__entry").alias("__e"), F.col("exit").alias("__x"), F.lit(True).alias("__new"))
-        both = light.join(new, at, "left")
+        both = growing(light).join(new, at, "left")
         renewed = materialize(
             both.select(
                 *at, F.when(F.col("__new"), F.col("__e")).otherwise(F.col("__entry")).alias("__entry"),
