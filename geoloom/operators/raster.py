@@ -115,10 +115,15 @@ def rasterize_layers(pixels: DataFrame, width: int, height: int, background: int
     return grid.join(top, ["row", "col"], "left").withColumn("val", F.coalesce("val", F.lit(background).cast("bigint")))
 
 
+BLOCK = 4096  # columns of a canvas row that are filled at once
+
+
 def rotate_pixels(pixels: DataFrame, angle_deg: float, background: int = 0, size: tuple[int, int] | None = None) -> DataFrame:
     """Rotate a pixel table about its centre; each output pixel takes the source pixel it falls in.
 
-    The output canvas bounds the rotated input; its pixels with no source get the background.
+    The output canvas bounds the rotated input; its pixels with no source get the background. Each source pixel names the
+    output pixels that fall in it, by the same arithmetic, so only source pixels are shuffled; the background is what they
+    leave of each ``BLOCK`` of a canvas row.
     """
     if size is None:
         top = pixels.agg(F.max("col"), F.max("row")).first()
@@ -129,12 +134,24 @@ def rotate_pixels(pixels: DataFrame, angle_deg: float, background: int = 0, size
     # a quarter turn must not gain a pixel from the rounding of its cosine
     out_w = math.ceil(round(abs(w * cos) + abs(h * sin), 9))
     out_h = math.ceil(round(abs(w * sin) + abs(h * cos), 9))
-    grid = canvas(pixels.sparkSession, out_w, out_h)
     x, y = F.col("col") - out_w / 2.0, F.col("row") - out_h / 2.0
-    back = {
-        "src_col": F.floor(x * cos + y * sin + w / 2.0),
-        "src_row": F.floor(y * cos - x * sin + h / 2.0),
-    }
+    src_col, src_row = F.floor(x * cos + y * sin + w / 2.0), F.floor(y * cos - x * sin + h / 2.0)
+    # the middle of a source pixel on the canvas, and how far from it an output pixel may lie
+    mx, my = F.col("src_col") + 0.5 - w / 2.0, F.col("src_row") + 0.5 - h / 2.0
+    reach = (abs(cos) + abs(sin)) / 2 + 1e-3
+
+    def near(middle: Column, length: int) -> Column:
+        first, last = F.greatest(F.lit(0), F.ceil(middle - reach)), F.least(F.lit(length - 1), F.floor(middle + reach))
+        return F.explode(F.when(first <= last, F.sequence(first.cast("bigint"), last.cast("bigint"))))
+
     src = pixels.select(F.col("row").alias("src_row"), F.col("col").alias("src_col"), "val")
-    rows = grid.withColumns(back).join(src, ["src_row", "src_col"], "left")
-    return rows.select("row", "col", F.coalesce("val", F.lit(background).cast("bigint")).alias("val"))
+    met = src.withColumn("col", near(mx * cos - my * sin + out_w / 2.0, out_w)).withColumn("row", near(mx * sin + my * cos + out_h / 2.0, out_h))
+    met = met.filter((src_col == F.col("src_col")) & (src_row == F.col("src_row")))
+    val = F.coalesce("val", F.lit(background).cast("bigint")).alias("val")
+    taken = met.groupBy("row", F.floor(F.col("col") / BLOCK).alias("block")).agg(F.collect_set("col").alias("taken"))
+    blocks = canvas(pixels.sparkSession, -(-out_w // BLOCK), out_h).withColumnRenamed("col", "block")
+    start = F.col("block") * BLOCK
+    every = F.sequence(start, F.least(start + BLOCK, F.lit(out_w).cast("bigint")) - 1)
+    left = F.when(F.col("taken").isNull(), every).otherwise(F.array_except(every, F.col("taken")))
+    rest = blocks.join(taken, ["row", "block"], "left").select("row", F.explode(left).alias("col"), F.lit(background).cast("bigint").alias("val"))
+    return met.select("row", "col", val).unionByName(rest)

@@ -53,3 +53,37 @@ def test_fold_broadcasts_no_table_that_grows(spark, plans):
     assert any("Generate" not in p and "SortMergeJoin" in p for p in plans)
     folds = [p for p in plans if "aggregate(" in p]
     assert folds and "BroadcastHashJoin" not in folds[0]
+
+
+@pytest.mark.parametrize("angle", [0.0, 30.0, 90.0, 200.0])
+def test_rotation_joins_blocks_and_not_pixels(spark, angle):
+    import math
+
+    from geoloom.operators import raster
+
+    have = {(0, 0): [5], (0, 1): [None], (3, 9): [7, 7], (1, 8): [2], (-1, 2): [6]}
+    rows = [(r, c, v) for (r, c), values in have.items() for v in values] + [(None, 4, 1)]
+    got = raster.rotate_pixels(spark.createDataFrame(rows, "row long, col long, val long"), angle, 3)
+    assert "block" in next(x for x in plan_of(got).splitlines() if "Join" in x)
+    w, h, a = 10, 4, math.radians(angle)
+    cos, sin = math.cos(a), math.sin(a)
+    out_w, out_h = (math.ceil(round(x, 9)) for x in (abs(w * cos) + abs(h * sin), abs(w * sin) + abs(h * cos)))
+    want = []
+    for r in range(out_h):
+        for c in range(out_w):
+            x, y = c - out_w / 2, r - out_h / 2
+            values = have.get((math.floor(y * cos - x * sin + h / 2), math.floor(x * cos + y * sin + w / 2)), [None])
+            want += [(r, c, 3 if v is None else v) for v in values]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_ranges_do_not_grow_with_the_data(tmp_path):
+    from geoloom.sources import datasource
+
+    for k in range(3):
+        (tmp_path / f"{k}.txt").write_bytes(b"X1Y2\n" * 20_000)
+    parts = datasource.byte_ranges(str(tmp_path), 10)
+    assert len(parts) <= datasource.RANGES + 3 and sum(p.end - p.start for p in parts) == 300_000
+    reader = datasource.DrillReader.__new__(datasource.DrillReader)
+    assert sum(1 for p in parts for _ in reader.rows(p, set())) == 60_000
+    assert len(datasource.byte_ranges(str(tmp_path), 100_000)) == 3
