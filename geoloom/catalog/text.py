@@ -11,7 +11,7 @@ from geoloom.functions.geometry import fixed
 from geoloom.operators import aggregate as agg
 from geoloom.operators import spatial as sp
 from geoloom.operators.transform import concat_geometries
-from geoloom.plans.scratch import scratch_path
+from geoloom.plans.scratch import materialize, scratch_path
 from geoloom.sources import datasource, drill, dxf, lines, sinks, stl, vectors
 
 _REAL = "CAST({} AS DOUBLE)"
@@ -300,6 +300,7 @@ def _(fx):
     laid.select("file", "text").write.partitionBy("file").text(path)
     back = spark.read.format("drill").option("rangeBytes", 20_000).load(path)
     named = back.select(F.regexp_extract("file", "file=([^/]+)/", 1).alias("file"), F.col("at").alias("line_no"), "text")
+    named = materialize(named, "commands")  # the files are read once; the scan below reads its lines several times
     return drill.drill_hits(named, repeats=False).select("file", "x", "y")
 
 

@@ -10,7 +10,7 @@ Writing ``"dxf"`` takes drawing lines (column text, as ``write_dxf_lines`` gives
 a staging folder and tells its file's name; the commit moves exactly the told files, so those of tasks that failed
 or ran twice go with the folder, and an aborted job leaves nothing. Names that begin with ``_`` or ``.`` are not read.
 
-Options: ``path``; ``rangeBytes``; ``columns`` (comma-separated, only these are parsed and returned); for drawings
+Options: ``path``; ``rangeBytes`` (the shortest range; of much data ranges are longer, so that there is not a task for every few records); ``columns`` (comma-separated, only these are parsed and returned); for drawings
 ``layers`` (comma-separated), and ``pushFilters`` (true: conditions on ``layer`` are taken from the query; needs
 ``spark.sql.python.filterPushdown.enabled``).
 """
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (
@@ -37,6 +38,8 @@ from geoloom.sources.dxf import SINGLE_KINDS
 from geoloom.sources.stl import CORNERS, FLAT, HEADER_BYTES, RECORD
 
 RANGE_BYTES = 16 << 20
+#: ranges become longer, up to RANGE_BYTES, before there are more of them
+RANGES = 256
 #: bytes that a task reads on at once for the rest of its last record
 MORE = 1 << 16
 
@@ -69,6 +72,8 @@ def byte_ranges(path: str, step: int) -> list[ByteRange]:
     hidden = re.compile(r"(^|/)[_.]")
     files = [f for f in found if f.type == fs.FileType.File and not hidden.search(f.path[len(root) :])]
     prefix = path[: len(path) - len(root)] if path.endswith(root) else ""
+    files = [f for f in files if f.size]
+    step = max(step, min(RANGE_BYTES, sum(f.size for f in files) // RANGES))
     return [
         ByteRange(prefix + f.path, a, min(a + step, f.size), f.size) for f in sorted(files, key=lambda f: f.path) for a in range(0, f.size, step)
     ]
@@ -279,7 +284,11 @@ class LineWriter(StagedWriter):
     suffix = ".dxf"
 
     def body(self, batch: pa.RecordBatch) -> bytes:
-        return "".join(f"{t}\n" for t in batch.column("text").to_pylist() if t is not None).encode()
+        texts = batch.column("text").drop_null()
+        if not len(texts):
+            return b""
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "\n")
+        return joined[0].as_buffer().to_pybytes() + b"\n"
 
 
 class MeshWriter(StagedWriter):
