@@ -10,7 +10,7 @@ from geoloom.operators.generate import box_edges, grid_shape, tile_grid
 from geoloom.plans.cells import Box, Line, cell_join, point_box
 from geoloom.plans.scan import chunk_of, ordered_scan, written_scan
 from geoloom.plans.sweep import nests
-from geoloom.plans.scratch import materialize
+from geoloom.plans.scratch import growing, materialize
 
 SEG = ("x1", "y1", "x2", "y2")
 BOX = ("min_x", "min_y", "max_x", "max_y")
@@ -445,6 +445,9 @@ def boundary_cuts(edges: DataFrame, cutters: DataFrame | None = None) -> DataFra
     return found.select(F.inline(both))
 
 
+BASE_ROWS = 100_000  # edges of pairs in a task
+
+
 def _pieces(base: DataFrame, cuts: DataFrame, keys: list[str], tol: float) -> DataFrame:
     """Stretches between successive cut marks of every row of ``base`` (keys, ends).
 
@@ -460,7 +463,7 @@ def _pieces(base: DataFrame, cuts: DataFrame, keys: list[str], tol: float) -> Da
         "x1": g.mix("x1", "x2", "t"), "y1": g.mix("y1", "y2", "t"),
         "x2": g.mix("x1", "x2", "t1"), "y2": g.mix("y1", "y2", "t1"),
     }
-    return runs.filter("t1 IS NOT NULL").join(base, keys).withColumns(ends).drop("t1", "mark")
+    return growing(runs.filter("t1 IS NOT NULL")).join(base, keys).withColumns(ends).drop("t1", "mark")
 
 
 def split_at_intersections(edges: DataFrame, cutters: DataFrame | None = None, tol: float = 1e-9) -> DataFrame:
@@ -505,21 +508,24 @@ def polygon_boolean(edges: DataFrame, *modes: str, pairs: DataFrame | None = Non
     )
     links = materialize(pairs.select(F.inline(sides)), "links")
     keys = ["id", "seq", "other", "side"]
-    base = edges.select("id", "seq", *SEG).join(links, "id")
-    pieces = _pieces(base, cuts.join(links, ["id", "other"]), keys, tol)
+    # a few MB of links and edges give many times as many rows, which a task must not all take into its aggregate
+    sizes = edges.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(links.groupBy("id").agg(F.count(F.lit(1)).alias("m")), "id")
+    rows = sizes.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    base = growing(edges.select("id", "seq", *SEG)).join(links, "id").repartition(rows // BASE_ROWS + 1, *keys)
+    pieces = _pieces(base, growing(cuts).join(links, ["id", "other"]), keys, tol)
     mids = pieces.withColumnRenamed("other", "poly").withColumns(
         {"px": (F.col("x1") + F.col("x2")) / 2, "py": (F.col("y1") + F.col("y2")) / 2}
     )
     mids = materialize(mids, "pieces")
     name = ["id", "seq", "poly", "side", "t"]
-    inner = _parity(mids, edges.select(F.col("id").alias("poly"), *SEG), name).withColumn("inside", F.lit(True))
+    inner = _parity(growing(mids), edges.select(F.col("id").alias("poly"), *SEG), name).withColumn("inside", F.lit(True))
     inside = F.coalesce("inside", F.lit(False))
 
     def kept_in(mode: str) -> Column:
         for_a, for_b = rules[mode]
         return F.when(inside == F.when(F.col("side") == "a", for_a).otherwise(for_b), mode)
 
-    kept = mids.join(inner, name, "left").withColumn("mode", F.explode(F.array_compact(F.array(*[kept_in(m) for m in modes]))))
+    kept = growing(mids).join(inner, name, "left").withColumn("mode", F.explode(F.array_compact(F.array(*[kept_in(m) for m in modes]))))
     first = F.col("side") == "a"
     return kept.select(
         F.when(first, F.col("id")).otherwise(F.col("poly")).alias("poly_a"),

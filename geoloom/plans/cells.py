@@ -21,10 +21,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.plans.scratch import growing
+
 SPAN = 4
 FAN = 16
 MAX_CUT = 6
 HOT_ROWS = 20000
+MANY_ROWS = 50000  # with more on both sides neither is broadcast
 PAD = 1e-6  # of a cell: keeps a computed point inside a cell both rows are listed in
 
 
@@ -180,6 +183,7 @@ class _Join:
     derive: dict[str, Column]
     keep: Column | None
     owner: tuple[Column, Column]
+    many: bool = False
 
     def meet(self, a: DataFrame, b: DataFrame, size: float) -> DataFrame:
         left, right = _listed(a, self.a_shape, size), _listed(b, self.b_shape, size)
@@ -190,7 +194,7 @@ class _Join:
             fine = F.lit(size) / F.pow(F.lit(2.0), F.col("__k"))
         ax0, ay0, ax1, ay1 = self.a_shape.bounds()
         bx0, by0, bx1, by1 = self.b_shape.bounds()
-        pairs = left.join(right, keys).filter((ax0 <= bx1) & (bx0 <= ax1) & (ay0 <= by1) & (by0 <= ay1))
+        pairs = (growing(left) if self.many else left).join(right, keys).filter((ax0 <= bx1) & (bx0 <= ax1) & (ay0 <= by1) & (by0 <= ay1))
         if self.derive:
             pairs = pairs.withColumns(self.derive)
         if self.keep is not None:
@@ -249,7 +253,8 @@ def cell_join(
         owner = (F.greatest(ax0, bx0), F.greatest(ay0, by0))
     # Only when both sides together hold enough rows can any cell be crowded.
     balance = math.sqrt(float(stats[0][2]) * stats[1][2]) > hot
-    join = _Join(a_shape, b_shape, hot, balance, derive or {}, keep, owner)
+    many = min(stats[0][2], stats[1][2]) > MANY_ROWS
+    join = _Join(a_shape, b_shape, hot, balance, derive or {}, keep, owner, many)
     if levels == 0:
         return join.meet(a, b, size)
     a = a.withColumn("__la", _level(a_shape, size, levels))

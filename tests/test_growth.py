@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.operators import graph, spatial
-from geoloom.plans import chains, scratch
+from geoloom.plans import cells, chains, scratch
 
 
 @pytest.fixture
@@ -87,3 +87,27 @@ def test_ranges_do_not_grow_with_the_data(tmp_path):
     reader = datasource.DrillReader.__new__(datasource.DrillReader)
     assert sum(1 for p in parts for _ in reader.rows(p, set())) == 60_000
     assert len(datasource.byte_ranges(str(tmp_path), 100_000)) == 3
+
+
+def test_polygon_joins_broadcast_no_table_that_grows(spark, plans, monkeypatch):
+    monkeypatch.setattr(cells, "MANY_ROWS", 0)
+    names = [f"{c}{k}" for k in (1, 2) for c in "xy"]
+    ring = [(0, 0, 4, 0), (4, 0, 4, 4), (4, 4, 0, 4), (0, 4, 0, 0)]
+    rows = [(i, s, *(float(v + 2 * i) for v in e)) for i in range(2) for s, e in enumerate(ring)]
+    edges = spark.createDataFrame(rows, "id long, seq long, " + ", ".join(f"{n} double" for n in names))
+    got = spatial.polygon_boolean(edges, "intersection")
+    assert "BroadcastHashJoin" not in "".join([*plans, plan_of(got)])
+    assert sorted(tuple(r[n] for n in names) for r in got.collect()) == [
+        (2.0, 2.0, 4.0, 2.0), (2.0, 4.0, 2.0, 2.0), (4.0, 2.0, 4.0, 4.0), (4.0, 4.0, 2.0, 4.0),
+    ]
+
+
+def test_edges_of_pairs_are_spread_by_their_number(spark, plans, monkeypatch):
+    monkeypatch.setattr(spatial, "BASE_ROWS", 3)
+    ring = [(0, 0, 4, 0), (4, 0, 4, 4), (4, 4, 0, 4), (0, 4, 0, 0)]
+    rows = [(i, s, *(float(v + 2 * i) for v in e)) for i in range(3) for s, e in enumerate(ring)]
+    edges = spark.createDataFrame(rows, "id long, seq long, x1 double, y1 double, x2 double, y2 double")
+    got = spatial.polygon_boolean(edges, "union")
+    # three pairs (boxes 0 and 2 touch), two sides of four edges each: 24 rows
+    assert any("REPARTITION_BY_NUM" in p and ", 9), REPARTITION_BY_NUM" in p for p in plans)
+    assert got.groupBy("poly_a", "poly_b").count().orderBy("poly_a", "poly_b").collect()[0][2] == 8
