@@ -103,3 +103,20 @@ def test_long_texts_train_and_calibrate(spark):
     alone = tx.fit([t for _, t, _ in rows], [k % 2 for k, _, _ in rows], ["en"] * len(rows))
     gain = [tx.Scorer(m).logit("plain dreadful plain") - tx.Scorer(m).logit("plain plain plain") for m in (alone, model)]
     assert gain[1] > gain[0]
+
+
+@pytest.mark.parametrize("rows", [40, 3400])
+def test_folds_do_not_depend_on_the_size(monkeypatch, rows):
+    """Every row calibrates once by a model that has not seen it, and the model learns from all rows."""
+    trained = []
+
+    def train(coded, feats, y, used, seed, model=None):
+        trained.append(set(used.tolist()))
+        return tx._new_model(np.random.default_rng(seed))
+
+    monkeypatch.setattr(tx, "_train", train)
+    tx.fit([f"word{k % 7}" for k in range(rows)], [k % 2 for k in range(rows)], ["en"] * rows)
+    every = set(range(rows))
+    assert len(trained) == 6 and trained[-1] == every
+    left = [k for used in trained[:-1] for k in every - used]
+    assert len(left) == rows and set(left) == every
