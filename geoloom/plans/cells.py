@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.plans.scratch import growing
+from geoloom.plans.scratch import growing, materialize
 
 SPAN = 4
 FAN = 16
@@ -191,6 +191,7 @@ class _Join:
         fine: Column = F.lit(size)
         if self.balance:
             left, right, keys = self._spread(left, right, keys, size)
+        if "__k" in keys:
             fine = F.lit(size) / F.pow(F.lit(2.0), F.col("__k"))
         ax0, ay0, ax1, ay1 = self.a_shape.bounds()
         bx0, by0, bx1, by1 = self.b_shape.bounds()
@@ -207,7 +208,10 @@ class _Join:
         hot = self.hot
         load = F.sqrt(F.col("__na").cast("double") * F.col("__nb"))
         cuts = F.least(F.lit(MAX_CUT), F.ceil(F.log(load / hot) / math.log(4.0)).cast("int"))
-        crowded = _counts(left, right, keys).filter(load > hot).select(*keys, cuts.alias("__k"))
+        # written, so the optimizer knows how few they are and shuffles no listed row to look for them
+        crowded = materialize(_counts(left, right, keys).filter(load > hot).select(*keys, cuts.alias("__k")), "crowded")
+        if crowded.isEmpty():
+            return left, right, keys
         left, right = _cut(left, self.a_shape, size, crowded), _cut(right, self.b_shape, size, crowded)
         keys = ["__k", *keys]
         salts = (
@@ -219,6 +223,7 @@ class _Join:
                 F.ceil(F.col("__nb") / F.lit(hot)).alias("__mb"),
             )
         )
+        salts = materialize(salts, "salts")
         left = _salted(left.join(salts, keys, "left"), "__sa", "__ma", "__sb", "__mb")
         right = _salted(right.join(salts, keys, "left"), "__sb", "__mb", "__sa", "__ma")
         return left, right, [*keys, "__sa", "__sb"]

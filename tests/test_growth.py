@@ -111,3 +111,12 @@ def test_edges_of_pairs_are_spread_by_their_number(spark, plans, monkeypatch):
     # three pairs (boxes 0 and 2 touch), two sides of four edges each: 24 rows
     assert any("REPARTITION_BY_NUM" in p and ", 9), REPARTITION_BY_NUM" in p for p in plans)
     assert got.groupBy("poly_a", "poly_b").count().orderBy("poly_a", "poly_b").collect()[0][2] == 8
+
+
+def test_join_without_crowded_cells_looks_none_up(spark):
+    def points(n):
+        return spark.range(1000).select(F.col("id").alias(f"{n}_id"), (F.col("id") * 3.0).alias(f"{n}x"), (F.col("id") * 5.0).alias(f"{n}y"))
+
+    met = cells.cell_join(points("a"), points("b"), cells.point_box("ax", "ay"), cells.point_box("bx", "by"), hot=100)
+    assert "LeftOuter" not in plan_of(met)
+    assert met.filter("a_id = b_id").count() == met.count() == 1000
