@@ -42,6 +42,7 @@ def _close(spots: DataFrame, tol: float) -> DataFrame:
     """
     if tol <= 0:
         return spots.select(F.col("vertex").alias("u"), F.col("vertex").alias("v")).limit(0)
+    spots = materialize(_crowded(spots, tol), "crowded")
     side = tol * 0.7  # its diagonal is below tol
     square = [F.floor(F.col(c) / side).alias(f"s{c}") for c in "xy"]
     placed = spots.select("vertex", "x", "y", *square)
@@ -56,6 +57,22 @@ def _close(spots: DataFrame, tol: float) -> DataFrame:
     return same.unionByName(other.select("u", "v").distinct())
 
 
+def _crowded(spots: DataFrame, tol: float) -> DataFrame:
+    """Spots that may have another one within ``tol``: those that share a wide cell with any.
+
+    A spot is listed in every cell its reach meets, mostly one. The shared cells are few unless the drawing is
+    dense, so spots that lie alone are shuffled once, as a pre-aggregated row of their cell.
+    """
+    wide, reach = tol * 64, tol * 1.01
+    listed = spots
+    for axis in "xy":
+        span = [F.floor((F.col(axis) + d) / wide) for d in (-reach, reach)]
+        listed = listed.withColumn("c" + axis, F.explode(F.sequence(*span)))
+    cells = listed.groupBy("cx", "cy").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high"))
+    shared = materialize(cells.filter("low < high").select("cx", "cy"), "shared")
+    return listed.join(shared, ["cx", "cy"], "left_semi").select("vertex", "x", "y").distinct()
+
+
 _KINDS = ("start_to_start", "start_to_end", "end_to_start", "end_to_end")
 
 
@@ -128,10 +145,8 @@ def stitch_paths(segments: DataFrame, tol: float = 1e-3) -> DataFrame:
         F.floor(F.col("id") / 2).alias("id"), (F.col("id") % 2).alias("tip"),
     )
     # Every path is walked from both sides; keep the walk that starts at the lower end.
-    best = walk.groupBy("id").agg(F.min("chain").alias("chain"))
-    kept = growing(walk).join(best, ["id", "chain"])
-    # a walk that passes the same segment both ways cannot be split by chain alone
-    kept = kept.groupBy("id", "chain").agg(F.min("pos").alias("pos"), F.min_by("tip", "pos").alias("tip"), F.max("is_ring").alias("is_ring"))
+    # A walk may pass a segment both ways, so the place decides within a chain.
+    kept = walk.groupBy("id").agg(F.min(F.struct("chain", "pos", "tip", "is_ring")).alias("best")).select("id", "best.*")
     return kept.select(
         "id",
         F.floor(F.col("chain") / 2).alias("path_id"),

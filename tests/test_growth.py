@@ -120,3 +120,17 @@ def test_join_without_crowded_cells_looks_none_up(spark):
     met = cells.cell_join(points("a"), points("b"), cells.point_box("ax", "ay"), cells.point_box("bx", "by"), hot=100)
     assert "LeftOuter" not in plan_of(met)
     assert met.filter("a_id = b_id").count() == met.count() == 1000
+
+
+def test_spots_alone_are_not_compared(spark):
+    # far apart, but for two on both sides of the border of a wide cell
+    spots = spark.createDataFrame([(i, 10.0 * i, 7.0 * i) for i in range(1, 200)] + [(900, 0.064 - 4e-4, 3.0), (901, 0.064 + 4e-4, 3.0)], "vertex long, x double, y double")
+    assert {r["vertex"] for r in graph._crowded(spots, 1e-3).collect()} == {900, 901}
+    assert [tuple(r) for r in graph._close(spots, 1e-3).select("u", "v").collect()] == [(900, 901)]
+
+
+def test_walks_of_both_sides_are_not_joined(spark):
+    rows = [(i, float(i), 0.0, i + 1.0, 0.0) for i in range(6)]
+    out = graph.stitch_paths(spark.createDataFrame(rows, "id long, x1 double, y1 double, x2 double, y2 double"))
+    assert "Join" not in plan_of(out)
+    assert sorted((r["id"], r["path_id"], r["pos"], r["reversed"]) for r in out.collect()) == [(i, 0, i, False) for i in range(6)]
