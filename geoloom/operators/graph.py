@@ -158,6 +158,7 @@ def stitch_paths(segments: DataFrame, tol: float = 1e-3) -> DataFrame:
 
 def unused_segments(segments: DataFrame, stitched: DataFrame) -> DataFrame:
     """Segments that became part of no path of two or more segments, nor a closed shape."""
+    stitched = materialize(stitched.select("id", "path_id", "is_ring"), "stitched")  # read twice
     used = stitched.groupBy("path_id").agg(F.count(F.lit(1)).alias("n"), F.max("is_ring").alias("ring"))
     used = stitched.join(used.filter("n > 1 OR ring"), "path_id").select("id")
     return segments.join(used, "id", "left_anti")

@@ -35,9 +35,14 @@ def rank_chains(nodes: DataFrame) -> DataFrame:
     )
     state, seen = _written(first.withColumn("moved", F.lit(True)))
     settled = [state.filter("done")]
+    heads = settled[0]
+    if seen["open"] and seen["done"] > seen["open"] // 4:
+        # every node looked up is someone's prev; heads that are not, as of lone nodes, need not be read in any round
+        prevs = state.filter("NOT done").select(F.col("head").alias("id"))
+        heads = materialize(growing(heads).join(prevs, "id", "left_semi"), "heads")
     while seen["open"]:
         # settled nodes are read, and written only once; a round writes the open ones
-        known = settled[0]
+        known = heads
         for part in settled[1:]:
             known = known.unionByName(part)
         rest = state.filter("NOT done")
@@ -80,6 +85,7 @@ def _written(state: DataFrame) -> tuple[DataFrame, dict]:
     counted = state.observe(
         seen,
         F.count(F.when(~F.col("done"), 1)).alias("open"),
+        F.count(F.when(F.col("done"), 1)).alias("done"),
         F.count(F.when(~F.col("done") & F.col("moved"), 1)).alias("moved"),
     )
     table = materialize(counted, "chain")

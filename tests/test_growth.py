@@ -134,3 +134,18 @@ def test_walks_of_both_sides_are_not_joined(spark):
     out = graph.stitch_paths(spark.createDataFrame(rows, "id long, x1 double, y1 double, x2 double, y2 double"))
     assert "Join" not in plan_of(out)
     assert sorted((r["id"], r["path_id"], r["pos"], r["reversed"]) for r in out.collect()) == [(i, 0, i, False) for i in range(6)]
+
+
+def test_lone_nodes_are_read_in_no_round(spark, monkeypatch):
+    counts, write = {}, scratch.materialize
+
+    def noted(df, name="table"):
+        out = write(df, name)
+        counts.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(chains, "materialize", noted)
+    nodes = spark.createDataFrame([(i, None) for i in range(100, 160)] + [(0, None)] + [(i, i - 1) for i in range(1, 9)], "id long, prev long")
+    out = {r["id"]: (r["chain"], r["pos"], r["is_ring"]) for r in chains.rank_chains(nodes).collect()}
+    assert counts["heads"] == [1]
+    assert out == {i: (0, i, False) for i in range(9)} | {i: (i, 0, False) for i in range(100, 160)}
