@@ -17,14 +17,17 @@ KINDS = [*SINGLE_KINDS, "LWPOLYLINE", "SPLINE"]
 PAIR_CHUNK = 32768
 
 
-def dxf_pairs(lines: DataFrame) -> DataFrame:
+def dxf_pairs(lines: DataFrame, codes: list[str] | None = None) -> DataFrame:
     """(file, chunk, pair, code, value): an even line holds the code, the odd line after it the value.
 
     A pair never crosses a chunk border, so the value is looked up inside the chunk; the chunk
-    stays with the rows, and later scans find them partitioned by it.
+    stays with the rows, and later scans find them partitioned by it. With ``codes`` only pairs of these are
+    wanted, and the code lines of others are not shuffled.
     """
     pair = F.floor(F.col("line_no") / 2)
     rows = lines.select("file", "line_no", F.trim("text").alias("code")).withColumn("chunk", chunk_of(pair, PAIR_CHUNK))
+    if codes:
+        rows = rows.filter((F.pmod(F.col("line_no"), F.lit(2)) != 0) | F.col("code").isin(codes))
     after = Window.partitionBy("file", "chunk").orderBy("line_no")
     rows = rows.withColumns({"pair": pair, "value": F.lead("code").over(after), "__next": F.lead("line_no").over(after)})
     whole = (F.pmod(F.col("line_no"), F.lit(2)) == 0) & (F.col("__next") == F.col("line_no") + 1)
@@ -60,7 +63,8 @@ def dxf_entities(lines: DataFrame, layers: list[str] | None = None) -> DataFrame
     the kind is one more value of the entity.
     """
     opens = F.when(F.col("code") == "0", F.col("pair"))
-    rows = ordered_scan(dxf_pairs(lines), ["file"], ["pair"], "chunk", fill={"entity": opens})
+    codes = ["0", "8", "10", "20", "30", "11", "21", "31", "40", "50", "51"]
+    rows = ordered_scan(dxf_pairs(lines, codes), ["file"], ["pair"], "chunk", fill={"entity": opens})
     rows = rows.filter("entity IS NOT NULL").groupBy("file", "entity").agg(
         F.max(_only("0")).alias("kind"),
         F.max(_only("8")).alias("layer"),

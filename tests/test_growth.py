@@ -149,3 +149,21 @@ def test_lone_nodes_are_read_in_no_round(spark, monkeypatch):
     out = {r["id"]: (r["chain"], r["pos"], r["is_ring"]) for r in chains.rank_chains(nodes).collect()}
     assert counts["heads"] == [1]
     assert out == {i: (0, i, False) for i in range(9)} | {i: (i, 0, False) for i in range(100, 160)}
+
+
+def test_round_trip_shuffles_entities_and_no_line_to_number_it(spark, tmp_path):
+    from geoloom.sources import dxf, lines, sinks
+
+    shapes = spark.createDataFrame([(i, "line" if i % 2 else "point", None if i == 3 else f"l{i % 3}", float(i), 2.0, 3.0, 4.0) for i in range(40)],
+                                   "id long, kind string, layer string, x1 double, y1 double, x2 double, y2 double")
+    packed, long = sinks.write_dxf_lines(shapes, packed=True), sinks.write_dxf_lines(shapes)
+    assert packed.count() == 40
+    split = packed.select("id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    assert sorted(map(tuple, split.collect())) == sorted((r["id"], r["n"], r["text"] or "") for r in long.collect())
+    sinks.save_dxf(packed, str(tmp_path / "d"))
+    read = lines.read_lines(spark, str(tmp_path / "d"))
+    assert "SortMergeJoin" not in plan_of(read)
+    back = dxf.dxf_entities(read)
+    assert sorted((r["kind"], r["x1"]) for r in back.collect()) == sorted(("LINE" if i % 2 else "POINT", float(i)) for i in range(40))
+    codes = {r["code"] for r in dxf.dxf_pairs(read, ["0", "8"]).collect()}
+    assert codes == {"0", "8"}
