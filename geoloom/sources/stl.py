@@ -9,6 +9,7 @@ from geoloom.plans.scan import chunk_of, ordered_scan
 from geoloom.plans.scratch import qualified
 
 FLAT = 1e-4
+TASK_ROWS = 250_000  # vertex lines in a task
 CORNERS = [f"{axis}{i}" for i in range(3) for axis in "xyz"]
 _REAL = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 VERTEX = rf"^\s*vertex\s+({_REAL})\s+({_REAL})\s+({_REAL})"
@@ -26,15 +27,19 @@ def stl_ascii_facets(lines: DataFrame, flat: float = FLAT) -> DataFrame:
     """ASCII mesh text -> facets (file, facet_no, x0 .. z2), flat ones dropped.
 
     Vertex lines are numbered by a scan in chunks of the file; three in a row make a facet, which
-    keeps its number whether or not flat facets before it were dropped.
+    keeps its number whether or not flat facets before it were dropped. Mesh lines compress so well that
+    tasks cut by shuffled bytes would hold millions of them, so the lines are counted first.
     """
     rows = lines.filter(F.col("text").rlike(VERTEX))
-    rows = ordered_scan(rows, ["file"], ["line_no"], chunk_of("line_no"), index="rn")
+    parts = rows.count() // TASK_ROWS + 1
+    rows = rows.withColumn("chunk", chunk_of("line_no")).repartition(parts, "file", "chunk")
+    rows = ordered_scan(rows, ["file"], ["line_no"], "chunk", index="rn")
     at = F.col("rn") - 1
     xyz = [F.regexp_extract("text", VERTEX, i + 1).cast("double").alias(a) for i, a in enumerate("xyz")]
-    rows = rows.select("file", F.floor(at / 3).alias("facet_no"), (at % 3).alias("i"), *xyz)
+    rows = rows.select("file", "chunk", F.floor(at / 3).alias("facet_no"), (at % 3).alias("i"), *xyz)
     corners = [F.max(F.when(F.col("i") == int(c[1]), F.col(c[0]))).alias(c) for c in CORNERS]
-    return rows.groupBy("file", "facet_no").agg(*corners).filter(_not_flat(flat))
+    pieces = rows.groupBy("file", "chunk", "facet_no").agg(*corners).repartition(parts, "file", "facet_no")
+    return pieces.groupBy("file", "facet_no").agg(*[F.max(c).alias(c) for c in CORNERS]).filter(_not_flat(flat))
 
 
 def stl_binary_facets(spark: SparkSession, path: str, flat: float = FLAT, facets_per_task: int = 1 << 18) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +169,14 @@ def test_round_trip_shuffles_entities_and_no_line_to_number_it(spark, tmp_path):
     assert sorted((r["kind"], r["x1"]) for r in back.collect()) == sorted(("LINE" if i % 2 else "POINT", float(i)) for i in range(40))
     codes = {r["code"] for r in dxf.dxf_pairs(read, ["0", "8"]).collect()}
     assert codes == {"0", "8"}
+
+
+def test_mesh_tasks_grow_in_number_with_the_lines(spark, monkeypatch):
+    from geoloom.sources import stl
+
+    rows = [(f"m{f}", 7 * k + v, f"vertex {k}.0 {v}.0 {v * f}.5") for f in (1, 2) for k in range(50) for v in range(3)]
+    text = spark.createDataFrame(rows, "file string, line_no long, text string")
+    monkeypatch.setattr(stl, "TASK_ROWS", 30)
+    out = stl.stl_ascii_facets(text)
+    assert "hashpartitioning(file, facet_no, 11), REPARTITION_BY_NUM" in re.sub(r"#\d+L?", "", plan_of(out))
+    assert sorted((r["file"], r["facet_no"], r["x1"], r["z2"]) for r in out.collect()) == [(f"m{f}", k, float(k), 2 * f + 0.5) for f in (1, 2) for k in range(50)]
