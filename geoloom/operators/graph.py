@@ -146,7 +146,9 @@ def stitch_paths(segments: DataFrame, tol: float = 1e-3) -> DataFrame:
     )
     # Every path is walked from both sides; keep the walk that starts at the lower end.
     # A walk may pass a segment both ways, so the place decides within a chain.
-    kept = walk.groupBy("id").agg(F.min(F.struct("chain", "pos", "tip", "is_ring")).alias("best")).select("id", "best.*")
+    kept = walk.groupBy("id").agg(
+        F.min(F.struct("chain", "pos", "tip")).alias("best"), F.min(F.struct("chain", (~F.col("is_ring")).alias("open"))).alias("shape")
+    ).select("id", "best.*", (~F.col("shape.open")).alias("is_ring"))
     return kept.select(
         "id",
         F.floor(F.col("chain") / 2).alias("path_id"),
