@@ -97,10 +97,16 @@ def dxf_polyline_vertices(lines: DataFrame) -> DataFrame:
     return points.join(heads.withColumnRenamed("entity", "path_id"), ["file", "path_id"])
 
 
+# Parts of a spline by group code, and the code that opens the values of one number.
+SPLINE_PARTS = {"40": "knot", "10": "x", "20": "y", "30": "z", "11": "fit_x", "21": "fit_y", "31": "fit_z"}
+SPLINE_OPENS = ["40", "10", "11"]
+
+
 def dxf_splines(lines: DataFrame) -> DataFrame:
-    """SPLINE rows in long form: (file, entity, layer, degree, flag, part, i, v) for knots and points.
+    """SPLINE rows in long form: (file, entity, layer, degree, flag, part, i, v) for knots, control and fit points.
 
-    part is knot, x, y or z; i numbers the values of a part. ``splines_from_parts`` packs them.
+    part is knot, x, y, z, fit_x, fit_y or fit_z; i numbers the knots, the control points and the fit points, so the
+    coordinates of a point share it. A coordinate that the drawing leaves out has no row. ``splines_from_parts`` packs them.
     """
     items = materialize(dxf_items(lines).filter(F.col("kind") == "SPLINE").drop("kind"), "items")  # read twice
     heads = items.groupBy("file", "entity").agg(
@@ -108,25 +114,33 @@ def dxf_splines(lines: DataFrame) -> DataFrame:
         F.max(_only("71")).cast("int").alias("degree"),
         F.max(_only("70")).cast("int").alias("flag"),
     )
-    part = F.when(F.col("code") == "40", "knot").when(F.col("code") == "10", "x").when(F.col("code") == "20", "y")
-    rows = items.withColumn("part", part).filter("part IS NOT NULL")
-    rows = ordered_scan(rows, ["file", "entity", "part"], ["pair"], chunk_of("pair", PAIR_CHUNK), index="i")
+    run = F.when(F.col("code") == "40", "knot").when(F.col("code").isin("10", "20", "30"), "control").otherwise("fit")
+    part = F.coalesce(*[F.when(F.col("code") == code, name) for code, name in SPLINE_PARTS.items()])
+    rows = items.filter(F.col("code").isin(list(SPLINE_PARTS))).withColumns({"run": run, "part": part})
+    opens = F.when(F.col("code").isin(SPLINE_OPENS), 1).otherwise(0).cast("bigint")
+    rows = ordered_scan(rows, ["file", "entity", "run"], ["pair"], chunk_of("pair", PAIR_CHUNK), running={"i": opens})
     return rows.join(heads, ["file", "entity"]).select(
         "file", "entity", "layer", "degree", "flag", "part", "i", F.col("value").cast("double").alias("v")
     )
 
 
 def splines_from_parts(parts: DataFrame) -> DataFrame:
-    """One row per spline with its arrays of knots and control points."""
+    """One row per spline with its arrays of knots, control points and fit points; a point without z lies at 0."""
     keys = ["file", "entity", "layer", "degree", "flag"]
+    own = {name: F.when(F.col("part") == name, F.col("v")) for name in SPLINE_PARTS.values()}
+    have = [F.max(F.col("part") == name).alias("has_" + name) for name in ("knot", "x", "fit_x")]
+    rows = parts.groupBy(*keys, "i").agg(*[F.max(v).alias(name) for name, v in own.items()], *have)
 
-    def packed(name: str) -> Column:
-        pairs = F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("i", "v"))))
+    def packed(name: str, opens: str, value: Column) -> Column:
+        pairs = F.array_sort(F.collect_list(F.when(F.col("has_" + opens), F.struct("i", value.alias("v")))))
         return F.transform(pairs, lambda p: p["v"]).alias(name)
 
-    rows = parts.groupBy(*keys).agg(packed("knot"), packed("x"), packed("y"))
-    ctrl = F.zip_with("x", "y", lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    return rows.select(*keys, F.col("knot").alias("knots"), ctrl.alias("ctrl"))
+    def point(x: str, y: str, z: str) -> Column:
+        return F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.coalesce(z, F.lit(0.0)).alias("z"))
+
+    return rows.groupBy(*keys).agg(
+        packed("knots", "knot", F.col("knot")), packed("ctrl", "x", point("x", "y", "z")), packed("fit", "fit_x", point("fit_x", "fit_y", "fit_z"))
+    )
 
 
 def dxf_polylines(vertices: DataFrame, groups: list[str]) -> DataFrame:

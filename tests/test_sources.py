@@ -62,6 +62,22 @@ def test_drawing_with_all_kinds(spark):
     assert (points[-1]["x"], points[-1]["y"]) == (2.0, 0.0)
 
 
+def test_splines_keep_depth_and_fit_points(spark):
+    ctrl = [(10, 1), (20, 2), (30, 3), (10, 4), (20, 5), (10, 6), (20, 7), (30, 8)]  # the second lies at no given depth
+    fit = [(11, 1), (21, 2), (31, 9), (11, 4), (21, 5)]
+    text = _entity("SPLINE", "AcDbSpline", (70, 8), (71, 2), *[(40, k) for k in (0, 0, 1)], *ctrl, *fit)
+    parts = dxf.dxf_splines(_lines(spark, text + "\n0\nEOF"))
+    got = sorted((r["part"], r["i"], r["v"]) for r in parts.collect())
+    assert got == [
+        ("fit_x", 1, 1.0), ("fit_x", 2, 4.0), ("fit_y", 1, 2.0), ("fit_y", 2, 5.0), ("fit_z", 1, 9.0),
+        ("knot", 1, 0.0), ("knot", 2, 0.0), ("knot", 3, 1.0),
+        ("x", 1, 1.0), ("x", 2, 4.0), ("x", 3, 6.0), ("y", 1, 2.0), ("y", 2, 5.0), ("y", 3, 7.0), ("z", 1, 3.0), ("z", 3, 8.0),
+    ]
+    one = dxf.splines_from_parts(parts).first()
+    assert one["knots"] == [0.0, 0.0, 1.0] and [tuple(p) for p in one["ctrl"]] == [(1.0, 2.0, 3.0), (4.0, 5.0, 0.0), (6.0, 7.0, 8.0)]
+    assert [tuple(p) for p in one["fit"]] == [(1.0, 2.0, 9.0), (4.0, 5.0, 0.0)]
+
+
 def test_saved_drawing_reads_back(spark, tmp_path):
     rows = [(1, "line", "A", 0.0, 1.0, 2.0, 3.0), (2, "line", "B", 4.0, 5.0, 6.0, 7.0)]
     geoms = spark.createDataFrame(rows, "id bigint, kind string, layer string, x1 double, y1 double, x2 double, y2 double")
