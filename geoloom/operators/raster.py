@@ -11,6 +11,7 @@ from geoloom.functions import affine
 from geoloom.operators.ordered import group_extents, paired_crossings, scan_crossings
 from geoloom.operators.transform import apply_transform
 from geoloom.plans.cells import Line
+from geoloom.plans.scratch import growing
 
 SEG = ("x1", "y1", "x2", "y2")
 
@@ -112,10 +113,11 @@ def rasterize_layers(pixels: DataFrame, width: int, height: int, background: int
     """Several value layers on one canvas: pixels (row, col, val, ord); the later layer wins."""
     top = pixels.groupBy("row", "col").agg(F.max_by("val", "ord").alias("val"))
     grid = canvas(pixels.sparkSession, width, height)
-    return grid.join(top, ["row", "col"], "left").withColumn("val", F.coalesce("val", F.lit(background).cast("bigint")))
+    return growing(grid).join(top, ["row", "col"], "left").withColumn("val", F.coalesce("val", F.lit(background).cast("bigint")))
 
 
-BLOCK = 4096  # columns of a canvas row that are filled at once
+SIDE = 64  # pixels along a square of a canvas that is filled at once, a power of two
+CANVAS_ROWS = 8_000_000  # pixels of a canvas in a task
 
 
 def rotate_pixels(pixels: DataFrame, angle_deg: float, background: int = 0, size: tuple[int, int] | None = None) -> DataFrame:

@@ -79,6 +79,21 @@ def test_rotation_joins_blocks_and_not_pixels(spark, angle):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_canvas_broadcasts_no_table_that_grows(spark):
+    from types import SimpleNamespace
+
+    from geoloom.catalog.raster import _placed
+    from geoloom.operators import raster
+
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 96.0, 64.0), (2, 32.0, 0.0, 192.0, 64.0)], "id long, min_x double, min_y double, max_x double, max_y double")
+    placed = _placed(SimpleNamespace(box=boxes))
+    pixels = raster.fill_pixels(placed, ["id", "size"]).select("row", "col", F.col("size").alias("val"), F.col("size").alias("ord"))
+    got = raster.rasterize_layers(pixels, 7, 2)
+    assert "Broadcast" not in plan_of(placed) + plan_of(got)
+    want = [(r, c, 6 if c == 0 else 10 if c < 6 else 8) for r in range(2) for c in range(7)]
+    assert sorted((r["row"], r["col"], r["val"]) for r in got.collect()) == want
+
+
 def test_ranges_do_not_grow_with_the_data(tmp_path):
     from geoloom.sources import datasource
 
