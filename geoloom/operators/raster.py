@@ -125,7 +125,8 @@ def rotate_pixels(pixels: DataFrame, angle_deg: float, background: int = 0, size
 
     The output canvas bounds the rotated input; its pixels with no source get the background. Each source pixel names the
     output pixels that fall in it, by the same arithmetic, so only source pixels are shuffled; the background is what they
-    leave of each ``BLOCK`` of a canvas row.
+    leave of each square of the canvas. Its area grows with the square of a long strip of pixels, so a task gives one run of
+    squares below each other: their rows have the same few columns, and a written canvas takes little room.
     """
     if size is None:
         top = pixels.agg(F.max("col"), F.max("row")).first()
@@ -150,10 +151,17 @@ def rotate_pixels(pixels: DataFrame, angle_deg: float, background: int = 0, size
     met = src.withColumn("col", near(mx * cos - my * sin + out_w / 2.0, out_w)).withColumn("row", near(mx * sin + my * cos + out_h / 2.0, out_h))
     met = met.filter((src_col == F.col("src_col")) & (src_row == F.col("src_row")))
     val = F.coalesce("val", F.lit(background).cast("bigint")).alias("val")
-    taken = met.groupBy("row", F.floor(F.col("col") / BLOCK).alias("block")).agg(F.collect_set("col").alias("taken"))
-    blocks = canvas(pixels.sparkSession, -(-out_w // BLOCK), out_h).withColumnRenamed("col", "block")
-    start = F.col("block") * BLOCK
-    every = F.sequence(start, F.least(start + BLOCK, F.lit(out_w).cast("bigint")) - 1)
+    block, band = F.floor(F.col("col") / SIDE), F.floor(F.col("row") / SIDE)
+    place = (F.col("row") - band * SIDE) * SIDE + F.col("col") - block * SIDE
+    taken = met.groupBy(block.alias("block"), band.alias("band")).agg(F.collect_set(place.cast("int")).alias("taken"))
+    blocks = canvas(pixels.sparkSession, -(-out_w // SIDE), -(-out_h // SIDE)).select(F.col("col").alias("block"), F.col("row").alias("band"))
+    blocks = growing(blocks).join(taken, ["block", "band"], "left")
+    blocks = blocks.repartitionByRange(out_w * out_h // CANVAS_ROWS + 1, "block", "band").sortWithinPartitions("block", "band")
+    every = F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))
     left = F.when(F.col("taken").isNull(), every).otherwise(F.array_except(every, F.col("taken")))
-    rest = blocks.join(taken, ["row", "block"], "left").select("row", F.explode(left).alias("col"), F.lit(background).cast("bigint").alias("val"))
+    rest = blocks.select("block", "band", F.explode(left).alias("at")).select(
+        (F.col("band") * SIDE + F.shiftright("at", SIDE.bit_length() - 1)).alias("row"), (F.col("block") * SIDE + F.col("at").bitwiseAND(F.lit(SIDE - 1))).alias("col"),
+        F.lit(background).cast("bigint").alias("val"),
+    )
+    rest = rest.filter((F.col("row") < out_h) & (F.col("col") < out_w))
     return met.select("row", "col", val).unionByName(rest)

@@ -79,6 +79,17 @@ def test_rotation_joins_blocks_and_not_pixels(spark, angle):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_canvas_is_given_in_runs_of_squares(spark, monkeypatch):
+    from geoloom.operators import raster
+
+    monkeypatch.setattr(raster, "CANVAS_ROWS", 40_000)
+    got = raster.rotate_pixels(spark.createDataFrame([(0, 0, 1), (7, 999, 2)], "row long, col long, val long"), 30.0)
+    count = -(-got.count() // 40_000)
+    assert count > 10 and f"rangepartitioning(block#N ASC NULLS FIRST, band#N ASC NULLS FIRST, {count})" in re.sub(r"#\d+L?", "#N", plan_of(got))
+    tasks = got.filter("val = 0").groupBy(F.spark_partition_id()).agg(F.countDistinct(F.floor(F.col("col") / 64)))
+    assert all(r[1] <= 3 for r in tasks.collect())
+
+
 def test_canvas_broadcasts_no_table_that_grows(spark):
     from types import SimpleNamespace
 
