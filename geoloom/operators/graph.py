@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from geoloom.plans.cells import Box, cell_join, point_box
 from geoloom.plans.chains import rank_chains
@@ -208,13 +209,124 @@ def slice_facets(facets: DataFrame, thickness: float, base: float | Column = 0.0
     return rows.selectExpr("mesh_id", "slice", "facet_id", *[f"if(turned, {a}, {b}) AS {n}" for n, a, b in pick])
 
 
+SLICE_ROWS = 65_536  # cuts of a mesh and slice that one task links
+TASK_CUTS = 1_000_000  # cuts in a task that links slices
+
+
 def chain_contours(cuts: DataFrame) -> DataFrame:
     """Link cut segments into contours: the next segment's forward edge is this one's backward edge.
 
     Out: the cut rows with contour (lowest facet of the ring), pos and is_closed. At an edge of more
-    than two facets the ends pair up by rank. Nodes are numbered in the order of slice, mesh and
-    facet, so one number names them; the order along a contour comes from pointer doubling.
+    than two facets the ends pair up by rank. Slices of a mesh of up to ``SLICE_ROWS`` cuts are shuffled once and
+    linked within tasks; larger ones are spread over many tasks, and their order comes from pointer doubling.
     """
+    group = ["mesh_id", "slice"]
+    sizes = cuts.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    seen = Observation()
+    large = sizes.observe(seen, F.sum("n").alias("rows")).filter(F.col("n") > SLICE_ROWS).select(*[F.col(c).alias("__" + c) for c in group])
+    large = materialize(large, "large")
+    tasks = (seen.get["rows"] or 0) // TASK_CUTS + 1
+    if large.isEmpty():
+        return _linked_in_tasks(cuts, tasks)
+    among = F.col("mesh_id").eqNullSafe(F.col("__mesh_id")) & F.col("slice").eqNullSafe(F.col("__slice"))
+    spread = _linked_by_rounds(cuts.join(large, among, "left_semi"))
+    return _linked_in_tasks(cuts.join(large, among, "left_anti"), tasks).unionByName(spread)
+
+
+def _edge_names(edge: str, dtype) -> list[Column]:
+    """Two hashes of a mesh edge within its slice; equal edges have equal ones, nulls included."""
+    fields = [F.col(edge)[f] for f in dtype.names] if isinstance(dtype, StructType) else [F.col(edge)]
+    values = ["mesh_id", "slice", *[v for f in fields for v in (f.isNull(), f)]]
+    return [F.xxhash64(F.lit(k), F.col(edge).isNull(), *values) for k in (1, 2)]
+
+
+def _linked_in_tasks(cuts: DataFrame, tasks: int) -> DataFrame:
+    """Contours of slices that fit a task: one shuffle of the cuts by slice, with two hashes for an edge."""
+    kept = [c for c in cuts.columns if c not in ("fwd", "bwd")]
+    names = [f"__{e}{k}" for e in ("fwd", "bwd") for k in (1, 2)]
+    hashes = [h for e in ("fwd", "bwd") for h in _edge_names(e, cuts.schema[e].dataType)]
+    rows = cuts.select(*kept, *[h.alias(n) for h, n in zip(hashes, names)])
+    rows = rows.repartition(tasks, "mesh_id", "slice").sortWithinPartitions("mesh_id", "slice", "facet_id")
+    fields = [cuts.schema[c] for c in kept]
+    schema = StructType([*fields, StructField("pos", LongType()), StructField("is_closed", BooleanType()), StructField("contour", cuts.schema["facet_id"].dataType)])
+
+    def linked(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def before(f1, f2, b1, b2):
+            """The row before each row: of equal edges, the k-th backward one leads to the k-th forward one; -1 for none."""
+            n = len(f1)
+            one, two = np.concatenate([f1, b1]), np.concatenate([f2, b2])
+            order = np.lexsort((two, one))  # stable: forward ends first, each side in the order of the rows
+            one, two = one[order], two[order]
+            begins = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+            sizes = np.diff(np.r_[begins, 2 * n])
+            into = order < n
+            mate = np.arange(2 * n) + np.repeat(np.add.reduceat(into.astype(np.int64), begins), sizes)
+            met = into & (mate < np.repeat(begins + sizes, sizes))
+            prev = np.full(n, -1, np.int64)
+            prev[order[met]] = order[mate[met]] - n
+            return prev
+
+        def ranked(prev):
+            """Head, place and ring flag of each row by pointer doubling, as in plans/chains.py."""
+            at = np.arange(len(prev))
+            done = prev < 0
+            head = np.where(done, at, prev)
+            hops = (~done).astype(np.int64)
+            low, low_hops = np.minimum(at, head), (head < at).astype(np.int64)
+            rest = np.flatnonzero(~done)
+            while len(rest):
+                far = head[rest]
+                lower = low[far] < low[rest]
+                new = (head[far], hops[rest] + hops[far], np.where(lower, low[far], low[rest]),
+                       np.where(lower, hops[rest] + low_hops[far], low_hops[rest]), done[far])
+                head[rest], hops[rest], low[rest], low_hops[rest], done[rest] = new
+                still = rest[~new[4]]
+                if len(still) == len(rest) and not lower.any():
+                    break  # only rings are left, and their least rows are known
+                rest = still
+            return np.where(done, head, low), np.where(done, hops, low_hops), ~done
+
+        def placed(table):
+            ends = [table.column(c).to_numpy() for c in names]
+            chain, pos, ring = ranked(before(*ends))
+            table = table.select(kept)
+            return pa.table([*table.columns, pa.array(pos), pa.array(ring), table.column("facet_id").take(pa.array(chain))], names=schema.names)
+
+        def last_border(table):
+            """Where the last slice of the table begins."""
+            differ = np.zeros(table.num_rows - 1, bool)
+            for c in ("mesh_id", "slice"):
+                col = table.column(c)
+                a, b = col.slice(0, table.num_rows - 1), col.slice(1)
+                unlike = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+                differ |= unlike.to_numpy()
+            borders = np.flatnonzero(differ)
+            return int(borders[-1]) + 1 if len(borders) else 0
+
+        held, count = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                count += batch.num_rows
+            if count >= 3 * SLICE_ROWS:
+                table = pa.Table.from_batches(held).combine_chunks()
+                cut = last_border(table)
+                if cut:
+                    yield from placed(table.slice(0, cut)).to_batches()
+                    table = table.slice(cut)
+                held, count = table.to_batches(), table.num_rows
+        if count:
+            yield from placed(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    return rows.mapInArrow(linked, schema)
+
+
+def _linked_by_rounds(cuts: DataFrame) -> DataFrame:
+    """Contours of slices of any size. Nodes are numbered in the order of slice, mesh and facet, so one number names them."""
     ordered = cuts.sort("slice", "mesh_id", "facet_id").withColumn("node", F.monotonically_increasing_id())
     cuts = materialize(ordered, "cuts")
     none = F.lit(None).cast("bigint")

@@ -47,6 +47,43 @@ def test_contours_broadcast_no_table_that_grows(spark, plans):
     assert got.groupBy("slice").agg(F.countDistinct("contour"), F.sum("pos")).orderBy("slice").collect() == [(0, 1, 28), (1, 1, 28), (2, 1, 28)]
 
 
+def cuts_of(spark, links):
+    """Cuts (mesh, slice, facet, forward edge, backward edge), with an edge by its number."""
+    edge = "struct<x:double,y:double,z:double,x2:double,y2:double,z2:double>"
+    rows = [(m, s, f, 1.0, 2.0, 3.0, float(f), *[None if e is None else (None if e == 7 else 0.0, e / 1.0, 2.0, 3.0, 4.0, 5.0) for e in pair]) for m, s, f, *pair in links]
+    return spark.createDataFrame(rows, f"mesh_id long, slice long, facet_id long, x1 double, y1 double, x2 double, y2 double, fwd {edge}, bwd {edge}")
+
+
+def test_slices_are_linked_in_tasks_as_by_rounds(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(4)
+    links = [(1, 0, f, f, (f + 1) % 90) for f in range(90)]  # a ring
+    links += [(1, 1, f, 100 + f, 101 + f) for f in range(70)]  # an open chain
+    links += [(2, 0, 5, 3, 3), (2, 0, 6, 8, 9), (None, 0, 7, 1, 2), (None, 0, 8, 2, 1)]  # on itself, alone, of no mesh
+    for s in range(2, 8):  # edges of more than two facets, one with a null
+        links += [(3, s, f, rnd.randrange(12), rnd.randrange(12)) for f in range(30)]
+    cuts = cuts_of(spark, links)
+
+    def got():
+        rows = graph.chain_contours(cuts)
+        return rows.columns, sorted(map(repr, rows.collect()))
+
+    few = got()
+    assert "ArrowPython" not in plan_of(graph._linked_by_rounds(cuts)) and len(few[1]) == len(links)
+    monkeypatch.setattr(graph, "SLICE_ROWS", 20)  # larger slices by rounds, and many buffers in a task
+    monkeypatch.setattr(graph, "TASK_CUTS", 100)
+    assert got() == few
+    rounds = graph._linked_by_rounds(cuts)
+    assert (rounds.columns, sorted(map(repr, rounds.collect()))) == few
+
+
+def test_contours_are_shuffled_once_without_their_edges(spark, plans):
+    got = graph.chain_contours(graph.slice_facets(prism(spark), 1.0))
+    plan = plan_of(got)
+    assert plan.count("Exchange ") == 1 and "Join" not in plan and len(plans) == 1
+
+
 def test_fold_broadcasts_no_table_that_grows(spark, plans):
     from geoloom.operators.ordered import simplify_contour
 
