@@ -195,7 +195,48 @@ def simplify_contour(points: DataFrame, groups: list[str], order: str, tol_deg:
             F.when(kept.isNotNull(), F.array_append(s["out"], kept)).otherwise(s["out"]).alias("out"),
         )
 
-    pts = points.select(*groups, F.col(order), "x", "y", (closed if closed is not None else F.lit(False)).alias("closed"))
+    given = closed if closed is not None else F.lit(False)
+    pts = points.select(*groups, F.col(order), "x", "y", given.alias("closed"))
+    # each point is shuffled once, into the chunk it lies in; a group of one chunk, as contours mostly are, is folded and kept there
+    at = F.struct(F.col(order).alias("o"), "x", "y")
+    packed = pts.withColumn("__chunk", chunk_of(order, rows)).groupBy(*groups, "__chunk").agg(
+        F.array_sort(F.collect_list(at)).alias("items"), F.max("closed").alias("closed")
+    )
+    packed = materialize(packed, "contours")
+    for name in (*groups, "__chunk"):
+        packed = packed.filter(F.col(name).isNotNull())
+    long = packed.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*groups)
+    long = materialize(long, "long")
+    columns = [*groups, order, "x", "y"]
+    if long.isEmpty():
+        return _simplified_chunk(packed, groups, order, start, step).select(*columns)
+    spread = packed.join(long, groups, "left_semi").select(*groups, "closed", F.inline("items")).withColumnRenamed("o", order)
+    alone = packed.join(long, groups, "left_anti")
+    return _simplified_chunk(alone, groups, order, start, step).select(*columns).unionByName(
+        _simplified_groups(spread, groups, order, item, start, step, rows).select(*columns)
+    )
+
+
+def _simplified_chunk(packed: DataFrame, groups: list[str], order: str, start, step) -> DataFrame:
+    """Kept points of groups that are one chunk each (items in order, closed)."""
+    items = F.col("items")
+    before = F.concat(F.array(F.lit(None).cast(packed.schema["items"].dataType.elementType)), F.slice(items, 1, F.size(items) - 1))
+    pairs = F.zip_with(items, before, lambda v, p: F.struct(v.alias("v"), p.alias("p")))
+    out = F.aggregate(pairs, start(items[0]), lambda s, x: step(s, x["v"], x["p"]))["out"]
+    rows = packed.withColumns({"hi": F.element_at(items, -1)["o"], "lo": items[0]["o"]})
+    rows = rows.withColumn("keep", F.array_distinct(F.array_append(out, F.col("hi"))))
+    # of places without gaps or repeats each names its point; else they are looked up
+    plain = F.forall(F.transform(items, lambda p, i: p["o"] == F.col("lo") + i), lambda b: b)
+    named = F.transform("keep", lambda o: F.get(items, (o - F.col("lo")).cast("int")))
+    kept = F.when(plain, named).otherwise(F.filter(items, lambda p: F.array_contains("keep", p["o"])))
+    first = items[0]
+    ring = F.array(F.struct((F.col("hi") + 1).alias("o"), first["x"].alias("x"), first["y"].alias("y")))
+    kept = F.when(F.col("closed") & (F.col("hi") > F.col("lo")), F.concat(kept, ring)).otherwise(kept)
+    return rows.select(*groups, F.inline(kept)).withColumnRenamed("o", order)
+
+
+def _simplified_groups(pts: DataFrame, groups: list[str], order: str, item: Column, start, step, rows: int) -> DataFrame:
+    """Kept points of groups of any size, by a fold in chunks."""
     folded = chunked_fold(pts, groups, order, item, start, step, rows=rows)
     kept = folded.select(*groups, F.explode("out").alias(order))
     ends = pts.groupBy(*groups).agg(

@@ -84,6 +84,24 @@ def test_contours_are_shuffled_once_without_their_edges(spark, plans):
     assert plan.count("Exchange ") == 1 and "Join" not in plan and len(plans) == 1
 
 
+def test_simplified_contours_of_a_chunk_are_joined_with_nothing(spark, monkeypatch):
+    from geoloom.operators import ordered
+
+    names = []
+    monkeypatch.setattr(ordered, "materialize", lambda df, name="table", write=ordered.materialize: names.append(name) or write(df, name))
+    at = [(0, 0), (1, 0), (2, 0), (2, 1), (2, 2), (1, 2), (0, 2), (0, 1)]
+    rows = [(k, 3 * i if k == 2 else i, float(x), float(y)) for k in range(3) for i, (x, y) in enumerate(at)]
+    rows += [r for r in rows if r[0] == 1] + [(4, 0, 1.0, 1.0), (None, 0, 1.0, 1.0)]
+    points = spark.createDataFrame(rows, "g long, pos long, x double, y double")
+    few = ordered.simplify_contour(points, ["g"], "pos", closed=F.col("g") < 9)
+    assert "Join" not in plan_of(few) and "Exchange" not in plan_of(few) and names == ["contours", "long"]
+    spread = ordered.simplify_contour(points, ["g"], "pos", closed=F.col("g") < 9, rows=3)
+    got = sorted(map(tuple, few.collect()))
+    assert got == sorted(map(tuple, spread.collect()))
+    assert [r[1] for r in got if r[0] == 0] == [0, 2, 4, 6, 7, 8] and [r[1] for r in got if r[0] == 2] == [0, 6, 12, 18, 21, 22]
+    assert [r[1:] for r in got if r[0] == 4] == [(0, 1.0, 1.0)] and len([r for r in got if r[0] == 1]) == 11
+
+
 def test_fold_broadcasts_no_table_that_grows(spark, plans):
     from geoloom.operators.ordered import simplify_contour
 
