@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import geometry as g
 from geoloom.operators.generate import box_edges, grid_shape, tile_grid
 from geoloom.plans.cells import Box, Line, cell_join, point_box
-from geoloom.plans.scan import chunk_of, ordered_scan, written_scan
+from geoloom.plans.scan import CHUNK_ROWS, chunk_of, ordered_scan, written_scan
 from geoloom.plans.sweep import nests
 from geoloom.plans.scratch import growing, materialize
 
@@ -466,6 +466,24 @@ def _pieces(base: DataFrame, cuts: DataFrame, keys: list[str], tol: float) -> Da
     return growing(runs.filter("t1 IS NOT NULL")).join(base, keys).withColumns(ends).drop("t1", "mark")
 
 
+def _pieces_in_rows(base: DataFrame, cuts: DataFrame, keys: list[str], tol: float) -> DataFrame:
+    """What ``_pieces`` gives, for edges of few cuts each: the marks of an edge lie in its row, so edges are shuffled once."""
+    marks = cuts.filter((F.col("t") > tol) & (F.col("t") < 1 - tol)).select(*keys, "t")
+    marks = marks.groupBy(*keys, F.floor(F.col("t") / 1e-9 + 0.5).alias("mark")).agg(F.min("t").alias("t"))
+    marks = marks.groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("marks"))
+    for name in keys:
+        base = base.filter(F.col(name).isNotNull())
+    inner = F.coalesce("marks", F.array().cast("array<double>"))
+    rows = growing(base).join(marks, keys, "left").withColumn("marks", F.concat(F.array(F.lit(0.0)), inner, F.array(F.lit(1.0))))
+    steps = F.transform(F.slice("marks", 2, F.size("marks") - 1), lambda t1, i: F.struct(F.get("marks", i).alias("t"), t1.alias("t1")))
+    rows = rows.select(*keys, *SEG, F.inline(steps))
+    ends = {
+        "x1": g.mix("x1", "x2", "t"), "y1": g.mix("y1", "y2", "t"),
+        "x2": g.mix("x1", "x2", "t1"), "y2": g.mix("y1", "y2", "t1"),
+    }
+    return rows.withColumns(ends).drop("t1")
+
+
 def split_at_intersections(edges: DataFrame, cutters: DataFrame | None = None, tol: float = 1e-9) -> DataFrame:
     """Cut each edge (id, seq, ends) where other shapes' edges cross it."""
     return _pieces(edges.select("id", "seq", *SEG), boundary_cuts(edges, cutters), ["id", "seq"], tol)
@@ -512,20 +530,22 @@ def polygon_boolean(edges: DataFrame, *modes: str, pairs: DataFrame | None = Non
     sizes = edges.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(links.groupBy("id").agg(F.count(F.lit(1)).alias("m")), "id")
     rows = sizes.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
     base = growing(edges.select("id", "seq", *SEG)).join(links, "id").repartition(rows // BASE_ROWS + 1, *keys)
-    pieces = _pieces(base, growing(cuts).join(links, ["id", "other"]), keys, tol)
-    mids = pieces.withColumnRenamed("other", "poly").withColumns(
-        {"px": (F.col("x1") + F.col("x2")) / 2, "py": (F.col("y1") + F.col("y2")) / 2}
-    )
-    mids = materialize(mids, "pieces")
-    name = ["id", "seq", "poly", "side", "t"]
-    inner = _parity(growing(mids), edges.select(F.col("id").alias("poly"), *SEG), name).withColumn("inside", F.lit(True))
+    # no edge has more marks of one partner than it has cuts there, and its two ends
+    most = cuts.groupBy("id", "seq", "other").count().agg(F.max("count")).first()[0] or 0
+    cut = _pieces_in_rows if most < CHUNK_ROWS and tol >= 1e-9 else _pieces
+    pieces = cut(base, growing(cuts).join(links, ["id", "other"]), keys, tol).withColumnRenamed("other", "poly")
+    # once written, a piece has a number, which is all that the test of its middle takes along
+    mids = materialize(pieces.select("id", "seq", "poly", "side", *SEG, F.monotonically_increasing_id().alias("piece")), "pieces")
+    px, py = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    near = mids.select("piece", "poly", px.alias("px"), py.alias("py"))
+    inner = _parity(growing(near), edges.select(F.col("id").alias("poly"), *SEG), ["piece"]).withColumn("inside", F.lit(True))
     inside = F.coalesce("inside", F.lit(False))
 
     def kept_in(mode: str) -> Column:
         for_a, for_b = rules[mode]
         return F.when(inside == F.when(F.col("side") == "a", for_a).otherwise(for_b), mode)
 
-    kept = growing(mids).join(inner, name, "left").withColumn("mode", F.explode(F.array_compact(F.array(*[kept_in(m) for m in modes]))))
+    kept = growing(mids).join(inner, "piece", "left").withColumn("mode", F.explode(F.array_compact(F.array(*[kept_in(m) for m in modes]))))
     first = F.col("side") == "a"
     return kept.select(
         F.when(first, F.col("id")).otherwise(F.col("poly")).alias("poly_a"),

@@ -185,6 +185,23 @@ def test_polygon_joins_broadcast_no_table_that_grows(spark, plans, monkeypatch):
     ]
 
 
+def test_pieces_of_pairs_are_cut_in_their_rows(spark, plans, monkeypatch):
+    ring = [(0, 0, 4, 0), (4, 0, 4, 4), (4, 4, 0, 4), (0, 4, 0, 0)]
+    rows = [(i, s, *(float(v + 2 * i) for v in e)) for i in range(4) for s, e in enumerate(ring)]
+    rows += [(9, 0, 1.0, -1.0, 1.0, 9.0), (9, 1, 1.0, 9.0, 3.0, 9.0), (9, 2, 3.0, 9.0, 3.0, -1.0), (9, 3, 3.0, -1.0, 1.0, -1.0)]
+    edges = spark.createDataFrame(rows, "id long, seq long, x1 double, y1 double, x2 double, y2 double")
+
+    def got():
+        plans.clear()
+        found = spatial.polygon_boolean(edges, "union", "intersection", "subtraction")
+        return sorted(map(tuple, found.collect()))
+
+    few = got()
+    assert "Window" not in "".join(plans)
+    monkeypatch.setattr(spatial, "CHUNK_ROWS", 1)
+    assert few and got() == few and any("Window" in p for p in plans)
+
+
 def test_edges_of_pairs_are_spread_by_their_number(spark, plans, monkeypatch):
     monkeypatch.setattr(spatial, "BASE_ROWS", 3)
     ring = [(0, 0, 4, 0), (4, 0, 4, 4), (4, 4, 0, 4), (0, 4, 0, 0)]
